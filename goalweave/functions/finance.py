@@ -53,7 +53,8 @@ def reached_month(savings: Column, sip: Column, rate: Column, months: Column, go
     ratio = F.try_divide(goal + level, savings + level)
     by_log = F.try_divide(F.log(F.when(ratio > 0, ratio)), F.log(growth))
     by_line = F.try_divide(goal - savings, sip)
-    guess = F.ceil(F.when(monthly == 0, by_line).otherwise(by_log)).cast("int")
+    estimate = F.when(monthly == 0, by_line).otherwise(by_log)
+    guess = F.ceil(F.least(F.greatest(estimate, F.lit(-1.0)), months + F.lit(2.0))).cast("int")
 
     def hit(month: Column) -> Column:
         return (month >= 1) & (month <= months) & (value_at(savings, sip, rate, month) >= goal)

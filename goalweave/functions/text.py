@@ -11,9 +11,8 @@ RUPEE = "₹"
 
 # The characters that count as blank at either end of a text.
 BLANKS = (
-    "\t\n\u000b\u000c\r   "
-    "           "
-    "    　﻿"
+    "\t\n\u000b\u000c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
 # Splitting constant of the exact product: 2**27 + 1.
@@ -30,15 +29,10 @@ def indian_groups(n: Column) -> Column:
 
 
 def _two_decimals_trimmed(x: Column) -> Column:
-    hundredths = half_up_long(x * F.lit(100.0))
-    whole = F.floor(hundredths / F.lit(100)).cast("bigint")
-    rest = hundredths - whole * F.lit(100)
-    tail = (
-        F.when(rest == 0, F.lit(""))
-        .when(rest % 10 == 0, F.concat(F.lit("."), F.floor(rest / 10).cast("bigint").cast("string")))
-        .otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), 2, "0")))
-    )
-    return F.concat(whole.cast("string"), tail)
+    """Nearest hundredth as text without trailing zeros."""
+    hundredths = half_up_long(x * F.lit(100.0)).cast("decimal(20,0)")
+    digits = (hundredths * F.lit("0.01").cast("decimal(3,2)")).cast("string")
+    return F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
 
 
 def format_inr(x: Column) -> Column:
