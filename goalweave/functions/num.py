@@ -39,6 +39,14 @@ def published(x: Column, digits: int = 6) -> Column:
     return F.floor(x * scale + F.lit(0.5 + TIE_SHIFT)).cast("double") / scale
 
 
+def settled(x: Column) -> Column:
+    """A sum cut to 12 decimals. Rows are added up in whatever order tasks finish; this keeps the last bits of that
+    order away from comparisons with fixed limits.
+    """
+    scale = F.lit(1e12)
+    return F.floor(x * scale + F.lit(0.5)).cast("double") / scale
+
+
 def rupees(x: Column) -> Column:
     """Whole rupees as BIGINT, for comparison across engines."""
     return F.floor(x + F.lit(0.5 + TIE_SHIFT)).cast("bigint")

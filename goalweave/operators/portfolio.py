@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.num import clamp, lit, positive
+from ..functions.num import clamp, lit, positive, settled
 
 NO_RISK = "—"
 LAKH = 100000.0
@@ -43,16 +43,14 @@ def basket_metrics(alloc: DataFrame, funds: DataFrame, key: str) -> DataFrame:
     )
 
     def per_total(name: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(name), F.col("total")), lit(0))
+        return settled(F.coalesce(F.try_divide(F.col(name), F.col("total")), lit(0)))
 
     return sums.select(
         key,
         "total",
         per_total("return_sum").alias("blended_return"),
         per_total("volatility_sum").alias("blended_volatility"),
-        "equity",
-        "debt",
-        "gold",
+        *[settled(F.col(band)).alias(band) for band in ("equity", "debt", "gold")],
         per_total("equity").alias("growth_weight"),
     )
 
