@@ -680,6 +680,31 @@ SQL["reorder_priority"] = """
     FROM (SELECT *, unnest(l) AS goal_id FROM ops)"""
 
 
+CTES["preset_lists"] = "SELECT profile, list(fund_id ORDER BY pos) AS funds, list(weight ORDER BY pos) AS weights FROM d_presets GROUP BY profile"
+SQL["replay_edits"] = f"""
+    WITH RECURSIVE ops AS (SELECT user_id, slot % 5 + 1 AS i, least(100, greatest(0, value)) AS w,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS k FROM edits WHERE action = 'set_weight'),
+      walk AS (SELECT c_custkey AS user_id, funds, weights AS x, 0 AS k
+        FROM customer JOIN preset_lists ON profile = {numbered("c_custkey % 3", q.PRESET_NAMES)}
+        UNION ALL
+        SELECT s.user_id, funds, list_transform(range(1, 6), lambda j: CASE WHEN j = i THEN w
+            WHEN list_sum(x) - x[i] > 0 THEN x[j] / (list_sum(list_concat(x[1:i - 1], x[i + 1:]))) * (100 - w) ELSE (100 - w) / 4 END), s.k + 1
+        FROM walk s JOIN ops o ON o.user_id = s.user_id AND o.k = s.k + 1),
+      final AS (SELECT user_id, arg_max(funds, k) AS funds, arg_max(x, k) AS x FROM walk GROUP BY user_id)
+    SELECT user_id, fund_id, {r6("weight", "weight")} FROM (SELECT user_id, unnest(funds) AS fund_id, unnest(x) AS weight FROM final)"""
+SQL["replay_goal_toggles"] = f"""
+    WITH RECURSIVE ops AS (SELECT user_id, {goal_number("slot % 10")} AS g,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS k FROM edits),
+      walk AS (SELECT DISTINCT user_id, CAST([] AS VARCHAR[]) AS picks, 0 AS k FROM edits
+        UNION ALL
+        SELECT s.user_id, CASE WHEN list_contains(picks, g) THEN list_filter(picks, lambda p: p <> g)
+            WHEN len(picks) < 3 THEN list_append(picks, g) ELSE picks END, s.k + 1
+        FROM walk s JOIN ops o ON o.user_id = s.user_id AND o.k = s.k + 1),
+      final AS (SELECT user_id, arg_max(picks, k) AS picks FROM walk GROUP BY user_id)
+    SELECT user_id, picks[n] AS goal_id, CAST(n AS INTEGER) AS place
+    FROM (SELECT user_id, picks, unnest(range(1, len(picks) + 1)) AS n FROM final)"""
+
+
 def _rate_sql(flows: str, key: str, solvable: str, keys: str) -> str:
     return f"WITH {rate_query(flows, key)} SELECT {keys}, {r6('coalesce(rate, 0)', 'xirr')} FROM {solvable}"
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.num import lit, positive, published, rupees
-from ..operators import cashflow, chat, holdings, insights, portfolio, profile, projection, shares, state
+from ..operators import cashflow, chat, holdings, insights, portfolio, profile, projection, replay, shares, state
 from ..sources import catalog
 from ..sources import population as pop
 from ..sources.tables import read_table
@@ -511,12 +511,33 @@ def remove_fund(spark, sf_dir):
 @query
 def apply_preset(spark, sf_dir):
     presets = portfolio.normalize_to_100(catalog.presets(spark), "profile")
-    name = F.get(F.array(*[F.lit(p) for p in PRESET_NAMES]), (F.col("user_id") % 3).cast("int"))
-    goals = pop.plan_goals(spark, sf_dir).where("is_current").withColumn("profile", name)
+    goals = pop.plan_goals(spark, sf_dir).where("is_current").withColumn("profile", _preset_of_user())
     rows = goals.join(F.broadcast(presets), "profile")
     return _weights_out(rows.select("user_id", "goal_id", "profile", "pos", "fund_id", "weight"))
 
 
+def _preset_of_user():
+    return F.get(F.array(*[F.lit(p) for p in PRESET_NAMES]), (F.col("user_id") % 3).cast("int"))
+
+
+@query
+def replay_edits(spark, sf_dir):
+    users = pop.pools(spark, sf_dir).select("user_id")
+    baskets = replay.preset_baskets(users, catalog.presets(spark), _preset_of_user())
+    size = len(catalog.PRESETS[PRESET_NAMES[0]])
+    edits = pop.edits(spark, sf_dir).where("action = 'set_weight'").select(
+        "user_id", "ts", "seq", (F.col("slot") % size).alias("member"), F.lit(size).alias("n_members"),
+        F.col("value").alias("weight"),
+    )
+    return _weights_out(replay.replay_weights(edits, baskets).select("user_id", "fund_id", "weight"))
+
+
+@query
+def replay_goal_toggles(spark, sf_dir):
+    toggles = pop.edits(spark, sf_dir).select("user_id", "ts", "seq", (F.col("slot") % len(GOAL_IDS)).alias("goal_no"))
+    return replay.replay_picks(toggles, GOAL_IDS)
+
+
 @query
 def reorder_priority(spark, sf_dir):
     places = shares.stated_order(pop.plan_goals(spark, sf_dir), pop.goal_order(spark, sf_dir))
