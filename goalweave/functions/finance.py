@@ -1,68 +1,43 @@
-"""Closed forms of monthly compounding. Contributions go in at the start of each month."""
+"""Closed forms of monthly compounding, as SQL expressions over named columns.
 
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .num import half_up
+Contributions go in at the start of each month. SQL text keeps the formulas readable and costs one call to the JVM
+per expression; callers build on earlier results as columns, so that Catalyst computes each of them once.
+"""
 
+from __future__ import annotations
 
-def months_of(years: Column) -> Column:
-    return F.greatest(F.lit(1.0), half_up(years * F.lit(12.0))).cast("int")
+MONTHS = "cast(greatest(1D, floor(horizon_years * 12D + 0.5D)) AS int)"
 
 
-def annuity_due(rate: Column, months: Column) -> Column:
+def annuity_due(months: str, monthly: str = "monthly") -> str:
     """Value after ``months`` of one rupee a month; ``months`` itself at rate 0."""
-    monthly = rate / F.lit(12.0)
-    grown = F.pow(monthly + F.lit(1.0), months)
-    return F.when(monthly == 0, months.cast("double")).otherwise(
-        F.try_divide(grown - F.lit(1.0), monthly) * (monthly + F.lit(1.0))
+    growth = f"({monthly} + 1D)"
+    return (
+        f"CASE WHEN {monthly} = 0D THEN cast({months} AS double) "
+        f"ELSE try_divide(pow({growth}, {months}) - 1D, {monthly}) * {growth} END"
     )
 
 
-def value_at(savings: Column, sip: Column, rate: Column, months: Column) -> Column:
-    grown = F.pow(rate / F.lit(12.0) + F.lit(1.0), months)
-    return savings * grown + sip * annuity_due(rate, months)
-
+def value_at(months: str, monthly: str = "monthly") -> str:
+    """Value of savings and monthly sip after some months."""
+    return f"(savings * pow({monthly} + 1D, {months}) + sip * ({annuity_due(months, monthly)}))"
 
-def inflated(amount: Column, inflation: Column, years: Column) -> Column:
-    return amount * F.pow(inflation + F.lit(1.0), years)
 
+# The value is (savings + a) * g^m - a with a = sip * g / (g - 1), so over the months it only rises or only falls, and
+# the crossing can be solved for. The result is a guess: rounding may put it one month off.
+CROSSING = """
+    CASE WHEN monthly = 0D THEN try_divide(required_corpus - savings, sip)
+      ELSE ln(nullif(greatest(0D, try_divide(required_corpus * monthly + sip * (monthly + 1D),
+                                              savings * monthly + sip * (monthly + 1D))), 0D)) / ln(monthly + 1D) END"""
 
-def deflated(amount: Column, inflation: Column, years: Column) -> Column:
-    return amount / F.pow(inflation + F.lit(1.0), years)
+CROSSING_MONTH = f"cast(ceil(least(greatest({CROSSING}, -1D), months + 2D)) AS int)"
 
 
-def required_sip(corpus: Column, savings: Column, rate: Column, years: Column) -> Column:
-    months = months_of(years)
-    missing = corpus - savings * F.pow(rate / F.lit(12.0) + F.lit(1.0), months)
-    return F.when(missing <= 0, F.lit(0.0)).otherwise(missing / annuity_due(rate, months))
+def _hit(month: str) -> str:
+    return f"WHEN {month} BETWEEN 1 AND months AND {value_at(month)} >= required_corpus THEN {month}"
 
 
-def reached_month(savings: Column, sip: Column, rate: Column, months: Column, goal: Column) -> Column:
-    """First month in 0..months whose value is at least ``goal``; null when there is none.
-
-    The value is ``(savings + a) * g^m - a`` with ``a = sip * g / (g - 1)``, so it only ever rises or only ever
-    falls. The crossing is solved for directly, and its neighbours are tested against the value itself, so no
-    month list is built.
-    """
-    monthly = rate / F.lit(12.0)
-    growth = monthly + F.lit(1.0)
-    level = F.try_divide(sip * growth, monthly)
-    ratio = F.try_divide(goal + level, savings + level)
-    by_log = F.try_divide(F.log(F.when(ratio > 0, ratio)), F.log(growth))
-    by_line = F.try_divide(goal - savings, sip)
-    estimate = F.when(monthly == 0, by_line).otherwise(by_log)
-    guess = F.ceil(F.least(F.greatest(estimate, F.lit(-1.0)), months + F.lit(2.0))).cast("int")
-
-    def hit(month: Column) -> Column:
-        return (month >= 1) & (month <= months) & (value_at(savings, sip, rate, month) >= goal)
-
-    one = F.lit(1)
-    return (
-        F.when(savings >= goal, F.lit(0))
-        .when(hit(guess - one), guess - one)
-        .when(hit(guess), guess)
-        .when(hit(guess + one), guess + one)
-    )
+# The guess and its neighbours are tested against the value itself, so no list of months is built.
+REACHED_MONTH = f"""
+    CASE WHEN savings >= required_corpus THEN 0 {_hit("(crossing_month - 1)")} {_hit("crossing_month")}
+      {_hit("(crossing_month + 1)")} END"""

@@ -57,29 +57,31 @@ def _sign(x: Column) -> Column:
 
 
 def _nearest_tenth(v: Column) -> Column:
-    """Whole tenths nearest to the exact binary value of ``v`` (not of the rounded product ``v * 10``)."""
+    """Whole tenths nearest to the exact binary value of ``v``, as a double.
+
+    The double product ``v * 10`` is off by less than its spacing, so it misleads only when it lands exactly between
+    two whole numbers. There, and only there, the lost part of the product decides.
+    """
     product = v * F.lit(10.0)
+    base = F.floor(product).cast("double")
+    rest = product - base
     spread = v * F.lit(SPLIT)
     high = spread - (spread - v)
-    error = (high * F.lit(10.0) - product) + (v - high) * F.lit(10.0)
-    base = F.floor(product).cast("double")
-    up = ((product - base - F.lit(0.5)) + error) >= 0
-    return (base + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))).cast("bigint")
+    lost = (high * F.lit(10.0) - product) + (v - high) * F.lit(10.0)
+    up = (rest > 0.5) | ((rest == 0.5) & (lost >= 0))
+    return base + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def format_pct(fraction: Column, digits: int = 1) -> Column:
     """Percent text with 0 or 1 decimals, rounded on the exact binary value."""
-    value = fraction * F.lit(100.0)
-    size = F.abs(value)
+    size = F.abs(fraction * F.lit(100.0))
     if digits == 0:
         body = half_up_long(size).cast("string")
     elif digits == 1:
-        tenths = _nearest_tenth(size)
-        whole = F.floor(tenths / F.lit(10)).cast("bigint")
-        body = F.concat(whole.cast("string"), F.lit("."), (tenths - whole * 10).cast("string"))
+        body = (_nearest_tenth(size).cast("decimal(20,0)") * F.lit("0.1").cast("decimal(2,1)")).cast("string")
     else:
         raise ValueError("only 0 or 1 digits are used")
-    text = F.concat(_sign(value), body, F.lit("%"))
+    text = F.concat(_sign(fraction), body, F.lit("%"))
     return F.when(~is_finite(fraction), F.lit(DASH)).otherwise(text)
 
 

@@ -151,10 +151,52 @@ def xnpv(flows: DataFrame, rates: list[float], key: str = "entity_id", order: st
     return per_entity.select(key, F.inline(values))
 
 
+SECANT_STEPS, SECANT_SHIFT, SECANT_TOLERANCE, CHECK_SHIFT = 12, 1e-4, 1e-13, 1e-9
+
+
+def _polish(flows: Column, guess: Column) -> Column:
+    """Secant steps from a close guess; stops once the rate no longer moves."""
+
+    def state(old, old_value, rate, value, done) -> Column:
+        return F.struct(
+            old.alias("old"), old_value.alias("old_value"), rate.alias("rate"), value.alias("value"), done.alias("done")
+        )
+
+    def step(s: Column, _: Column) -> Column:
+        slope = F.try_divide(s["value"] - s["old_value"], s["rate"] - s["old"])
+        target = s["rate"] - F.coalesce(F.try_divide(s["value"], slope), lit(0))
+        moved = let(
+            target,
+            lambda r: F.when(
+                F.abs(r - s["rate"]) < SECANT_TOLERANCE, state(s["old"], s["old_value"], r, s["value"], F.lit(True))
+            ).otherwise(state(s["rate"], s["value"], r, npv(flows, r), F.lit(False))),
+        )
+        return F.when(s["done"], s).otherwise(moved)
+
+    near = guess + lit(SECANT_SHIFT)
+    start = state(near, npv(flows, near), guess, npv(flows, guess), F.lit(False))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SECANT_STEPS)), start, step, lambda s: s["rate"])
+
+
+def solve_near(flows: Column, guess: Column) -> Column:
+    """The root near ``guess``, for flows whose sign changes once and whose root is therefore the only one.
+
+    Taken only when the value really changes sign around it; anything else goes to the full search.
+    """
+
+    def checked(fl: Column, r: Column) -> Column:
+        inside = (r - lit(CHECK_SHIFT) > LOW_RATE) & (r + lit(CHECK_SHIFT) < HIGH_RATE)
+        flips = npv(fl, r - lit(CHECK_SHIFT)) * npv(fl, r + lit(CHECK_SHIFT)) < 0
+        return F.when(is_finite(r) & inside & flips, r).otherwise(solve_rate(fl))
+
+    return let(flows, lambda fl: let(_polish(fl, guess), lambda r: checked(fl, r)))
+
+
 def plan_xirr(plans: DataFrame, start: str) -> DataFrame:
     """Money-weighted return of each plan's own flows, built and solved inside the row: no explode, no shuffle.
 
-    The array holds one entry per month of the plan.
+    The array holds one entry per month of the plan. Were all months equally long, the answer would be the plan's
+    return compounded over twelve months, so that is where the search starts.
     """
     day0 = F.lit(start).cast("date")
     savings, sip, corpus, months = F.col("savings"), F.col("sip"), F.col("projected_corpus"), F.col("months")
@@ -164,7 +206,10 @@ def plan_xirr(plans: DataFrame, start: str) -> DataFrame:
         years = F.datediff(F.add_months(day0, m), day0) / lit(DAYS_PER_YEAR)
         return F.struct(years.alias("t"), amount.alias("amount"))
 
-    pays = ((savings + sip) > 0) | ((sip > 0) & (months > 1)) | (corpus < 0)
-    gains = (corpus > 0) | ((savings + sip) < 0) | ((sip < 0) & (months > 1))
     flows = F.transform(F.sequence(F.lit(0), months), flow)
-    return plans.withColumn("xirr", F.when(pays & gains, solve_rate(flows)).otherwise(lit(0)))
+    guess = F.pow(F.col("blended_return") / lit(12) + lit(1), lit(12)) - lit(1)
+    plain = (savings + sip > 0) & (sip >= 0) & (corpus > 0)
+    pays = (savings + sip > 0) | ((sip > 0) & (months > 1)) | (corpus < 0)
+    gains = (corpus > 0) | (savings + sip < 0) | ((sip < 0) & (months > 1))
+    rate = F.when(plain, solve_near(flows, guess)).when(pays & gains, solve_rate(flows)).otherwise(lit(0))
+    return plans.withColumn("xirr", rate)

@@ -34,34 +34,47 @@ def pro_rated(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"savings": F.col("current_savings") * part, "sip": F.col("monthly_sip") * part})
 
 
+PLAN_STEPS = [
+    {
+        "months": finance.MONTHS,
+        "monthly": "blended_return / 12D",
+        "price_growth": "pow(inflation + 1D, horizon_years)",
+    },
+    {
+        "required_corpus": "target_today * price_growth",
+        "lump_value": "savings * pow(monthly + 1D, months)",
+        "per_rupee": finance.annuity_due("months"),
+        "total_invested": "savings + sip * months",
+    },
+    {
+        "projected_corpus": "lump_value + sip * per_rupee",
+        "crossing_month": finance.CROSSING_MONTH,
+        "required_sip": "CASE WHEN required_corpus - lump_value <= 0D THEN 0D "
+                        "ELSE (required_corpus - lump_value) / per_rupee END",
+    },
+    {
+        "gap": "projected_corpus - required_corpus",
+        "on_track": "projected_corpus - required_corpus >= 0D",
+        "real_corpus": "projected_corpus / price_growth",
+        "goal_reached_month": finance.REACHED_MONTH,
+        "progress": "CASE WHEN required_corpus > 0D THEN try_divide(projected_corpus, required_corpus) ELSE 1D END",
+    },
+]
+
+
+def in_steps(rows: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
+    """Add columns step by step; each step may use the columns of those before it."""
+    for step in steps:
+        rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    return rows
+
+
 def compute_plan(inputs: DataFrame) -> DataFrame:
     """Results of each plan as lazy columns: whatever a query does not select is pruned away.
 
     Needs target_today, horizon_years, savings, sip, inflation, blended_return.
     """
-    years, rate = F.col("horizon_years"), F.col("blended_return")
-    savings, sip, months = F.col("savings"), F.col("sip"), F.col("months")
-    corpus, required = F.col("projected_corpus"), F.col("required_corpus")
-    return (
-        inputs.withColumn("months", finance.months_of(years))
-        .withColumns(
-            {
-                "projected_corpus": finance.value_at(savings, sip, rate, months),
-                "required_corpus": finance.inflated(F.col("target_today"), F.col("inflation"), years),
-                "total_invested": savings + sip * months,
-            }
-        )
-        .withColumns(
-            {
-                "gap": corpus - required,
-                "on_track": (corpus - required) >= 0,
-                "required_sip": finance.required_sip(required, savings, rate, years),
-                "real_corpus": finance.deflated(corpus, F.col("inflation"), years),
-                "goal_reached_month": finance.reached_month(savings, sip, rate, months, required),
-                "progress": F.when(required > 0, F.try_divide(corpus, required)).otherwise(lit(1)),
-            }
-        )
-    )
+    return in_steps(inputs, PLAN_STEPS).drop("price_growth", "lump_value", "per_rupee", "crossing_month")
 
 
 def progress_pct(plans: DataFrame) -> DataFrame:
@@ -71,16 +84,11 @@ def progress_pct(plans: DataFrame) -> DataFrame:
 
 def projection_series(inputs: DataFrame) -> DataFrame:
     """One row per plan and month, 0 to the end. The value is a closed form of the month, so rows are independent."""
-    months = finance.months_of(F.col("horizon_years"))
-    rows = inputs.withColumn("month", F.explode(F.sequence(F.lit(0), months)))
-    month = F.col("month")
-    return rows.withColumns(
-        {
-            "year": month / lit(12),
-            "invested": F.col("savings") + F.col("sip") * month,
-            "value": finance.value_at(F.col("savings"), F.col("sip"), F.col("blended_return"), month),
-        }
+    rows = inputs.withColumns(
+        {"monthly": F.expr("blended_return / 12D"), "month": F.expr(f"explode(sequence(0, {finance.MONTHS}))")}
     )
+    series = {"year": "month / 12D", "invested": "savings + sip * month", "value": finance.value_at("month")}
+    return in_steps(rows, [series]).drop("monthly")
 
 
 def plan_cash_flows(plans: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.finance import inflated, required_sip
+from ..functions import finance
 from ..functions.num import clamp, half_up_long, lit
 
 
@@ -42,9 +42,9 @@ def goal_monthly(rows: DataFrame) -> DataFrame:
 
 def with_need(rows: DataFrame) -> DataFrame:
     """Monthly amount each goal needs when starting from nothing."""
-    years = F.col("horizon_years")
-    corpus = inflated(F.col("target_today"), F.col("inflation"), years)
-    return rows.withColumn("need", required_sip(corpus, lit(0), F.col("blended_return"), years))
+    corpus = "target_today * pow(inflation + 1D, horizon_years)"
+    per_rupee = finance.annuity_due(finance.MONTHS, "(blended_return / 12D)")
+    return rows.withColumn("need", F.expr(f"CASE WHEN {corpus} <= 0D THEN 0D ELSE {corpus} / ({per_rupee}) END"))
 
 
 def tenure_rank(goals: DataFrame) -> DataFrame:
