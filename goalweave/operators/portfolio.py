@@ -30,8 +30,12 @@ def composition(alloc: DataFrame, funds: DataFrame) -> DataFrame:
     return alloc.join(F.broadcast(facts), "fund_id")
 
 
-def basket_metrics(alloc: DataFrame, funds: DataFrame, key: str) -> DataFrame:
-    """Total, blended return and risk, band sums and growth share per basket, in one aggregate."""
+def basket_metrics(alloc: DataFrame, funds: DataFrame, key: str, with_top: bool = False) -> DataFrame:
+    """Total, blended return and risk, band sums and growth share per basket, in one aggregate.
+
+    ``with_top`` adds the heaviest fund and its share to the same pass. It keeps a struct per basket, for which Spark
+    sorts instead of hashing, so it is only added where it is wanted.
+    """
     w = positive(F.col("weight"))
     sums = with_funds(alloc, funds).groupBy(key).agg(
         F.sum(w).alias("total"),
@@ -40,11 +44,14 @@ def basket_metrics(alloc: DataFrame, funds: DataFrame, key: str) -> DataFrame:
         F.sum(w * F.col("equity_part")).alias("equity"),
         F.sum(w * F.col("debt_part")).alias("debt"),
         F.sum(w * F.col("gold_part")).alias("gold"),
+        *([_heaviest(w).alias("best")] if with_top else []),
     )
 
     def per_total(name: str) -> Column:
         return settled(F.coalesce(F.try_divide(F.col(name), F.col("total")), lit(0)))
 
+    top = F.when(F.col("total") > 0, F.col("best.fund_id")) if with_top else None
+    top_weight = F.coalesce(F.try_divide(F.col("best.weight"), F.col("total")), lit(0)) if with_top else None
     return sums.select(
         key,
         "total",
@@ -52,9 +59,15 @@ def basket_metrics(alloc: DataFrame, funds: DataFrame, key: str) -> DataFrame:
         per_total("volatility_sum").alias("blended_volatility"),
         *[settled(F.col(band)).alias(band) for band in ("equity", "debt", "gold")],
         per_total("equity").alias("growth_weight"),
+        *([top.alias("top_fund_id"), top_weight.alias("top_weight")] if with_top else []),
     )
 
 
+def _heaviest(weight: Column) -> Column:
+    """The row of greatest weight, the first inserted on a tie."""
+    return F.max(F.struct(weight.alias("weight"), (-F.col("pos")).alias("back"), "fund_id"))
+
+
 def risk_label(metrics: DataFrame) -> DataFrame:
     vol = F.col("blended_volatility")
     return metrics.withColumn(
@@ -92,13 +105,10 @@ def band_segments(metrics: DataFrame, key: str) -> DataFrame:
 def top_holding(alloc: DataFrame, key: str) -> DataFrame:
     """Heaviest fund per basket, the first inserted on a tie, with its share of the positive total."""
     w = F.col("weight")
-    best = F.max(F.struct(w, (-F.col("pos")).alias("back"), "fund_id"))
-    return (
-        alloc.where(w > 0)
-        .groupBy(key)
-        .agg(best.alias("best"), F.sum(w).alias("total"))
-        .select(key, F.col("best.fund_id").alias("fund_id"), (F.col("best.weight") / F.col("total")).alias("top_weight"))
-        .withColumn("concentrated", F.col("top_weight") > 0.7)
+    best = alloc.where(w > 0).groupBy(key).agg(_heaviest(w).alias("best"), F.sum(w).alias("total"))
+    share = F.col("best.weight") / F.col("total")
+    return best.select(key, F.col("best.fund_id").alias("fund_id"), share.alias("top_weight")).withColumn(
+        "concentrated", F.col("top_weight") > 0.7
     )
 
 
@@ -130,17 +140,19 @@ def _members(alloc: DataFrame, key: str, fund: Column, weight: Column) -> DataFr
     """Normalised basket rows with what a weight edit on ``fund`` needs to know about the rest of the basket."""
     group = W.partitionBy(key)
     other = F.col("fund_id") != F.col("edit_fund")
-    rows = _to_percent(alloc.withColumns({"edit_fund": fund, "edit_weight": weight}), key)
+    # Ranked first: the sort by (key, pos) then serves the sums over the whole basket as well.
+    ranked = alloc.withColumn("place", F.row_number().over(group.orderBy("pos")))
+    rows = _to_percent(ranked.withColumns({"edit_fund": fund, "edit_weight": weight}), key)
     return rows.select(
         key,
         "fund_id",
         "weight",
         "edit_fund",
         "edit_weight",
+        "place",
         F.when(F.col("basket_total") > 0, F.count(F.lit(1)).over(group)).otherwise(F.lit(0)).alias("n"),
         F.sum(other.cast("int")).over(group).alias("n_other"),
         F.sum(F.when(other, F.col("weight")).otherwise(lit(0))).over(group).alias("other_total"),
-        F.row_number().over(group.orderBy("pos")).alias("place"),
     )
 
 

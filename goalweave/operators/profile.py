@@ -9,7 +9,6 @@ from ..functions.num import lit, to_step
 from ..sources import catalog
 
 DOUBLE_FIELDS = ["rent", "emi", "take_home", "existing_savings"]
-TEXT_FIELDS = ["city_tier", "employment", "career_stage", "timeline"]
 
 
 def _city(part: int) -> Column:
@@ -50,12 +49,20 @@ def pivot_answers(answers: DataFrame) -> DataFrame:
     """Long answers to one profile row per user, unanswered sliders filled with their seed.
 
     A conditional aggregate over the listed fields: no distinct pass, and a hot user is combined before the shuffle.
+    A choice is carried as its number among the options, because a buffer of plain numbers is what lets Spark
+    aggregate by hash instead of sorting the whole log.
     """
     value, field = F.col("value"), F.col("field")
-    texts = [F.max(F.when(field == f, value)).alias(f) for f in TEXT_FIELDS]
-    numbers = [F.max(F.when(field == f, value.cast("double"))).alias(f) for f in DOUBLE_FIELDS]
-    wide = answers.groupBy("user_id").agg(*texts, *numbers)
-    return seed_sliders(wide)
+    numbers = {f: F.max(F.when(field == f, value.cast("double"))) for f in DOUBLE_FIELDS}
+    choices = {
+        f: F.max(F.when(field == f, catalog.lookup(value, {o: i for i, o in enumerate(options)}, None)))
+        for f, options in catalog.QUESTION_OPTIONS.items()
+    }
+    wide = answers.groupBy("user_id").agg(*[agg.alias(f) for f, agg in {**numbers, **choices}.items()])
+    named = {
+        f: F.get(F.array(*[F.lit(o) for o in options]), F.col(f)) for f, options in catalog.QUESTION_OPTIONS.items()
+    }
+    return seed_sliders(wide.withColumns(named))
 
 
 def seed_sliders(wide: DataFrame) -> DataFrame:

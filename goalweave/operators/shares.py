@@ -48,13 +48,32 @@ def with_need(rows: DataFrame) -> DataFrame:
 
 
 def tenure_rank(goals: DataFrame) -> DataFrame:
-    return goals.withColumn("priority", F.row_number().over(by_user().orderBy("horizon_years", "ord")))
+    return goals.withColumn("priority", F.row_number().over(by_user().orderBy(F.col("horizon_years").asc_nulls_last(), "ord")))
+
+
+def with_marks(goals: DataFrame, **marks: DataFrame) -> DataFrame:
+    """Left-join values kept per (user_id, goal_id): each table in ``marks`` has a column of its keyword's name.
+
+    All rows are unioned and shuffled once, by user alone. The look-up by (user, goal) and every later window by user
+    then run on that one partitioning, where a join on both columns would shuffle by both and again by user. Rows of
+    ``marks`` without a goal fall away.
+    """
+    rows = goals.withColumn("is_goal", F.lit(True))
+    for name, table in marks.items():
+        rows = rows.unionByName(table.select("user_id", "goal_id", name), allowMissingColumns=True)
+    same_goal = W.partitionBy("user_id", "goal_id")
+    found = {name: F.max(name).over(same_goal) for name in marks}
+    return rows.repartition("user_id").withColumns(found).where("is_goal").drop("is_goal")
 
 
 def goals_by_priority(goals: DataFrame, order: DataFrame) -> DataFrame:
-    """Listed goals by rank, then the rest as declared; listed ids without a goal fall away in the left join."""
-    listed = goals.join(order.select("user_id", "goal_id", "rank"), ["user_id", "goal_id"], "left")
-    return listed.withColumn("priority", F.row_number().over(by_user().orderBy(F.col("rank").asc_nulls_last(), "ord")))
+    """Listed goals by rank, then the rest as declared; listed ids without a goal fall away."""
+    return ranked(with_marks(goals, rank=order))
+
+
+def ranked(goals: DataFrame) -> DataFrame:
+    place = F.row_number().over(by_user().orderBy(F.col("rank").asc_nulls_last(), "ord"))
+    return goals.withColumn("priority", place)
 
 
 def priority_order_valid(order: DataFrame, goals: DataFrame) -> DataFrame:
@@ -117,51 +136,71 @@ def first_picks(picks: DataFrame) -> DataFrame:
     return first.withColumn("place", F.row_number().over(by_user().orderBy("pick_no"))).where(F.col("place") <= MAX_PICKS)
 
 
-def add_goals(goals: DataFrame, new_goals: DataFrame) -> DataFrame:
-    """Goal set after adding one goal per user where it is not there yet; ``is_new`` marks added rows."""
-    fresh = new_goals.join(goals.select("user_id", "goal_id"), ["user_id", "goal_id"], "left_anti")
-    both = goals.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)), True)
-    return both.withColumn("ord", F.when(F.col("is_new"), F.count(F.lit(1)).over(by_user()) - 1).otherwise(F.col("ord")))
+def add_goals(goals: DataFrame, new_goals: DataFrame, order: DataFrame, custom: Column) -> DataFrame:
+    """Goal set after adding one goal per user where it is not there yet; ``is_new`` marks added rows.
 
+    Priority afterwards: a hand-made order (``custom``) gets the new goal last, any other is sorted by tenure again.
+    Goals that a hand-made order does not list stay outside it (null priority).
+    """
+    both = goals.withColumn("is_new", F.lit(False)).unionByName(new_goals.withColumn("is_new", F.lit(True)), True)
+    rows = with_marks(both, rank=order)
+    there = F.min(F.col("is_new")).over(W.partitionBy("user_id", "goal_id"))
+    rows = rows.withColumn("there", there).where(F.col("is_new") == F.col("there")).drop("there")
+    ord_ = F.when(F.col("is_new"), F.count(F.lit(1)).over(by_user()) - 1).otherwise(F.col("ord"))
+    by_hand = F.when(F.col("is_new"), F.coalesce(F.max("rank").over(by_user()), F.lit(0)) + 1).otherwise(F.col("rank"))
+    by_tenure = F.row_number().over(by_user().orderBy(F.col("horizon_years").asc_nulls_last(), "ord"))
+    return (
+        rows.withColumn("ord", ord_).withColumn("priority", F.when(custom, by_hand).otherwise(by_tenure)).drop("rank")
+    )
 
-def remove_goals(goals: DataFrame, removals: DataFrame) -> DataFrame:
-    """Goal set after removals; when the current goal went, the first one left becomes current."""
-    left = goals.join(removals.select("user_id", "goal_id"), ["user_id", "goal_id"], "left_anti")
+
+def remove_goals(goals: DataFrame, removals: DataFrame, order: DataFrame) -> DataFrame:
+    """Goal set and priority after removals; when the current goal went, the first one left becomes current."""
+    marked = with_marks(goals, rank=order, removed=removals.withColumn("removed", F.lit(True)))
+    left = marked.where(F.col("removed").isNull())
     has_current = F.max(F.col("is_current")).over(by_user())
     first = F.col("ord") == F.min("ord").over(by_user())
-    return left.withColumn("is_current", F.when(has_current, F.col("is_current")).otherwise(first))
+    return ranked(left).withColumn("is_current", F.when(has_current, F.col("is_current")).otherwise(first))
 
 
 def stated_order(goals: DataFrame, order: DataFrame) -> DataFrame:
-    """Each user's priority list as stored, or the declared goals for users who have none; positions from 0."""
-    declared = goals.select("user_id", "goal_id", F.col("ord").alias("rank")).join(
-        order.select("user_id").distinct(), "user_id", "left_anti"
+    """Each user's priority list as stored, or the declared goals for users who have none; places from 0.
+
+    ``current_goal`` is the user's current goal. One shuffle, by user.
+    """
+    declared = goals.select(
+        "user_id", "goal_id", F.col("ord").alias("rank"), F.when(F.col("is_current"), F.col("goal_id")).alias("current_goal")
     )
-    listed = order.select("user_id", "goal_id", "rank").unionByName(declared)
-    return listed.withColumn("place", F.row_number().over(by_user().orderBy("rank")) - 1)
+    rows = declared.withColumn("listed", F.lit(False)).unionByName(
+        order.select("user_id", "goal_id", "rank").withColumn("listed", F.lit(True)), allowMissingColumns=True
+    )
+    has_list = F.max("listed").over(by_user())
+    current = F.max("current_goal").over(by_user())
+    rows = rows.withColumns({"has_list": has_list, "current_goal": current}).where("listed = has_list")
+    places = rows.withColumn("place", F.row_number().over(by_user().orderBy("rank")) - 1)
+    return places.select("user_id", "goal_id", "current_goal", "place")
 
 
 def _place_of(goal: Column) -> Column:
     return F.max(F.when(F.col("goal_id") == goal, F.col("place"))).over(by_user())
 
 
-def move_neighbour(places: DataFrame, goal: Column, step: Column) -> DataFrame:
-    """Swap a goal with its neighbour; at either end, or for an unlisted goal, nothing moves."""
-    at, to = _place_of(goal), _place_of(goal) + step
+def move_neighbour(goal: Column, step: Column) -> Column:
+    """Place of each row after a goal swaps with its neighbour; at either end, or for an unlisted goal, nothing moves."""
+    at, to, place = _place_of(goal), _place_of(goal) + step, F.col("place")
     inside = at.isNotNull() & (to >= 0) & (to < F.count(F.lit(1)).over(by_user()))
-    place = F.col("place")
     swapped = F.when(place == at, to).when(place == to, at).otherwise(place)
-    return places.withColumn("place", F.when(inside, swapped).otherwise(place))
+    return F.when(inside, swapped).otherwise(place)
 
 
-def drag_goal(places: DataFrame, dragged: Column, target: Column) -> DataFrame:
-    """Take a goal out and put it back at the place the target had before it was taken out."""
+def drag_goal(dragged: Column, target: Column) -> Column:
+    """Place of each row after a goal is taken out and put back where the target was before it was taken out."""
     at, to, place = _place_of(dragged), _place_of(target), F.col("place")
     closed = place - F.when(place > at, 1).otherwise(0)
     opened = closed + F.when(closed >= to, 1).otherwise(0)
     moved = F.when(place == at, to).otherwise(opened)
     known = at.isNotNull() & to.isNotNull() & (at != to)
-    return places.withColumn("place", F.when(known, moved).otherwise(place))
+    return F.when(known, moved).otherwise(place)
 
 
 def patch_current_goal(goals: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
@@ -182,18 +221,6 @@ def fund_monthly_amounts(rows: DataFrame, presets: DataFrame) -> DataFrame:
     )
 
 
-def goal_order_after_add(both: DataFrame, order: DataFrame, custom: Column) -> DataFrame:
-    """Priority after an addition: a hand-made order gets the new goal last, any other is sorted by tenure again.
-
-    Goals that a hand-made order does not list stay outside it (null priority).
-    """
-    listed = both.join(order.select("user_id", "goal_id", "rank"), ["user_id", "goal_id"], "left")
-    last = F.coalesce(F.max("rank").over(by_user()), F.lit(0)) + 1
-    by_hand = F.when(F.col("is_new"), last).otherwise(F.col("rank"))
-    by_tenure = F.row_number().over(by_user().orderBy("horizon_years", "ord"))
-    return listed.withColumn("priority", F.when(custom, by_hand).otherwise(by_tenure)).drop("rank")
-
-
 def resplit_after_add(rows: DataFrame) -> DataFrame:
     """New split for users whose goal set grew; the others keep their shares."""
     grew = F.max(F.col("is_new")).over(by_user())

@@ -33,7 +33,8 @@ def needs(spark: SparkSession, goals: DataFrame, pools: DataFrame) -> DataFrame:
 
 def _split_and_plan(spark: SparkSession, goals: DataFrame) -> DataFrame:
     ranked = shares.tenure_rank(shares.with_need(with_preset(spark, goals)))
-    split = shares.recommend_shares(ranked).withColumn("fraction", F.col("share") / lit(100))
+    # Served in tenure order, on the columns the rank was made from, so that one sort per user does for both.
+    split = shares.recommend_shares(ranked, "horizon_years").withColumn("fraction", F.col("share") / lit(100))
     return projection.compute_plan(projection.pro_rated(split))
 
 

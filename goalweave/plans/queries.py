@@ -178,10 +178,10 @@ def target_year(spark, sf_dir):
 
 @query
 def clamp_goal_edits(spark, sf_dir):
-    edits = pop.edits(spark, sf_dir)
+    edits = pop.edits(spark, sf_dir, "set_savings", "set_weight")
     target = F.when(F.col("action") == "set_savings", F.col("value") - lit(200000))
     tenure = F.when(F.col("action") == "set_weight", F.col("value") / lit(10))
-    rows = projection.clamp_goal_edits(edits, target, tenure).where("action IN ('set_savings', 'set_weight')")
+    rows = projection.clamp_goal_edits(edits, target, tenure)
     return rows.select(
         "user_id",
         "seq",
@@ -206,7 +206,7 @@ def holdings_validated(spark, sf_dir):
 @query
 def patch_current_goal(spark, sf_dir):
     goals = pop.plan_goals(spark, sf_dir).withColumn("profile", profile.preset_for(F.col("horizon_years")))
-    edits = pop.edits(spark, sf_dir).withColumn("order_key", state.order_key())
+    edits = pop.edits(spark, sf_dir, "set_savings", "set_weight").withColumn("order_key", state.order_key())
     mood = F.col("weight_edit")
     patches = (
         edits.groupBy("user_id")
@@ -355,11 +355,8 @@ def normalized_weights(spark, sf_dir):
 
 @query
 def sip_waterfall(spark, sf_dir):
-    goals = pop.plan_goals(spark, sf_dir).join(
-        pop.goal_order(spark, sf_dir).select("user_id", "goal_id", F.col("rank").alias("priority")),
-        ["user_id", "goal_id"],
-        "left",
-    )
+    order = pop.goal_order(spark, sf_dir).withColumnRenamed("rank", "priority")
+    goals = shares.with_marks(pop.plan_goals(spark, sf_dir), priority=order)
     rows = shares.sip_waterfall(jobs.needs(spark, goals, pop.pools(spark, sf_dir)))
     return rows.select("user_id", "goal_id", rupees(F.col("need")).alias("need"), rupees(F.col("given")).alias("given"))
 
@@ -424,8 +421,7 @@ def goal_set_after_add(spark, sf_dir):
     )
     goals = pop.goal_shares(spark, sf_dir)
     order = pop.goal_order(spark, sf_dir)
-    both = shares.add_goals(goals, new_goals)
-    ranked = shares.goal_order_after_add(both, order, user % 3 == 0)
+    ranked = shares.add_goals(goals, new_goals, order, user % 3 == 0)
     need = jobs.needs(spark, ranked, pop.pools(spark, sf_dir))
     split = shares.resplit_after_add(need)
     return split.select(
@@ -440,8 +436,8 @@ def _current_goal(spark, sf_dir):
 
 @query
 def goal_set_after_remove(spark, sf_dir):
-    left = shares.remove_goals(pop.plan_goals(spark, sf_dir), _current_goal(spark, sf_dir))
-    ordered = shares.goals_by_priority(left, pop.goal_order(spark, sf_dir))
+    goals = pop.plan_goals(spark, sf_dir)
+    ordered = shares.remove_goals(goals, _current_goal(spark, sf_dir), pop.goal_order(spark, sf_dir))
     return ordered.select("user_id", "goal_id", "is_current", "priority")
 
 
@@ -457,14 +453,14 @@ def holdings_after_remove(spark, sf_dir):
 
 @query
 def recommend_shares(spark, sf_dir):
-    rows = shares.recommend_shares(shares.tenure_rank(_needs(spark, sf_dir)))
+    rows = shares.recommend_shares(_needs(spark, sf_dir), "horizon_years")
     return rows.select("user_id", "goal_id", published(F.col("share")).alias("share"))
 
 
 @query
 def set_goal_amount(spark, sf_dir):
-    edits = pop.edits(spark, sf_dir).withColumn("order_key", state.order_key())
-    amounts = edits.groupBy("user_id").agg(state.latest("set_sip").alias("edit_amount")).where("edit_amount IS NOT NULL")
+    edits = pop.edits(spark, sf_dir, "set_sip").withColumn("order_key", state.order_key())
+    amounts = edits.groupBy("user_id").agg(state.latest("set_sip").alias("edit_amount"))
     goals = _shared_pool(spark, sf_dir).join(amounts, "user_id", "left")
     edited = F.max(F.when(F.col("is_current") & F.col("edit_amount").isNotNull(), F.col("goal_id"))).over(shares.by_user())
     rows = shares.set_goal_amount(goals.withColumn("edit_goal", edited))
@@ -525,7 +521,7 @@ def replay_edits(spark, sf_dir):
     users = pop.pools(spark, sf_dir).select("user_id")
     baskets = replay.preset_baskets(users, catalog.presets(spark), _preset_of_user())
     size = len(catalog.PRESETS[PRESET_NAMES[0]])
-    edits = pop.edits(spark, sf_dir).where("action = 'set_weight'").select(
+    edits = pop.edits(spark, sf_dir, "set_weight").select(
         "user_id", "ts", "seq", (F.col("slot") % size).alias("member"), F.lit(size).alias("n_members"),
         F.col("value").alias("weight"),
     )
@@ -541,16 +537,20 @@ def replay_goal_toggles(spark, sf_dir):
 @query
 def reorder_priority(spark, sf_dir):
     places = shares.stated_order(pop.plan_goals(spark, sf_dir), pop.goal_order(spark, sf_dir))
-    current = _current_goal(spark, sf_dir).withColumnRenamed("goal_id", "edit_goal")
-    rows = places.join(current, "user_id")
-    first = F.max(F.when(F.col("place") == 0, F.col("goal_id"))).over(shares.by_user())
-    rows = rows.withColumns({"place_before": F.col("place"), "first_goal": first})
+    rows = places.where("current_goal IS NOT NULL").withColumns(
+        {
+            "place_before": F.col("place"),
+            "first_goal": F.max(F.when(F.col("place") == 0, F.col("goal_id"))).over(shares.by_user()),
+        }
+    )
     step = F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)
-    moved = shares.move_neighbour(rows, F.col("edit_goal"), step)
-    dragged = shares.drag_goal(rows, F.col("first_goal"), F.col("edit_goal"))
-    key = ["user_id", "goal_id"]
-    both = moved.withColumn("op", F.lit("move")).unionByName(dragged.withColumn("op", F.lit("drag")))
-    return both.select(*key, "op", "place_before", "place")
+    both = rows.withColumns(
+        {
+            "move": shares.move_neighbour(F.col("current_goal"), step),
+            "drag": shares.drag_goal(F.col("first_goal"), F.col("current_goal")),
+        }
+    )
+    return both.unpivot(["user_id", "goal_id", "place_before"], ["move", "drag"], "op", "place")
 
 
 @query
@@ -675,16 +675,11 @@ def format_years(spark, sf_dir):
 def _plans_with_baskets(spark, sf_dir):
     """Plans whose money goes into a basket of their own instead of a preset; some baskets do not exist."""
     funds = catalog.funds(spark)
-    baskets = pop.baskets(spark, sf_dir)
-    metrics = portfolio.basket_metrics(baskets, funds, "basket_id")
-    top = portfolio.top_holding(baskets, "basket_id").join(
-        F.broadcast(funds.select("fund_id", F.col("fund_name").alias("top_fund_name"))), "fund_id", "left"
-    )
+    metrics = portfolio.basket_metrics(pop.baskets(spark, sf_dir), funds, "basket_id", with_top=True)
+    names = funds.select(F.col("fund_id").alias("top_fund_id"), F.col("fund_name").alias("top_fund_name"))
     inputs = projection.plan_inputs(pop.goal_shares(spark, sf_dir), pop.pools(spark, sf_dir))
     inputs = inputs.withColumn("basket_id", F.col("user_id") * 3 + F.col("ord"))
-    joined = inputs.join(metrics, "basket_id", "left").join(
-        top.select("basket_id", "top_weight", "top_fund_name"), "basket_id", "left"
-    )
+    joined = inputs.join(metrics, "basket_id", "left").join(F.broadcast(names), "top_fund_id", "left")
     empty = {"total": 0.0, "blended_return": 0.0, "blended_volatility": 0.0, "growth_weight": 0.0, "top_weight": 0.0}
     return projection.compute_plan(joined.fillna(empty))
 

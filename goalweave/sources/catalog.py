@@ -106,6 +106,14 @@ HOLDING_TYPES = [
     ("other", "Other", "Other holding"),
 ]
 
+# Questionnaire: the options of each choice, in order.
+QUESTION_OPTIONS = {
+    "timeline": ["2", "4", "8", "14"],
+    "city_tier": ["metro", "tier1", "tier2", "tier3"],
+    "employment": ["salaried", "self_employed", "freelancer", "student"],
+    "career_stage": ["starting", "growing", "stable"],
+}
+
 # Questionnaire: profile fields that a slider seeds and the seed used when no rule fills it.
 SLIDER_SEED = {"emi": 0.0, "existing_savings": 0.0}
 

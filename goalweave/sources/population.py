@@ -200,8 +200,12 @@ def edits_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits_from_events(read_table(spark, sf_dir, "events"))
+def edits(spark: SparkSession, sf_dir: str, *actions: str) -> DataFrame:
+    """The edit log, or only some actions of it; those are picked by event type, which the Parquet scan can filter."""
+    events = read_table(spark, sf_dir, "events")
+    if actions:
+        events = events.where(F.col("event_type").isin(*[t for t, a in ACTIONS.items() if a in actions]))
+    return edits_from_events(events)
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
