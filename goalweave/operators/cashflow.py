@@ -33,8 +33,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def npv(flows: Column, rate: Column) -> Column:
-    """``flows`` is an array of (t in years, amount)."""
-    return F.aggregate(flows, lit(0), lambda s, f: s + f["amount"] * F.pow(rate + lit(1), -f["t"]))
+    """``flows`` is an array of (t in years, amount). The rate's logarithm is taken once, not once per flow."""
+
+    def total(log_growth: Column) -> Column:
+        return F.aggregate(flows, lit(0), lambda s, f: s + f["amount"] * F.exp(f["t"] * log_growth))
+
+    return let(-F.ln(rate + lit(1)), total)
 
 
 def _bisect(flows: Column, low_value: Column) -> Column:
@@ -151,7 +155,9 @@ def xnpv(flows: DataFrame, rates: list[float], key: str = "entity_id", order: st
     return per_entity.select(key, F.inline(values))
 
 
-SECANT_STEPS, SECANT_SHIFT, SECANT_TOLERANCE, CHECK_SHIFT = 12, 1e-4, 1e-13, 1e-9
+# A secant step shorter than the tolerance leaves an error far below it, as each step multiplies the errors of the
+# last two; the sign change is then looked for this far on either side.
+SECANT_STEPS, SECANT_SHIFT, SECANT_TOLERANCE, CHECK_SHIFT = 12, 1e-4, 1e-9, 1e-9
 
 
 def _polish(flows: Column, guess: Column) -> Column:
@@ -178,7 +184,7 @@ def _polish(flows: Column, guess: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(SECANT_STEPS)), start, step, lambda s: s["rate"])
 
 
-def solve_near(flows: Column, guess: Column) -> Column:
+def solve_near(flows: Column, guess: Column, one_root: Column) -> Column:
     """The root near ``guess``, for flows whose sign changes once and whose root is therefore the only one.
 
     Taken only when the value really changes sign around it; anything else goes to the full search.
@@ -187,9 +193,9 @@ def solve_near(flows: Column, guess: Column) -> Column:
     def checked(fl: Column, r: Column) -> Column:
         inside = (r - lit(CHECK_SHIFT) > LOW_RATE) & (r + lit(CHECK_SHIFT) < HIGH_RATE)
         flips = npv(fl, r - lit(CHECK_SHIFT)) * npv(fl, r + lit(CHECK_SHIFT)) < 0
-        return F.when(is_finite(r) & inside & flips, r).otherwise(solve_rate(fl))
+        return F.when(one_root & is_finite(r) & inside & flips, r).otherwise(solve_rate(fl))
 
-    return let(flows, lambda fl: let(_polish(fl, guess), lambda r: checked(fl, r)))
+    return let(flows, lambda fl: let(F.when(one_root, _polish(fl, guess)), lambda r: checked(fl, r)))
 
 
 def plan_xirr(plans: DataFrame, start: str) -> DataFrame:
@@ -208,8 +214,8 @@ def plan_xirr(plans: DataFrame, start: str) -> DataFrame:
 
     flows = F.transform(F.sequence(F.lit(0), months), flow)
     guess = F.pow(F.col("blended_return") / lit(12) + lit(1), lit(12)) - lit(1)
-    plain = (savings + sip > 0) & (sip >= 0) & (corpus > 0)
+    pays_then_gains = (savings + sip > 0) & (sip >= 0) & (corpus > 0)
     pays = (savings + sip > 0) | ((sip > 0) & (months > 1)) | (corpus < 0)
     gains = (corpus > 0) | (savings + sip < 0) | ((sip < 0) & (months > 1))
-    rate = F.when(plain, solve_near(flows, guess)).when(pays & gains, solve_rate(flows)).otherwise(lit(0))
+    rate = F.when(pays & gains, solve_near(flows, guess, pays_then_gains)).otherwise(lit(0))
     return plans.withColumn("xirr", rate)

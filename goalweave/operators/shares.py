@@ -154,6 +154,24 @@ def add_goals(goals: DataFrame, new_goals: DataFrame, order: DataFrame, custom:
     )
 
 
+def edit_goals(goals: DataFrame, edits: DataFrame, order: DataFrame, custom: Column) -> DataFrame:
+    """Goals after target and tenure edits: ``edits`` has at most one row per goal, null fields keep the old value.
+
+    A new tenure confirms the goal and, unless the order is hand-made, sorts the goals by tenure again. Shares stay.
+    """
+    rows = with_marks(goals, rank=order, new_target=edits, new_tenure=edits)
+    edited = rows.withColumns(
+        {
+            "target_today": F.coalesce("new_target", "target_today"),
+            "horizon_years": F.coalesce("new_tenure", "horizon_years"),
+            "tenure_confirmed": F.col("tenure_confirmed") | F.col("new_tenure").isNotNull(),
+        }
+    )
+    by_tenure = F.row_number().over(by_user().orderBy(F.col("horizon_years").asc_nulls_last(), "ord"))
+    by_hand = F.row_number().over(by_user().orderBy(F.col("rank").asc_nulls_last(), "ord"))
+    return edited.withColumn("priority", F.when(custom, by_hand).otherwise(by_tenure))
+
+
 def remove_goals(goals: DataFrame, removals: DataFrame, order: DataFrame) -> DataFrame:
     """Goal set and priority after removals; when the current goal went, the first one left becomes current."""
     marked = with_marks(goals, rank=order, removed=removals.withColumn("removed", F.lit(True)))

@@ -663,6 +663,21 @@ SQL["goal_set_after_add"] = f"""
     SELECT user_id, goal_id, ord, is_new, goal_id = {ADD} AS is_current, priority, {r6("CASE WHEN grew THEN new_share ELSE share END", "share")}
     FROM ({split("grown_need", "priority")})"""
 
+SQL["goal_set_after_edits"] = f"""
+    WITH last AS (SELECT user_id, {goal_number("slot % 10")} AS goal_id,
+        last(value ORDER BY ts, seq) FILTER (WHERE action = 'set_savings') AS target,
+        last(value ORDER BY ts, seq) FILTER (WHERE action = 'set_weight') AS tenure
+      FROM edits GROUP BY 1, 2),
+    edited AS (SELECT g.user_id, g.goal_id, ord, CASE WHEN target IS NULL THEN target_today ELSE greatest(0, {up("target")}) END AS target_today,
+        CASE WHEN tenure IS NULL THEN horizon_years ELSE greatest(1, {up("tenure / 10")}) END AS horizon_years,
+        tenure_confirmed OR tenure IS NOT NULL AS tenure_confirmed, rank
+      FROM (SELECT g.*, l.target, l.tenure FROM goals g
+        LEFT JOIN last l ON l.user_id = g.user_id AND l.goal_id = g.goal_id) g
+        LEFT JOIN goal_order o ON o.user_id = g.user_id AND o.goal_id = g.goal_id)
+    SELECT user_id, goal_id, target_today, horizon_years, tenure_confirmed, CAST(CASE WHEN user_id % 3 = 0
+        THEN row_number() OVER (PARTITION BY user_id ORDER BY rank NULLS LAST, ord)
+        ELSE row_number() OVER (PARTITION BY user_id ORDER BY horizon_years, ord) END AS INTEGER) AS priority FROM edited"""
+
 SQL["reorder_priority"] = """
     WITH stated AS (SELECT user_id, goal_id, rank FROM goal_order
         UNION ALL SELECT user_id, goal_id, ord FROM goals WHERE user_id NOT IN (SELECT user_id FROM goal_order)),

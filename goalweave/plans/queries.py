@@ -430,6 +430,25 @@ def goal_set_after_add(spark, sf_dir):
     )
 
 
+@query
+def goal_set_after_edits(spark, sf_dir):
+    """The last target and tenure edit of each goal, a log folded to one row per goal before it meets the goals."""
+    log = pop.edits(spark, sf_dir, "set_savings", "set_weight").withColumns(
+        {"order_key": state.order_key(), "goal_no": F.col("slot") % len(GOAL_IDS)}
+    )
+    last = log.groupBy("user_id", "goal_no").agg(
+        state.latest("set_savings").alias("target"), state.latest("set_weight").alias("tenure")
+    )
+    goal_id = F.get(F.array(*[F.lit(g) for g in GOAL_IDS]), F.col("goal_no"))
+    edits = projection.clamp_goal_edits(last, F.col("target"), F.col("tenure") / lit(10)).select(
+        "user_id", goal_id.alias("goal_id"), F.when(F.col("target").isNotNull(), F.col("new_target")).alias("new_target"),
+        F.when(F.col("tenure").isNotNull(), F.col("new_tenure")).alias("new_tenure"),
+    )
+    custom = F.col("user_id") % 3 == 0
+    rows = shares.edit_goals(pop.plan_goals(spark, sf_dir), edits, pop.goal_order(spark, sf_dir), custom)
+    return rows.select("user_id", "goal_id", "target_today", "horizon_years", "tenure_confirmed", "priority")
+
+
 def _current_goal(spark, sf_dir):
     return pop.plan_goals(spark, sf_dir).where("is_current").select("user_id", "goal_id")
 
