@@ -14,40 +14,61 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shares import MAX_PICKS
 
+# The functions below run in Python workers, which need not have this package: they travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ORDER = ["user_id", "ts", "seq"]
 
 
 def _in_order(edits: DataFrame, *columns: str) -> DataFrame:
     """Contiguous, sorted runs of edits; the number of ranges follows spark.sql.shuffle.partitions."""
-    return edits.select(*ORDER, *columns).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    ordered = edits.select(*ORDER, *columns).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    return ordered.select("user_id", *columns)
+
 
+def _runs(batches: Iterator[pd.DataFrame], columns: list[str], start, fold, pack) -> Iterator[pd.DataFrame]:
+    """Fold each user's consecutive rows, across Arrow batches, and emit one packed effect per user.
 
-def _runs(batches: Iterator[pd.DataFrame], columns: list[str], start, step, close) -> Iterator[pd.DataFrame]:
-    """Fold each user's consecutive rows, across Arrow batches, and emit one closed row per user."""
-    user, state, rows = None, None, []
+    Range partitions are numbered in order, so the partition number orders a user's effects. Only the first user of a
+    partition can have earlier rows elsewhere; ``start`` is told which one that is.
+    """
+    part = TaskContext.get().partitionId()
+    user, state, done, first = None, None, [], True
     for batch in batches:
-        for record in zip(*(batch[c].tolist() for c in [*ORDER, *columns])):
-            if record[0] != user:
+        users = batch["user_id"].to_numpy()
+        values = [batch[c].tolist() for c in columns]
+        cuts = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(users)]
+        for a, b in itertools.pairwise(cuts):
+            if a == b:
+                continue
+            if user is None or users[a] != user:
                 if user is not None:
-                    rows.append(close(user, state))
-                user, state = record[0], start(record)
-            state = step(state, record[3:])
-        if len(rows) >= 1000:
-            yield pd.DataFrame(rows)
-            rows = []
+                    done.append((user, part, pack(state)))
+                    first = False
+                user, state = users[a], start(first, [v[a] for v in values])
+            state = fold(state, [v[a:b] for v in values])
+        if done:
+            yield pd.DataFrame(done, columns=["user_id", "part", "effect"])
+            done = []
     if user is not None:
-        rows.append(close(user, state))
-    if rows:
-        yield pd.DataFrame(rows)
+        yield pd.DataFrame([(user, part, pack(state))], columns=["user_id", "part", "effect"])
+
+
+def _chained(runs: DataFrame) -> DataFrame:
+    """Each user's effects in order: at most one per partition, most users having a single one."""
+    return runs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("part", "effect"))).alias("runs"))
 
 
 # ---- goal picks ------------------------------------------------------------------------------------------
@@ -77,24 +98,30 @@ def replay_picks(toggles: DataFrame, goal_ids: list[str]) -> DataFrame:
 
     def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         moves = pick_moves(n_goals)
-        same = np.arange(moves.shape[1], dtype=np.int16)
+        tables = moves.tolist()
+        every = np.arange(moves.shape[1], dtype=np.int16)
 
-        def close(user, state):
-            return {"user_id": user, "ts": state[0], "seq": state[1], "effect": state[2]}
+        def fold(state, values):
+            rows = moves if isinstance(state, np.ndarray) else tables
+            for goal in values[0]:
+                state = rows[goal][state]
+            return state
 
+        # A user with no earlier rows starts with no picks: one outcome to follow instead of all.
         return _runs(
             batches,
             ["goal_no"],
-            lambda record: (record[1], record[2], same),
-            lambda state, goal: (state[0], state[1], moves[goal[0]][state[2]]),
-            close,
+            lambda first, _: every if first else 0,
+            fold,
+            lambda state: state.tolist() if isinstance(state, np.ndarray) else [state],
         )
 
-    runs = _in_order(toggles, "goal_no").mapInPandas(
-        effects, "user_id bigint, ts timestamp_ntz, seq bigint, effect array<smallint>"
+    runs = _in_order(toggles, "goal_no").mapInPandas(effects, "user_id bigint, part int, effect array<smallint>")
+    chained = _chained(runs)
+    start = F.lit(0).cast("smallint")
+    last = F.aggregate(
+        "runs", start, lambda s, run: F.when(F.size(run["effect"]) == 1, run["effect"][0]).otherwise(F.get(run["effect"], s))
     )
-    chained = runs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "effect"))).alias("runs"))
-    last = F.aggregate("runs", F.lit(0).cast("smallint"), lambda s, run: F.get(run["effect"], s))
     # One literal for all 821 lists; the optimizer folds it to a constant.
     states = json.dumps([[goal_ids[g] for g in s] for s in pick_states(n_goals)])
     names = F.from_json(F.lit(states), "array<array<string>>")
@@ -108,12 +135,11 @@ def replay_picks(toggles: DataFrame, goal_ids: list[str]) -> DataFrame:
 RESCALE_EVERY = 16
 
 
-def fix_weight(x: np.ndarray, i: int, w: float) -> np.ndarray:
+def fix_weight(x: list[float], i: int, w: float) -> list[float]:
     """One edit on known percents: member ``i`` at ``w``, the others pro rata, evenly if they weigh nothing."""
-    n = len(x)
-    w = 100.0 if n == 1 else min(100.0, max(0.0, w))
-    others = x.sum() - x[i]
-    out = x / others * (100.0 - w) if others > 0 else np.full(n, (100.0 - w) / max(1, n - 1))
+    others = sum(x[:i]) + sum(x[i + 1 :])
+    rest = 100.0 - w
+    out = [v / others * rest for v in x] if others > 0 else [rest / max(1, len(x) - 1)] * len(x)
     out[i] = w
     return out
 
@@ -121,61 +147,66 @@ def fix_weight(x: np.ndarray, i: int, w: float) -> np.ndarray:
 class WeightEffect:
     """What a run of weight edits does to any starting basket of ``n`` members.
 
-    ``matrix[:, k]`` (times ``exp(log_scale[k])``) is what a unit of member ``k`` turns into. When an edit meets a
-    basket that lies wholly in the edited fund, the pro rata rule has nothing to scale and splits evenly, which is
-    not linear but leaves a known basket: ``fallback[:, k]`` follows that basket for a start wholly in ``k``, and
+    ``images[k]`` (times ``exp(log_scale[k])``) is what a unit of member ``k`` turns into. When an edit meets a basket
+    that lies wholly in the edited fund, the pro rata rule has nothing to scale and splits evenly, which is not linear
+    but leaves a known basket: from then on ``images[k]`` follows that basket for a start wholly in ``k``, and
     ``lost_at[k]`` is the edit at which it came about (-1: never). A start spread over several members falls back
     only when all of them did, at the last of their edits.
+
+    Plain lists: a basket has a handful of members, too few for array calls to pay.
     """
 
     def __init__(self, n: int):
         self.n, self.steps = n, 0
-        self.matrix, self.log_scale = np.eye(n), np.zeros(n)
-        self.fallback, self.lost_at = np.zeros((n, n)), np.full(n, -1)
+        self.images = [[1.0 if j == k else 0.0 for j in range(n)] for k in range(n)]
+        self.log_scale, self.lost_at = [0.0] * n, [-1] * n
 
     def edit(self, i: int, w: float) -> None:
         w = 100.0 if self.n == 1 else min(100.0, max(0.0, w))
-        for k in np.flatnonzero(self.lost_at >= 0):
-            self.fallback[:, k] = fix_weight(self.fallback[:, k], i, w)
-        total = self.matrix.sum(axis=0)
-        others = total - self.matrix[i]
-        others[np.delete(self.matrix, i, axis=0).max(axis=0, initial=0.0) <= 0] = 0.0
-        if w >= 100.0:
-            self.matrix[:] = 0.0
-            self.matrix[i] = total
-        else:
-            for k in np.flatnonzero((others <= 0) & (self.lost_at < 0)):
+        for k, image in enumerate(self.images):
+            if self.lost_at[k] >= 0:
+                self.images[k] = fix_weight(image, i, w)
+                continue
+            others = sum(image[:i]) + sum(image[i + 1 :])
+            if w >= 100.0:
+                total = others + image[i]
+                self.images[k] = [0.0] * self.n
+                self.images[k][i] = total
+            elif others > 0:
+                image[i] = others * (w / (100.0 - w))
+            else:
                 self.lost_at[k] = self.steps
-                self.fallback[:, k] = (100.0 - w) / (self.n - 1)
-                self.fallback[i, k] = w
-                self.matrix[:, k] = 0.0
-            self.matrix[i] = others * (w / (100.0 - w))
+                self.images[k] = fix_weight(image, i, w)
         self.steps += 1
         if self.steps % RESCALE_EVERY == 0:
-            top = self.matrix.max(axis=0)
-            live = top > 0
-            self.matrix[:, live] /= top[live]
-            self.log_scale[live] += np.log(top[live])
+            self._rescale()
+
+    def _rescale(self) -> None:
+        for k, image in enumerate(self.images):
+            if self.lost_at[k] < 0:
+                top = max(image)
+                self.images[k] = [v / top for v in image]
+                self.log_scale[k] += math.log(top)
 
     def packed(self) -> list[float]:
-        parts = [self.matrix.ravel(), self.log_scale, self.fallback.ravel(), self.lost_at.astype(float)]
-        return np.concatenate(parts).tolist()
+        return [*itertools.chain.from_iterable(self.images), *self.log_scale, *map(float, self.lost_at)]
 
 
-def apply_effect(x: np.ndarray, packed: np.ndarray) -> np.ndarray:
+def apply_effect(x: list[float], packed: list[float]) -> list[float]:
     """Percents after a run of edits that started from ``x``."""
     n = len(x)
-    cuts = np.cumsum([n * n, n, n * n])
-    matrix, log_scale, fallback, lost_at = np.split(np.asarray(packed, dtype=float), cuts)
-    held = np.flatnonzero(x > 0)
-    if len(held) == 0:
-        held, x = np.arange(n), np.ones(n)
-    live = held[lost_at[held] < 0]
-    if len(live) == 0:
-        return fallback.reshape(n, n)[:, held[np.argmax(lost_at[held])]]
-    scale = np.exp(log_scale[live] - log_scale[live].max())
-    y = matrix.reshape(n, n)[:, live] @ (x[live] * scale)
-    return y / y.sum() * 100.0
+    images = [packed[k * n : (k + 1) * n] for k in range(n)]
+    log_scale, lost_at = packed[n * n : n * n + n], packed[n * n + n :]
+    held = [k for k in range(n) if x[k] > 0]
+    if not held:
+        held, x = list(range(n)), [1.0] * n
+    live = [k for k in held if lost_at[k] < 0]
+    if not live:
+        return images[max(held, key=lambda k: lost_at[k])]
+    top = max(log_scale[k] for k in live)
+    y = [sum(x[k] * math.exp(log_scale[k] - top) * images[k][j] for k in live) for j in range(n)]
+    total = sum(y)
+    return [v / total * 100.0 for v in y]
 
 
 def replay_weights(edits: DataFrame, baskets: DataFrame) -> DataFrame:
@@ -186,32 +217,30 @@ def replay_weights(edits: DataFrame, baskets: DataFrame) -> DataFrame:
     """
 
     def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def step(state, values):
-            state[2].edit(int(values[0]), float(values[2]))
+        def fold(state, values):
+            for member, weight in zip(values[0], values[2]):
+                state.edit(member, weight)
             return state
 
-        def close(user, state):
-            return {"user_id": user, "ts": state[0], "seq": state[1], "effect": state[2].packed()}
-
-        def start(record):
-            return (record[1], record[2], WeightEffect(int(record[4])))
+        def start(_, record):
+            return WeightEffect(record[1])
 
-        return _runs(batches, ["member", "n_members", "weight"], start, step, close)
+        return _runs(batches, ["member", "n_members", "weight"], start, fold, lambda state: state.packed())
 
     @F.pandas_udf("array<double>")
     def applied(weights: pd.Series, runs: pd.Series) -> pd.Series:
         def one(x, chain):
-            x = np.asarray(x, dtype=float)
+            x = list(x)
             for run in [] if chain is None else chain:
-                x = apply_effect(x, run)
+                x = apply_effect(x, list(run))
             return x
 
         return pd.Series([one(x, chain) for x, chain in zip(weights, runs)])
 
     runs = _in_order(edits, "member", "n_members", "weight").mapInPandas(
-        effects, "user_id bigint, ts timestamp_ntz, seq bigint, effect array<double>"
+        effects, "user_id bigint, part int, effect array<double>"
     )
-    chained = runs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "effect"))).alias("runs"))
+    chained = _chained(runs)
     final = applied(F.col("weights"), F.col("runs.effect"))
     done = baskets.join(chained, "user_id", "left").withColumn("final", final)
     return done.select("user_id", F.inline(F.arrays_zip("fund_ids", F.col("final").alias("weight")))).withColumnRenamed(

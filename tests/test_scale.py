@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import random
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +203,19 @@ def test_long_conversation_stays_in_rows(spark):
     opener = messages.where("conv_id = 1 AND turn < 0").first()
     assert opener.role == "system" and opener.content.endswith('Plan: {"goal":"x"}')
     assert "collect_list" not in plan_of(messages)
+
+
+def test_worker_code_needs_no_package(spark, sf_dir, tmp_path):
+    """What is sent to Python workers must load where this package is not installed."""
+    from pyspark import cloudpickle
+
+    from goalweave.operators import replay
+
+    path = tmp_path / "code.pkl"
+    path.write_bytes(cloudpickle.dumps((replay.WeightEffect, replay.apply_effect, replay._runs, replay.pick_moves)))
+    code = (
+        "import pickle, sys; E, apply, runs, moves = pickle.load(open(sys.argv[1], 'rb')); e = E(2); e.edit(0, 25.0); "
+        "assert [round(v, 9) for v in apply([50.0, 50.0], e.packed())] == [25.0, 75.0]; "
+        "assert moves(10).shape == (10, 821); assert 'goalweave' not in sys.modules"
+    )
+    subprocess.run([sys.executable, "-c", code, str(path)], cwd="/", check=True)

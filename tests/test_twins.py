@@ -191,14 +191,14 @@ def test_weight_effects_compose(seed):
         start = [v / scale * 100 for v in start]
         edits = [(rng.randrange(n), rng.choice([0.0, 0.0, 100.0, 130.0, -5.0, rng.uniform(0, 100), 35.0])) for _ in range(rng.randint(1, 40))]
         cuts = sorted(rng.sample(range(len(edits) + 1), min(len(edits), 3)))
-        x = replay.np.array(start)
+        x = list(start)
         for a, b in itertools.pairwise([0, *cuts, len(edits)]):
             if a == b:
                 continue
             effect = replay.WeightEffect(n)
             for i, w in edits[a:b]:
                 effect.edit(i, w)
-            x = replay.apply_effect(x, replay.np.array(effect.packed()))
+            x = replay.apply_effect(x, effect.packed())
         assert list(x) == pytest.approx(plain_weight_replay(start, edits), abs=1e-7), (start, edits, cuts)
 
 
