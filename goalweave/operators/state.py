@@ -15,13 +15,15 @@ FIELDS = {
 }
 
 
+# Microseconds of a zone-less timestamp from its own fields: nothing here depends on the session's time zone.
+MICROS = """
+    cast(unix_date(cast(ts AS date)) AS bigint) * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L
+      + cast(extract(SECOND FROM ts) * 1000000 AS bigint)"""
+
+
 def order_key() -> Column:
     """(ts, seq) as one number, so that the latest edit can be kept in a fixed-width hash aggregation buffer."""
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    micros = F.timestamp_diff("MICROSECOND", start, F.col("ts"))
-    return (micros.cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col("seq")).cast(
-        "decimal(38,0)"
-    )
+    return F.expr(f"cast(cast({MICROS} AS decimal(18,0)) * 10000000000000000000 + seq AS decimal(38,0))")
 
 
 def latest(action: str) -> Column:

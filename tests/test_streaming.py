@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,12 +33,18 @@ def feed(spark, folders, source, k):
     spark.read.parquet(str(folders / f"part{k}")).coalesce(1).write.mode("append").parquet(source)
 
 
+@pytest.fixture
+def run_id():
+    """Checkpoints may outlive a test run where the session names their folder."""
+    return uuid.uuid4().hex
+
+
 def run(query):
     query.awaitTermination(120)
     assert query.exception() is None
 
 
-def test_pool_state_and_holdings(spark, sf_dir, folders, tmp_path):
+def test_pool_state_and_holdings(spark, sf_dir, folders, tmp_path, run_id):
     source, state_out, held_out = str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "held")
     for k in (2, 0):
         feed(spark, folders, source, k)
@@ -44,8 +52,8 @@ def test_pool_state_and_holdings(spark, sf_dir, folders, tmp_path):
         for k in wave:
             feed(spark, folders, source, k)
         # The second round restarts both queries from their checkpoints.
-        run(live.start(live.pool_states(live.edit_stream(spark, source, 1)), state_out, f"pool-{tmp_path.name}"))
-        run(live.start(live.holdings_totals(live.edit_stream(spark, source, 1)), held_out, f"held-{tmp_path.name}"))
+        run(live.start(live.pool_states(live.edit_stream(spark, source, 1)), state_out, f"pool-{run_id}"))
+        run(live.start(live.holdings_totals(live.edit_stream(spark, source, 1)), held_out, f"held-{run_id}"))
     edits = pop.edits(spark, sf_dir)
     columns = ["user_id", "monthly_sip", "current_savings", "inflation"]
     streamed = live.latest(spark, state_out, "user_id")
@@ -57,12 +65,12 @@ def test_pool_state_and_holdings(spark, sf_dir, folders, tmp_path):
     assert held == pytest.approx(expected)
 
 
-def test_live_plans(spark, sf_dir, folders, tmp_path):
+def test_live_plans(spark, sf_dir, folders, tmp_path, run_id):
     source, out = str(tmp_path / "in"), str(tmp_path / "plans")
     for k in (3, 1, 0, 2):
         feed(spark, folders, source, k)
     goals = pop.goal_shares(spark, sf_dir)
-    run(live.start_plans(live.edit_stream(spark, source, 1), goals, out, f"plans-{tmp_path.name}"))
+    run(live.start_plans(live.edit_stream(spark, source, 1), goals, out, f"plans-{run_id}"))
     columns = ["user_id", "goal_id", "months", "projected_corpus", "required_sip", "goal_reached_month", "on_track"]
     batch = jobs.goal_plans(spark, goals, state.latest_pool_state(pop.edits(spark, sf_dir)))
     streamed = rows_of(live.latest(spark, out, "user_id", "goal_id").fillna(-1, "goal_reached_month"), *columns)
@@ -77,3 +85,19 @@ def test_ties_in_time_are_broken_by_sequence(spark):
     )
     got = {r.user_id: tuple(r)[1:] for r in state.latest_pool_state(edits).collect()}
     assert got == {1: (7.0, 0.0, 0.06), 2: (25000.0, 0.0, 0.1)}
+
+
+def test_order_ignores_the_session_time_zone(spark):
+    """02:45 does not exist in New York on this day; as a zone-less time it still comes before 03:10."""
+    rows = [(1, "2024-03-10 02:45:00.5", 1, "set_sip", 5.0), (1, "2024-03-10 03:10:00.25", 2, "set_sip", 7.0)]
+    edits = spark.createDataFrame(rows, "user_id BIGINT, ts STRING, seq BIGINT, action STRING, value DOUBLE").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz")
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert state.latest_pool_state(edits).first().monthly_sip == 7.0
+        keys = [str(r.k) for r in edits.select(state.order_key().alias("k")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert int(keys[1]) - int(keys[0]) == 1_499_750_000 * 10**19 + 1
