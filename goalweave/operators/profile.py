@@ -53,7 +53,7 @@ def pivot_answers(answers: DataFrame) -> DataFrame:
     aggregate by hash instead of sorting the whole log.
     """
     value, field = F.col("value"), F.col("field")
-    numbers = {f: F.max(F.when(field == f, value.cast("double"))) for f in DOUBLE_FIELDS}
+    numbers = {f: F.max(F.when(field == f, value.try_cast("double"))) for f in DOUBLE_FIELDS}
     choices = {
         f: F.max(F.when(field == f, catalog.lookup(value, {o: i for i, o in enumerate(options)}, None)))
         for f, options in catalog.QUESTION_OPTIONS.items()
@@ -89,7 +89,7 @@ def build_plan_goals(
     ``selected`` holds (user_id, sel_pos, goal_id) with positions from 0. One left join covers the default, so
     nothing is unioned or scanned twice. ``keep`` names profile columns to carry along.
     """
-    years = F.col("timeline").cast("double").alias("timeline_years")
+    years = F.col("timeline").try_cast("double").alias("timeline_years")
     picked = (
         profiles.select("user_id", "city_tier", years, *keep)
         .join(selected, "user_id", "left")

@@ -52,7 +52,8 @@ def tenure_rank(goals: DataFrame) -> DataFrame:
 
 
 def with_marks(goals: DataFrame, **marks: DataFrame) -> DataFrame:
-    """Left-join values kept per (user_id, goal_id): each table in ``marks`` has a column of its keyword's name.
+    """Left-join values kept per (user_id, goal_id): each table in ``marks`` has a column of its keyword's name and,
+    like the goals, one row per (user_id, goal_id); logs are folded to that before they come here.
 
     All rows are unioned and shuffled once, by user alone. The look-up by (user, goal) and every later window by user
     then run on that one partitioning, where a join on both columns would shuffle by both and again by user. Rows of

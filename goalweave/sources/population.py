@@ -196,7 +196,7 @@ def edits_from_events(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("seq"),
         action.alias("action"),
         scaled.alias("value"),
-        F.get_json_object("props", "$.k").cast("int").alias("slot"),
+        F.get_json_object("props", "$.k").try_cast("int").alias("slot"),
     )
 
 
