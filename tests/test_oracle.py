@@ -7,8 +7,10 @@ from oracle_check import connect, differences
 
 import __spark_entry__ as contract
 from conftest import SF_DIR
+from goalweave.plans.oracle import oracle_sql
+from goalweave.plans.queries import QUERIES
 
-SQLS = contract.oracle_sql()
+SQLS = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +20,7 @@ def duck():
     con.close()
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     assert differences(contract.queries()[name](spark, SF_DIR), duck, SQLS[name]) == []
 
@@ -29,4 +31,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(SQLS)
+    assert set(QUERIES) == set(SQLS)
