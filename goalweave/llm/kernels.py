@@ -38,3 +38,11 @@ def signed(x: np.ndarray) -> np.ndarray:
 def as_bytes(text: str | None) -> bytes:
     """UTF-8; a lone surrogate cannot occur in Spark's strings."""
     return b"" if text is None else text.encode()
+
+
+def kept(name: str, make):
+    """What ``make`` gives, made once per Python worker and kept for its later tasks."""
+    shelf = sys.__dict__.setdefault("_goalweave_kept", {})
+    if name not in shelf:
+        shelf[name] = make()
+    return shelf[name]

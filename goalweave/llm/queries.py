@@ -4,19 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op8_minhash
+from . import op2_substrings, op4_fingerprints, op5_token_files, op8_minhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_substrings.without_repeats(documents(spark, sf_dir), window=50)
+
+
+def _op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+def _op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = op5_token_files.written_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return op5_token_files.read_checksums(files)
+
+
 def _op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_minhash.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_substrings": _op2_substrings,
+    "op4_fingerprints": _op4_fingerprints,
+    "op5_token_files": _op5_token_files,
     "op8_minhash": _op8_minhash,
 }
 
@@ -24,6 +41,28 @@ WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op2_substrings": f"""
+WITH words AS (
+  SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+49], ' ') AS k FROM starts
+), firsts AS (
+  SELECT k, min(doc_id) AS first_id FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos
+  FROM windows JOIN firsts USING (k) WHERE doc_id > first_id
+), places AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM words
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n
+  FROM places ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+""",
     "op8_minhash": f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents
