@@ -11,8 +11,9 @@ counted on the full sets.
    those that share one, in narrower bands of 8 and 16 minima, where close copies meet. Links are verified on full sets.
 4. Components come from alternating large-star and small-star.
 5. The rest is done exactly: in buckets that still hold several components, every member outside the bucket's largest
-   component meets all the others; the signatures' estimate is checked inside the join (a pair at 0.8 falls below the
-   mark of 0.62 with probability under 1e-6), so only likely pairs become rows, which are then verified on full sets.
+   component meets all the others. Step 3 has left each member's difference from the bucket's smallest id, mostly a few
+   shingles; two such differences give the distance of the two sets, so the join's own condition is the exact one and
+   only links become rows (they are verified on full sets once more, as differences are kept as 31-bit hashes).
 
 Nulls: a null text is an empty set; empty sets link with nothing. A null doc_id links with nothing and keeps a null
 component. Repeated rows of one doc_id are one node and return one row each. Other columns are ignored.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, kernels
@@ -38,7 +39,6 @@ ROWS = 4
 #: (first minimum, number of minima) of each band.
 BANDS = [(i, ROWS) for i in range(0, HASHES, ROWS)]
 NARROW_BANDS = [(i, 8) for i in range(0, HASHES, 8)] + [(i, 16) for i in range(0, HASHES, 16)]
-ESTIMATE_MARK = 0.62
 CHUNK = 2048
 
 
@@ -115,17 +115,31 @@ def _band_keys(reps: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Band keys with more than one member, and the smallest member."""
-    found = keys.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last"))
+    """Band keys with more than one member, the smallest member and the number of members."""
+    found = keys.groupBy("band", "key").agg(
+        F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("size")
+    )
     return found.where("pivot < _last").drop("_last")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("u"), F.col("items").alias("a"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    union = F.size("a") + F.size("b") - both
-    return pairs.join(left, "u").join(right, "v").where(both * 100 >= union * percent).select("u", "v")
+    return pairs.join(left, "u").join(right, "v")
+
+
+def _near_enough(total: Column, apart: Column, percent: int) -> Column:
+    """100 * intersection >= percent * union, by the sum of both sizes and the size of the symmetric difference."""
+    return total * (100 - percent) >= apart * (100 + percent)
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each pair with ``linked``, the size of u's set and, as 31-bit hashes, the symmetric difference of the two sets."""
+    difference = F.concat(F.array_except("a", "b"), F.array_except("b", "a"))
+    linked = _near_enough(F.size("a") + F.size("b"), F.size("difference"), percent)
+    found = _with_sets(pairs, sets).select("u", "v", "a", "b", difference.alias("difference"))
+    short = F.transform("difference", lambda x: (x % 2147483647).cast("int"))
+    return found.select("u", "v", linked.alias("linked"), F.size("a").alias("n"), short.alias("difference"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -144,8 +158,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     keys = scratch.write(_band_keys(reps, BANDS), "keys")
     members = scratch.write(keys.join(_shared(keys), ["band", "key"]), "members")
-    near = members.select("doc_id").distinct()
-    candidates = scratch.write(near, "candidates")
+    candidates = scratch.write(members.select("doc_id").distinct(), "candidates")
     scratch.drop(keys)
     narrow = _band_keys(reps.join(candidates, "doc_id", "left_semi"), NARROW_BANDS)
     narrow = narrow.join(_shared(narrow), ["band", "key"])
@@ -153,9 +166,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = stars.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
     sets = scratch.write(shingle_sets(docs.join(candidates, "doc_id", "left_semi"), width), "sets")
 
-    links = scratch.write(_verified(stars, sets, percent), "links")
-    linked = common.components(scratch, links)
-    rest = scratch.write(_verified(_rest(members, linked, reps), sets, percent).distinct(), "rest")
+    checked = scratch.write(_checked(stars, sets, percent), "checked")
+    linked = common.components(scratch, checked.where("linked").select("u", "v"))
+    likely = scratch.write(_rest(members, linked, checked, percent), "likely")
+    rest = scratch.write(_checked(likely, sets, percent).where("linked").select("u", "v"), "rest")
     if not rest.isEmpty():
         roots = linked.select(F.col("node").alias("u"), F.col("component").alias("v"))
         linked = common.components(scratch, roots.unionAll(rest))
@@ -167,23 +181,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _rest(members: DataFrame, linked: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs of different components that share a bucket, as (u, v)."""
-    placed = members.select("band", "key", "doc_id").join(linked, members["doc_id"] == linked["node"], "left")
-    placed = placed.select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+def _rest(members: DataFrame, linked: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a bucket, as distinct (u, v); all members met the bucket's pivot before."""
+    others = members.where("size > 2 and doc_id <> pivot").drop("size")
+    placed = others.join(linked, others["doc_id"] == linked["node"], "left")
+    placed = placed.select("band", "key", "pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    # The size and, for ties, the smaller component; a struct of numbers fits a hash aggregate's buffer.
     buckets = sizes.groupBy("band", "key").agg(F.max("n").alias("_most"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
     largest = sizes.join(buckets, ["band", "key"]).where("n = _most").groupBy("band", "key").agg(F.min("component").alias("main"))
-    mixed = placed.join(largest, ["band", "key"]).join(reps, "doc_id")
-    b = mixed.select("band", "key", F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("signature").alias("sv"))
-    a = mixed.where("component <> main").select(
-        "band", "key", F.col("doc_id").alias("u"), F.col("component").alias("cu"), "main", F.col("signature").alias("su")
+    apart = checked.select(F.col("u").alias("doc_id"), F.col("v").alias("pivot"), "n", "difference")
+    open_ = placed.join(largest, ["band", "key"]).join(apart, ["doc_id", "pivot"])
+    side = ["band", "key", "main"]
+    a, b = (
+        open_.select(
+            *(side if x == "u" else side[:2]),
+            *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "n", "difference")],
+        )
+        for x in ("u", "v")
     )
-    equal = F.size(F.filter(F.zip_with("su", "sv", lambda x, y: x == y), lambda same: same))
-    once = (F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))
-    likely = equal >= int(ESTIMATE_MARK * HASHES)
-    return a.join(b, ["band", "key"]).where((F.col("cu") != F.col("cv")) & once & likely).select("u", "v").distinct()
+    a = a.where("u_component <> main")
+    once = (F.col("v_component") == F.col("main")) | (F.col("u_doc_id") < F.col("v_doc_id"))
+    total, many, more = F.col("u_n") + F.col("v_n"), F.size("u_difference"), F.size("v_difference")
+    possible = _near_enough(total, F.abs(many - more), percent)
+    # Hashes that clash can only hide a shingle or two here; the full sets decide.
+    distance = many + more - 2 * F.size(F.array_intersect("u_difference", "v_difference"))
+    near = F.when((F.col("u_component") != F.col("v_component")) & once & possible, _near_enough(total, distance - 4, percent))
+    return a.join(b, ["band", "key"]).where(near).select(F.col("u_doc_id").alias("u"), F.col("v_doc_id").alias("v")).distinct()
 
 
 def kept_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
