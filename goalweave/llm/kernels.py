@@ -46,3 +46,35 @@ def kept(name: str, make):
     if name not in shelf:
         shelf[name] = make()
     return shelf[name]
+
+
+class WordTable:
+    """Ids of words in one flat array, looked up for many words at once."""
+
+    def __init__(self):
+        self.code: dict = {}
+        self.store = np.empty(0, np.int64)
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.code)
+
+    def unknown(self, words: list) -> list:
+        return [w for w in dict.fromkeys(words) if w not in self.code]
+
+    def add(self, words: list, ids: list[np.ndarray]) -> None:
+        length = np.array([len(x) for x in ids], np.int64)
+        start = len(self.store) + np.cumsum(length) - length
+        self.code.update(zip(words, range(len(self.start), len(self.start) + len(words))))
+        self.store = np.concatenate([self.store, *ids])
+        self.start, self.length = np.append(self.start, start), np.append(self.length, length)
+
+    def joined(self, words: list, counts: list[int]):
+        """Yield the ids of the first counts[0] words, then of the next counts[1], and so on."""
+        code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        length = self.length[code]
+        ends = np.cumsum(length)
+        ids = self.store[np.repeat(self.start[code] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield ids[a:b]

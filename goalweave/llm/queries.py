@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_substrings, op4_fingerprints, op5_token_files, op8_minhash
+from . import op2_substrings, op3_pieces, op4_fingerprints, op5_token_files, op8_minhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def _op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_substrings.without_repeats(documents(spark, sf_dir), window=50)
 
 
+def _op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_pieces.checksums(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
@@ -32,6 +36,7 @@ def _op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_substrings": _op2_substrings,
+    "op3_pieces": _op3_pieces,
     "op4_fingerprints": _op4_fingerprints,
     "op5_token_files": _op5_token_files,
     "op8_minhash": _op8_minhash,
