@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_substrings, op3_pieces, op4_fingerprints, op5_token_files, op8_minhash
+from . import op1_mixing, op2_substrings, op3_pieces, op4_fingerprints, op5_token_files, op8_minhash, op10_quality
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_mixing.mixed(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, cap=2)
+
+
 def _op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_substrings.without_repeats(documents(spark, sf_dir), window=50)
 
@@ -34,12 +38,18 @@ def _op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_minhash.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
+def _op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quality.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_mixing": _op1_mixing,
     "op2_substrings": _op2_substrings,
     "op3_pieces": _op3_pieces,
     "op4_fingerprints": _op4_fingerprints,
     "op5_token_files": _op5_token_files,
     "op8_minhash": _op8_minhash,
+    "op10_quality": _op10_quality,
 }
 
 WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
