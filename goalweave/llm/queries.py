@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_mixing, op2_substrings, op3_pieces, op4_fingerprints, op5_token_files, op8_minhash, op10_quality
+from . import op1_mixing, op2_substrings, op3_pieces, op4_fingerprints, op5_token_files, op6_sharding, op8_minhash, op9_covertree, op10_quality
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +34,18 @@ def _op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_token_files.read_checksums(files)
 
 
+def _op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_sharding.balanced(documents(spark, sf_dir), shards=40)
+
+
 def _op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_minhash.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
+def _op9_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_covertree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
+
+
 def _op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -48,7 +56,9 @@ QUERIES: dict[str, Query] = {
     "op3_pieces": _op3_pieces,
     "op4_fingerprints": _op4_fingerprints,
     "op5_token_files": _op5_token_files,
+    "op6_sharding": _op6_sharding,
     "op8_minhash": _op8_minhash,
+    "op9_covertree": _op9_covertree,
     "op10_quality": _op10_quality,
 }
 
@@ -56,6 +66,23 @@ WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op9_covertree": """
+WITH RECURSIVE links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.93
+), reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings
+  UNION
+  SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v
+), roots AS (
+  SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u
+), counts AS (
+  SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM roots LEFT JOIN counts USING (vec_id)
+""",
     "op2_substrings": f"""
 WITH words AS (
   SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents
