@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op1_mixing, op2_substrings, op3_pieces, op4_fingerprints, op5_token_files, op6_sharding, op8_minhash, op9_covertree, op10_quality
+from . import op1_mixing, op2_substrings, op3_pieces, op4_fingerprints, op5_token_files, op6_sharding, op7_lines, op8_minhash, op9_covertree, op10_quality
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,11 @@ def _op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_sharding.balanced(documents(spark, sf_dir), shards=40)
 
 
+def _op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op7_lines.repeated_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
+
+
 def _op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_minhash.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op4_fingerprints": _op4_fingerprints,
     "op5_token_files": _op5_token_files,
     "op6_sharding": _op6_sharding,
+    "op7_lines": _op7_lines,
     "op8_minhash": _op8_minhash,
     "op9_covertree": _op9_covertree,
     "op10_quality": _op10_quality,
