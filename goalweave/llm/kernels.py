@@ -62,19 +62,30 @@ class WordTable:
     def unknown(self, words: list) -> list:
         return [w for w in dict.fromkeys(words) if w not in self.code]
 
-    def add(self, words: list, ids: list[np.ndarray]) -> None:
-        length = np.array([len(x) for x in ids], np.int64)
+    def add(self, words: list, ids: np.ndarray, length: np.ndarray) -> None:
+        """Words with all their ids in one array, and how many each has."""
         start = len(self.store) + np.cumsum(length) - length
         self.code.update(zip(words, range(len(self.start), len(self.start) + len(words))))
-        self.store = np.concatenate([self.store, *ids])
+        self.store = np.concatenate([self.store, ids])
         self.start, self.length = np.append(self.start, start), np.append(self.length, length)
 
-    def joined(self, words: list, counts: list[int]):
-        """Yield the ids of the first counts[0] words, then of the next counts[1], and so on."""
+    def only(self, words: list) -> "WordTable":
+        """A table of these words alone."""
         code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        fresh = WordTable()
+        fresh.add(words, self.of(code), self.length[code])
+        return fresh
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        """The ids of the words with these codes, one word after another."""
         length = self.length[code]
         ends = np.cumsum(length)
-        ids = self.store[np.repeat(self.start[code] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        return self.store[np.repeat(self.start[code] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def joined(self, words: list, counts: list[int]):
+        """Yield the ids of the first counts[0] words, then of the next counts[1], and so on."""
+        code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        ids = self.of(code)
+        cuts = np.concatenate([[0], np.cumsum(self.length[code])])[np.cumsum([0, *counts])]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             yield ids[a:b]

@@ -282,7 +282,8 @@ class PieceCoder:
             cut = [split(" " + t.replace(SPACE, " ")) if t else [] for t in some]
             flat = [w for words in cut for w in words]
             if new := self.words.unknown(flat):
-                self.words.add(new, encode_segments(self.pieces, [w.replace(" ", SPACE) for w in new]))
+                ids = encode_segments(self.pieces, [w.replace(" ", SPACE) for w in new])
+                self.words.add(new, np.concatenate(ids), np.array([len(x) for x in ids]))
             yield from self.words.joined(flat, [len(words) for words in cut])
 
     def decode(self, ids: np.ndarray) -> str:

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext, cloudpickle
@@ -44,15 +45,14 @@ HEAD, TAIL = "<8sI32s", "<QQ8s"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("ids", "<u4")])
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 32768
 LEVEL = 3
-#: Words a worker remembers before it starts anew, and bytes of text that are split into words at once.
-CACHE_WORDS, SLICE_BYTES = 500_000, 4_000_000
+#: Words a worker remembers before it forgets all but those in use, and bytes of text that are split into words at once.
+CACHE_WORDS, SLICE_BYTES = 400_000, 8_000_000
 #: Punctuation that may be cut off the end of a word: a new token starts there in any case.
-ENDINGS = b'.,!%&$#*|;:?"()'
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+ENDINGS = '.,!%&$#*|;:?"()'
 
 
 class WordEncoder:
-    """Ids of texts by way of their distinct words."""
+    """Ids of texts by way of their distinct words. What is remembered are words without the punctuation behind them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,92 +61,68 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.separator, self.separator_id = max(added.items(), key=lambda x: x[1])
-        self.special = os.path.commonprefix([t.encode() for t in added]) or None
-        self._clear()
-
-    def _clear(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.store, self.start, self.length = [np.empty(0, np.uint32)], [], []
-        self.stored = 0
-        self.tables = None
-
-    def _add(self, key: bytes, ids: np.ndarray) -> None:
-        self.code[key] = len(self.start)
-        self.start.append(self.stored)
-        self.length.append(len(ids))
-        self.store.append(ids)
-        self.stored += len(ids)
-
-    def _of(self, key: bytes) -> np.ndarray:
-        code = self.code[key]
-        at = code - self.base
-        return self.fresh[at] if at >= 0 else self.tables[0][self.start[code] : self.start[code] + self.length[code]]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Cores first, in a few calls with a special token between them; then words that end in punctuation."""
-        parts, cores = [], {}
-        for w in words:
-            core = w.rstrip(ENDINGS)
-            if len(core) == len(w) or not core or core[-1] not in LETTERS:
-                core, tail = w, b""
-            else:
-                tail = w[len(core) :]
-                parts.append((w, core, tail))
-            for x in (core, tail):
-                if x and x not in self.code:
-                    cores[x] = None
-        found = self._encode_words(list(cores))
-        self.base, self.fresh = len(self.start), found
-        for x, ids in zip(cores, found):
-            self._add(x, ids)
-        for w, core, tail in parts:
-            self._add(w, np.concatenate([self._of(core), self._of(tail)]))
-        self.store = [np.concatenate(self.store)]
-        self.tables = self.store[0], np.array(self.start, np.int64), np.array(self.length, np.int64)
-
-    def _encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        found = []
-        for i in range(0, len(words), 20_000):
-            some = [w.decode() for w in words[i : i + 20_000]]
-            joined = [self.separator.join(some[j : j + 500]) for j in range(0, len(some), 500)]
-            ids = [np.array([*e.ids, self.separator_id], np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-            flat = np.concatenate(ids)
-            found += [x[:-1] for x in np.split(flat, np.flatnonzero(flat == self.separator_id) + 1)[:-1]]
-        return found
-
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        self.special = os.path.commonprefix(list(added))
+        self.known = kernels.WordTable()
+        self.known.add([""], np.empty(0, np.int64), np.zeros(1, np.int64))
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        texts = texts.fill_null("")
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
         while at < len(texts):
-            some, size = [], 0
-            while at < len(texts) and (not some or size < SLICE_BYTES):
-                some.append(kernels.as_bytes(texts[at]))
-                size += len(some[-1])
-                at += 1
-            yield from self._slice(some)
-
-    def _slice(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        if len(self.code) > CACHE_WORDS:
-            self._clear()
-        whole = {i: t for i, t in enumerate(texts) if self.special and self.special in t}
-        # Lower case is a matter of the tokenizer; for pure ASCII it can come first and makes fewer words.
-        split = [[] if i in whole else (t.lower() if t.isascii() else t).split() for i, t in enumerate(texts)]
-        words = [w for some in split for w in some]
-        if new := [w for w in dict.fromkeys(words) if w not in self.code]:
-            self._learn(new)
-        ids = np.empty(0, np.uint32)
-        ends = np.zeros(1, np.int64)
-        if words:
-            store, start, length = self.tables
-            codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-            lengths = length[codes]
-            ends = np.concatenate([ends, np.cumsum(lengths)])
-            ids = store[np.repeat(start[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
-        word_ends = np.cumsum([0, *map(len, split)])
-        for i in range(len(texts)):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
+            yield from self._slice(texts.slice(at, end - at))
+            at = end
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        odd = pc.match_substring(texts, self.special).to_numpy(zero_copy_only=False) if self.special else np.zeros(len(texts), bool)
+        whole = {i: texts[i].as_py() for i in np.flatnonzero(odd).tolist()}
+        if whole:
+            texts = pc.if_else(pa.array(odd), "", texts)
+        # Cuts at runs of ASCII blanks; at the ends of a text it may leave empty words, which have no ids.
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        core, tail = self._codes(words.dictionary.to_pylist())
+        # Every word is its core and then what follows it.
+        at = words.indices.to_numpy()
+        code = np.stack([core[at], tail[at]], axis=1).reshape(-1)
+        ids = self.known.of(code).astype(np.uint32)
+        ends = np.concatenate([[0], np.cumsum(self.known.length[code])])
+        cuts = ends[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())]
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             if i in whole:
-                yield np.array(self.tokenizer.encode(whole[i].decode(), add_special_tokens=False).ids, np.uint32)
+                yield np.array(self.tokenizer.encode(whole[i], add_special_tokens=False).ids, np.uint32)
+            else:
+                yield ids[a:b]
+
+    def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of each word's core and of the punctuation behind it, after learning those that are new."""
+        cores, tails = [], []
+        for w in words:
+            # Lower case is a matter of the tokenizer; for ASCII it can come first and makes fewer words.
+            low = w.lower() if w.isascii() else w
+            core = low.rstrip(ENDINGS)
+            if len(core) == len(low) or not core or not ("a" <= core[-1] <= "z" or "A" <= core[-1] <= "Z"):
+                core, tail = low, ""
             else:
-                yield ids[ends[word_ends[i]] : ends[word_ends[i + 1]]]
+                tail = low[len(core) :]
+            cores.append(core)
+            tails.append(tail)
+        if len(self.known) > CACHE_WORDS:
+            self.known = self.known.only([w for w in {*cores, *tails, ""} if w in self.known.code])
+        if new := self.known.unknown(cores + tails):
+            for i in range(0, len(new), 20_000):
+                self.known.add(new[i : i + 20_000], *self._encoded(new[i : i + 20_000]))
+        find = self.known.code.__getitem__
+        return tuple(np.fromiter(map(find, x), np.int64, len(x)) for x in (cores, tails))
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of many words from few calls, with a special token between them."""
+        joined = [self.separator.join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        flat = np.concatenate([np.array([*e.ids, self.separator_id], np.int64) for e in found])
+        marks = np.flatnonzero(flat == self.separator_id)
+        return flat[flat != self.separator_id], np.diff(np.concatenate([[-1], marks])) - 1
 
 
 def id_width(path: str) -> int:
@@ -170,7 +146,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = []
         for batch in batches:
-            for ids in _encoder(path)(batch.column(0).to_pylist()):
+            for ids in _encoder(path)(batch.column(0)):
                 samples.append(_serialized(np.append(ids[: SAMPLE_IDS - 1], end_id), width))
         try:
             found = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if samples else b""
@@ -208,8 +184,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFra
         with fs.open_output_stream(f"{at}/_part-{part:06d}-{attempt}") as out:
             out.write(struct.pack(HEAD, MAGIC, width, mark))
             for batch in batches:
-                names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for name, ids in zip(names, _encoder(path)(texts)):
+                for name, ids in zip(batch.column(0).to_pylist(), _encoder(path)(batch.column(1))):
                     ids = np.append(ids, np.uint32(end_id))
                     frame = packer.compress(_serialized(ids, width))
                     out.write(frame)
