@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 DASH = "—"
 
-# Added to .5 before the floor when a ratio is published with few digits: ratios of small whole numbers hit exact
-# ties often, and this moves the cut to a place where no such ratio lies, so summation order cannot decide a digit.
-TIE_SHIFT = 1e-6
+# From here on a double has no digit behind the point, and a floor to BIGINT would come near its bounds.
+WHOLE = 2.0**52
 
 
 def lit(value) -> Column:
@@ -21,8 +20,8 @@ def lit(value) -> Column:
 
 
 def half_up(x: Column) -> Column:
-    """Nearest whole number, ties up, as a double."""
-    return F.floor(x + F.lit(0.5)).cast("double")
+    """Nearest whole number, ties up, as a double of any size."""
+    return F.when(F.abs(x) >= F.lit(WHOLE), x).otherwise(F.floor(x + F.lit(0.5)).cast("double"))
 
 
 def half_up_long(x: Column) -> Column:
@@ -33,23 +32,25 @@ def to_step(x: Column, step: float) -> Column:
     return half_up(x / F.lit(float(step))) * F.lit(float(step))
 
 
-def published(x: Column, digits: int = 6) -> Column:
-    """A double cut to ``digits`` decimals for comparison across engines."""
-    scale = F.lit(float(10**digits))
-    return F.floor(x * scale + F.lit(0.5 + TIE_SHIFT)).cast("double") / scale
-
+def settled(x: Column, digits: int = 12) -> Column:
+    """A double cut to ``digits`` decimals; one so large that it has none of them stays as it is.
 
-def settled(x: Column) -> Column:
-    """A sum cut to 12 decimals. Rows are added up in whatever order tasks finish; this keeps the last bits of that
-    order away from comparisons with fixed limits.
+    Rows are added up in whatever order tasks finish; this keeps the last bits of that order away from comparisons
+    with fixed limits.
     """
-    scale = F.lit(1e12)
-    return F.floor(x * scale + F.lit(0.5)).cast("double") / scale
+    scale = float(10**digits)
+    cut = F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.when(F.abs(x) >= F.lit(WHOLE / scale), x).otherwise(cut)
+
+
+def published(x: Column, digits: int = 6) -> Column:
+    """A double cut to ``digits`` decimals for comparison across engines, which agree on its first few more."""
+    return settled(settled(x, digits + 4), digits)
 
 
 def rupees(x: Column) -> Column:
     """Whole rupees as BIGINT, for comparison across engines."""
-    return F.floor(x + F.lit(0.5 + TIE_SHIFT)).cast("bigint")
+    return F.floor(settled(x, 4) + F.lit(0.5)).cast("bigint")
 
 
 def positive(x: Column) -> Column:

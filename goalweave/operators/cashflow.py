@@ -155,7 +155,8 @@ def solve_flows(flows: Column, one_change: Column) -> Column:
     def coarse(fl: Column) -> Column:
         return let(npv(fl, lit(LOW_RATE)), lambda low: _bisect(fl, low, COARSE_HALVINGS))
 
-    return let(flows, lambda fl: solve_near(fl, F.when(one_change, coarse(fl)), one_change))
+    # The guess is bound once: lambda bodies share nothing, and the secant steps use it several times.
+    return let(flows, lambda fl: let(F.when(one_change, coarse(fl)), lambda guess: solve_near(fl, guess, one_change)))
 
 
 def xirr(flows: DataFrame, key: str = "entity_id", order: str | None = None) -> DataFrame:

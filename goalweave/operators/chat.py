@@ -23,45 +23,53 @@ SUMMARY_FIELDS = [
 ]
 
 
-def _plain(x: Column) -> Column:
-    """A number that JSON shows without an exponent."""
-    return x.cast("decimal(24,4)")
+def number_text(x: Column) -> Column:
+    """A double as JSON shows it: all its digits, no exponent up to 1e21, no zeros behind the last digit."""
+    plain = x.cast("string").cast("decimal(38,17)").cast("string")
+    short = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
+    return F.when(F.abs(x) < 1e21, short).otherwise(x.cast("string"))
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    wrapped = F.to_json(F.struct(text.alias("v")))
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.substring(wrapped, F.lit(6), F.length(wrapped) - 6))
 
 
 def preset_entries(presets: DataFrame, funds: DataFrame) -> DataFrame:
-    """Each preset as one ordered array of (fund name, weight); five entries each."""
+    """Each preset's funds and weights as the inside of one JSON object, in order; five entries each."""
     named = presets.join(F.broadcast(funds.select("fund_id", "fund_name")), "fund_id", "left")
-    entry = F.struct("pos", F.coalesce("fund_name", "fund_id").alias("name"), _plain(F.col("weight")).alias("weight"))
-    return named.groupBy("profile").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    text = F.concat(quoted(F.coalesce("fund_name", "fund_id")), F.lit(":"), number_text(F.col("weight")))
+    entries = named.select("profile", F.struct("pos", text.alias("text")).alias("entry")).groupBy("profile")
+    listed = entries.agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    return listed.select("profile", F.array_join("entries.text", ",").alias("entries"))
 
 
 def plan_summary_json(plans: DataFrame) -> DataFrame:
     """JSON of each user's current goal; needs plan results, entries and the user's other goal names."""
-    alloc = F.map_from_entries(F.transform("entries", lambda e: F.struct(e["name"], e["weight"])))
-    values = [
-        F.col("goal_name"),
-        _plain(F.col("target_today")),
-        _plain(F.col("horizon_years")),
-        half_up_long(F.col("sip")),
-        _plain(F.col("monthly_sip")),
-        half_up_long(F.col("savings")),
-        half_up_long(F.col("inflation") * lit(100)),
-        half_up_long(F.col("projected_corpus")),
-        half_up_long(F.col("required_corpus")),
-        half_up_long(F.col("gap")),
-        F.col("on_track"),
-        _plain(half_up(F.col("blended_return") * lit(1000)) / lit(10)),
-        alloc,
-        F.col("other_goals"),
-    ]
-    text = F.to_json(F.struct(*[v.alias(n) for v, n in zip(values, SUMMARY_FIELDS)]))
-    return plans.select("user_id", trim_zeros(text).alias("plan_json"))
 
+    def whole(x: Column) -> Column:
+        return half_up_long(x).cast("string")
 
-def trim_zeros(json: Column) -> Column:
-    """Drop trailing zeros of decimals: 7.2500 to 7.25 and 7.0000 to 7."""
-    short = F.regexp_replace(json, r"(:-?\d+\.\d*?[1-9])0+([,}])", "$1$2")
-    return F.regexp_replace(short, r"(:-?\d+)\.0+([,}])", "$1$2")
+    values = [
+        quoted(F.col("goal_name")),
+        number_text(F.col("target_today")),
+        number_text(F.col("horizon_years")),
+        whole(F.col("sip")),
+        number_text(F.col("monthly_sip")),
+        whole(F.col("savings")),
+        whole(F.col("inflation") * lit(100)),
+        whole(F.col("projected_corpus")),
+        whole(F.col("required_corpus")),
+        whole(F.col("gap")),
+        F.col("on_track").cast("string"),
+        number_text(half_up(F.col("blended_return") * lit(1000)) / lit(10)),
+        F.concat(F.lit("{"), "entries", F.lit("}")),
+        F.to_json("other_goals"),
+    ]
+    fields = [F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null"))) for name, value in zip(SUMMARY_FIELDS, values)]
+    text = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    return plans.select("user_id", text.alias("plan_json"))
 
 
 def message_role(role: Column) -> Column:
@@ -94,6 +102,6 @@ def current_with_others(goals: DataFrame) -> DataFrame:
     A user has at most ten goals, one per catalogue entry.
     """
     user = W.partitionBy("user_id")
-    named = F.array_sort(F.collect_list(F.struct("ord", "goal_name")).over(user))
-    others = F.filter(named, lambda g: g["goal_name"] != F.col("goal_name"))
+    named = F.array_sort(F.collect_list(F.struct("ord", "goal_id", "goal_name")).over(user))
+    others = F.filter(named, lambda g: g["goal_id"] != F.col("goal_id"))
     return goals.withColumn("other_goals", F.transform(others, lambda g: g["goal_name"])).where("is_current")

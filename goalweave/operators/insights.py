@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.num import half_up_long, lit
 from ..functions.text import format_inr, format_pct, format_years
 
+# Limits of the rules. Years, part of the basket in equity or in one fund, distance of the weights from 100.
+SHORT_YEARS, LONG_YEARS, EQUITY_LIMIT, TOP_LIMIT, FILL_LIMIT = 3, 10, 0.4, 0.7, 0.5
 SHOWN = 4
 
 
@@ -40,8 +42,8 @@ def remarks() -> Column:
     """All remarks that apply, in rule order. Needs plan results, the figures of the plan's basket and the texts."""
     years, equity, c = F.col("horizon_years"), F.col("growth_weight"), F.col
     on_track, reached = c("on_track"), c("goal_reached_month")
-    too_bold = (years <= 3) & (equity > 0.4)
-    too_cautious = (years >= 10) & (equity < 0.4) & ~too_bold
+    too_bold = (years <= SHORT_YEARS) & (equity > EQUITY_LIMIT)
+    too_cautious = (years >= LONG_YEARS) & (equity < EQUITY_LIMIT) & ~too_bold
     rules = [
         F.when(
             on_track,
@@ -66,12 +68,12 @@ def remarks() -> Column:
             _remark("info", "too_cautious", c("equity_text"), " equity is little over ", c("years_text"), "."),
         ),
         F.when(
-            c("top_weight") > 0.7,
+            c("top_weight") > TOP_LIMIT,
             _remark("info", "concentrated", c("top_text"), " of the basket is ",
                     F.coalesce("top_fund_name", F.lit("a single fund")), "."),
         ),
         F.when(
-            F.abs(c("total") - lit(100)) > 0.5,
+            F.abs(c("total") - lit(100)) > FILL_LIMIT,
             _remark("info", "basket_fill", "The weights add up to ", c("total_text"), "%; they are read as shares of that."),
         ),
         _remark("info", "inflation", c("target_text"), " of today becomes ", c("required_text"), " in ",

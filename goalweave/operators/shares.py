@@ -51,22 +51,30 @@ def tenure_rank(goals: DataFrame) -> DataFrame:
     return goals.withColumn("priority", F.row_number().over(by_user().orderBy(F.col("horizon_years").asc_nulls_last(), "ord")))
 
 
-def with_marks(goals: DataFrame, **marks: DataFrame) -> DataFrame:
+def with_marks(goals: DataFrame, *listed: str, **marks: DataFrame) -> DataFrame:
     """Left-join values kept per (user_id, goal_id): each table in ``marks`` has a column of its keyword's name and,
     like the goals, one row per (user_id, goal_id); logs are folded to that before they come here.
 
     All rows are unioned and shuffled once, by user alone. The look-up by (user, goal) and every later window by user
     then run on that one partitioning, where a join on both columns would shuffle by both and again by user. Rows of
-    ``marks`` without a goal fall away.
+    ``marks`` without a goal fall away; for each name in ``listed`` a column ``has_<name>`` says whether the user has any
+    row of that table, with a goal or without.
     """
     rows = goals.withColumn("is_goal", F.lit(True))
     for name, table in marks.items():
         rows = rows.unionByName(table.select("user_id", "goal_id", name), allowMissingColumns=True)
     same_goal = W.partitionBy("user_id", "goal_id")
     found = {name: F.max(name).over(same_goal) for name in marks}
+    found |= {f"has_{name}": F.max(F.col(name)).over(by_user()).isNotNull() for name in listed}
     return rows.repartition("user_id").withColumns(found).where("is_goal").drop("is_goal")
 
 
+def in_stated_order(goals: DataFrame, order: DataFrame) -> DataFrame:
+    """Goals with ``priority``: their rank in the user's order, null outside it, and as declared for users without one."""
+    rows = with_marks(goals, "priority", priority=order.withColumnRenamed("rank", "priority"))
+    return rows.withColumn("priority", F.when(F.col("has_priority"), F.col("priority")).otherwise(F.col("ord"))).drop("has_priority")
+
+
 def goals_by_priority(goals: DataFrame, order: DataFrame) -> DataFrame:
     """Listed goals by rank, then the rest as declared; listed ids without a goal fall away."""
     return ranked(with_marks(goals, rank=order))
@@ -140,8 +148,8 @@ def first_picks(picks: DataFrame) -> DataFrame:
 def add_goals(goals: DataFrame, new_goals: DataFrame, order: DataFrame, custom: Column) -> DataFrame:
     """Goal set after adding one goal per user where it is not there yet; ``is_new`` marks added rows.
 
-    Priority afterwards: a hand-made order (``custom``) gets the new goal last, any other is sorted by tenure again.
-    Goals that a hand-made order does not list stay outside it (null priority).
+    Priority afterwards: where nothing was added the order stays as it was; a hand-made order (``custom``) gets the new goal
+    last, any other is sorted by tenure again. Goals that an order does not list stay outside it (null priority).
     """
     both = goals.withColumn("is_new", F.lit(False)).unionByName(new_goals.withColumn("is_new", F.lit(True)), True)
     rows = with_marks(both, rank=order)
@@ -150,15 +158,16 @@ def add_goals(goals: DataFrame, new_goals: DataFrame, order: DataFrame, custom:
     ord_ = F.when(F.col("is_new"), F.count(F.lit(1)).over(by_user()) - 1).otherwise(F.col("ord"))
     by_hand = F.when(F.col("is_new"), F.coalesce(F.max("rank").over(by_user()), F.lit(0)) + 1).otherwise(F.col("rank"))
     by_tenure = F.row_number().over(by_user().orderBy(F.col("horizon_years").asc_nulls_last(), "ord"))
-    return (
-        rows.withColumn("ord", ord_).withColumn("priority", F.when(custom, by_hand).otherwise(by_tenure)).drop("rank")
-    )
+    grew = F.max("is_new").over(by_user())
+    place = F.when(~grew, F.col("rank")).when(custom, by_hand).otherwise(by_tenure)
+    return rows.withColumns({"priority": place, "ord": ord_}).drop("rank")
 
 
 def edit_goals(goals: DataFrame, edits: DataFrame, order: DataFrame, custom: Column) -> DataFrame:
     """Goals after target and tenure edits: ``edits`` has at most one row per goal, null fields keep the old value.
 
-    A new tenure confirms the goal and, unless the order is hand-made, sorts the goals by tenure again. Shares stay.
+    A new tenure confirms the goal and, unless the order is hand-made, sorts the goals by tenure again; a new target alone
+    leaves the order. Shares stay.
     """
     rows = with_marks(goals, rank=order, new_target=edits, new_tenure=edits)
     edited = rows.withColumns(
@@ -170,7 +179,8 @@ def edit_goals(goals: DataFrame, edits: DataFrame, order: DataFrame, custom: Col
     )
     by_tenure = F.row_number().over(by_user().orderBy(F.col("horizon_years").asc_nulls_last(), "ord"))
     by_hand = F.row_number().over(by_user().orderBy(F.col("rank").asc_nulls_last(), "ord"))
-    return edited.withColumn("priority", F.when(custom, by_hand).otherwise(by_tenure))
+    retimed = F.max(F.col("new_tenure").isNotNull()).over(by_user())
+    return edited.withColumn("priority", F.when(custom | ~retimed, by_hand).otherwise(by_tenure))
 
 
 def remove_goals(goals: DataFrame, removals: DataFrame, order: DataFrame) -> DataFrame:

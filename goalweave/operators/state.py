@@ -39,6 +39,12 @@ def latest_pool_state(edits: DataFrame) -> DataFrame:
     return keyed.groupBy("user_id").agg(*fields)
 
 
+def with_defaults(users: DataFrame, states: DataFrame) -> DataFrame:
+    """The state of all users; those who never edited anything have the defaults."""
+    joined = users.join(states, "user_id", "left")
+    return joined.select("user_id", *[F.coalesce(name, lit(default)).alias(name) for name, default in FIELDS.values()])
+
+
 def live_holdings_total(edits: DataFrame) -> DataFrame:
     added = F.when(F.col("action") == "add_holding", positive(F.col("value"))).otherwise(lit(0))
     return edits.groupBy("user_id").agg(F.sum(added).alias("holdings_total"))

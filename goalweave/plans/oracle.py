@@ -18,20 +18,17 @@ def d(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
-HALF = d(0.5 + 1e-6)
+def settled(x: str, digits: int = 12) -> str:
+    scale = 10.0**digits
+    return f"CASE WHEN abs({x}) >= {d(2.0**52 / scale)} THEN ({x}) ELSE floor(({x}) * {d(scale)} + {d(0.5)}) / {d(scale)} END"
 
 
 def r6(x: str, name: str, digits: int = 6) -> str:
-    scale = d(10**digits)
-    return f"floor(({x}) * {scale} + {HALF}) / {scale} AS {name}"
-
-
-def settled(x: str) -> str:
-    return f"floor(({x}) * {d(1e12)} + {d(0.5)}) / {d(1e12)}"
+    return f"{settled(f'round(CAST({x} AS DOUBLE), {digits + 4})', digits)} AS {name}"
 
 
 def rup(x: str, name: str) -> str:
-    return f"CAST(floor(({x}) + {HALF}) AS BIGINT) AS {name}"
+    return f"CAST(floor(round(CAST({x} AS DOUBLE), 4) + {d(0.5)}) AS BIGINT) AS {name}"
 
 
 def up(x: str) -> str:
@@ -336,7 +333,8 @@ CTES["basket_plans"] = planned("basket_inputs")
 def remark_list() -> str:
     corpus, required = inr("projected_corpus"), inr("required_corpus")
     horizon = years_text("horizon_years")
-    bold = "(horizon_years <= 3 AND growth_weight > 0.7 - 0.3)"
+    bold = "(horizon_years <= 3 AND growth_weight > 0.4)"
+    cautious = "(horizon_years >= 10 AND growth_weight < 0.4)"
     rules = [
         ("on_track", "positive", "on_track", f"'Projected ' || {corpus} || ' covers the ' || {required} || ' needed, with ' || {inr('abs(gap)')} || ' to spare.'"),
         ("on_track AND goal_reached_month < months", "positive", "ahead",
@@ -345,7 +343,7 @@ def remark_list() -> str:
          f"'Projected ' || {corpus} || ' leaves ' || {inr('abs(gap)')} || ' missing; ' || {inr('required_sip')} || "
          f"' a month (' || {inr('greatest(0, required_sip - sip)')} || ' more) closes it.'"),
         (bold, "warning", "too_bold", f"{pct0('growth_weight')} || ' equity is a lot with ' || {horizon} || ' to go.'"),
-        ("horizon_years >= 10 AND growth_weight < 0.4", "info", "too_cautious",
+        (cautious, "info", "too_cautious",
          f"{pct0('growth_weight')} || ' equity is little over ' || {horizon} || '.'"),
         ("top_weight > 0.7", "info", "concentrated",
          f"{pct0('top_weight')} || ' of the basket is ' || coalesce(top_fund_name, 'a single fund') || '.'"),
@@ -356,22 +354,33 @@ def remark_list() -> str:
     items = ", ".join(
         f"CASE WHEN {when} THEN {{'tone': '{tone}', 'code': '{code}', 'message': {message}}} END"
         for when, tone, code, message in rules
-    ).replace("0.7 - 0.3", "0.4")
+    )
     empty = "[{'tone': 'info', 'code': 'empty_basket', 'message': 'Add a fund to see a projection.'}]"
     return f"(CASE WHEN total > 0 THEN list_filter([{items}], lambda r: r IS NOT NULL) ELSE {empty} END)"
 
 
 CTES["remark_lists"] = f"SELECT user_id, goal_id, {remark_list()} AS fired FROM basket_plans"
+def number(x: str) -> str:
+    """A double as JSON shows it: no exponent, no zeros behind the last digit."""
+    return f"regexp_replace(CAST(CAST({x} AS DOUBLE) AS VARCHAR), '\\.0$', '')"
+
+
+def json_object(fields: dict[str, str]) -> str:
+    return "'{' || " + " || ',' || ".join(f"'\"{name}\":' || {value}" for name, value in fields.items()) + " || '}'"
+
+
+SUMMARY = json_object({
+    "goal": "CAST(to_json(goal_name) AS VARCHAR)", "targetTodayINR": number("target_today"), "horizonYears": number("horizon_years"),
+    "monthlySipINR": long_up("sip"), "monthlyPoolINR": number("monthly_sip"), "currentSavingsINR": long_up("savings"),
+    "inflationPct": long_up("inflation * 100"), "projectedCorpusINR": long_up("projected_corpus"),
+    "requiredCorpusINR": long_up("required_corpus"), "gapINR": long_up("gap"), "onTrack": "CAST(on_track AS VARCHAR)",
+    "expectedReturnPct": number(f"{up('blended_return * 1000')} / 10"), "allocationPct": "'{' || alloc || '}'",
+    "otherGoals": "CAST(to_json(coalesce(others, CAST([] AS VARCHAR[]))) AS VARCHAR)",
+})
 CTES["summaries"] = f"""
-    SELECT p.user_id, regexp_replace(CAST(to_json({{
-        'goal': goal_name, 'targetTodayINR': target_today, 'horizonYears': horizon_years, 'monthlySipINR': {long_up("sip")},
-        'monthlyPoolINR': monthly_sip, 'currentSavingsINR': {long_up("savings")}, 'inflationPct': {long_up("inflation * 100")},
-        'projectedCorpusINR': {long_up("projected_corpus")}, 'requiredCorpusINR': {long_up("required_corpus")},
-        'gapINR': {long_up("gap")}, 'onTrack': on_track, 'expectedReturnPct': {up("blended_return * 1000")} / 10,
-        'allocationPct': alloc, 'otherGoals': coalesce(others, CAST([] AS VARCHAR[]))}}) AS VARCHAR),
-        '(:-?\\d+)\\.0([,}}])', '\\1\\2', 'g') AS plan_json
+    SELECT p.user_id, {SUMMARY} AS plan_json
     FROM plans p
-      JOIN (SELECT profile, map(list(fund_name ORDER BY pos), list(weight ORDER BY pos)) AS alloc
+      JOIN (SELECT profile, string_agg(CAST(to_json(fund_name) AS VARCHAR) || ':' || {number("weight")}, ',' ORDER BY pos) AS alloc
         FROM d_presets JOIN d_funds USING (fund_id) GROUP BY profile) USING (profile)
       LEFT JOIN (SELECT user_id, list(goal_name ORDER BY ord) FILTER (WHERE NOT is_current) AS others FROM goals GROUP BY 1) o
         ON o.user_id = p.user_id
@@ -408,6 +417,10 @@ KEEP_PLACE = "CAST(row_number() OVER (PARTITION BY basket_id ORDER BY pos) AS IN
 EVERY_BASKET = "(SELECT DISTINCT basket_id FROM baskets)"
 
 
+# Goals outside a user's order have no place; a user without any order is served as declared.
+ORDERED_NEED = """(SELECT n.*, CASE WHEN n.user_id IN (SELECT user_id FROM goal_order) THEN o.rank ELSE n.ord END AS place
+    FROM need n LEFT JOIN goal_order o ON o.user_id = n.user_id AND o.goal_id = n.goal_id)"""
+
 SQL: dict[str, str] = {
     "fund_catalog": f"""
         SELECT f.*, coalesce(n_baskets, 0) AS n_baskets, coalesce(held_weight, 0) AS held_weight FROM d_funds f
@@ -505,7 +518,7 @@ SQL: dict[str, str] = {
     "normalized_weights": f"SELECT basket_id, fund_id, {r6('weight / sum(weight) OVER (PARTITION BY basket_id)', 'weight')} FROM baskets WHERE weight > 0",
     "sip_waterfall": f"""
         SELECT user_id, goal_id, {rup("need", "need")}, {rup("given", "given")}
-        FROM ({split("(SELECT n.*, o.rank AS place FROM need n LEFT JOIN goal_order o ON o.user_id = n.user_id AND o.goal_id = n.goal_id)", "place")})""",
+        FROM ({split(ORDERED_NEED, "place")})""",
     "tenure_rank": "SELECT user_id, goal_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY horizon_years, ord) AS INTEGER) AS priority FROM goals",
     "goals_by_priority": """
         SELECT g.user_id, g.goal_id, CAST(row_number() OVER (PARTITION BY g.user_id ORDER BY rank NULLS LAST, ord) AS INTEGER) AS priority
@@ -527,10 +540,10 @@ SQL: dict[str, str] = {
         FROM goals g LEFT JOIN goal_order o ON o.user_id = g.user_id AND o.goal_id = g.goal_id WHERE NOT is_current""",
     "holdings_after_remove": """
         SELECT holding_id, user_id, type_ord, amount FROM holdings
-        WHERE holding_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)""",
+        WHERE holding_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
     "recommend_shares": f"""
         SELECT user_id, goal_id, {r6("new_share", "share")} FROM ({split(
-          "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY horizon_years, ord) AS place FROM need)", "place")})""",
+          ORDERED_NEED, "place")})""",
     "set_goal_amount": f"""
         SELECT user_id, goal_id, {r6('''CASE WHEN monthly_sip <= 0 OR amount IS NULL THEN share WHEN n = 1 THEN 100 WHEN is_current THEN fixed
             WHEN others > 0 THEN coalesce(share, 0) / others * (100 - fixed) ELSE (100 - fixed) / (n - 1) END''', "share")}
@@ -637,7 +650,10 @@ CTES["onboarded"] = split_and_plan("built_goals")
 CTES["demo_plans"] = split_and_plan("demo_goals")
 SQL["onboard_population"] = plan_columns("onboarded", SPLIT_COLUMNS)
 SQL["demo_plan"] = plan_columns("demo_plans", SPLIT_COLUMNS)
-CTES["live_inputs"] = CTES["inputs"].replace("goals JOIN pools", "goals JOIN pool_state")
+CTES["live_pools"] = f"""
+    SELECT c_custkey AS user_id, coalesce(monthly_sip, {d(25000)}) AS monthly_sip, coalesce(current_savings, {d(0)}) AS current_savings,
+      coalesce(inflation, {d(0.06)}) AS inflation FROM customer LEFT JOIN pool_state ON user_id = c_custkey"""
+CTES["live_inputs"] = CTES["inputs"].replace("goals JOIN pools", "goals JOIN live_pools")
 CTES["live_plans"] = planned("(SELECT * FROM live_inputs JOIN preset_facts USING (profile))")
 SQL["live_plan"] = plan_columns("live_plans")
 
@@ -652,7 +668,7 @@ CTES["grown"] = """
     SELECT user_id, goal_id, (SELECT count(*) FROM goals g WHERE g.user_id = w.user_id), TRUE, target_today, horizon_years, NULL
     FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM goals g WHERE g.user_id = w.user_id AND g.goal_id = w.goal_id)"""
 CTES["grown_order"] = """
-    SELECT g.*, CAST(CASE WHEN g.user_id % 3 <> 0 THEN row_number() OVER (PARTITION BY g.user_id ORDER BY horizon_years, ord)
+    SELECT g.*, CAST(CASE WHEN NOT bool_or(is_new) OVER (PARTITION BY g.user_id) THEN rank WHEN g.user_id % 3 <> 0 THEN row_number() OVER (PARTITION BY g.user_id ORDER BY horizon_years, ord)
         WHEN is_new THEN coalesce(max(rank) OVER (PARTITION BY g.user_id), 0) + 1 ELSE rank END AS INTEGER) AS priority,
       bool_or(is_new) OVER (PARTITION BY g.user_id) AS grew
     FROM grown g LEFT JOIN goal_order o ON o.user_id = g.user_id AND o.goal_id = g.goal_id"""
@@ -670,11 +686,11 @@ SQL["goal_set_after_edits"] = f"""
       FROM edits GROUP BY 1, 2),
     edited AS (SELECT g.user_id, g.goal_id, ord, CASE WHEN target IS NULL THEN target_today ELSE greatest(0, {up("target")}) END AS target_today,
         CASE WHEN tenure IS NULL THEN horizon_years ELSE greatest(1, {up("tenure / 10")}) END AS horizon_years,
-        tenure_confirmed OR tenure IS NOT NULL AS tenure_confirmed, rank
+        tenure_confirmed OR tenure IS NOT NULL AS tenure_confirmed, rank, tenure IS NOT NULL AS retimed
       FROM (SELECT g.*, l.target, l.tenure FROM goals g
         LEFT JOIN last l ON l.user_id = g.user_id AND l.goal_id = g.goal_id) g
         LEFT JOIN goal_order o ON o.user_id = g.user_id AND o.goal_id = g.goal_id)
-    SELECT user_id, goal_id, target_today, horizon_years, tenure_confirmed, CAST(CASE WHEN user_id % 3 = 0
+    SELECT user_id, goal_id, target_today, horizon_years, tenure_confirmed, CAST(CASE WHEN user_id % 3 = 0 OR NOT bool_or(retimed) OVER (PARTITION BY user_id)
         THEN row_number() OVER (PARTITION BY user_id ORDER BY rank NULLS LAST, ord)
         ELSE row_number() OVER (PARTITION BY user_id ORDER BY horizon_years, ord) END AS INTEGER) AS priority FROM edited"""
 

@@ -353,11 +353,14 @@ def normalized_weights(spark, sf_dir):
     return rows.select("basket_id", "fund_id", published(F.col("weight")).alias("weight"))
 
 
+def _ordered_needs(spark, sf_dir):
+    goals = shares.in_stated_order(pop.plan_goals(spark, sf_dir), pop.goal_order(spark, sf_dir))
+    return jobs.needs(spark, goals, pop.pools(spark, sf_dir))
+
+
 @query
 def sip_waterfall(spark, sf_dir):
-    order = pop.goal_order(spark, sf_dir).withColumnRenamed("rank", "priority")
-    goals = shares.with_marks(pop.plan_goals(spark, sf_dir), priority=order)
-    rows = shares.sip_waterfall(jobs.needs(spark, goals, pop.pools(spark, sf_dir)))
+    rows = shares.sip_waterfall(_ordered_needs(spark, sf_dir))
     return rows.select("user_id", "goal_id", rupees(F.col("need")).alias("need"), rupees(F.col("given")).alias("given"))
 
 
@@ -463,7 +466,7 @@ def goal_set_after_remove(spark, sf_dir):
 @query
 def holdings_after_remove(spark, sf_dir):
     lines = read_table(spark, sf_dir, "lineitem")
-    returned = lines.where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_orderkey").alias("holding_id"))
+    returned = lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("holding_id"))
     return holdings.remove(pop.holdings(spark, sf_dir), returned).select("holding_id", "user_id", "type_ord", "amount")
 
 
@@ -472,7 +475,7 @@ def holdings_after_remove(spark, sf_dir):
 
 @query
 def recommend_shares(spark, sf_dir):
-    rows = shares.recommend_shares(_needs(spark, sf_dir), "horizon_years")
+    rows = shares.recommend_shares(_ordered_needs(spark, sf_dir))
     return rows.select("user_id", "goal_id", published(F.col("share")).alias("share"))
 
 
@@ -694,10 +697,12 @@ def format_years(spark, sf_dir):
 def _plans_with_baskets(spark, sf_dir):
     """Plans whose money goes into a basket of their own instead of a preset; some baskets do not exist."""
     funds = catalog.funds(spark)
-    metrics = portfolio.basket_metrics(pop.baskets(spark, sf_dir), funds, "basket_id", with_top=True)
+    basket_id = F.col("user_id") * 3 + F.col("ord")
+    wanted = pop.goal_shares(spark, sf_dir).select(basket_id.alias("basket_id"))
+    metrics = portfolio.basket_metrics(pop.baskets(spark, sf_dir, only=wanted), funds, "basket_id", with_top=True)
     names = funds.select(F.col("fund_id").alias("top_fund_id"), F.col("fund_name").alias("top_fund_name"))
     inputs = projection.plan_inputs(pop.goal_shares(spark, sf_dir), pop.pools(spark, sf_dir))
-    inputs = inputs.withColumn("basket_id", F.col("user_id") * 3 + F.col("ord"))
+    inputs = inputs.withColumn("basket_id", basket_id)
     joined = inputs.join(metrics, "basket_id", "left").join(F.broadcast(names), "top_fund_id", "left")
     empty = {"total": 0.0, "blended_return": 0.0, "blended_volatility": 0.0, "growth_weight": 0.0, "top_weight": 0.0}
     return projection.compute_plan(joined.fillna(empty))
@@ -748,5 +753,6 @@ def live_holdings_total(spark, sf_dir):
 
 @query
 def live_plan(spark, sf_dir):
-    pools = state.latest_pool_state(pop.edits(spark, sf_dir))
+    users = pop.profiles(spark, sf_dir).select("user_id")
+    pools = state.with_defaults(users, state.latest_pool_state(pop.edits(spark, sf_dir)))
     return _plan_out(jobs.goal_plans(spark, pop.goal_shares(spark, sf_dir), pools))

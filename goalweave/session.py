@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -35,14 +34,10 @@ def local_session(cores: int | str = "*", app: str = "goalweave", shuffle_partit
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh local one only when no folder is named (tests)."""
+    """The shared folder that the session names."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="goalweave-")
-    spark.conf.set(CHECKPOINT_CONF, root)
     return root
 
 

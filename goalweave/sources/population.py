@@ -127,13 +127,18 @@ def goal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.unionByName(ghosts)
 
 
-def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fund weights per order: basket_id, fund_id, weight, pos (at most 13 rows per basket)."""
+def baskets(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Fund weights per order: basket_id, fund_id, weight, pos (at most 13 rows per basket).
+
+    ``only`` names the baskets wanted (basket_id); lines of others are dropped before anything is summed.
+    """
     part = (F.col("l_partkey") % 13).cast("int")
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    lines = read_table(spark, sf_dir, "lineitem")
+    if only is not None:
+        lines = lines.join(only.select(F.col("basket_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     grouped = (
-        read_table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("basket_id"), part.alias("fund_no"))
+        lines.groupBy(F.col("l_orderkey").alias("basket_id"), part.alias("fund_no"))
         .agg(F.sum(signed).alias("weight"), F.min(F.col("l_linenumber").cast("bigint") * 100 + part).alias("pos"))
     )
     return grouped.select("basket_id", fund_by_number(F.col("fund_no")).alias("fund_id"), "weight", "pos")
