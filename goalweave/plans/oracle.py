@@ -723,6 +723,22 @@ SQL["replay_edits"] = f"""
         FROM walk s JOIN ops o ON o.user_id = s.user_id AND o.k = s.k + 1),
       final AS (SELECT user_id, arg_max(funds, k) AS funds, arg_max(x, k) AS x FROM walk GROUP BY user_id)
     SELECT user_id, fund_id, {r6("weight", "weight")} FROM (SELECT user_id, unnest(funds) AS fund_id, unnest(x) AS weight FROM final)"""
+CTES["share_lists"] = """
+    SELECT user_id, list(goal_id ORDER BY ord) AS ids, list(coalesce(share, CAST(0 AS DOUBLE)) ORDER BY ord) AS x FROM goals GROUP BY user_id"""
+SQL["replay_goal_amounts"] = f"""
+    WITH RECURSIVE ops AS (SELECT e.user_id, slot % len(ids) + 1 AS i, least(100, greatest(0, value / monthly_sip * 100)) AS w,
+        row_number() OVER (PARTITION BY e.user_id ORDER BY ts, seq) AS k
+        FROM edits e JOIN pools p ON p.user_id = e.user_id AND monthly_sip > 0 JOIN share_lists l ON l.user_id = e.user_id
+        WHERE action = 'set_sip'),
+      walk AS (SELECT user_id, ids, x, 0 AS k FROM share_lists
+        UNION ALL
+        SELECT s.user_id, ids, CASE WHEN len(x) = 1 THEN [{d(100)}] ELSE list_transform(range(1, len(x) + 1), lambda j: CASE WHEN j = i THEN w
+            WHEN list_sum(x) - x[i] > 0 AND list_sum(list_concat(x[1:i - 1], x[i + 1:])) > 0
+              THEN x[j] / (list_sum(list_concat(x[1:i - 1], x[i + 1:]))) * (100 - w)
+            ELSE (100 - w) / (len(x) - 1) END) END, s.k + 1
+        FROM walk s JOIN ops o ON o.user_id = s.user_id AND o.k = s.k + 1),
+      final AS (SELECT user_id, arg_max(ids, k) AS ids, arg_max(x, k) AS x FROM walk GROUP BY user_id)
+    SELECT user_id, goal_id, {r6("share", "share")} FROM (SELECT user_id, unnest(ids) AS goal_id, unnest(x) AS share FROM final)"""
 SQL["replay_goal_toggles"] = f"""
     WITH RECURSIVE ops AS (SELECT user_id, {goal_number("slot % 10")} AS g,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS k FROM edits),

@@ -542,14 +542,32 @@ def _preset_of_user():
 def replay_edits(spark, sf_dir):
     users = pop.pools(spark, sf_dir).select("user_id")
     baskets = replay.preset_baskets(users, catalog.presets(spark), _preset_of_user())
-    size = len(catalog.PRESETS[PRESET_NAMES[0]])
+    sizes = F.array(*[F.lit(len(catalog.PRESETS[p])) for p in PRESET_NAMES])
+    size = F.get(sizes, (F.col("user_id") % 3).cast("int"))
     edits = pop.edits(spark, sf_dir, "set_weight").select(
-        "user_id", "ts", "seq", (F.col("slot") % size).alias("member"), F.lit(size).alias("n_members"),
+        "user_id", "ts", "seq", (F.col("slot") % size).alias("member"), size.alias("n_members"),
         F.col("value").alias("weight"),
     )
     return _weights_out(replay.replay_weights(edits, baskets).select("user_id", "fund_id", "weight"))
 
 
+@query
+def replay_goal_amounts(spark, sf_dir):
+    """Amount edits in sequence: each fixes one goal's part of the pool and rescales the others, as weights of a basket do."""
+    rows = F.array_sort(F.collect_list(F.struct("ord", "goal_id", F.coalesce("share", lit(0)).alias("share"))))
+    # One row per goal of a user, at most ten.
+    listed = pop.goal_shares(spark, sf_dir).groupBy("user_id").agg(rows.alias("goals"))
+    held = listed.select("user_id", F.col("goals.goal_id").alias("fund_ids"), F.col("goals.share").alias("weights"))
+    money = held.join(pop.pools(spark, sf_dir), "user_id").where("monthly_sip > 0")
+    sizes = money.select("user_id", "monthly_sip", F.size("fund_ids").alias("n_members"))
+    edits = pop.edits(spark, sf_dir, "set_sip").join(sizes, "user_id").select(
+        "user_id", "ts", "seq", (F.col("slot") % F.col("n_members")).alias("member"), "n_members",
+        (F.col("value") / F.col("monthly_sip") * lit(100)).alias("weight"),
+    )
+    final = replay.replay_weights(edits, held).withColumnRenamed("fund_id", "goal_id")
+    return final.select("user_id", "goal_id", published(F.col("weight")).alias("share"))
+
+
 @query
 def replay_goal_toggles(spark, sf_dir):
     toggles = pop.edits(spark, sf_dir).select("user_id", "ts", "seq", (F.col("slot") % len(GOAL_IDS)).alias("goal_no"))
