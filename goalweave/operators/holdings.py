@@ -29,6 +29,12 @@ def totals(holdings: DataFrame) -> DataFrame:
     return holdings.groupBy("user_id").agg(F.sum(positive(F.col("amount"))).alias("holdings_total"))
 
 
+def applied_to_savings(pools: DataFrame, totals_: DataFrame) -> DataFrame:
+    """Pools whose current savings are what the user's holdings add up to; nothing for users without holdings."""
+    savings = F.coalesce("holdings_total", lit(0))
+    return pools.join(totals_, "user_id", "left").withColumn("current_savings", savings).drop("holdings_total")
+
+
 def reconcile(profiles: DataFrame, totals_: DataFrame) -> DataFrame:
     """Whether holdings and stated savings differ by a rupee or more."""
     total = F.coalesce(F.col("holdings_total"), lit(0))

@@ -650,6 +650,12 @@ CTES["onboarded"] = split_and_plan("built_goals")
 CTES["demo_plans"] = split_and_plan("demo_goals")
 SQL["onboard_population"] = plan_columns("onboarded", SPLIT_COLUMNS)
 SQL["demo_plan"] = plan_columns("demo_plans", SPLIT_COLUMNS)
+CTES["held_pools"] = f"""
+    SELECT p.user_id, monthly_sip, coalesce(t, {d(0)}) AS current_savings, inflation FROM pools p
+    LEFT JOIN (SELECT user_id, sum(greatest(amount, 0)) AS t FROM holdings GROUP BY 1) h ON h.user_id = p.user_id"""
+CTES["held_inputs"] = CTES["inputs"].replace("goals JOIN pools", "goals JOIN held_pools")
+CTES["held_plans"] = planned("(SELECT * FROM held_inputs JOIN preset_facts USING (profile))")
+SQL["plan_with_holdings"] = plan_columns("held_plans")
 CTES["live_pools"] = f"""
     SELECT c_custkey AS user_id, coalesce(monthly_sip, {d(25000)}) AS monthly_sip, coalesce(current_savings, {d(0)}) AS current_savings,
       coalesce(inflation, {d(0.06)}) AS inflation FROM customer LEFT JOIN pool_state ON user_id = c_custkey"""

@@ -654,6 +654,14 @@ def compute_plan(spark, sf_dir):
     return _plan_out(_plans(spark, sf_dir))
 
 
+@query
+def plan_with_holdings(spark, sf_dir):
+    """Plans after each user has taken over the total of the holdings as current savings."""
+    totals = holdings.totals(pop.holdings(spark, sf_dir))
+    pools = holdings.applied_to_savings(pop.pools(spark, sf_dir), totals)
+    return _plan_out(jobs.goal_plans(spark, pop.goal_shares(spark, sf_dir), pools))
+
+
 @query
 def plan_xirr(spark, sf_dir):
     rows = cashflow.plan_xirr(_plans(spark, sf_dir), projection.SERIES_START)

@@ -19,6 +19,7 @@ from ..sources.population import edits_from_events
 from ..sources.tables import SCHEMAS
 
 BATCH = "batch_id"
+SNAPSHOTS, UPTO = "snapshots", "upto"
 
 
 def edit_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -60,9 +61,52 @@ def start_plans(edits: DataFrame, goals: DataFrame, target: str, name: str, once
     return start(pool_states(edits), target, name, lambda pools: jobs.goal_plans(pools.sparkSession, goals, pools), once)
 
 
-def latest(spark: SparkSession, target: str, *keys: str) -> DataFrame:
-    """Newest row per key over all triggers. Folded per key before the shuffle, so often-changed keys stay cheap."""
-    rows = spark.read.option("basePath", target).parquet(target)
+def _numbers(spark: SparkSession, folder: str, key: str) -> list[int]:
+    """Ascending numbers of the sub-folders ``key=number`` that were written to the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    whole = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith(f"{key}=")]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(p.getName().split("=")[1]) for p in whole if files.exists(done(p, "_SUCCESS")))
+
+
+def _rows(spark: SparkSession, target: str) -> tuple[DataFrame, int]:
+    """Rows of the newest snapshot and of all triggers after it, and the number of the last trigger."""
+    snapshots, batches = _numbers(spark, f"{target}/{SNAPSHOTS}", UPTO), _numbers(spark, target, BATCH)
+    upto = snapshots[-1] if snapshots else -1
+    later = [b for b in batches if b > upto]
+    parts = [spark.read.parquet(f"{target}/{BATCH}={b}").withColumn(BATCH, F.lit(b)) for b in later]
+    if snapshots:
+        parts.insert(0, spark.read.parquet(f"{target}/{SNAPSHOTS}/{UPTO}={upto}").withColumn(BATCH, F.lit(upto)))
+    if not parts:
+        raise ValueError(f"no trigger has written to {target} yet")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows, later[-1] if later else upto
+
+
+def _newest(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     columns = [c for c in rows.columns if c not in (*keys, BATCH)]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), BATCH).alias("row"))
     return newest.select(*keys, "row.*")
+
+
+def latest(spark: SparkSession, target: str, *keys: str) -> DataFrame:
+    """Newest row per key over all triggers. Folded per key before the shuffle, so often-changed keys stay cheap."""
+    return _newest(_rows(spark, target)[0], keys)
+
+
+def fold(spark: SparkSession, target: str, *keys: str) -> None:
+    """Merge all triggers so far into one snapshot and drop what it replaces, so that ``latest`` reads one row per key and
+    the triggers since. A snapshot counts once it is written whole; until then the triggers are read as before.
+    """
+    rows, upto = _rows(spark, target)
+    _newest(rows, keys).write.mode("overwrite").parquet(f"{target}/{SNAPSHOTS}/{UPTO}={upto}")
+    old = [f"{target}/{BATCH}={b}" for b in _numbers(spark, target, BATCH) if b <= upto]
+    old += [f"{target}/{SNAPSHOTS}/{UPTO}={n}" for n in _numbers(spark, f"{target}/{SNAPSHOTS}", UPTO) if n < upto]
+    for folder in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

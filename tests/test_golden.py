@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pytest
@@ -258,3 +259,85 @@ def test_more_than_four_remarks(spark):
     plans = projection.compute_plan(rows)
     listed = insights.first_remarks(plans).first()
     assert listed.fired == 6 and [r.code for r in listed.remarks] == ["on_track", "ahead", "too_bold", "concentrated"]
+
+
+# ---- large sums, goal orders and text in summaries --------------------------------------------------------
+
+
+def test_rounding_has_no_upper_bound(spark):
+    from goalweave.functions.num import half_up, published, settled
+
+    values = [1e7 + 1 / 3, 1e13 + 0.25, 1e20, -1e20, 2.5, -2.5, 0.1 + 0.2]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    x = F.col("x")
+    got = rows.orderBy("i").select(settled(x).alias("s"), half_up(x).alias("h"), published(x).alias("p")).collect()
+    for v, r in zip(values, got):
+        assert abs(r.s - v) <= 1e-12 + abs(v) * 1e-15
+        assert r.h == (v if abs(v) >= 2**52 else math.floor(v + 0.5))
+        assert abs(r.p - v) <= 5.1e-7
+
+
+def test_bands_of_very_large_baskets(spark):
+    from goalweave.operators import portfolio
+    from goalweave.sources import catalog
+
+    for scale in (1e7, 1e13, 1e20):
+        alloc = spark.createDataFrame([(1, "icici_nifty", 2 * scale, 1), (1, "sbi_gilt", 1.2 * scale, 2)], "basket_id int, fund_id string, weight double, pos int")
+        (row,) = portfolio.basket_metrics(alloc, catalog.funds(spark), "basket_id").collect()
+        assert (row.equity, row.debt) == pytest.approx((2 * scale, 1.2 * scale), rel=1e-12)
+        sizes = {r.band: r.size for r in portfolio.band_segments(spark.createDataFrame([row]), "basket_id").collect()}
+        assert sizes == pytest.approx({"equity": 62.5, "debt": 37.5})
+
+
+def _split_of(spark, goals, order, pool):
+    from goalweave.operators import shares
+
+    rows = spark.createDataFrame(goals, "user_id int, goal_id string, ord int, need double").withColumn("monthly_sip", F.lit(pool))
+    ranks = spark.createDataFrame(order, "user_id int, goal_id string, rank int")
+    split = shares.recommend_shares(shares.in_stated_order(rows, ranks)).collect()
+    return {(r.user_id, r.goal_id): r.share for r in split}
+
+
+def test_split_without_order_is_served_as_declared(spark):
+    goals = [(u, g, i, n) for u in (1, 2, 3) for i, (g, n) in enumerate((("home", 80.0), ("travel", 60.0)))]
+    order = [(2, "ghost_goal", 9), (3, "travel", 1)]
+    got = _split_of(spark, goals, order, 100.0)
+    assert got == {(1, "home"): 80, (1, "travel"): 20, (2, "home"): 0, (2, "travel"): 0, (3, "travel"): 60, (3, "home"): 0}
+
+
+def test_order_is_kept_unless_a_goal_is_added_or_retimed(spark):
+    from goalweave.operators import shares
+
+    goals = spark.createDataFrame(
+        [(u, g, i, h, 1.0, False) for u in (1, 2) for i, (g, h) in enumerate((("home", 7.0), ("travel", 2.0)))],
+        "user_id int, goal_id string, ord int, horizon_years double, target_today double, tenure_confirmed boolean",
+    )
+    order = spark.createDataFrame([(1, "home", 1), (1, "travel", 2), (2, "home", 1), (2, "travel", 2)], "user_id int, goal_id string, rank int")
+    new = spark.createDataFrame([(1, "home", 7.0), (2, "car", 3.0)], "user_id int, goal_id string, horizon_years double")
+    added = {(r.user_id, r.goal_id): r.priority for r in shares.add_goals(goals, new, order, F.lit(False)).collect()}
+    assert added == {(1, "home"): 1, (1, "travel"): 2, (2, "travel"): 1, (2, "car"): 2, (2, "home"): 3}
+    edits = spark.createDataFrame([(1, "travel", 5.0, None), (2, "travel", None, 1.0)], "user_id int, goal_id string, new_target double, new_tenure double")
+    edited = {(r.user_id, r.goal_id): r.priority for r in shares.edit_goals(goals, edits, order, F.lit(False)).collect()}
+    assert edited == {(1, "home"): 1, (1, "travel"): 2, (2, "travel"): 1, (2, "home"): 2}
+
+
+def test_summary_keeps_digits_and_names(spark):
+    from goalweave.operators import chat
+
+    numbers = [33.333333333, 7.0, 1e7, 1e20, 12345.678901, 0.25, 100.0]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(numbers)], "i int, x double")
+    shown = [r.t for r in rows.orderBy("i").select(chat.number_text(F.col("x")).alias("t")).collect()]
+    assert shown == ["33.333333333", "7", "10000000", "100000000000000000000", "12345.678901", "0.25", "100"]
+    names = ["Flat:2.500,now", 'a "b" \\ c', "é\n", ""]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(chat.quoted(F.col("n")).alias("q")).collect()
+    assert [json.loads(r.q) for r in got] == names
+
+
+def test_catalogue_values():
+    """Spot values written out here, so that a slip in the catalogue cannot pass by way of the check SQL."""
+    from goalweave.sources import catalog
+
+    assert len(catalog.FUNDS) == 12 and len(catalog.GOALS) == 10 and len(catalog.PRESETS) == 3
+    assert ("travel", "Travel the World", 500000.0, 2.0, "steady", "none") in catalog.GOALS
+    assert all(sum(w for _, w in preset) == 100 for preset in catalog.PRESETS.values())
+    assert (catalog.DEFAULT_POOL, catalog.DEFAULT_SAVINGS, catalog.DEFAULT_INFLATION) == (25000, 0, 0.06)
