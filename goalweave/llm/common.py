@@ -60,6 +60,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def met_by_id(docs: DataFrame, others: DataFrame, how: str = "inner") -> DataFrame:
+    """``docs`` joined with rows of some doc_ids, both dealt by id.
+
+    Spark could send a small side to all tasks instead; asking for the merge join keeps the plan, and with it what is
+    shuffled, the same at every size.
+    """
+    return docs.join(others.hint("merge"), "doc_id", how)
+
+
 def hash_bucket(column: Column, buckets: int) -> Column:
     """0 to buckets - 1, from the upper bits so that it shares nothing with hash partitioning."""
     return F.pmod(F.shiftrightunsigned(F.xxhash64(column), 20), F.lit(buckets)).cast("int")

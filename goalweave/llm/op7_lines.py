@@ -145,7 +145,7 @@ def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
     places = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "h1")).alias("hits"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = places.join(texts, "doc_id").select("doc_id", "text", "hits")
+    met = common.met_by_id(texts, places).select("doc_id", "text", "hits")
     return met.mapInArrow(run, "doc_id long, at int, line string")
 
 
@@ -286,7 +286,7 @@ def without_repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # One list per doc_id and text; rows that repeat both have the same.
     found = found.dropDuplicates(["doc_id", "_key"])
     met = docs.withColumn("_own", _row_key()).join(
-        found.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")), "left"
+        found.withColumnRenamed("doc_id", "_doc").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")), "left"
     )
     cut = met.select(*docs.columns, "_removed").mapInArrow(run, met.select(*docs.columns).schema)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
