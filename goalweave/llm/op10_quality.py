@@ -167,4 +167,4 @@ def scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 def kept_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """``docs`` without the rejected ones, all columns as they are."""
     decided = scores(docs, labels, host, path).groupBy("doc_id").agg(F.max("kept").alias("_kept"))
-    return docs.join(decided.where("not _kept").select("doc_id"), "doc_id", "left_anti")
+    return common.met_by_id(docs, decided.where("not _kept").select("doc_id"), "left_anti")

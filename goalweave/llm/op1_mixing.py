@@ -11,8 +11,8 @@ per source, and its solution tilts the rate exponentially with the document's si
 2. Newton's method solves all sources' duals at once, one grouped aggregation per iteration; a bracket guards each
    source, and the state is written each turn.
 3. Rates become copies by carrying fractions along the sizes of a source, largest first: the copies of all sizes down to
-   any one add up to within half a copy of their rates, and one copy of the size that suits best is then added or taken
-   away to come nearer to the source's target. Within one size the surplus goes to the documents with the
+   any one add up to within half a copy of their rates; a copy of the size that suits best is then added or taken away, a
+   few times at most, to come nearer to the source's target. Within one size the surplus goes to the documents with the
    smallest hashes, counted out bucket by bucket, so that many documents of one size need no common sort.
 
 Only DataFrame operations. Targets: sources in code point order, null last, get the weights in turn and share ``share``
@@ -34,6 +34,7 @@ TOLERANCE = 1e-9
 MAX_TURNS = 80
 #: Buckets of the hash within one (source, size).
 BUCKETS = 1024
+SETTLING_TURNS = 6
 WEIGHTS = (5, 2, 1)
 
 
@@ -128,18 +129,24 @@ def _newton(counts: DataFrame, state: DataFrame, cap: float) -> DataFrame:
     )
 
 
-def _settled(classes: DataFrame) -> DataFrame:
-    """One copy more or less of the size that brings each source nearest to its target."""
+def _settled(classes: DataFrame, cap: int) -> DataFrame:
+    """A few times over, one copy more or less of the size that brings each source nearest to its target.
+
+    Needs n and ``all_copies`` per (source, size). With many sizes the first time settles it; sources of a few documents
+    gain by the others.
+    """
     whole_source = Window.partitionBy("source")
-    off = F.col("target") - F.sum((F.col("n") * F.col("whole") + F.col("surplus")) * F.col("size")).over(whole_source)
-    classes = classes.withColumn("off", off)
-    more = (F.col("off") > 0) & (F.col("surplus") < F.col("n")) & (F.col("rate") > F.col("whole"))
-    less = (F.col("off") < 0) & (F.col("surplus") > 0)
-    left = F.abs(F.abs("off") - F.col("size"))
-    classes = classes.withColumn("best", F.min(F.when(more | less, F.struct(left.alias("left"), "size"))).over(whole_source))
-    moved = (F.col("best.size") == F.col("size")) & (F.col("best.left") < F.abs("off"))
-    surplus = F.col("surplus") + F.when(moved, F.signum("off")).otherwise(0.0).cast("long")
-    return classes.withColumn("surplus", surplus).drop("off", "best")
+    for _ in range(SETTLING_TURNS):
+        off = F.col("target") - F.sum(F.col("all_copies") * F.col("size")).over(whole_source)
+        classes = classes.withColumn("off", off)
+        more = (F.col("off") > 0) & (F.col("all_copies") < F.col("n") * cap)
+        less = (F.col("off") < 0) & (F.col("all_copies") > 0)
+        left = F.abs(F.abs("off") - F.col("size"))
+        classes = classes.withColumn("best", F.min(F.when(more | less, F.struct(left.alias("left"), "size"))).over(whole_source))
+        moved = (F.col("best.size") == F.col("size")) & (F.col("best.left") < F.abs("off"))
+        step = F.when(moved, F.signum("off")).otherwise(0.0).cast("long")
+        classes = classes.withColumn("all_copies", F.col("all_copies") + step)
+    return classes.drop("off", "best")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -161,10 +168,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     down = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     carried = F.sum(loose).over(down)
     surplus = F.floor(carried + 0.5) - F.floor(carried - loose + 0.5)
-    classes = rated.select(
-        "source", "size", "source_size", "target", "rate", "n", whole.alias("whole"), F.least("n", surplus).alias("surplus")
+    all_copies = (F.col("n") * whole + F.least("n", surplus)).cast("long")
+    classes = _settled(rated.select("source", "size", "source_size", "target", "rate", "n", all_copies.alias("all_copies")), cap)
+    each = F.floor(F.col("all_copies") / F.col("n"))
+    classes = classes.select(
+        "source", "size", "source_size", "target", "rate", each.alias("whole"), (F.col("all_copies") - each * F.col("n")).alias("surplus")
     )
-    classes = scratch.write(_settled(classes).drop("n"), "classes")
+    classes = scratch.write(classes, "classes")
 
     # At most BUCKETS rows for each (source, size).
     earlier = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -188,5 +198,5 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     taken = mixed(docs.where("doc_id is not null"), weights, share, cap)
     # Rows that repeat a doc_id: each gets the most copies any of them has.
     chosen = taken.groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    repeated = docs.join(chosen, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    repeated = common.met_by_id(docs, chosen).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return repeated.select(*docs.columns)

@@ -285,7 +285,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
 
 def _matched(scratch: common.Scratch, docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    met = marks.join(texts, "doc_id")
+    met = common.met_by_id(texts, marks)
     opened = scratch.write(_opened(met, window), "open")
     single = opened.where(F.size("open") > 0).select("doc_id", "text_key", F.explode("open").alias("w")).select("doc_id", "text_key", "w.*")
     least = single.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))

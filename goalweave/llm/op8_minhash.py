@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     narrow = narrow.join(_shared(narrow), ["band", "key"])
     stars = members.unionByName(narrow).where("doc_id <> pivot")
     stars = stars.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
-    sets = scratch.write(shingle_sets(docs.join(candidates, "doc_id", "left_semi"), width), "sets")
+    sets = scratch.write(shingle_sets(common.met_by_id(docs, candidates, "left_semi"), width), "sets")
 
     checked = scratch.write(_checked(stars, sets, percent), "checked")
     linked = common.components(scratch, checked.where("linked").select("u", "v"))
@@ -212,4 +212,4 @@ def _rest(members: DataFrame, linked: DataFrame, checked: DataFrame, percent: in
 def kept_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without those whose component has a smaller doc_id; of repeated rows of one doc_id all stay."""
     gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    return common.met_by_id(docs, gone, "left_anti")
