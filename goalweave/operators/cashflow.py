@@ -2,7 +2,8 @@
 
 Flows of one entity are summed per day before anything is gathered, with map-side combining. What is gathered per
 entity is therefore one entry per calendar day at most (some 36,500 for a century), however many flows it has.
-Solving runs inside the row with higher-order functions; no Python worker takes part.
+Flows that first all go one way and then all the other have one root at most; those are solved by the Arrow batch
+(``rates.py``). Everything else takes the full search inside the row, with higher-order functions.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import is_finite, lit
+from . import rates
 
 DAYS_PER_YEAR = 365.0
 LOW_RATE, HIGH_RATE = -0.9999, 10.0
 ROOT_TOLERANCE = 1e-6
 
-# The bracket is 11 wide: 100 halvings leave less than 1e-29, far below the spacing of doubles near any root.
-HALVINGS = 100
+HALVINGS = 200
 NEWTON_STEPS = 100
 NEWTON_START, NEWTON_SHIFT, NEWTON_TOLERANCE, FLAT_SLOPE = 0.1, 1e-6, 1e-8, 1e-12
 
@@ -102,63 +103,6 @@ def solve_rate(flows: Column) -> Column:
     return let(flows, lambda fl: let(npv(fl, lit(LOW_RATE)), lambda low: choose(fl, low)))
 
 
-# A secant step shorter than the tolerance leaves an error far below it, as each step multiplies the errors of the
-# last two; the sign change is then looked for this far on either side.
-SECANT_STEPS, SECANT_SHIFT, SECANT_TOLERANCE, CHECK_SHIFT = 12, 1e-4, 1e-9, 1e-9
-
-
-def _polish(flows: Column, guess: Column) -> Column:
-    """Secant steps from a close guess; stops once the rate no longer moves."""
-
-    def state(old, old_value, rate, value, done) -> Column:
-        return F.struct(
-            old.alias("old"), old_value.alias("old_value"), rate.alias("rate"), value.alias("value"), done.alias("done")
-        )
-
-    def step(s: Column, _: Column) -> Column:
-        slope = F.try_divide(s["value"] - s["old_value"], s["rate"] - s["old"])
-        target = s["rate"] - F.coalesce(F.try_divide(s["value"], slope), lit(0))
-        moved = let(
-            target,
-            lambda r: F.when(
-                F.abs(r - s["rate"]) < SECANT_TOLERANCE, state(s["old"], s["old_value"], r, s["value"], F.lit(True))
-            ).otherwise(state(s["rate"], s["value"], r, npv(flows, r), F.lit(False))),
-        )
-        return F.when(s["done"], s).otherwise(moved)
-
-    near = guess + lit(SECANT_SHIFT)
-    start = state(near, npv(flows, near), guess, npv(flows, guess), F.lit(False))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SECANT_STEPS)), start, step, lambda s: s["rate"])
-
-
-def solve_near(flows: Column, guess: Column, one_root: Column) -> Column:
-    """The root near ``guess``, for flows whose sign changes once and whose root is therefore the only one.
-
-    Taken only when the value really changes sign around it; anything else goes to the full search.
-    """
-
-    def checked(fl: Column, r: Column) -> Column:
-        inside = (r - lit(CHECK_SHIFT) > LOW_RATE) & (r + lit(CHECK_SHIFT) < HIGH_RATE)
-        flips = npv(fl, r - lit(CHECK_SHIFT)) * npv(fl, r + lit(CHECK_SHIFT)) < 0
-        return F.when(one_root & is_finite(r) & inside & flips, r).otherwise(solve_rate(fl))
-
-    return let(flows, lambda fl: let(F.when(one_root, _polish(fl, guess)), lambda r: checked(fl, r)))
-
-
-# Halvings that bring the guess for the secant steps to within 0.003 of the root.
-COARSE_HALVINGS = 12
-
-
-def solve_flows(flows: Column, one_change: Column) -> Column:
-    """As ``solve_rate``, in fewer evaluations for flows that first all go one way and then all the other."""
-
-    def coarse(fl: Column) -> Column:
-        return let(npv(fl, lit(LOW_RATE)), lambda low: _bisect(fl, low, COARSE_HALVINGS))
-
-    # The guess is bound once: lambda bodies share nothing, and the secant steps use it several times.
-    return let(flows, lambda fl: let(F.when(one_change, coarse(fl)), lambda guess: solve_near(fl, guess, one_change)))
-
-
 def xirr(flows: DataFrame, key: str = "entity_id", order: str | None = None) -> DataFrame:
     """Money-weighted return per entity from rows (key, flow_date, amount).
 
@@ -190,7 +134,12 @@ def xirr(flows: DataFrame, key: str = "entity_id", order: str | None = None) ->
         ),
     )
     solvable = (F.col("n") >= 2) & (F.col("largest") > 0) & (F.col("smallest") < 0)
-    return per_entity.select(key, "n", F.when(solvable, solve_flows(timed, F.col("one_change"))).otherwise(lit(0)).alias("xirr"))
+    timed = per_entity.select(key, "n", solvable.alias("solvable"), "one_change", timed.alias("flows"))
+    once = F.when(F.col("solvable") & F.col("one_change"), F.col("flows"))
+    quick = rates.rate_of_flows(once["t"], once["amount"], LOW_RATE, HIGH_RATE)
+    solved = timed.withColumn("quick", quick)
+    rate = F.when(F.col("solvable"), F.coalesce("quick", solve_rate(F.col("flows")))).otherwise(lit(0))
+    return solved.select(key, "n", rate.alias("xirr"))
 
 
 def xnpv(flows: DataFrame, rates: list[float], key: str = "entity_id", order: str | None = None) -> DataFrame:
@@ -215,10 +164,10 @@ def xnpv(flows: DataFrame, rates: list[float], key: str = "entity_id", order: st
 
 
 def plan_xirr(plans: DataFrame, start: str) -> DataFrame:
-    """Money-weighted return of each plan's own flows, built and solved inside the row: no explode, no shuffle.
+    """Money-weighted return of each plan's own flows: no explode, no shuffle, one entry per month while it is solved.
 
-    The array holds one entry per month of the plan. Were all months equally long, the answer would be the plan's
-    return compounded over twelve months, so that is where the search starts.
+    Were all months equally long, the answer would be the plan's return compounded over twelve months, so that is where
+    the search starts.
     """
     day0 = F.lit(start).cast("date")
     savings, sip, corpus, months = F.col("savings"), F.col("sip"), F.col("projected_corpus"), F.col("months")
@@ -228,10 +177,12 @@ def plan_xirr(plans: DataFrame, start: str) -> DataFrame:
         years = F.datediff(F.add_months(day0, m), day0) / lit(DAYS_PER_YEAR)
         return F.struct(years.alias("t"), amount.alias("amount"))
 
-    flows = F.transform(F.sequence(F.lit(0), months), flow)
     guess = F.pow(F.col("blended_return") / lit(12) + lit(1), lit(12)) - lit(1)
     pays_then_gains = (savings + sip > 0) & (sip >= 0) & (corpus > 0)
     pays = (savings + sip > 0) | ((sip > 0) & (months > 1)) | (corpus < 0)
     gains = (corpus > 0) | (savings + sip < 0) | ((sip < 0) & (months > 1))
-    rate = F.when(pays & gains, solve_near(flows, guess, pays_then_gains)).otherwise(lit(0))
-    return plans.withColumn("xirr", rate)
+    once = F.when(pays_then_gains, months)
+    quick = rates.rate_of_plans(savings + sip, sip, corpus, once, guess, start, LOW_RATE, HIGH_RATE, DAYS_PER_YEAR)
+    full = solve_rate(F.transform(F.sequence(F.lit(0), months), flow))
+    rate = F.when(pays & gains, F.coalesce("_quick", full)).otherwise(lit(0))
+    return plans.withColumn("_quick", quick).withColumn("xirr", rate).drop("_quick")

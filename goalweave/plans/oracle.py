@@ -400,8 +400,8 @@ def rate_query(flows: str, key: str) -> str:
             CASE WHEN abs(fm) >= 1e-6 AND flo * fm < 0 THEN mid ELSE hi END,
             CASE WHEN abs(fm) < 1e-6 OR flo * fm < 0 THEN flo ELSE fm END,
             CASE WHEN abs(fm) < 1e-6 THEN mid END, i + 1
-          FROM (SELECT *, {value_at.format(r="mid")} AS fm FROM (SELECT *, (lo + hi) / 2 AS mid FROM walk WHERE root IS NULL AND i < 100))),
-        found AS (SELECT {key}, arg_max(coalesce(root, (lo + hi) / 2), i) AS rate FROM walk WHERE root IS NOT NULL OR i = 100 GROUP BY {key})"""
+          FROM (SELECT *, {value_at.format(r="mid")} AS fm FROM (SELECT *, (lo + hi) / 2 AS mid FROM walk WHERE root IS NULL AND i < 200))),
+        found AS (SELECT {key}, arg_max(coalesce(root, (lo + hi) / 2), i) AS rate FROM walk WHERE root IS NOT NULL OR i = 200 GROUP BY {key})"""
 
 
 def basket(columns: str) -> str:
