@@ -92,6 +92,30 @@ def pick_moves(n_goals: int) -> np.ndarray:
     return np.array([[number[toggled(s, g)] for s in states] for g in range(n_goals)], dtype=np.int16)
 
 
+#: Effects of one user that are composed, or in the end applied, one after another.
+FAN_IN = 64
+
+
+def _composed(runs: DataFrame, ranges: int) -> DataFrame:
+    """At most FAN_IN effects per user: neighbouring ones become one, in as many rounds as ``ranges`` calls for.
+
+    An effect lists the outcome for each state; a list of one says that all states end there.
+    """
+
+    def after(acc: Column, run: Column) -> Column:
+        return F.when(F.size(run) == 1, run).otherwise(F.transform(acc, lambda s: F.get(run, s)))
+
+    while ranges > FAN_IN:
+        ranges = -(-ranges // FAN_IN)
+        groups = runs.groupBy("user_id", F.floor(F.col("part") / FAN_IN).cast("int").alias("group"))
+        listed = groups.agg(F.array_sort(F.collect_list(F.struct("part", "effect"))).alias("runs"))
+        first, rest = F.col("runs")[0]["effect"], F.slice("runs", 2, FAN_IN)
+        runs = listed.select(
+            "user_id", F.col("group").alias("part"), F.aggregate(rest, first, lambda acc, run: after(acc, run["effect"])).alias("effect")
+        )
+    return runs
+
+
 def replay_picks(toggles: DataFrame, goal_ids: list[str]) -> DataFrame:
     """Goals each user ends up with, from rows (user_id, ts, seq, goal_no); users left with none give no rows."""
     n_goals = len(goal_ids)
@@ -116,8 +140,10 @@ def replay_picks(toggles: DataFrame, goal_ids: list[str]) -> DataFrame:
             lambda state: state.tolist() if isinstance(state, np.ndarray) else [state],
         )
 
-    runs = _in_order(toggles, "goal_no").mapInPandas(effects, "user_id bigint, part int, effect array<smallint>")
-    chained = _chained(runs)
+    ordered = _in_order(toggles, "goal_no")
+    runs = ordered.mapInPandas(effects, "user_id bigint, part int, effect array<smallint>")
+    ranges = int(toggles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chained = _chained(_composed(runs, ranges))
     start = F.lit(0).cast("smallint")
     last = F.aggregate(
         "runs", start, lambda s, run: F.when(F.size(run["effect"]) == 1, run["effect"][0]).otherwise(F.get(run["effect"], s))

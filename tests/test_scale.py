@@ -219,3 +219,33 @@ def test_worker_code_needs_no_package(spark, sf_dir, tmp_path):
         "assert moves(10).shape == (10, 821); assert 'goalweave' not in sys.modules"
     )
     subprocess.run([sys.executable, "-c", code, str(path)], cwd="/", check=True)
+
+
+def test_effects_of_a_hot_user_are_composed(spark, monkeypatch):
+    """With many ranges and a small fan-in, a user with most of the log still ends where a plain loop does."""
+    from goalweave.operators import replay
+
+    draw = random.Random(8)
+    toggles = [(1 if draw.random() < 0.8 else draw.randrange(2, 9), i, draw.randrange(10)) for i in range(3000)]
+    wanted: dict[int, list[int]] = {}
+    for user, _, goal in toggles:
+        picks = wanted.setdefault(user, [])
+        if goal in picks:
+            picks.remove(goal)
+        elif len(picks) < 3:
+            picks.append(goal)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(u, start + datetime.timedelta(seconds=i), i, g) for u, i, g in toggles]
+    draw.shuffle(rows)
+    frame = spark.createDataFrame(rows, "user_id bigint, ts timestamp_ntz, seq bigint, goal_no int")
+    monkeypatch.setattr(replay, "FAN_IN", 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = replay.replay_picks(frame, [str(g) for g in range(10)]).orderBy("user_id", "place").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got: dict[int, list[int]] = {}
+    for r in found:
+        got.setdefault(r.user_id, []).append(int(r.goal_id))
+    assert got == {u: p for u, p in wanted.items() if p}
