@@ -729,6 +729,37 @@ SQL["replay_edits"] = f"""
         FROM walk s JOIN ops o ON o.user_id = s.user_id AND o.k = s.k + 1),
       final AS (SELECT user_id, arg_max(funds, k) AS funds, arg_max(x, k) AS x FROM walk GROUP BY user_id)
     SELECT user_id, fund_id, {r6("weight", "weight")} FROM (SELECT user_id, unnest(funds) AS fund_id, unnest(x) AS weight FROM final)"""
+PRESET_ROWS = ", ".join(
+    f"({k}, [{', '.join('NULL' if f not in held else d(held[f]) for f in FUND_IDS)}])"
+    for k, held in enumerate(dict(catalog.PRESETS[p]) for p in q.PRESET_NAMES)
+)
+CTES["preset_weights"] = f"SELECT * FROM (VALUES {PRESET_ROWS}) AS t(preset_no, given)"
+
+
+def over_all(part: str) -> str:
+    return f"list_transform(range(1, 13), lambda j: {part})"
+
+
+SQL["replay_basket_log"] = f"""
+    WITH RECURSIVE ops AS (SELECT user_id, action, slot % 12 + 1 AS i, value, given, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS k
+        FROM edits LEFT JOIN preset_weights ON preset_no = slot % 3
+        WHERE slot IS NOT NULL AND action IN ('set_weight', 'add_holding', 'set_savings', 'set_inflation')),
+      walk AS (SELECT c_custkey AS user_id, given AS x, 0 AS k FROM customer JOIN preset_weights ON preset_no = c_custkey % 3
+        UNION ALL
+        SELECT user_id, CASE
+            WHEN action = 'set_inflation' THEN given
+            WHEN action = 'add_holding' AND x[i] IS NULL THEN CASE WHEN n = 0 THEN {over_all(f"CASE WHEN j = i THEN {d(100)} END")}
+              ELSE {over_all(f"CASE WHEN j = i THEN {d(100)} / (n + 1) WHEN total > 0 THEN x[j] / total * (100 - {d(100)} / (n + 1)) ELSE x[j] - x[j] + (100 - {d(100)} / (n + 1)) / n END")} END
+            WHEN action = 'set_savings' AND x[i] IS NOT NULL THEN {over_all("CASE WHEN j <> i AND others > 0 THEN x[j] / others * 100 END")}
+            WHEN action = 'set_weight' AND x[i] IS NOT NULL THEN CASE WHEN n = 1 THEN {over_all(f"CASE WHEN j = i THEN {d(100)} END")}
+              ELSE {over_all("CASE WHEN j = i THEN w WHEN others > 0 THEN x[j] / others * (100 - w) ELSE x[j] - x[j] + (100 - w) / (n - 1) END")} END
+            ELSE x END, k
+        FROM (SELECT s.user_id, s.x, o.k, o.i, o.action, o.given, least({d(100)}, greatest({d(0)}, o.value)) AS w, list_count(s.x) AS n,
+            coalesce(list_sum(s.x), 0) AS total, coalesce(list_sum(list_transform(range(1, 13), lambda j: CASE WHEN j <> o.i THEN s.x[j] END)), 0) AS others
+          FROM walk s JOIN ops o ON o.user_id = s.user_id AND o.k = s.k + 1)),
+      final AS (SELECT user_id, arg_max(x, k) AS x FROM walk GROUP BY user_id)
+    SELECT user_id, {numbered("j - 1", FUND_IDS)} AS fund_id, {r6("x[j]", "weight")} FROM (SELECT user_id, x, unnest(range(1, 13)) AS j FROM final)
+    WHERE x[j] IS NOT NULL"""
 CTES["share_lists"] = """
     SELECT user_id, list(goal_id ORDER BY ord) AS ids, list(coalesce(share, CAST(0 AS DOUBLE)) ORDER BY ord) AS x FROM goals GROUP BY user_id"""
 SQL["replay_goal_amounts"] = f"""

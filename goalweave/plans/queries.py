@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.num import lit, positive, published, rupees
-from ..operators import cashflow, chat, holdings, insights, portfolio, profile, projection, replay, shares, state
+from ..operators import basket_log, cashflow, chat, holdings, insights, portfolio, profile, projection, replay, shares, state
 from ..sources import catalog
 from ..sources import population as pop
 from ..sources.tables import read_table
@@ -551,6 +551,40 @@ def replay_edits(spark, sf_dir):
     return _weights_out(replay.replay_weights(edits, baskets).select("user_id", "fund_id", "weight"))
 
 
+def _preset_weights(name: str):
+    """A preset over all funds of the catalogue: null for those it does not hold."""
+    weights = dict(catalog.PRESETS[name])
+    total = sum(weights.values())
+    held = [weights.get(f[0]) for f in catalog.FUNDS]
+    return F.array(*[F.lit(None if w is None else w / total * 100).cast("double") for w in held])
+
+
+#: What each action of the edit log does to a basket.
+BASKET_ACTIONS = {
+    "set_weight": basket_log.WEIGHT, "add_holding": basket_log.ADD, "set_savings": basket_log.REMOVE, "set_inflation": basket_log.PRESET,
+}
+
+
+@query
+def replay_basket_log(spark, sf_dir):
+    """Each user's basket after weights set, funds added and removed and presets applied, in the order of the log."""
+    def preset(n):
+        chosen = F.lit(None).cast("array<double>")
+        for k, name in enumerate(PRESET_NAMES):
+            chosen = F.when(n == k, _preset_weights(name)).otherwise(chosen)
+        return chosen
+
+    kind = catalog.lookup(F.col("action"), BASKET_ACTIONS, None)
+    log = pop.edits(spark, sf_dir, *BASKET_ACTIONS).where("slot IS NOT NULL").withColumn("kind", kind)
+    edits = log.select(
+        "user_id", state.order_key().alias("order_key"), "kind", (F.col("slot") % len(catalog.FUNDS)).alias("fund_no"),
+        F.col("value").alias("weight"), F.when(F.col("kind") == basket_log.PRESET, preset(F.col("slot") % 3)).alias("basket"),
+    )
+    users = pop.profiles(spark, sf_dir).select("user_id", preset(F.col("user_id") % 3).alias("basket"))
+    rows = basket_log.replay_baskets(edits, users, len(catalog.FUNDS))
+    return rows.select("user_id", pop.fund_by_number(F.col("fund_no")).alias("fund_id"), published(F.col("weight")).alias("weight"))
+
+
 @query
 def replay_goal_amounts(spark, sf_dir):
     """Amount edits in sequence: each fixes one goal's part of the pool and rescales the others, as weights of a basket do."""

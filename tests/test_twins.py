@@ -253,3 +253,57 @@ def test_hot_user_really_spans_partitions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert parts > 4
+
+
+def test_basket_log_against_a_loop(spark):
+    """All kinds of edits in one log, long and short logs, zero weights, emptied baskets, several batches per user."""
+    import random
+
+    from goalweave.operators import basket_log as log
+
+    draw, n_funds = random.Random(12), 5
+    presets = [[60.0, 40.0, None, None, None], [None, 0.0, 100.0, None, None]]
+
+    def plain(x, kind, fund, weight, basket):
+        held = {k: v for k, v in enumerate(x) if v is not None}
+        if kind == log.PRESET:
+            return list(basket)
+        if kind == log.ADD and fund not in held:
+            share = 100 / (len(held) + 1)
+            total = sum(held.values())
+            held = {k: v / total * (100 - share) if total > 0 else (100 - share) / len(held) for k, v in held.items()} | {fund: share}
+        elif kind == log.REMOVE and fund in held:
+            del held[fund]
+            total = sum(held.values())
+            held = {k: v / total * 100 for k, v in held.items()} if total > 0 else {}
+        elif kind == log.WEIGHT and fund in held:
+            if len(held) == 1:
+                held = {fund: 100.0}
+            else:
+                w = min(100.0, max(0.0, weight))
+                rest = {k: v for k, v in held.items() if k != fund}
+                total = sum(rest.values())
+                held = {k: v / total * (100 - w) if total > 0 else (100 - w) / len(rest) for k, v in rest.items()} | {fund: w}
+        return [held.get(k) for k in range(n_funds)]
+
+    baskets = {u: [20.0, 30.0, 50.0, None, None] if u % 2 else presets[1] for u in range(12)}
+    rows, wanted = [], {u: list(b) for u, b in baskets.items()}
+    for i in range(2500):
+        user = 3 if draw.random() < 0.7 else draw.randrange(12)
+        kind = draw.choices([log.WEIGHT, log.ADD, log.REMOVE, log.PRESET], [5, 3, 3, 0 if user == 3 else 1])[0]
+        fund, weight = draw.randrange(n_funds), draw.choice([0.0, 100.0, 130.0, -5.0, draw.uniform(0, 100)])
+        basket = draw.choice(presets) if kind == log.PRESET else None
+        rows.append((user, i, kind, fund, weight, basket))
+        wanted[user] = plain(wanted[user], kind, fund, weight, basket)
+    draw.shuffle(rows)
+    edits = spark.createDataFrame(rows, "user_id bigint, order_key bigint, kind int, fund_no int, weight double, basket array<double>")
+    edits = edits.withColumn("order_key", F.col("order_key").cast("decimal(38,0)"))
+    starts = spark.createDataFrame(list(baskets.items()), "user_id bigint, basket array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = log.replay_baskets(edits, starts, n_funds).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = {(r.user_id, r.fund_no): r.weight for r in found}
+    assert got == pytest.approx({(u, k): v for u, x in wanted.items() for k, v in enumerate(x) if v is not None}, abs=1e-6)
