@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 
@@ -89,3 +90,11 @@ class WordTable:
         cuts = np.concatenate([[0], np.cumsum(self.length[code])])[np.cumsum([0, *counts])]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             yield ids[a:b]
+
+
+def small(batches, rows: int = 500):
+    """The same rows in small batches, so that what a worker makes of one stays small; unused memory goes back at the end."""
+    for batch in batches:
+        for i in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()

@@ -74,7 +74,7 @@ def fitted(x: np.ndarray, good: np.ndarray) -> np.ndarray | None:
 
 def _figures_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             rows = [figures(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "good", "x"])
 
@@ -94,7 +94,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
 
 def _logits(docs: DataFrame, host: str, path: str, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             x = np.array([figures(t) for t in batch.column(3).to_pylist()]).reshape(-1, FIGURES)
             logit = np.clip(x @ weights, -LOGIT_BOUND, LOGIT_BOUND)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(logit)], ["doc_id", "host", "path", "logit"])

@@ -141,7 +141,7 @@ def _sequence_key(hashes: np.ndarray, low: Rolling, high: Rolling) -> tuple[int,
 def scanned(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, low, high = Blocks(window), Rolling(22), Rolling(32)
-        for batch in batches:
+        for batch in kernels.small(batches):
             counts, seqs, shas, found = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = kernels.as_bytes(text).split()
@@ -185,7 +185,7 @@ def _opened(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, low, high = Blocks(window), Rolling(22), Rolling(32)
-        for batch in batches:
+        for batch in kernels.small(batches):
             covered, opened, open_counts, covered_counts, rows = [], [], [], [], []
             keys, texts, all_marks = (batch.column(i).to_pylist() for i in (1, 2, 3))
             for i, (text, marks) in enumerate(zip(texts, all_marks)):
@@ -223,7 +223,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     """Words outside all the windows that start at ``covered``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             removed, kept_texts = [], []
             for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = kernels.as_bytes(text).split()

@@ -38,7 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPACE = "▁"
 #: Longest piece in characters (four 64-bit keys of four 16-bit characters), and segments relaxed with a heap.
 REACH, LONG = 16, 64
-CACHE_WORDS, SLICE_CHARS = 400_000, 3_000_000
+CACHE_WORDS, SLICE_CHARS = 300_000, 2_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -304,11 +304,9 @@ def _with_texts(docs: DataFrame, keep: list[str], added: str, make) -> DataFrame
     names = [c.split()[0] for c in added.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                columns = make(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*keep, *names])
+        for part in kernels.small(batches, 1000):
+            columns = make(part.column(part.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*keep, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, {added}")
@@ -328,7 +326,7 @@ def decoded(rows: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of each row and ``text`` of its ``ids``; null ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             lists = batch.column(batch.num_columns - 1).to_pylist()
             texts = [coder(path).decode(np.array(ids or [], dtype=np.int64)) for ids in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])

@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of each row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             found = written(digests([kernels.as_bytes(t) for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
@@ -171,13 +171,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for start in range(0, len(columns[0]), 500):
-                held += zip(*[c[start : start + 500] for c in columns])
-                yield _finished(held)
-                # The last own row waits for its successor; what is ahead of a range only serves the row before it.
-                held = [] if held[-1][3] else held[-1:]
+        for batch in kernels.small(batches):
+            held += zip(*[batch.column(i).to_pylist() for i in range(4)])
+            if not held:
+                continue
+            yield _finished(held)
+            # The last own row waits for its successor; what is ahead of a range only serves the row before it.
+            held = [] if held[-1][3] else held[-1:]
 
     def _finished(held: list[tuple]) -> pa.RecordBatch:
         at = [i for i, (a, b) in enumerate(zip(held, held[1:])) if not a[3] and a[2] == b[2]]

@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, kernels
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -97,7 +97,7 @@ def scanned(docs: DataFrame, least: int) -> DataFrame:
     """Distinct lines of each document: first place, later places, hash, and four keys (two halves for each length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             counts, found = [], []
             for text in batch.column(2).to_pylist():
                 lines = (text or "").split("\n")
@@ -128,7 +128,7 @@ def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, at, line) of the wanted places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             names, ats, lines = [], [], []
             for name, text, hits in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 split = (text or "").split("\n")
@@ -159,7 +159,7 @@ DEALT = "key long, doc_id long, at int, extra int, begin int, end int"
 
 def _dealt_anew(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             found = []
             for key, doc, at, extra, begin, end, line in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 found += [(k, doc, at, extra, b, e) for k, b, e in halves(key, line, begin, end, extra)]
@@ -193,7 +193,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Of pairs (first, then) those within one edit, as the later line's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             near = pa.array([edits_within(x, y, 1) for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(near) for c in batch.columns[:2]], ["doc_id", "at"])
@@ -272,7 +272,7 @@ def without_repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = repeated_lines(docs, least).where("n_removed > 0").select("doc_id", F.col("row_key").alias("_key"), F.col("removed").alias("_removed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             at, texts = batch.schema.get_field_index("text"), []
             for text, removed in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if removed is not None:

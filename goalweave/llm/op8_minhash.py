@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = kernels.odd_numbers(18, HASHES), kernels.odd_numbers(28, HASHES)
         salt = kernels.odd_numbers(38, 1)
-        for batch in batches:
+        for batch in kernels.small(batches):
             counts, high, low, minima = [], [], [], []
             for text in batch.column(1).to_pylist():
                 items = shingles(text, width)
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.small(batches):
             sets = [kernels.signed(shingles(t, width)) for t in batch.column(1).to_pylist()]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
