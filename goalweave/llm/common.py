@@ -38,8 +38,11 @@ class Scratch:
         self._used += 1
         return f"{self.root}/{self._used:03d}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, part: int = 1) -> DataFrame:
+        """``part``: a table of a few numbers per row takes one file for so many shuffle partitions, not one for each."""
         path = self.path(name)
+        if part > 1:
+            df = df.coalesce(max(partitions(self.spark) // part, 4))
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -113,9 +116,9 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     a node is hot; the state is written each turn.
     """
     oriented = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current, mark = scratch.write(oriented, "edges"), None
+    current, mark = scratch.write(oriented, "edges", 8), None
     while True:
-        following = scratch.write(_small_star(_large_star(current)), "stars")
+        following = scratch.write(_small_star(_large_star(current)), "stars", 8)
         # The sum of many hashes may pass 2^63; a decimal holds it.
         row = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(current)

@@ -92,8 +92,14 @@ class WordTable:
             yield ids[a:b]
 
 
-def small(batches, rows: int = 500):
-    """The same rows in small batches, so that what a worker makes of one stays small; unused memory goes back at the end."""
+def small(batches, rows: int = 500, keep: str | None = None):
+    """The same rows in small batches, so that what a worker makes of one stays small.
+
+    What earlier operators have kept in this worker goes first, but for ``keep``; memory not in use is given back at the end.
+    """
+    shelf = sys.__dict__.get("_goalweave_kept", {})
+    for name in [n for n in shelf if n != keep]:
+        del shelf[name]
     for batch in batches:
         for i in range(0, max(batch.num_rows, 1), rows):
             yield batch.slice(i, rows)

@@ -139,7 +139,7 @@ def scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, F.lit(True).alias("kept"))
     found = scratch.write(_logits(docs, host, path, weights), "logits").withColumn("evidence", _chance(F.col("logit")))
 
-    paths = scratch.write(found.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("good")), "paths")
+    paths = scratch.write(found.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("good")), "paths", 16)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     overall = (total["good"] or 0.0) / (total["n"] or 1)
@@ -150,7 +150,7 @@ def scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
         F.col("good").alias("host_good"),
         ((F.col("good") + host_weight * overall) / (F.col("n") + host_weight)).alias("center"),
     )
-    sites = scratch.write(paths.join(shrunk, F.col("host").eqNullSafe(F.col("of"))).drop("of"), "sites")
+    sites = scratch.write(paths.join(shrunk, F.col("host").eqNullSafe(F.col("of"))).drop("of"), "sites", 16)
     path_weight = _weight(sites, F.col("center"))
 
     site = sites.select(F.col("host").alias("sh"), F.col("path").alias("sp"), "n", "good", "host_n", "host_good")

@@ -49,7 +49,7 @@ def targets(scratch: common.Scratch, counts: DataFrame, weights: tuple[int, ...]
     by_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))))
-    table = scratch.write(by_source.select("source", "source_size", weight.alias("weight")), "sources")
+    table = scratch.write(by_source.select("source", "source_size", weight.alias("weight")), "sources", 64)
     most = F.col("source_size") * F.lit(float(cap))
     per_weight, budget = 0.0, None
     while True:
@@ -87,9 +87,9 @@ def multipliers(scratch: common.Scratch, counts: DataFrame, wanted: DataFrame, c
         F.lit(float("inf")).alias("high"),
         F.lit(False).alias("done"),
     )
-    state = scratch.write(state, "state")
+    state = scratch.write(state, "state", 64)
     for _ in range(MAX_TURNS):
-        following = scratch.write(_newton(counts, state, cap), "state")
+        following = scratch.write(_newton(counts, state, cap), "state", 64)
         left = following.where("multiplier is not null and not done").isEmpty()
         scratch.drop(state)
         state = following
@@ -154,8 +154,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     scratch = common.Scratch(docs.sparkSession, "mixing")
     bucket = common.hash_bucket(F.col("doc_id"), BUCKETS)
     rows = scratch.write(sizes(docs).withColumn("bucket", bucket), "sizes")
-    fine = scratch.write(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
-    counts = scratch.write(fine.groupBy("source", "size").agg(F.sum("n").alias("n")), "counts")
+    fine = scratch.write(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "buckets", 4)
+    counts = scratch.write(fine.groupBy("source", "size").agg(F.sum("n").alias("n")), "counts", 8)
     solved = multipliers(scratch, counts, targets(scratch, counts, weights, share, cap), cap)
 
     solved = solved.withColumnRenamed("source", "s")
@@ -174,7 +174,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     classes = classes.select(
         "source", "size", "source_size", "target", "rate", each.alias("whole"), (F.col("all_copies") - each * F.col("n")).alias("surplus")
     )
-    classes = scratch.write(classes, "classes")
+    classes = scratch.write(classes, "classes", 8)
 
     # At most BUCKETS rows for each (source, size).
     earlier = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

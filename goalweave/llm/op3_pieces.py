@@ -39,6 +39,8 @@ SPACE = "▁"
 #: Longest piece in characters (four 64-bit keys of four 16-bit characters), and segments relaxed with a heap.
 REACH, LONG = 16, 64
 CACHE_WORDS, SLICE_CHARS = 300_000, 2_000_000
+#: New segments that are indexed together.
+NEW_SEGMENTS = 30_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -281,9 +283,11 @@ class PieceCoder:
             split = self.pieces.segments.findall
             cut = [split(" " + t.replace(SPACE, " ")) if t else [] for t in some]
             flat = [w for words in cut for w in words]
-            if new := self.words.unknown(flat):
-                ids = encode_segments(self.pieces, [w.replace(" ", SPACE) for w in new])
-                self.words.add(new, np.concatenate(ids), np.array([len(x) for x in ids]))
+            new = self.words.unknown(flat)
+            for i in range(0, len(new), NEW_SEGMENTS):
+                part = new[i : i + NEW_SEGMENTS]
+                ids = encode_segments(self.pieces, [w.replace(" ", SPACE) for w in part])
+                self.words.add(part, np.concatenate(ids), np.array([len(x) for x in ids]))
             yield from self.words.joined(flat, [len(words) for words in cut])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -295,16 +299,20 @@ class PieceCoder:
         return text[1:] if text.startswith(" ") else text
 
 
+def _name(path: str) -> str:
+    return f"piece coder {path}"
+
+
 def coder(path: str) -> PieceCoder:
-    return kernels.kept(f"piece coder {path}", lambda: PieceCoder(path))
+    return kernels.kept(_name(path), lambda: PieceCoder(path))
 
 
-def _with_texts(docs: DataFrame, keep: list[str], added: str, make) -> DataFrame:
+def _with_texts(docs: DataFrame, path: str, keep: list[str], added: str, make) -> DataFrame:
     """``keep`` columns, then what ``make`` returns for a list of texts."""
     names = [c.split()[0] for c in added.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in kernels.small(batches, 1000):
+        for part in kernels.small(batches, 1000, _name(path)):
             columns = make(part.column(part.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*keep, *names])
 
@@ -319,14 +327,14 @@ def _id_lists(found: list[np.ndarray]) -> pa.ListArray:
 
 def encoded(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of each row and ``ids`` of its text."""
-    return _with_texts(docs, keep, "ids array<int>", lambda texts: [_id_lists(list(coder(path).encode(texts)))])
+    return _with_texts(docs, path, keep, "ids array<int>", lambda texts: [_id_lists(list(coder(path).encode(texts)))])
 
 
 def decoded(rows: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of each row and ``text`` of its ``ids``; null ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in kernels.small(batches):
+        for batch in kernels.small(batches, keep=_name(path)):
             lists = batch.column(batch.num_columns - 1).to_pylist()
             texts = [coder(path).decode(np.array(ids or [], dtype=np.int64)) for ids in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
@@ -342,7 +350,7 @@ def round_trips(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
         found = list(coder(path).encode(texts))
         return [_id_lists(found), pa.array([coder(path).decode(ids) for ids in found], pa.string())]
 
-    return _with_texts(docs, keep, "ids array<int>, decoded string", make)
+    return _with_texts(docs, path, keep, "ids array<int>, decoded string", make)
 
 
 def checksums(docs: DataFrame, path: str) -> DataFrame:
@@ -359,4 +367,4 @@ def checksums(docs: DataFrame, path: str) -> DataFrame:
             pa.array([t == (text or "") for t, text in zip(back, texts)], pa.bool_()),
         ]
 
-    return _with_texts(docs, ["doc_id"], "n_tokens long, ids_crc32 long, decoded_sha256 string, exact boolean", make)
+    return _with_texts(docs, path, ["doc_id"], "n_tokens long, ids_crc32 long, decoded_sha256 string, exact boolean", make)

@@ -213,12 +213,12 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     firsts = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
     # Rows that repeat a doc_id may hold a line twice; the smaller place stands for it.
     own = named.select("doc_id", "at", "h1", "h2", "keys").join(firsts.withColumnRenamed("first_id", "doc_id"), ["h1", "h2", "doc_id"])
-    kept = scratch.write(own.dropDuplicates(["h1", "h2"]), "firsts")
+    kept = scratch.write(own.dropDuplicates(["h1", "h2"]), "firsts", 4)
 
     # The first two keys are of the line's own length, the others of one character less.
     exploded = kept.select("doc_id", "at", "h1", F.posexplode("keys").alias("place", "key"))
     keyed = exploded.select("key", "doc_id", "at", "h1", F.floor(F.col("place") / 2).cast("int").alias("extra"), (F.col("place") % 2).alias("half"))
-    shared = scratch.write(_sized(keyed), "shared")
+    shared = scratch.write(_sized(keyed), "shared", 4)
     lines = scratch.write(_line_texts(shared, docs), "texts")
     small = shared.where(F.col("size") <= CROWD).select("key", "doc_id", "at", "extra")
     near = [_verified(_pairs(small), lines)]
@@ -229,19 +229,21 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     rest = size - F.col("extra") - cut
     begin = F.when(F.col("half") == 0, cut).otherwise(F.lit(0)).cast("int")
     end = F.when(F.col("half") == 0, size).otherwise(size - rest).cast("int")
-    crowd = scratch.write(crowd.select("key", "doc_id", "at", "extra", begin.alias("begin"), end.alias("end"), "line"), "crowd")
-    while not crowd.isEmpty():
-        dealt = scratch.write(_sized(_dealt_anew(crowd)), "dealt")
+    crowd = crowd.select("key", "doc_id", "at", "extra", begin.alias("begin"), end.alias("end"), "line")
+    left = not shared.where(F.col("size") > CROWD).isEmpty()
+    while left:
+        dealt = scratch.write(_sized(_dealt_anew(crowd)), "dealt", 8)
         # Nothing more to deal by where lines agree in all but one character.
         over = F.col("end") - F.col("begin") - F.col("extra") <= 1
         near.append(_verified(_pairs(dealt.where(F.col("size") <= CROWD)), lines))
         near.append(_same_but_one(dealt.where((F.col("size") > CROWD) & over), lines))
-        more = dealt.where((F.col("size") > CROWD) & ~over).drop("size").join(lines, ["doc_id", "at"])
-        crowd = scratch.write(more.select("key", "doc_id", "at", "extra", "begin", "end", "line"), "crowd")
+        more = dealt.where((F.col("size") > CROWD) & ~over)
+        left = not more.isEmpty()
+        crowd = more.join(lines, ["doc_id", "at"]).select("key", "doc_id", "at", "extra", "begin", "end", "line")
     later = near[0]
     for some in near[1:]:
         later = later.unionAll(some)
-    later = scratch.write(later.distinct(), "later")
+    later = scratch.write(later.distinct(), "later", 8)
 
     gone = kept.join(later, ["doc_id", "at"], "left_semi").select("h1", "h2", F.lit(True).alias("late"))
     marked = rows.join(firsts, ["h1", "h2"], "left").join(gone, ["h1", "h2"], "left")

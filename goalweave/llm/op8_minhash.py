@@ -148,17 +148,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = scratch.write(signatures(docs, width), "signatures")
     nonempty = signed.where("n_shingles > 0 and doc_id is not null")
     classes = nonempty.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.write(classes, "classes")
+    classes = scratch.write(classes, "classes", 4)
     same_set = ["set_hi", "set_lo", "n_shingles"]
     first = classes.withColumnRenamed("rep", "doc_id")
     reps = scratch.write(
         nonempty.join(first, [*same_set, "doc_id"], "left_semi").select("doc_id", "signature").dropDuplicates(["doc_id", "signature"]),
         "reps",
+        4,
     )
 
     keys = scratch.write(_band_keys(reps, BANDS), "keys")
-    members = scratch.write(keys.join(_shared(keys), ["band", "key"]), "members")
-    candidates = scratch.write(members.select("doc_id").distinct(), "candidates")
+    members = scratch.write(keys.join(_shared(keys), ["band", "key"]), "members", 4)
+    candidates = scratch.write(members.select("doc_id").distinct(), "candidates", 8)
     scratch.drop(keys)
     narrow = _band_keys(reps.join(candidates, "doc_id", "left_semi"), NARROW_BANDS)
     narrow = narrow.join(_shared(narrow), ["band", "key"])
@@ -168,8 +169,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     checked = scratch.write(_checked(stars, sets, percent), "checked")
     linked = common.components(scratch, checked.where("linked").select("u", "v"))
-    likely = scratch.write(_rest(members, linked, checked, percent), "likely")
-    rest = scratch.write(_checked(likely, sets, percent).where("linked").select("u", "v"), "rest")
+    likely = scratch.write(_rest(members, linked, checked, percent), "likely", 8)
+    rest = scratch.write(_checked(likely, sets, percent).where("linked").select("u", "v"), "rest", 8)
     if not rest.isEmpty():
         roots = linked.select(F.col("node").alias("u"), F.col("component").alias("v"))
         linked = common.components(scratch, roots.unionAll(rest))
