@@ -59,6 +59,8 @@ class Tree:
         self.points = points
         self.at_center = points[self.center]
         self.reach = np.array(self.radius)
+        self.leaf = np.array([not len(c) for c in self.children], dtype=bool)
+        self.begin, self.end = np.array(self.range, dtype=np.int64).reshape(-1, 2).T
 
     def _away(self, center: int, some: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(2 - 2 * self.gram[center, some], 0))
@@ -104,6 +106,7 @@ class Links:
         self.weights = weights
         self.counts = np.zeros(len(weights), dtype=np.int64)
         self.parent = list(range(len(weights)))
+        self.leaves: list[tuple[np.ndarray, np.ndarray]] = []
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -129,11 +132,26 @@ class Links:
         for i in a.tolist():
             self.join(i, int(a[0]))
 
-    def some(self, a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> None:
-        self.counts[a] += linked @ self.weights[b]
-        self.counts[b] += linked.T @ self.weights[a]
-        for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
-            self.join(int(a[i]), int(b[j]))
+    def settle(self, a: Tree, b: Tree, shift: int, vectors: np.ndarray, norms: np.ndarray, cosine: float) -> None:
+        """Compare all points of the pairs of leaves that were put aside, many pairs at once."""
+        for left, right in self.leaves:
+            sizes = (a.end - a.begin)[left] * (b.end - b.begin)[right]
+            for some in np.array_split(np.arange(len(left)), int(sizes.sum()) // 200_000 + 1):
+                x, y, size = left[some], right[some], sizes[some]
+                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                wide = np.repeat((b.end - b.begin)[y], size)
+                u = a.order[np.repeat(a.begin[x], size) + inside // wide]
+                v = b.order[np.repeat(b.begin[y], size) + inside % wide] + shift
+                if a is b:  # within one leaf every pair comes twice, and each point with itself
+                    once = (np.repeat(x, size) != np.repeat(y, size)) | (u < v)
+                    u, v = u[once], v[once]
+                near = np.einsum("ij,ij->i", vectors[u], vectors[v]) / (norms[u] * norms[v]) >= cosine
+                u, v = u[near], v[near]
+                np.add.at(self.counts, u, self.weights[v])
+                np.add.at(self.counts, v, self.weights[u])
+                for i, j in zip(u.tolist(), v.tolist()):
+                    self.join(i, j)
+        self.leaves = []
 
 
 def traversed(a: Tree, b: Tree, shift: int, cosine: float, vectors: np.ndarray, links: Links) -> None:
@@ -141,41 +159,40 @@ def traversed(a: Tree, b: Tree, shift: int, cosine: float, vectors: np.ndarray,
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     threshold = math.sqrt(max(2 - 2 * cosine, 0))
 
-    def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return (vectors[x] @ vectors[y].T) / (norms[x][:, None] * norms[y][None, :]) >= cosine
-
     stack = [(0, 0)] if len(a.order) and len(b.order) else []
     while stack:
         x, y = stack.pop()
+        if a.leaf[x] and b.leaf[y]:
+            links.leaves.append((np.array([x]), np.array([y])))
+            continue
         if a is b and x == y:
-            mine = a.members(x)
             if 2 * a.radius[x] + SLACK <= threshold:
-                links.clique(mine)
-            elif not len(a.children[x]):
-                links.some(mine, mine, np.triu(cosines(mine, mine), 1))
-            else:
-                kids = a.children[x]
-                stack += [(k, k) for k in kids.tolist()]
-                _meet(a, b, kids, kids, True, threshold, shift, links, stack)
+                links.clique(a.members(x))
+                continue
+            kids = a.children[x]
+            links.leaves.append((kids[a.leaf[kids]], kids[a.leaf[kids]]))
+            stack += [(k, k) for k in kids[~a.leaf[kids]].tolist()]
+            _meet(a, b, kids, kids, True, threshold, shift, links, stack)
             continue
         kids_x, kids_y = a.children[x], b.children[y]
-        if not len(kids_x) and not len(kids_y):
-            mine, other = a.members(x), b.members(y) + shift
-            links.some(mine, other, cosines(mine, other))
-            continue
         # Both are opened where both have children; a leaf stays as it is.
         kids_x = kids_x if len(kids_x) else np.array([x])
         kids_y = kids_y if len(kids_y) else np.array([y])
         _meet(a, b, kids_x, kids_y, False, threshold, shift, links, stack)
+    links.settle(a, b, shift, vectors, norms, cosine)
 
 
 def _meet(a: Tree, b: Tree, xs: np.ndarray, ys: np.ndarray, once: bool, threshold: float, shift: int, links: Links, stack: list) -> None:
-    """Bounds of all pairs of two sets of nodes: those that stay open go to the stack."""
+    """Bounds of all pairs of two sets of nodes: those that stay open go to the stack, pairs of leaves aside."""
     apart = np.sqrt(np.maximum(2 - 2 * (a.at_center[xs] @ b.at_center[ys].T), 0))
     radii = a.reach[xs][:, None] + b.reach[ys][None, :]
     possible = apart <= radii + threshold + SLACK
     if once:
         possible &= np.arange(len(xs))[:, None] < np.arange(len(ys))[None, :]
+    leaves = possible & a.leaf[xs][:, None] & b.leaf[ys][None, :]
+    i, j = np.nonzero(leaves)
+    links.leaves.append((xs[i], ys[j]))
+    possible &= ~leaves
     sure = possible & (apart + radii + SLACK <= threshold)
     for i, j in zip(*(x.tolist() for x in np.nonzero(sure))):
         links.whole(a.members(int(xs[i])), b.members(int(ys[j])) + shift)
