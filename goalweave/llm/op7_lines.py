@@ -2,7 +2,8 @@
 
 A text is cut at line feeds. A line of at least ``least`` characters is removed when a line at most one edit (insertion,
 deletion or substitution of a character) away, or an equal one, comes before it: in a document with a smaller doc_id, or
-further up in its own. Shorter lines stay. Lines are judged on the input, not on what is left.
+further up in its own. Equal lines may be shorter, from ``equal`` characters on; other shorter lines stay. Lines are judged
+on the input, not on what is left.
 
 1. One pass over the text gives each document's distinct lines as 128-bit hashes with their segment keys. Equal lines
    collapse to their first place (smallest document, then line).
@@ -93,8 +94,9 @@ LINE = pa.struct(
 )
 
 
-def scanned(docs: DataFrame, least: int) -> DataFrame:
-    """Distinct lines of each document: first place, later places, hash, and four keys (two halves for each length)."""
+def scanned(docs: DataFrame, least: int, equal: int) -> DataFrame:
+    """Distinct lines of each document from ``equal`` characters on: first place, later places, hash, and from ``least``
+    characters on four keys (two halves for each length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small(batches):
@@ -103,13 +105,13 @@ def scanned(docs: DataFrame, least: int) -> DataFrame:
                 lines = (text or "").split("\n")
                 places: dict[str, list[int]] = {}
                 for at, line in enumerate(lines):
-                    if len(line) >= least:
+                    if len(line) >= equal:
                         places.setdefault(line, []).append(at)
                 rows = []
                 for line, at in places.items():
                     digest = xxhash.xxh3_128_intdigest(line.encode())
                     h1, h2 = (x - (1 << 64) if x >= 1 << 63 else x for x in divmod(digest, 1 << 64))
-                    keys = [k for extra in (0, 1) for k, _, _ in halves("", line, 0, len(line), extra)]
+                    keys = [k for extra in (0, 1) for k, _, _ in halves("", line, 0, len(line), extra)] if len(line) >= least else []
                     rows.append({"at": at[0], "again": at[1:], "h1": h1, "h2": h2, "keys": keys})
                 counts.append(0 if text is None else len(lines))
                 found.append(rows)
@@ -204,10 +206,13 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return met.select("doc_b", "at_b", "line_a", "line_b").mapInArrow(run, "doc_id long, at int").distinct()
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row_key, n_lines, n_removed and removed (line numbers from 0, ascending)."""
+def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, row_key, n_lines, n_removed and removed (line numbers from 0, ascending).
+
+    Lines of ``least`` characters are compared by edits; equal ones go from ``equal`` characters on (as ``least`` if None).
+    """
     scratch = common.Scratch(docs.sparkSession, "lines")
-    scan = scratch.write(scanned(docs, least), "scan")
+    scan = scratch.write(scanned(docs, least, least if equal is None else max(min(equal, least), 1)), "scan")
     rows = scan.select("doc_id", "row_key", F.explode("lines").alias("l")).select("doc_id", "row_key", "l.*")
     named = rows.where("doc_id is not null")
     firsts = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
@@ -269,9 +274,9 @@ def _same_but_one(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return behind.unionAll(_verified(_pairs(mixed), lines))
 
 
-def without_repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None) -> DataFrame:
     """``docs`` with those lines taken out of ``text``; where there is a column n_chars, it is counted anew."""
-    found = repeated_lines(docs, least).where("n_removed > 0").select("doc_id", F.col("row_key").alias("_key"), F.col("removed").alias("_removed"))
+    found = repeated_lines(docs, least, equal).where("n_removed > 0").select("doc_id", F.col("row_key").alias("_key"), F.col("removed").alias("_removed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small(batches):

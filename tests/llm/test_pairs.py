@@ -150,6 +150,14 @@ def test_lines_with_crowds(spark):
             assert texts[d] == (kept, len(kept))
 
 
+def test_short_lines_repeat(spark):
+    rows = [(1, "Les.\nDes.\n\nx"), (2, "Les.\n\nDe."), (3, "x\nLes.\nLes.\nanother line that is long enough"), (None, "Les.\nLes.")]
+    found = {r.doc_id: r.removed for r in op7_lines.repeated_lines(frame(spark, rows), equal=1).collect()}
+    assert found == {1: [], 2: [0], 3: [0, 1, 2], None: [1]}
+    texts = {r.doc_id: r.text for r in op7_lines.without_repeated_lines(frame(spark, rows), equal=1).collect()}
+    assert texts == {1: rows[0][1], 2: "\nDe.", 3: "another line that is long enough", None: "Les."}
+
+
 def test_lines_odd_rows(spark, odd_rows):
     docs = frame(spark, odd_rows)
     kept = op7_lines.without_repeated_lines(docs)
