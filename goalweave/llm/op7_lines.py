@@ -1,7 +1,7 @@
-"""Line dedup: lines within one edit of an earlier line are removed, by segment-partition edit join.
+"""Line dedup: lines within a few edits of an earlier line are removed, by segment-partition edit join.
 
 A text is cut at line feeds. A line of at least ``least`` characters is removed when a line at most one edit (insertion,
-deletion or substitution of a character) away, or an equal one, comes before it: in a document with a smaller doc_id, or
+deletion or substitution of a character; more in longer lines, see 5) away, or an equal one, comes before it: in a document with a smaller doc_id, or
 further up in its own. Equal lines may be shorter, from ``equal`` characters on; other shorter lines stay. Lines are judged
 on the input, not on what is left.
 
@@ -13,6 +13,11 @@ on the input, not on what is left.
 3. A key of many lines is never paired: its lines are dealt anew by the halves of what the key does not cover, as often
    as needed. Lines that agree in all but one character are all within one edit of their first one.
 4. Pairs of the small groups meet their text; a banded bit-parallel edit distance decides.
+5. With ``edits`` above 1, a line of ``EACH`` characters or more for each edit may have so many, up to ``edits``: the shorter
+   line of a pair sets the number k. It is cut into k + 1 segments; at least one lies unchanged in the other line, moved by
+   no more than the edits before and behind it allow. Lines of a crowded key are compared with the key's first line; what
+   that does not remove is compared with all earlier lines of the key, so these comparisons can grow with the square of a
+   key's lines that are truly apart.
 
 Nulls: a null text has no lines; a null doc_id comes last, in no order with other null ones, and is compared within its
 own text alone. Rows that repeat a doc_id are one document: an equal line of another such row is no earlier one. Empty
@@ -24,6 +29,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
@@ -35,6 +41,12 @@ from . import common, kernels
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST = 20
+#: Characters for each edit, where more than one is asked for.
+EACH = 20
+BASE = 0x9E3779B97F4A7C15
+#: Characters whose segments are found at once, and bits of the table of known segments (16 MB).
+AT_ONCE = 1 << 20
+MARKS = 1 << 27
 #: Lines of a key that may be paired; more are dealt anew.
 CROWD = 32
 
@@ -50,6 +62,11 @@ def edits_within(a: str, b: str, most: int) -> bool:
         middle = (low + high + 1) // 2
         low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
     a, b = a[low:], b[low:]
+    low, high = 0, len(b)
+    while low < high:  # nor does the common end
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[-middle:] == b[-middle:] else (low, middle - 1)
+    a, b = a[: len(a) - low], b[: len(b) - low]
     width = 2 * most + 1
     every = (1 << width) - 1
     # Bit t of column j stands for row j + 1 - most + t. Differences down a column: all +1 below row 0, none above it.
@@ -88,9 +105,43 @@ def halves(before: int | str, text: str, begin: int, end: int, extra: int) -> li
     ]
 
 
-SCANNED = "doc_id long, row_key long, n_lines long, lines array<struct<at:int,again:array<int>,h1:long,h2:long,keys:array<long>>>"
+def allowed(size: int, edits: int) -> int:
+    """Edits that a line of ``size`` characters may be away from a longer one."""
+    return max(1, min(edits, size // EACH))
+
+
+def segments(lines: list[str], edits: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, key) of the k + 1 segments of each line, or of what may lie in it of those of a line no longer."""
+    # Sums of characters times powers of an odd number give the hash of any part by one difference.
+    chars = kernels.mixed(np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+    power, back = (np.full(len(chars) + 1, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power), np.cumprod(back)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * power[:-1])])
+    sizes = np.array([len(x) for x in lines], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    numbers, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for extra in range(1 if own else edits + 1):
+        most = np.clip((sizes - extra) // EACH, 1, edits)
+        for k in range(max(2, extra), edits + 1):
+            at = np.flatnonzero(most == k)
+            size, start = sizes[at] - extra, starts[at]
+            for i in range(k + 1):
+                begin, end = start + size * i // (k + 1), start + size * (i + 1) // (k + 1)
+                kind = kernels.mixed((size << 8 | i).astype(np.uint64))
+                # Some segment is whole with just i edits before it and at most k - i behind it.
+                for shift in [0] if own else range(max(-i, extra - (k - i)), min(i, extra + k - i) + 1):
+                    # A line's own segments are keys already.
+                    if own or shift or extra:
+                        part = (sums[end + shift] - sums[begin + shift]) * back[begin + shift]
+                        numbers.append(at)
+                        keys.append(kernels.signed(kernels.mixed(part + kind)))
+    return np.concatenate(numbers), np.concatenate(keys)
+
+
+SCANNED = "doc_id long, row_key long, n_lines long, lines array<struct<at:int,again:array<int>,size:int,h1:long,h2:long,keys:array<long>>>"
 LINE = pa.struct(
-    [("at", pa.int32()), ("again", pa.list_(pa.int32())), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))]
+    [("at", pa.int32()), ("again", pa.list_(pa.int32())), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))]
 )
 
 
@@ -112,7 +163,7 @@ def scanned(docs: DataFrame, least: int, equal: int) -> DataFrame:
                     digest = xxhash.xxh3_128_intdigest(line.encode())
                     h1, h2 = (x - (1 << 64) if x >= 1 << 63 else x for x in divmod(digest, 1 << 64))
                     keys = [k for extra in (0, 1) for k, _, _ in halves("", line, 0, len(line), extra)] if len(line) >= least else []
-                    rows.append({"at": at[0], "again": at[1:], "h1": h1, "h2": h2, "keys": keys})
+                    rows.append({"at": at[0], "again": at[1:], "size": len(line), "h1": h1, "h2": h2, "keys": keys})
                 counts.append(0 if text is None else len(lines))
                 found.append(rows)
             columns = [*batch.columns[:2], pa.array(counts, pa.int64())]
@@ -191,13 +242,13 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return found.select(*[F.when(before, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in columns]).distinct()
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of pairs (first, then) those within one edit, as the later line's place."""
+def _verified(pairs: DataFrame, lines: DataFrame, edits: int = 1) -> DataFrame:
+    """Of pairs (first, then) those within the edits allowed, as the later line's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small(batches):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            near = pa.array([edits_within(x, y, 1) for x, y in zip(a, b)], pa.bool_())
+            near = pa.array([edits_within(x, y, allowed(min(len(x), len(y)), edits)) for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(near) for c in batch.columns[:2]], ["doc_id", "at"])
 
     a = lines.select(F.col("doc_id").alias("doc_a"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
@@ -206,10 +257,11 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return met.select("doc_b", "at_b", "line_a", "line_b").mapInArrow(run, "doc_id long, at int").distinct()
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None, edits: int = 1) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_key, n_lines, n_removed and removed (line numbers from 0, ascending).
 
-    Lines of ``least`` characters are compared by edits; equal ones go from ``equal`` characters on (as ``least`` if None).
+    Lines of ``least`` characters are compared by edits: one, or in longer lines one for each ``EACH`` characters, up to
+    ``edits``. Equal ones go from ``equal`` characters on (as ``least`` if None).
     """
     scratch = common.Scratch(docs.sparkSession, "lines")
     scan = scratch.write(scanned(docs, least, least if equal is None else max(min(equal, least), 1)), "scan")
@@ -217,7 +269,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
     named = rows.where("doc_id is not null")
     firsts = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
     # Rows that repeat a doc_id may hold a line twice; the smaller place stands for it.
-    own = named.select("doc_id", "at", "h1", "h2", "keys").join(firsts.withColumnRenamed("first_id", "doc_id"), ["h1", "h2", "doc_id"])
+    own = named.select("doc_id", "at", "size", "h1", "h2", "keys").join(firsts.withColumnRenamed("first_id", "doc_id"), ["h1", "h2", "doc_id"])
     kept = scratch.write(own.dropDuplicates(["h1", "h2"]), "firsts", 4)
 
     # The first two keys are of the line's own length, the others of one character less.
@@ -249,6 +301,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
     for some in near[1:]:
         later = later.unionAll(some)
     later = scratch.write(later.distinct(), "later", 8)
+    if edits > 1:
+        later = _within_more(scratch, kept.where(F.col("size") >= least), docs, edits, later)
 
     gone = kept.join(later, ["doc_id", "at"], "left_semi").select("h1", "h2", F.lit(True).alias("late"))
     marked = rows.join(firsts, ["h1", "h2"], "left").join(gone, ["h1", "h2"], "left")
@@ -263,6 +317,79 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
     return found.select("doc_id", "row_key", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
+def _segment_keys(lines: DataFrame, edits: int, known: np.ndarray | None = None) -> DataFrame:
+    """(key, doc_id, at, own) of the lines' own segments, or of parts whose keys are perhaps ``known``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernels.small(batches):
+            texts, first = batch.column(2).to_pylist(), 0
+            while first < len(texts):
+                last, size = first + 1, len(texts[first])
+                while last < len(texts) and size + len(texts[last]) <= AT_ONCE:
+                    size += len(texts[last])
+                    last += 1
+                place, keys = segments(texts[first:last], edits, known is None)
+                if known is not None:
+                    bits = keys & (MARKS - 1)
+                    met = (known[bits >> 6] >> (bits & 63)) & 1 == 1
+                    place, keys = place[met], keys[met]
+                found = [batch.column(i).take(pa.array(place + first)) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *found], ["key", "doc_id", "at"])
+                first = last
+
+    found = lines.select("doc_id", "at", "line").mapInArrow(run, "key long, doc_id long, at int")
+    return found.withColumn("own", F.lit(known is None))
+
+
+def _marks(keys: DataFrame) -> np.ndarray:
+    """A table of ``MARKS`` bits, set for each key, whatever their number: it spares work but decides nothing."""
+    bit = F.col("key").bitwiseAND(F.lit(MARKS - 1))
+    # Each bit is below 2^63 or its sign.
+    words = keys.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("mark"))
+    found = words.groupBy("word").agg(F.bit_or("mark").alias("marks")).toArrow()
+    known = np.zeros(MARKS // 64, np.int64)
+    known[found.column("word").to_numpy()] = found.column("marks").to_numpy()
+    return known
+
+
+def _paired(rows: DataFrame, late: DataFrame | None = None) -> DataFrame:
+    """Pairs of lines that share a key that is one's own, the earlier one first; without those whose later one is in ``late``."""
+    a = rows.select("key", F.col("doc_id").alias("doc_a"), F.col("at").alias("at_a"), F.col("own").alias("own_a"))
+    b = rows.select("key", F.col("doc_id").alias("doc_b"), F.col("at").alias("at_b"), F.col("own").alias("own_b"))
+    if late is not None:
+        b = b.join(late.select(F.col("doc_id").alias("doc_b"), F.col("at").alias("at_b")), ["doc_b", "at_b"], "left_anti")
+    before = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("at_a") < F.col("at_b")))
+    found = a.join(b, "key").where(before & (F.col("own_a") | F.col("own_b")))
+    return found.select("doc_a", "at_a", "doc_b", "at_b").distinct()
+
+
+def _within_more(scratch: common.Scratch, kept: DataFrame, docs: DataFrame, edits: int, late: DataFrame) -> DataFrame:
+    """Places of lines that have an earlier one within their ``allowed`` edits, of two or more, besides those in ``late``."""
+    lines = scratch.write(_line_texts(kept.where(F.col("size") >= 2 * EACH), docs), "long")
+    own = scratch.write(_segment_keys(lines, edits), "own", 4)
+    others = _segment_keys(lines, edits, _marks(own)).join(own.select("key"), "key", "left_semi")
+    rows = scratch.write(own.unionAll(others), "segments", 4)
+    scratch.drop(own)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = scratch.write(rows.join(sizes, "key"), "alike", 4)
+    scratch.drop(rows)
+    met = scratch.write(lines.join(shared.select("doc_id", "at").distinct(), ["doc_id", "at"], "left_semi"), "met")
+    scratch.drop(lines)
+    lines = met
+
+    small = _paired(shared.where(F.col("size") <= CROWD), late)
+    found = scratch.write(late.unionAll(_verified(small, lines, edits)).distinct(), "near", 8)
+    crowd = shared.where(F.col("size") > CROWD)
+    if crowd.isEmpty():
+        return found
+    # Most lines of a crowded key are within reach of its first one.
+    firsts = crowd.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("f")).select("key", F.col("f.doc_id").alias("doc_a"), F.col("f.at").alias("at_a"))
+    led = crowd.join(found, ["doc_id", "at"], "left_anti").join(firsts, "key").where("doc_id <> doc_a or at <> at_a")
+    led = led.select("doc_a", "at_a", F.col("doc_id").alias("doc_b"), F.col("at").alias("at_b")).distinct()
+    found = scratch.write(found.unionAll(_verified(led, lines, edits)).distinct(), "near", 8)
+    return scratch.write(found.unionAll(_verified(_paired(crowd, found), lines, edits)).distinct(), "near", 8)
+
+
 def _same_but_one(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """Places that follow the first line of a key whose lines agree in all but one character; longer lines are compared."""
     own = rows.where("extra = 0")
@@ -274,9 +401,9 @@ def _same_but_one(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return behind.unionAll(_verified(_pairs(mixed), lines))
 
 
-def without_repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None, edits: int = 1) -> DataFrame:
     """``docs`` with those lines taken out of ``text``; where there is a column n_chars, it is counted anew."""
-    found = repeated_lines(docs, least, equal).where("n_removed > 0").select("doc_id", F.col("row_key").alias("_key"), F.col("removed").alias("_removed"))
+    found = repeated_lines(docs, least, equal, edits).where("n_removed > 0").select("doc_id", F.col("row_key").alias("_key"), F.col("removed").alias("_removed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small(batches):

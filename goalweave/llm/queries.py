@@ -40,7 +40,7 @@ def _op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = op7_lines.repeated_lines(documents(spark, sf_dir), equal=1)
+    found = op7_lines.repeated_lines(documents(spark, sf_dir), equal=1, edits=4)
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 

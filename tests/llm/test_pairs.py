@@ -150,6 +150,53 @@ def test_lines_with_crowds(spark):
             assert texts[d] == (kept, len(kept))
 
 
+def test_segments_meet_within_the_edits():
+    draw = random.Random(5)
+    for _ in range(3000):
+        x = "".join(draw.choice("ab") for _ in range(draw.randrange(40, 110)))
+        y = list(x)
+        for _ in range(draw.randrange(5)):
+            at = draw.randrange(len(y))
+            y[at : at + draw.randrange(2)] = draw.choice(["", "a", "c"])
+        x, y = sorted([x, "".join(y)], key=len)
+        if op7_lines.allowed(len(x), 4) > 1 and edit_distance(x, y) <= op7_lines.allowed(len(x), 4):
+            own = set(op7_lines.segments([x], 4, True)[1].tolist())
+            assert own & {k for mine in (True, False) for k in op7_lines.segments(["some other line", y], 4, mine)[1].tolist()}
+
+
+def test_segments_of_unlike_lines_differ():
+    lines = [words(s, 30, 10**6)[:200] for s in range(50)]
+    own = op7_lines.segments(lines, 4, True)[1]
+    assert len(set(own.tolist())) == len(own) == 250
+    assert not set(own.tolist()) & set(op7_lines.segments(lines, 4, False)[1].tolist())
+
+
+def test_lines_within_more_edits(spark):
+    draw, base = random.Random(9), "the quick brown fox jumps over the lazy dog and then it sleeps for a day in 2024 or so"
+    lines, rows = [words(s, 12, 10**6) for s in range(40)], []
+    for d in range(120):
+        some = [base[: draw.choice([34, 45, 63, 86])]]
+        for _ in range(draw.randrange(8)):
+            some.append(mutated(draw, some[-1]))
+        some += [mutated(draw, mutated(draw, mutated(draw, draw.choice(lines)))), f"{base} {draw.randrange(10**9)}"]
+        rows.append((d, "\n".join([some[0], some[-3], *some[-2:]])))
+    order, late = list(dict.fromkeys(x for _, t in rows for x in t.split("\n"))), set()
+    for k, y in enumerate(order):
+        if any(abs(len(x) - len(y)) <= 4 and op7_lines.edits_within(x, y, max(1, min(4, min(len(x), len(y)) // 20))) for x in order[:k]):
+            late.add(y)
+    seen, wanted = set(), {}
+    for d, t in rows:
+        wanted[d] = []
+        for i, x in enumerate(t.split("\n")):
+            if x in late or x in seen:
+                wanted[d].append(i)
+            seen.add(x)
+    found = {r.doc_id: r.removed for r in op7_lines.repeated_lines(frame(spark, rows), edits=4).collect()}
+    assert found == wanted
+    one = {r.doc_id: r.removed for r in op7_lines.repeated_lines(frame(spark, rows)).collect()}
+    assert sum(map(len, one.values())) < sum(map(len, found.values()))
+
+
 def test_short_lines_repeat(spark):
     rows = [(1, "Les.\nDes.\n\nx"), (2, "Les.\n\nDe."), (3, "x\nLes.\nLes.\nanother line that is long enough"), (None, "Les.\nLes.")]
     found = {r.doc_id: r.removed for r in op7_lines.repeated_lines(frame(spark, rows), equal=1).collect()}
