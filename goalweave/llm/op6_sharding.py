@@ -2,13 +2,16 @@
 
 The law is ``rows``: counts of any two shards differ by one at most. A shard's quota is its share of the rows.
 
-1. Every row gets a node number of its own. Links join nodes; for equal texts each member is linked to the smallest node
-   of its group. A group larger than a part of the quota is first dealt into chunks by hash, so no hub is larger than that.
-2. Linked nodes start in the shard their hash gives them. In each turn every node of one random half sees its neighbours'
-   shards through a join, and asks for the shard most of them are in if that cuts fewer links than its own. A shard
-   admits movers, the largest gain first, as far as its quota leaves room: requests are counted by (shard, gain class,
-   bucket of the hash) and whole buckets are admitted below the mark.
-3. At the end linked nodes keep their places up to the quota, in an order that puts chunks one after another. All other
+1. Every row gets a node number of its own. Groups of equal texts above a part of the quota are so few that their sizes fit
+   a short list: they are placed as wholes, the largest first. One above the quota fills whole shards; what is left of it,
+   and any other, goes to the fullest shard that can hold it, and is split only where none can.
+2. Links join nodes; in smaller groups each member is linked to the smallest node. Linked nodes start in the shard their
+   hash gives them, each shard getting as many as it has room. In each turn every node of one random half sees its
+   neighbours' shards through a join, and asks for the shard most of them are in if that cuts fewer links than its own. A
+   shard admits movers, the largest gain first, as far as its quota leaves room: requests are counted by (shard, gain
+   class, bucket of the hash) and whole buckets are admitted below the mark. The other half follows, then halves are drawn
+   anew, until neither half of a pair admits a move. A run that ends at the guard of ``turns`` says so.
+3. At the end placed groups and then linked nodes, in the order of their hash, keep their places up to the quota. All other
    rows fill what is free, exactly, in the order of their hash. Ranks come from bucket counts, so no task sorts a shard.
 
 Only DataFrame operations. Size is the text's UTF-8 bytes plus 16. Null texts have no bytes and count as empty. Rows that
@@ -18,14 +21,17 @@ empty. Empty tables give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
+#: A guard; turns end when nothing moves any more.
 TURNS = 8
-#: Chunks of a linked group hold about this part of a shard's quota.
-CHUNK_PART = 4
+#: Groups above this part of a shard's quota are placed as wholes.
+LARGE_PART = 4
 BUCKETS = 4096
 GAINS = 4
 
@@ -50,24 +56,64 @@ def nodes_of(scratch: common.Scratch, docs: DataFrame) -> DataFrame:
     return scratch.write(common.bucket_ranks(one, ["all"], "bucket", order, "node").drop("all", "bucket"), "nodes")
 
 
-def equal_text_links(scratch: common.Scratch, nodes: DataFrame, most: int) -> DataFrame:
-    """(u, v, chunk): members of a group of equal texts and its smallest node, in chunks of about ``most`` rows."""
-    text = ["text_hash", "text_crc32", "size"]
-    groups = nodes.groupBy(*text).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chunks = groups.select(*text, F.ceil(F.col("n") / F.lit(most)).cast("int").alias("chunks"))
-    members = nodes.select("node", *text).join(chunks, text)
-    members = members.withColumn("part", F.pmod(_hash(16, "node"), F.col("chunks")))
-    members = scratch.write(members.select("node", *text, "part"), "members")
-    hubs = members.groupBy(*text, "part").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    linked = members.join(hubs, [*text, "part"])
-    return linked.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+TEXT = ["text_hash", "text_crc32", "size"]
+
+
+def equal_text_links(nodes: DataFrame, most: int) -> DataFrame:
+    """(u, v): members of a group of 2 to ``most`` equal texts and its smallest node."""
+    groups = nodes.groupBy(*TEXT).agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most))
+    return nodes.join(groups.drop("n"), TEXT).where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+
+
+def packed(counts: list[int], shards: int, quota: int) -> list[tuple[int, int, int, int]]:
+    """(group, first, end, shard): which members of each group go where, as few shards for each as the room allows."""
+    room, parts = [quota] * shards, []
+    left = [[n, 0, g] for g, n in enumerate(counts)]
+    while left:
+        left.sort(key=lambda x: (-x[0], x[2]))
+        n, at, group = left.pop(0)
+        fits = [s for s in range(shards) if room[s] >= n]
+        shard = min(fits, key=lambda s: (room[s], s)) if fits else max(range(shards), key=lambda s: (room[s], -s))
+        taken = min(n, room[shard])
+        if taken:
+            parts.append((group, at, at + taken, shard))
+            room[shard] -= taken
+            if n > taken:
+                left.append([n - taken, at + taken, group])
+    return parts
+
+
+def large_groups(scratch: common.Scratch, nodes: DataFrame, shards: int, quota: int, most: int) -> tuple[DataFrame, list[int]]:
+    """(node, shard) of all groups of more than ``most`` equal texts, and how many rows of them each shard has."""
+    # Fewer than rows / most.
+    groups = nodes.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).orderBy(*TEXT).collect()
+    used = [0] * shards
+    parts = packed([r["n"] for r in groups], shards, quota)
+    if not parts:
+        return nodes.select("node", F.lit(0).alias("shard")).limit(0), used
+    rows = []
+    for group, first, end, shard in parts:
+        used[shard] += end - first
+        values = [(groups[group][c], c, "long") for c in TEXT] + [(first, "first", "long"), (end, "end", "long"), (shard, "shard", "int")]
+        rows.append(F.struct(*[F.lit(v).cast(kind).alias(name) for v, name, kind in values]))
+    where = F.broadcast(scratch.spark.range(1).select(F.inline(F.array(*rows))))
+    members = nodes.join(where.select(*TEXT).distinct().hint("broadcast"), TEXT, "left_semi")
+    members = scratch.write(members.select("node", *TEXT).withColumn("bucket", common.hash_bucket(_hash(16, "node"), BUCKETS)), "members")
+    members = common.bucket_ranks(members, TEXT, "bucket", [_hash(16, "node"), F.col("node")], "nth")
+    placed = members.join(where, TEXT).where((F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("end")))
+    return scratch.write(placed.select("node", "shard"), "large"), used
+
+
+def _interval(at: Column, starts: list[int]) -> Column:
+    """The last interval that starts at or below; empty ones start where the next one does."""
+    return (F.size(F.filter(F.array(*[F.lit(s).cast("long") for s in starts]), lambda s: s <= at)) - 1).cast("int")
 
 
 def _asked(both: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
     """Moves that nodes of this turn's half would gain by: node, shard (now), to, gain."""
     near = both.join(placed.select(F.col("node").alias("v"), F.col("shard").alias("there")), "v")
     votes = near.groupBy(F.col("u").alias("node"), "there").agg(F.count(F.lit(1)).alias("votes"))
-    votes = votes.join(placed, "node").where(F.pmod(_hash(100 + turn, "node"), F.lit(2)) == 0)
+    votes = votes.join(placed, "node").where(F.pmod(_hash(100 + turn // 2, "node"), F.lit(2)) == turn % 2)
     # The most votes, then the smaller shard; both in one number, which a hash aggregate can carry.
     rank = F.col("votes") * 1_000_000 - F.col("there")
     best = votes.groupBy("node", "shard").agg(
@@ -78,33 +124,40 @@ def _asked(both: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
     return asked.where("gain > 0 and to <> shard")
 
 
-def _admitted(scratch: common.Scratch, asked: DataFrame, placed: DataFrame, quota: int) -> DataFrame:
+def _admitted(scratch: common.Scratch, asked: DataFrame, placed: DataFrame, rooms: list[int]) -> DataFrame:
     """Of the moves asked for, those that fit: whole buckets in the order of their gain, up to each shard's room."""
     level = F.least(F.floor(F.log2(F.col("gain"))), F.lit(GAINS - 1)).cast("int")
     bucket = (GAINS - 1 - level) * BUCKETS + common.hash_bucket(F.col("node"), BUCKETS)
     asked = scratch.write(asked.withColumn("bucket", bucket), "asked")
-    room = placed.groupBy("shard").agg((F.lit(quota) - F.count(F.lit(1))).alias("room"))
+    quota = F.array(*[F.lit(n).cast("long") for n in rooms])
+    taken = placed.groupBy(F.col("shard").alias("to")).agg(F.count(F.lit(1)).alias("taken"))
     counts = asked.groupBy("to", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # At most GAINS * BUCKETS rows for each shard.
     upto = Window.partitionBy("to").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("n").over(upto)).join(room.withColumnRenamed("shard", "to"), "to", "left")
-    fits = counts.where(F.col("upto") <= F.coalesce("room", F.lit(quota))).select("to", "bucket")
+    counts = counts.withColumn("upto", F.sum("n").over(upto)).join(taken, "to", "left")
+    fits = counts.where(F.col("upto") <= F.get(quota, F.col("to")) - F.coalesce("taken", F.lit(0))).select("to", "bucket")
     return asked.join(fits, ["to", "bucket"], "left_semi").select("node", "to")
 
 
-def propagated(scratch: common.Scratch, links: DataFrame, shards: int, quota: int, turns: int = TURNS) -> DataFrame:
-    """(node, shard) of every linked node."""
+def propagated(scratch: common.Scratch, links: DataFrame, rooms: list[int], turns: int = TURNS) -> DataFrame:
+    """(node, shard) of every linked node; ``rooms`` are the rows each shard can take."""
     links = scratch.write(links.select("u", "v").where("u <> v").distinct(), "links")
     both = scratch.write(links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
     start = both.select(F.col("u").alias("node")).distinct()
-    placed = scratch.write(start.withColumn("shard", F.pmod(_hash(26, "node"), F.lit(shards)).cast("int")), "placed")
+    at = F.pmod(_hash(26, "node"), F.lit(max(sum(rooms), 1)))
+    placed = scratch.write(start.withColumn("shard", _interval(at, [sum(rooms[:s]) for s in range(len(rooms))])), "placed")
+    still = 0
     for turn in range(turns):
-        moves = _admitted(scratch, _asked(both, placed, turn), placed, quota)
-        moved = placed.join(moves, "node", "left").select("node", F.coalesce("to", "shard").alias("shard"))
-        moved = scratch.write(moved, "placed")
-        if turn:
-            scratch.drop(placed)
+        moves = scratch.write(_admitted(scratch, _asked(both, placed, turn), placed, rooms), "moves", 8)
+        still = (still if turn % 2 else 0) + int(moves.isEmpty())
+        if turn % 2 and still == 2:
+            return placed
+        if moves.isEmpty():
+            continue
+        moved = scratch.write(placed.join(moves, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")), "placed")
+        scratch.drop(placed)
         placed = moved
+    warnings.warn(f"op6_sharding: nodes still moved after {turns} turns", stacklevel=2)
     return placed
 
 
@@ -116,11 +169,14 @@ def balanced(docs: DataFrame, shards: int = 40, turns: int = TURNS) -> DataFrame
     quota = total // shards
     # The first shards take one row more where the rows do not divide.
     extra = total - quota * shards
-    links = equal_text_links(scratch, nodes, max(quota // CHUNK_PART, 2))
-    placed = propagated(scratch, links, shards, max(quota, 1), turns)
+    most = max(quota // LARGE_PART, 1)
+    large, taken = large_groups(scratch, nodes, shards, quota, most)
+    placed = propagated(scratch, equal_text_links(nodes, most), [quota - n for n in taken], turns)
 
     # Linked nodes stay as far as the quota goes.
-    held = scratch.write(placed.withColumn("bucket", common.hash_bucket(_hash(36, "node"), BUCKETS)), "held")
+    bucket = common.hash_bucket(_hash(36, "node"), BUCKETS)
+    held = placed.withColumn("bucket", bucket + BUCKETS).unionByName(large.withColumn("bucket", bucket))
+    held = scratch.write(held, "held")
     held = common.bucket_ranks(held, ["shard"], "bucket", [_hash(36, "node"), F.col("node")], "slot")
     most = F.lit(quota) + (F.col("shard") < extra).cast("int")
     kept = scratch.write(held.where(F.col("slot") < most).select("node", "shard", "slot"), "kept")
@@ -134,10 +190,7 @@ def balanced(docs: DataFrame, shards: int = 40, turns: int = TURNS) -> DataFrame
     for shard in range(shards):
         starts.append(at)
         at += quota + (shard < extra) - used.get(shard, 0)
-    where = F.array(*[F.lit(s).cast("long") for s in starts])
-    # The last interval that starts at or below; empty ones start where the next one does.
-    shard = F.size(F.filter(where, lambda s: s <= F.col("at"))) - 1
-    filled = free.select("node", "at", shard.cast("int").alias("shard"))
+    filled = free.select("node", "at", _interval(F.col("at"), starts).alias("shard"))
     before = F.array(*[F.lit(used.get(s, 0) - starts[s]).cast("long") for s in range(shards)])
     filled = filled.select("node", "shard", (F.col("at") + F.get(before, F.col("shard"))).alias("slot"))
 

@@ -236,6 +236,15 @@ def test_shards_are_even_and_keep_groups(spark, odd_rows):
     checked_shards(spark, odd_rows, 4)
 
 
+def test_large_groups_take_as_few_shards_as_hold_them(spark):
+    sizes = [250, 60, 60, 39, 99, 26]
+    rows = [(i, f"single {i}") for i in range(1000 - sum(sizes))] + [(1000 * (g + 1) + i, f"group {g}") for g, n in enumerate(sizes) for i in range(n)]
+    shards = collections.defaultdict(set)
+    for r in checked_shards(spark, rows, 10):
+        shards[r.doc_id // 1000 - 1].add(r.shard)
+    assert [len(shards[g]) for g in range(len(sizes))] == [3, 1, 1, 1, 1, 1]
+
+
 def test_a_hot_group_is_split(spark):
     rows = [(i, "the same text") for i in range(300)] + [(1000 + i, f"t{i}") for i in range(100)]
     checked_shards(spark, rows, 8)
