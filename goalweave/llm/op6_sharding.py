@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A guard; turns end when nothing moves any more.
-TURNS = 8
+TURNS = 400
 #: Groups above this part of a shard's quota are placed as wholes.
 LARGE_PART = 4
 BUCKETS = 4096

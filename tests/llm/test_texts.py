@@ -236,6 +236,15 @@ def test_shards_are_even_and_keep_groups(spark, odd_rows):
     checked_shards(spark, odd_rows, 4)
 
 
+def test_no_linked_group_stays_split(spark):
+    rows = [(i, f"single {i}") for i in range(400)] + [(1000 + i, f"group {i % 150}") for i in range(600)]
+    shards = collections.defaultdict(set)
+    for r in checked_shards(spark, rows, 10):
+        if r.doc_id >= 1000:
+            shards[(r.doc_id - 1000) % 150].add(r.shard)
+    assert all(len(s) == 1 for s in shards.values())
+
+
 def test_large_groups_take_as_few_shards_as_hold_them(spark):
     sizes = [250, 60, 60, 39, 99, 26]
     rows = [(i, f"single {i}") for i in range(1000 - sum(sizes))] + [(1000 * (g + 1) + i, f"group {g}") for g, n in enumerate(sizes) for i in range(n)]
