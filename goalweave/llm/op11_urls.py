@@ -11,8 +11,8 @@
    The weights become one constant array in the plan, so that pages are judged where they are read: no join, no shuffle.
 
 Only DataFrame operations. The labelled table is bounded: of more than ``TRAIN_ROWS`` urls those with the smallest hash
-count. Null urls, urls without ``://`` and empty ones have host and path ''; no rule with a path fits them and the model
-sees no more than the marked ends. Very long urls are read as a whole, in time linear in their length. Repeated rows and
+count. Null urls, urls without ``://`` and empty ones have host and path ''; no rule with a path fits them and there is
+nothing for the model to see: no chance, allowed. Very long urls are read as a whole, in time linear in their length. Repeated rows and
 repeated page_ids give a row each; a null page_id stays null. Other columns are ignored; an empty table gives no rows. In the
 labelled table, rows without url or label are skipped and repeated ones count again; without both labels the model has no say and
 everything without a rule is allowed.
@@ -40,7 +40,7 @@ TRAIN_ROWS = 20_000
 MOST_RULES = 500
 RIDGE = 1e-3
 #: Descent ends at this length of the gradient; it keeps so many of its last changes.
-TOLERANCE, MOST_STEPS, MEMORY = 1e-3, 200, 10
+TOLERANCE, MOST_STEPS, MEMORY = 2e-4, 200, 10
 BLOCK_AT = 0.5
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,6 +67,8 @@ ADDRESSES = (
     "http://www.{}.example.net/de/4821/",
     "https://m.{}.example.org/fr/77.html",
     "https://blog.{}.example.org/es/903",
+    "https://{}.org/",
+    "http://www.{}.co.uk/page/5?x=1",
 )
 
 
@@ -209,7 +211,8 @@ def judged(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | None =
     if weights is None:
         rows = rows.withColumn("chance", F.lit(None).cast("double"))
     else:
-        rows = with_features(rows).withColumn("chance", chance(logit(weights)))
+        something = (F.col("host") != "") | (F.col("path") != "")
+        rows = with_features(rows).withColumn("chance", F.when(something, chance(logit(weights))))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("chance") >= BLOCK_AT, BLOCK).otherwise(ALLOW)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "chance")
