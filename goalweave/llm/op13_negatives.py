@@ -9,8 +9,8 @@ largest sum that can come up.
 1. Blocks are packed where the rows are read, of rows sorted by label within a partition, so that a block has few labels.
 2. Anchors, packed the same way, are dealt to every slot; rows' blocks are dealt to the slots in turn. A slot's join
    meets blocks with blocks: a task holds two of them, however many rows a label has.
-3. First turn: the best same-label rows of each anchor in each block, then over all blocks: its positives.
-4. Second turn: for each positive, the best rows of another label within the window about its score, in each block, then over all.
+3. First turn: the best same-label rows of each anchor in each slot, then over all slots: its positives.
+4. Second turn: for each positive, the best rows of another label within the window about its score, in each slot, then over all.
 
 Rows without vec_id, label or vector and rows with a null or non-finite component take no part. Vectors of unequal
 length are compared as if the shorter one had zeros behind. Rows that repeat a vec_id take part each: as anchors they give rows
@@ -178,27 +178,57 @@ def _met(anchors: DataFrame, blocks: DataFrame, slots: int) -> DataFrame:
     return a.join(blocks.withColumn("slot", F.pmod(place, F.lit(slots)).cast("int")).hint("merge"), "slot")
 
 
+FOUND = ["key", "anchor_id", "place", "positive_id", "positive_score", "found_id", "score"]
+
+
+def _best_of_each(found: list[np.ndarray], n: int) -> np.ndarray:
+    """Of rows as in FOUND, the ``n`` best of each anchor and place."""
+    rows = np.concatenate(found) if found else np.empty((0, len(FOUND)), np.int64)
+    key, place, score, ids = rows[:, 0], rows[:, 2], rows[:, 6], rows[:, 5]
+    rows = rows[np.lexsort((ids, ~score, place, key))]
+    if len(rows):
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2])
+        first = np.flatnonzero(new)
+        rows = rows[np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < n]
+    return rows
+
+
 def _searched(pairs: DataFrame, n: int, chosen) -> DataFrame:
-    """``chosen(anchor block, i, rows' block, scores)`` yields (place, positive id, positive score, places of rows)."""
+    """``chosen(anchor block, i, rows' block)`` yields (place, positive id, positive score, picker of rows by their scores).
+
+    The join gives all blocks of rows for one block of anchors after another. A worker keeps the best for that block of
+    anchors alone and gives them out when the next one comes.
+    """
     parts = ["ids", "keys", "labels", "widths", "vectors", "positives"]
 
+    def shown(rows: np.ndarray) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, k], kind, safe=False) for k, kind in enumerate(kinds)], FOUND)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, a, found = None, None, []
         for batch in kernels.small(batches, 1):
             for record in batch.to_pylist():
-                a, c = Block(*[record[f"a_{p}"] for p in parts]), Block(*[record[p] for p in parts])
+                if keys != record["a_keys"]:
+                    if found:
+                        yield shown(_best_of_each(found, n))
+                    keys, a, found = record["a_keys"], Block(*[record[f"a_{p}"] for p in parts]), []
+                c = Block(*[record[p] for p in parts])
                 packed = PackedRows(c.numbers, a.numbers)
-                out = []
                 for i in range(len(a.ids)):
                     # An anchor that nothing is looked for needs no product.
                     score = None
                     for place, positive, positive_score, pick in chosen(a, i, c):
                         score = packed.scores(i) if score is None else score
-                        for k in pick(score):
-                            out.append((a.keys[i], a.ids[i], place, positive, positive_score, c.ids[k], score[k]))
-                names = [f.strip().split(" ")[0] for f in BEST.split(",")]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
-                columns = list(zip(*out)) if out else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names)
+                        at = pick(score)
+                        rows = np.empty((len(at), len(FOUND)), np.int64)
+                        rows[:, :5] = a.keys[i], a.ids[i], place, positive, positive_score
+                        rows[:, 5], rows[:, 6] = c.ids[at], score[at]
+                        found.append(rows)
+                found = [_best_of_each(found, n)]
+        if found:
+            yield shown(_best_of_each(found, n))
 
     found = pairs.select(*[f"a_{p}" for p in parts], *parts).mapInArrow(run, BEST)
     order = Window.partitionBy("key", "place").orderBy(F.col("score").desc(), "found_id")
@@ -221,8 +251,6 @@ def hard_negatives(
     blocks = packed_blocks(dealt.select(F.lit(0).cast("long").alias("key"), "*", none), ROWS)
     # The partition's number lies above 33 bits, the block's place in it below.
     blocks = scratch.write(blocks.withColumn("number", F.monotonically_increasing_id()), "blocks")
-    slots = max(1, min(blocks.count(), common.partitions(spark)))
-
     own = scratch.write(rows.where(F.col("vec_id") % anchors_every == 0).repartitionByRange(parts, "label", "vec_id"), "anchors")
     own = scratch.write(own.withColumn("key", F.monotonically_increasing_id()), "keyed")
     groups = max(1, -(-own.count() // ANCHORS))
@@ -234,7 +262,7 @@ def hard_negatives(
 
     first = packed_blocks(own.coalesce(groups).withColumn("positives", none), ANCHORS)
     touching = (F.col("a_low") <= F.col("high")) & (F.col("low") <= F.col("a_high"))
-    found = _searched(_met(first, blocks, slots).where(touching), positives, same_label)
+    found = _searched(_met(first, blocks, parts).where(touching), positives, same_label)
     found = scratch.write(found.select("key", "rank", "found_id", "score"), "positives", 4)
     listed = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "found_id", "score"))).alias("listed"))
     listed = listed.select("key", F.transform("listed", lambda p: F.struct(p["found_id"].alias("found_id"), p["score"].alias("score"))).alias("positives"))
@@ -255,7 +283,7 @@ def hard_negatives(
 
     with_positives = scratch.write(own.join(listed, "key").repartitionByRange(parts, "label", "vec_id"), "with_positives")
     second = packed_blocks(with_positives.coalesce(groups), ANCHORS)
-    found = _searched(_met(second, blocks, slots), negatives, other_label)
+    found = _searched(_met(second, blocks, parts), negatives, other_label)
     return found.select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("found_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )
