@@ -1,20 +1,17 @@
 """Order-dependent edit logs folded to a final state per user, in parallel even within one user.
 
-Edits are range-partitioned by (user, time), so a user with a third of the log is spread over many partitions. Each
+Goal toggles are range-partitioned by (user, time), so a user with a third of the log is spread over many partitions. Each
 partition condenses its run of a user's edits into one *effect*: a description, of fixed size, of what the run does to
-any state it may meet. Effects are then applied in order, one small step per partition a user touches. No task ever
-holds a user's whole log.
+any state it may meet. Goal picks have 821 possible states (ordered lists of up to three out of ten), so an effect is the
+list of outcomes. Effects are then applied in order. No task ever holds a user's whole log.
 
-- Goal picks have 821 possible states (ordered lists of up to three out of ten), so an effect is the list of outcomes.
-- Fund weights are a vector up to scale. "Fix fund i at w percent, others pro rata" is linear on it:
-  ``y_i' = w / (100 - w) * (sum of the others)``, all else unchanged, so an effect is a small matrix.
+Weights of funds, or of goals, are replayed as basket logs (``basket_log.py``).
 """
 
 from __future__ import annotations
 
 import itertools
 import json
-import math
 import sys
 from collections.abc import Iterator
 
@@ -24,7 +21,9 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import basket_log
 from .shares import MAX_PICKS
+from .state import order_key
 
 # The functions below run in Python workers, which need not have this package: they travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -158,120 +157,26 @@ def replay_picks(toggles: DataFrame, goal_ids: list[str]) -> DataFrame:
 
 # ---- fund weights ----------------------------------------------------------------------------------------
 
-RESCALE_EVERY = 16
-
-
-def fix_weight(x: list[float], i: int, w: float) -> list[float]:
-    """One edit on known percents: member ``i`` at ``w``, the others pro rata, evenly if they weigh nothing."""
-    others = sum(x[:i]) + sum(x[i + 1 :])
-    rest = 100.0 - w
-    out = [v / others * rest for v in x] if others > 0 else [rest / max(1, len(x) - 1)] * len(x)
-    out[i] = w
-    return out
-
-
-class WeightEffect:
-    """What a run of weight edits does to any starting basket of ``n`` members.
-
-    ``images[k]`` (times ``exp(log_scale[k])``) is what a unit of member ``k`` turns into. When an edit meets a basket
-    that lies wholly in the edited fund, the pro rata rule has nothing to scale and splits evenly, which is not linear
-    but leaves a known basket: from then on ``images[k]`` follows that basket for a start wholly in ``k``, and
-    ``lost_at[k]`` is the edit at which it came about (-1: never). A start spread over several members falls back
-    only when all of them did, at the last of their edits.
-
-    Plain lists: a basket has a handful of members, too few for array calls to pay.
-    """
-
-    def __init__(self, n: int):
-        self.n, self.steps = n, 0
-        self.images = [[1.0 if j == k else 0.0 for j in range(n)] for k in range(n)]
-        self.log_scale, self.lost_at = [0.0] * n, [-1] * n
-
-    def edit(self, i: int, w: float) -> None:
-        w = 100.0 if self.n == 1 else min(100.0, max(0.0, w))
-        for k, image in enumerate(self.images):
-            if self.lost_at[k] >= 0:
-                self.images[k] = fix_weight(image, i, w)
-                continue
-            others = sum(image[:i]) + sum(image[i + 1 :])
-            if w >= 100.0:
-                total = others + image[i]
-                self.images[k] = [0.0] * self.n
-                self.images[k][i] = total
-            elif others > 0:
-                image[i] = others * (w / (100.0 - w))
-            else:
-                self.lost_at[k] = self.steps
-                self.images[k] = fix_weight(image, i, w)
-        self.steps += 1
-        if self.steps % RESCALE_EVERY == 0:
-            self._rescale()
-
-    def _rescale(self) -> None:
-        for k, image in enumerate(self.images):
-            if self.lost_at[k] < 0:
-                top = max(image)
-                self.images[k] = [v / top for v in image]
-                self.log_scale[k] += math.log(top)
-
-    def packed(self) -> list[float]:
-        return [*itertools.chain.from_iterable(self.images), *self.log_scale, *map(float, self.lost_at)]
-
-
-def apply_effect(x: list[float], packed: list[float]) -> list[float]:
-    """Percents after a run of edits that started from ``x``."""
-    n = len(x)
-    images = [packed[k * n : (k + 1) * n] for k in range(n)]
-    log_scale, lost_at = packed[n * n : n * n + n], packed[n * n + n :]
-    held = [k for k in range(n) if x[k] > 0]
-    if not held:
-        held, x = list(range(n)), [1.0] * n
-    live = [k for k in held if lost_at[k] < 0]
-    if not live:
-        return images[max(held, key=lambda k: lost_at[k])]
-    top = max(log_scale[k] for k in live)
-    y = [sum(x[k] * math.exp(log_scale[k] - top) * images[k][j] for k in live) for j in range(n)]
-    total = sum(y)
-    return [v / total * 100.0 for v in y]
+#: Members of a basket whose weights are replayed: a preset's funds or a user's goals.
+MOST_MEMBERS = 16
 
 
 def replay_weights(edits: DataFrame, baskets: DataFrame) -> DataFrame:
     """Final percents of each user's basket.
 
-    ``edits`` holds (user_id, ts, seq, member, n_members, weight) with members numbered from 0; ``baskets`` holds
-    (user_id, fund_ids, weights) as arrays. Users without edits keep their weights.
+    ``edits`` holds (user_id, ts, seq, member, weight) with members numbered from 0; ``baskets`` holds (user_id, fund_ids,
+    weights) as arrays of at most MOST_MEMBERS. Users without edits keep their weights. This is a basket log of weights alone.
     """
-
-    def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def fold(state, values):
-            for member, weight in zip(values[0], values[2]):
-                state.edit(member, weight)
-            return state
-
-        def start(_, record):
-            return WeightEffect(record[1])
-
-        return _runs(batches, ["member", "n_members", "weight"], start, fold, lambda state: state.packed())
-
-    @F.pandas_udf("array<double>")
-    def applied(weights: pd.Series, runs: pd.Series) -> pd.Series:
-        def one(x, chain):
-            x = list(x)
-            for run in [] if chain is None else chain:
-                x = apply_effect(x, list(run))
-            return x
-
-        return pd.Series([one(x, chain) for x, chain in zip(weights, runs)])
-
-    runs = _in_order(edits, "member", "n_members", "weight").mapInPandas(
-        effects, "user_id bigint, part int, effect array<double>"
-    )
-    chained = _chained(runs)
-    final = applied(F.col("weights"), F.col("runs.effect"))
-    done = baskets.join(chained, "user_id", "left").withColumn("final", final)
-    return done.select("user_id", F.inline(F.arrays_zip("fund_ids", F.col("final").alias("weight")))).withColumnRenamed(
-        "fund_ids", "fund_id"
+    size = F.size("weights")
+    fits = F.when(size > MOST_MEMBERS, F.raise_error(F.lit(f"a basket has more than {MOST_MEMBERS} members"))).otherwise(F.lit(MOST_MEMBERS))
+    given = F.transform(F.sequence(F.lit(1), fits), lambda k: F.when(k <= size, F.coalesce(F.get("weights", k - 1), F.lit(0.0))))
+    log = edits.select(
+        "user_id", order_key().alias("order_key"), F.lit(basket_log.WEIGHT).alias("kind"), F.col("member").alias("fund_no"), "weight",
+        F.lit(None).cast("array<double>").alias("basket"),
     )
+    final = basket_log.replay_baskets(log, baskets.select("user_id", given.alias("basket")), MOST_MEMBERS)
+    names = baskets.select("user_id", F.posexplode("fund_ids").alias("fund_no", "fund_id"))
+    return final.join(names, ["user_id", "fund_no"]).select("user_id", "fund_id", "weight")
 
 
 def preset_baskets(users: DataFrame, presets: DataFrame, profile: Column) -> DataFrame:

@@ -213,6 +213,19 @@ def edits(spark: SparkSession, sf_dir: str, *actions: str) -> DataFrame:
     return edits_from_events(events)
 
 
+#: What the events mean where they are edits of a basket.
+BASKET_ACTIONS = {"error": "set_weight", "purchase": "add_fund", "view": "remove_fund", "signup": "apply_preset"}
+
+
+def basket_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of baskets: user_id, ts, seq, action, value (a weight) and slot (which fund or preset)."""
+    events = read_table(spark, sf_dir, "events").where(F.col("event_type").isin(*BASKET_ACTIONS))
+    slot = F.get_json_object("props", "$.k").try_cast("int").alias("slot")
+    return events.select(
+        "user_id", "ts", F.col("event_id").alias("seq"), catalog.lookup(F.col("event_type"), BASKET_ACTIONS, None).alias("action"), "value", slot
+    )
+
+
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", catalog.lookup(F.col("role"), {"assistant": "ai", "user": "user"}, None).alias("role"), "text"

@@ -7,10 +7,12 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from goalweave.operators import cashflow, projection, replay, shares
+from goalweave.operators import basket_effects as effects
+from goalweave.operators import basket_log, cashflow, projection, replay, shares
 from goalweave.plans import population as jobs
 from goalweave.sources import catalog
 from goalweave.sources import population as pop
@@ -178,28 +180,86 @@ def plain_weight_replay(start, edits):
     return x
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_weight_effects_compose(seed):
-    """Cutting a log anywhere and applying the parts in turn gives the plain result, with resets and zeros included."""
-    rng = random.Random(seed)
+def plain_basket_edit(held, kind, fund, weight, basket):
+    """One edit of a basket: {fund: weight}, or a preset as a list with None for funds it lacks."""
+    held = dict(held)
+    if kind == basket_log.PRESET:
+        return {k: w for k, w in enumerate(basket) if w is not None}
+    if kind == basket_log.ADD and fund not in held:
+        share = 100 / (len(held) + 1)
+        total = sum(held.values())
+        return {k: v / total * (100 - share) if total > 0 else (100 - share) / len(held) for k, v in held.items()} | {fund: share}
+    if kind == basket_log.REMOVE and fund in held:
+        del held[fund]
+        total = sum(held.values())
+        return {k: v / total * 100 for k, v in held.items()} if total > 0 else {}
+    if kind == basket_log.WEIGHT and fund in held:
+        if len(held) == 1:
+            return {fund: 100.0}
+        w = min(100.0, max(0.0, weight))
+        rest = {k: v for k, v in held.items() if k != fund}
+        total = sum(rest.values())
+        return {k: v / total * (100 - w) if total > 0 else (100 - w) / len(rest) for k, v in rest.items()} | {fund: w}
+    return held
+
+
+BASKET_KINDS = [basket_log.WEIGHT, basket_log.ADD, basket_log.REMOVE, basket_log.PRESET]
+
+
+def random_edits(rng, n, n_funds, odds):
+    weight = lambda: rng.choice([0.0, 0.0, 100.0, 130.0, -5.0, rng.uniform(0, 100), 35.0])
+    some = lambda: [rng.choice([None, 0.0, rng.uniform(1, 50)]) for _ in range(n_funds)]
+    kinds = rng.choices(BASKET_KINDS, odds, k=n)
+    return [(k, rng.randrange(n_funds), weight(), some() if k == basket_log.PRESET else None) for k in kinds]
+
+
+def edit_columns(edits, n_funds):
+    baskets = np.array([[np.nan if w is None else w for w in b or [None] * n_funds] for *_, b in edits], dtype=float).reshape(-1, n_funds)
+    return [np.array([e[0] for e in edits]), np.array([e[1] for e in edits]), np.array([e[2] for e in edits]), baskets]
+
+
+@pytest.mark.parametrize("odds", [(5, 0, 0, 0), (5, 3, 3, 0), (1, 1, 3, 0), (3, 2, 2, 1)])
+def test_parts_of_a_basket_log_compose(odds):
+    """Cutting a log anywhere, describing each part without knowing where it starts, and applying the parts gives the loop's result."""
+    rng = random.Random(sum(odds))
     for _ in range(150):
+        n = rng.randint(1, 5)
+        first = [rng.choice([None, 0.0, 0.0, rng.uniform(1, 50), rng.uniform(1, 50)]) for _ in range(n)]
+        edits = random_edits(rng, rng.randint(1, 40), n, odds)
+        cuts = [0, *sorted(rng.sample(range(1, len(edits)), min(len(edits) - 1, 4))), len(edits)]
+        parts = [edit_columns(edits[a:b], n) for a, b in itertools.pairwise(cuts)]
+        cases = [effects.edited_cases(effects.unchanged(n), p) for p in parts]
+        cases = [effects.unpacked_cases(effects.packed_cases(c), n) for c in cases]
+        held, patterns = {k: w for k, w in enumerate(first) if w is not None}, []
+        for a, b in itertools.pairwise(cuts):
+            patterns.append(effects.pattern_of([held.get(k) for k in range(n)]))
+            for e in edits[a:b]:
+                held = plain_basket_edit(held, *e)
+        start, end = effects.pattern_of(first), effects.pattern_of([held.get(k) for k in range(n)])
+        assert effects.patterns_along(start, cases) == patterns
+        assert effects.outcome(effects.composed_cases(cases, n), start) == end
+        packed = []
+        for pattern, part in zip(patterns, parts):
+            some = np.array([np.nan if w is None else w for w in effects.basket_of(pattern)])
+            packed.append(effects.edited_weights(effects.WeightEffect(some), part, n).packed())
+        for chain in (packed, [effects.product(packed[:2], n), *packed[2:]], packed[:-2] + [effects.product(packed[-2:], n)]):
+            got = effects.applied(first, effects.product(chain, n), n)
+            assert {k: w for k, w in enumerate(got) if w is not None} == pytest.approx(held, abs=1e-7), (first, edits, cuts)
+
+
+def test_cases_cover_every_pattern():
+    """Exactly one case holds for each of all patterns, and it ends where the loop does."""
+    rng = random.Random(4)
+    for _ in range(40):
         n = rng.randint(1, 4)
-        start = [0.0] * n
-        for k in rng.sample(range(n), rng.randint(1, n)):
-            start[k] = rng.uniform(1, 50)
-        scale = sum(start)
-        start = [v / scale * 100 for v in start]
-        edits = [(rng.randrange(n), rng.choice([0.0, 0.0, 100.0, 130.0, -5.0, rng.uniform(0, 100), 35.0])) for _ in range(rng.randint(1, 40))]
-        cuts = sorted(rng.sample(range(len(edits) + 1), min(len(edits), 3)))
-        x = list(start)
-        for a, b in itertools.pairwise([0, *cuts, len(edits)]):
-            if a == b:
-                continue
-            effect = replay.WeightEffect(n)
-            for i, w in edits[a:b]:
-                effect.edit(i, w)
-            x = replay.apply_effect(x, effect.packed())
-        assert list(x) == pytest.approx(plain_weight_replay(start, edits), abs=1e-7), (start, edits, cuts)
+        edits = random_edits(rng, rng.randint(1, 12), n, (5, 3, 3, 0))
+        cases = effects.edited_cases(effects.unchanged(n), edit_columns(edits, n))
+        for pattern in itertools.product(range(3), repeat=n):
+            assert sum(all(code >> 2 * s & 3 != effects.OUT for code, s in zip(c, pattern)) for c in cases) == 1
+            held = {k: w for k, w in enumerate(effects.basket_of(bytes(pattern))) if w is not None}
+            for e in edits:
+                held = plain_basket_edit(held, *e)
+            assert effects.outcome(cases, bytes(pattern)) == effects.pattern_of([held.get(k) for k in range(n)])
 
 
 def test_one_hot_user_replayed_over_many_partitions(spark):
@@ -255,55 +315,74 @@ def test_hot_user_really_spans_partitions(spark):
     assert parts > 4
 
 
-def test_basket_log_against_a_loop(spark):
-    """All kinds of edits in one log, long and short logs, zero weights, emptied baskets, several batches per user."""
-    import random
+@pytest.fixture
+def settings(spark):
+    """Set Spark settings for one test."""
+    before = {}
 
-    from goalweave.operators import basket_log as log
+    def put(key, value):
+        before.setdefault(key, spark.conf.get(key))
+        spark.conf.set(key, value)
 
-    draw, n_funds = random.Random(12), 5
-    presets = [[60.0, 40.0, None, None, None], [None, 0.0, 100.0, None, None]]
+    yield put
+    for key, value in before.items():
+        spark.conf.set(key, value)
 
-    def plain(x, kind, fund, weight, basket):
-        held = {k: v for k, v in enumerate(x) if v is not None}
-        if kind == log.PRESET:
-            return list(basket)
-        if kind == log.ADD and fund not in held:
-            share = 100 / (len(held) + 1)
-            total = sum(held.values())
-            held = {k: v / total * (100 - share) if total > 0 else (100 - share) / len(held) for k, v in held.items()} | {fund: share}
-        elif kind == log.REMOVE and fund in held:
-            del held[fund]
-            total = sum(held.values())
-            held = {k: v / total * 100 for k, v in held.items()} if total > 0 else {}
-        elif kind == log.WEIGHT and fund in held:
-            if len(held) == 1:
-                held = {fund: 100.0}
-            else:
-                w = min(100.0, max(0.0, weight))
-                rest = {k: v for k, v in held.items() if k != fund}
-                total = sum(rest.values())
-                held = {k: v / total * (100 - w) if total > 0 else (100 - w) / len(rest) for k, v in rest.items()} | {fund: w}
-        return [held.get(k) for k in range(n_funds)]
 
+@pytest.mark.parametrize("least", [10**9, 60])
+def test_basket_log_against_a_loop(spark, settings, monkeypatch, least):
+    """All kinds of edits in one log, long and short logs, zero weights, emptied baskets, several batches per user; with
+    and without the hot users' logs cut into slices."""
+    draw, n_funds = random.Random(12), 5
+    presets = [[60.0, 40.0, None, None, None], [None, 0.0, 100.0, None, None]]
     baskets = {u: [20.0, 30.0, 50.0, None, None] if u % 2 else presets[1] for u in range(12)}
-    rows, wanted = [], {u: list(b) for u, b in baskets.items()}
+    rows, wanted = [], {u: {k: w for k, w in enumerate(b) if w is not None} for u, b in baskets.items()}
+    wanted[77] = {}
     for i in range(2500):
-        user = 3 if draw.random() < 0.7 else draw.randrange(12)
-        kind = draw.choices([log.WEIGHT, log.ADD, log.REMOVE, log.PRESET], [5, 3, 3, 0 if user == 3 else 1])[0]
+        user = draw.choices([3, 77, draw.randrange(12)], [5, 2, 3])[0]
+        kind = draw.choices(BASKET_KINDS, [5, 3, 3, 0 if user in (3, 77) else 1])[0]
         fund, weight = draw.randrange(n_funds), draw.choice([0.0, 100.0, 130.0, -5.0, draw.uniform(0, 100)])
-        basket = draw.choice(presets) if kind == log.PRESET else None
+        basket = draw.choice(presets) if kind == basket_log.PRESET else None
         rows.append((user, i, kind, fund, weight, basket))
-        wanted[user] = plain(wanted[user], kind, fund, weight, basket)
+        wanted[user] = plain_basket_edit(wanted[user], kind, fund, weight, basket)
     draw.shuffle(rows)
     edits = spark.createDataFrame(rows, "user_id bigint, order_key bigint, kind int, fund_no int, weight double, basket array<double>")
     edits = edits.withColumn("order_key", F.col("order_key").cast("decimal(38,0)"))
     starts = spark.createDataFrame(list(baskets.items()), "user_id bigint, basket array<double>")
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
-    try:
-        found = log.replay_baskets(edits, starts, n_funds).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    got = {(r.user_id, r.fund_no): r.weight for r in found}
-    assert got == pytest.approx({(u, k): v for u, x in wanted.items() for k, v in enumerate(x) if v is not None}, abs=1e-6)
+    monkeypatch.setattr(basket_log, "LEAST_SLICE", least)
+    monkeypatch.setattr(basket_log, "FAN_IN", 5)
+    settings("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    cuts = dict(basket_log.hot_cuts(edits, 8))
+    assert set(cuts) == (set() if least > 2500 else {3, 77})
+    if cuts:
+        assert len(cuts[3]) >= 5
+    got = {}
+    for r in basket_log.replay_baskets(edits, starts, n_funds).collect():
+        got[r.user_id, r.fund_no] = r.weight
+    assert got == pytest.approx({(u, k): v for u, x in wanted.items() for k, v in x.items()}, abs=1e-6)
+
+
+def test_half_of_a_log_under_one_user(spark, settings, monkeypatch):
+    """A user with half of the edits is folded by many tasks, none of which has more than a few slices of the log."""
+    monkeypatch.setattr(basket_log, "LEAST_SLICE", 500)
+    settings("spark.sql.shuffle.partitions", "32")
+    settings("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    n = 40_000
+    weight = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(110)).cast("double")
+    kind = F.element_at(F.array(*[F.lit(k) for k in BASKET_KINDS[:3]]), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(3)) + 1).cast("int"))
+    log = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 500 + 100).cast("bigint").alias("user_id"),
+        F.col("id").cast("decimal(38,0)").alias("order_key"), kind.alias("kind"), F.pmod(F.xxhash64("id"), F.lit(6)).cast("int").alias("fund_no"),
+        weight.alias("weight"), F.lit(None).cast("array<double>").alias("basket"),
+    )
+    ((user, cuts),) = basket_log.hot_cuts(log, 32)
+    assert user == 7 and 28 <= len(cuts) + 1 <= 64
+    slices = log.where("user_id = 7").withColumn("slice", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("order_key").cast("double"))))
+    most = basket_log._in_slices(slices).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < n / 2 / 4
+    starts = spark.createDataFrame([(7, [50.0, 50.0, None, None, None, 0.0])], "user_id bigint, basket array<double>")
+    got = {r.fund_no: r.weight for r in basket_log.replay_baskets(log, starts, 6).where("user_id = 7").collect()}
+    held = {0: 50.0, 1: 50.0, 5: 0.0}
+    for r in log.where("user_id = 7").orderBy("order_key").collect():
+        held = plain_basket_edit(held, r.kind, r.fund_no, r.weight, None)
+    assert got == pytest.approx(held, abs=1e-6)
