@@ -1,9 +1,10 @@
 """Money-weighted return and net present value.
 
-Flows of one entity are summed per day before anything is gathered, with map-side combining. What is gathered per
-entity is therefore one entry per calendar day at most (some 36,500 for a century), however many flows it has.
-Flows that first all go one way and then all the other have one root at most; those are solved by the Arrow batch
-(``rates.py``). Everything else takes the full search inside the row, with higher-order functions.
+Flows of one entity are summed per day before anything else, with map-side combining. What is left per entity is one row
+per calendar day at most (some 36,500 for a century), however many flows it has; no row or array holds an entity.
+Rates are solved by the Arrow batch, for all its entities at once (``rates.py``): flows that first all go one way and then
+all the other have one root at most and get there in a few steps, everything else takes the full search. Plans, whose flows
+are never laid out as rows, take the full search inside the row, with higher-order functions.
 """
 
 from __future__ import annotations
@@ -15,14 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.num import is_finite, lit
 from . import rates
+from .rates import FLAT_SLOPE, HALVINGS, NEWTON_SHIFT, NEWTON_START, NEWTON_STEPS, NEWTON_TOLERANCE, ROOT_TOLERANCE
 
 DAYS_PER_YEAR = 365.0
 LOW_RATE, HIGH_RATE = -0.9999, 10.0
-ROOT_TOLERANCE = 1e-6
-
-HALVINGS = 200
-NEWTON_STEPS = 100
-NEWTON_START, NEWTON_SHIFT, NEWTON_TOLERANCE, FLAT_SLOPE = 0.1, 1e-6, 1e-8, 1e-12
 
 # Day numbers of the single-pass net present value count from here; any date near the data will do.
 EPOCH = "2000-01-01"
@@ -107,39 +104,19 @@ def xirr(flows: DataFrame, key: str = "entity_id", order: str | None = None) ->
     """Money-weighted return per entity from rows (key, flow_date, amount).
 
     Time counts from the first flow: the earliest date, or the date of the lowest ``order`` when one is given.
-    Fewer than two flows, or flows of one sign only, give 0.
+    Fewer than two flows, or flows of one sign only, give 0. A null amount counts as 0; flows without a date are left out.
     """
+    flows = flows.where("flow_date IS NOT NULL")
     amount = F.col("amount")
     first = F.min("flow_date" if order is None else order)
     per_day = flows.groupBy(key, "flow_date").agg(
-        F.sum(amount).alias("amount"),
+        F.coalesce(F.sum(amount), lit(0)).alias("amount"),
         F.count(F.lit(1)).alias("n"),
-        F.max(amount).alias("largest"),
-        F.min(amount).alias("smallest"),
+        F.coalesce(F.max(amount), lit(0)).alias("largest"),
+        F.coalesce(F.min(amount), lit(0)).alias("smallest"),
         first.alias("first"),
     )
-    paid, got = F.when(F.col("smallest") < 0, F.col("flow_date")), F.when(F.col("largest") > 0, F.col("flow_date"))
-    per_entity = per_day.groupBy(key).agg(
-        F.sum("n").alias("n"),
-        F.max("largest").alias("largest"),
-        F.min("smallest").alias("smallest"),
-        F.min_by("flow_date", "first").alias("origin"),
-        ((F.max(paid) <= F.min(got)) | (F.max(got) <= F.min(paid))).alias("one_change"),
-        F.array_sort(F.collect_list(F.struct("flow_date", "amount"))).alias("days"),
-    )
-    timed = F.transform(
-        "days",
-        lambda d: F.struct(
-            (F.datediff(d["flow_date"], F.col("origin")) / lit(DAYS_PER_YEAR)).alias("t"), d["amount"].alias("amount")
-        ),
-    )
-    solvable = (F.col("n") >= 2) & (F.col("largest") > 0) & (F.col("smallest") < 0)
-    timed = per_entity.select(key, "n", solvable.alias("solvable"), "one_change", timed.alias("flows"))
-    once = F.when(F.col("solvable") & F.col("one_change"), F.col("flows"))
-    quick = rates.rate_of_flows(once["t"], once["amount"], LOW_RATE, HIGH_RATE)
-    solved = timed.withColumn("quick", quick)
-    rate = F.when(F.col("solvable"), F.coalesce("quick", solve_rate(F.col("flows")))).otherwise(lit(0))
-    return solved.select(key, "n", rate.alias("xirr"))
+    return rates.rate_per_entity(per_day, key, LOW_RATE, HIGH_RATE, DAYS_PER_YEAR)
 
 
 def xnpv(flows: DataFrame, rates: list[float], key: str = "entity_id", order: str | None = None) -> DataFrame:

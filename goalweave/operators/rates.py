@@ -1,14 +1,15 @@
-"""Internal rates of a whole batch of flows at once, in Python workers. The code travels with the job."""
+"""Internal rates of many entities at once, in Python workers. The code travels with the job."""
 
 from __future__ import annotations
 
 import datetime
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -17,6 +18,10 @@ STEPS, CLOSE = 200, 1e-13
 #: Flows that are worked on at once.
 CHUNK = 400_000
 
+HALVINGS, ROOT_TOLERANCE = 200, 1e-6
+NEWTON_STEPS = 100
+NEWTON_START, NEWTON_SHIFT, NEWTON_TOLERANCE, FLAT_SLOPE = 0.1, 1e-6, 1e-8, 1e-12
+
 
 def roots(years: np.ndarray, amounts: np.ndarray, counts: np.ndarray, guess: np.ndarray, low: float, high: float) -> np.ndarray:
     """One rate per row of ``counts`` flows each: Newton steps inside a bracket that halves when a step leaves it.
@@ -69,22 +74,147 @@ def _in_chunks(counts: np.ndarray):
         at = end
 
 
-def rate_of_flows(years: Column, amounts: Column, low: float, high: float) -> Column:
-    """Rate of each row's flows, given as two arrays; null where there is none inside the bracket."""
+class _Worth:
+    """Present values of a few entities' flows, each at its own rate; entities drop out as they are done."""
 
-    @F.arrow_udf("double")
-    def solved(t: pa.Array, a: pa.Array) -> pa.Array:
-        counts = np.diff(t.offsets.to_numpy()).astype(np.int64)
-        counts[t.is_null().to_numpy(zero_copy_only=False)] = 0
-        flat_t, flat_a = t.flatten().to_numpy(zero_copy_only=False), a.flatten().to_numpy(zero_copy_only=False)
-        before = np.concatenate([[0], np.cumsum(counts)])
-        parts = [np.empty(0)]
-        for i, j in _in_chunks(counts):
-            some = slice(before[i], before[j])
-            parts.append(roots(flat_t[some], flat_a[some], counts[i:j], np.full(j - i, 0.1), low, high))
-        return pa.array(np.concatenate(parts), pa.float64(), from_pandas=True)
+    def __init__(self, years: np.ndarray, amounts: np.ndarray, counts: np.ndarray):
+        self.years, self.amounts, self.counts = years, amounts, counts
+
+    def __call__(self, rate: np.ndarray) -> np.ndarray:
+        starts = np.cumsum(self.counts) - self.counts
+        with np.errstate(all="ignore"):
+            return np.add.reduceat(self.amounts * np.exp(self.years * np.repeat(-np.log(rate + 1), self.counts)), starts)
+
+    def only(self, keep: np.ndarray) -> "_Worth":
+        flows = np.repeat(keep, self.counts)
+        return _Worth(self.years[flows], self.amounts[flows], self.counts[keep])
+
+
+def searched(years: np.ndarray, amounts: np.ndarray, counts: np.ndarray, low: float, high: float) -> np.ndarray:
+    """One rate per entity of ``counts`` flows each (none has 0): halving where the bracket holds a sign change, else Newton."""
+    worth = _Worth(years, amounts, counts)
+    at_low = worth(np.full(len(counts), low))
+    ends = at_low * worth(np.full(len(counts), high))
+    same = ~np.isnan(ends) & (ends > 0)
+    found = np.empty(len(counts))
+    found[same] = _open_search(worth.only(same), low) if same.any() else 0
+    found[~same] = _halved(worth.only(~same), at_low[~same], low, high) if not same.all() else 0
+    return found
+
+
+def _halved(worth: _Worth, at_low: np.ndarray, low: float, high: float) -> np.ndarray:
+    found, rows = np.empty(len(at_low)), np.arange(len(at_low))
+    lo, hi = np.full(len(rows), low), np.full(len(rows), high)
+    for _ in range(HALVINGS):
+        middle = (lo + hi) / 2
+        value = worth(middle)
+        with np.errstate(all="ignore"):
+            left = at_low * value < 0
+            done = np.abs(value) < ROOT_TOLERANCE
+        lo, hi, at_low = np.where(left, lo, middle), np.where(left, middle, hi), np.where(left, at_low, value)
+        found[rows] = middle
+        if done.any():
+            keep = ~done
+            worth, rows, lo, hi, at_low = worth.only(keep), rows[keep], lo[keep], hi[keep], at_low[keep]
+            if not len(rows):
+                return found
+    found[rows] = (lo + hi) / 2
+    return found
 
-    return solved(years, amounts)
+
+def _open_search(worth: _Worth, low: float) -> np.ndarray:
+    rate = np.full(len(worth.counts), NEWTON_START)
+    found, rows = rate.copy(), np.arange(len(rate))
+    for _ in range(NEWTON_STEPS):
+        value = worth(rate)
+        with np.errstate(all="ignore"):
+            slope = (worth(rate + NEWTON_SHIFT) - value) / NEWTON_SHIFT
+            following = rate - value / slope
+            stuck = (np.abs(slope) < FLAT_SLOPE) | ~np.isfinite(following)
+            close = ~stuck & (np.abs(following - rate) < NEWTON_TOLERANCE)
+        rate = np.where(stuck, rate, np.where(close, following, np.maximum(low, following)))
+        found[rows] = rate
+        keep = ~(stuck | close)
+        worth, rows, rate = worth.only(keep), rows[keep], rate[keep]
+        if not len(rows):
+            break
+    return found
+
+
+def _solved(days: pa.Table, key: str, low: float, high: float, year: float) -> pa.RecordBatch:
+    """Rates of entities whose days lie together, ordered by date."""
+    keys = days[key].combine_chunks()
+    date = days["flow_date"].cast(pa.int32()).to_numpy().astype(np.int64)
+    amount, n, largest, smallest = (days[c].to_numpy().astype(float) for c in ("amount", "n", "largest", "smallest"))
+    number = keys.dictionary_encode().indices.to_numpy()
+    starts = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1])
+    counts = np.diff(np.append(starts, len(number)))
+    entity = np.repeat(np.arange(len(starts)), counts)
+
+    # The day whose first flow comes first of all.
+    rank = np.argsort(days["first"].to_numpy(), kind="stable").argsort(kind="stable")
+    first = np.lexsort((rank, entity))[starts]
+    years = (date - np.repeat(date[first], counts)) / year
+
+    far = np.iinfo(np.int64).max
+    paid, got = smallest < 0, largest > 0
+    extent = lambda some: (
+        np.maximum.reduceat(np.where(some, date, -far), starts), np.minimum.reduceat(np.where(some, date, far), starts)
+    )
+    (last_paid, first_paid), (last_got, first_got) = extent(paid), extent(got)
+    flows = np.add.reduceat(n, starts).astype(np.int64)
+    solvable = (flows >= 2) & (last_paid > -far) & (last_got > -far)
+    one_change = (last_paid <= first_got) | (last_got <= first_paid)
+
+    rate = np.zeros(len(starts))
+    for i, j in _in_chunks(counts):
+        some = slice(starts[i], starts[i] + counts[i:j].sum())
+        t, a, c = years[some], amount[some], counts[i:j]
+        once = solvable[i:j] & one_change[i:j]
+        quick = roots(t, a, np.where(once, c, 0), np.full(j - i, 0.1), low, high) if once.all() else _roots_of(once, t, a, c, low, high)
+        rate[i:j] = np.where(once, quick, 0.0)
+        rest = solvable[i:j] & ~(once & np.isfinite(quick))
+        if rest.any():
+            part = np.repeat(rest, c)
+            rate[np.arange(i, j)[rest]] = searched(t[part], a[part], c[rest], low, high)
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(starts)), pa.array(flows), pa.array(rate)], [key, "n", "xirr"])
+
+
+def _roots_of(some: np.ndarray, years: np.ndarray, amounts: np.ndarray, counts: np.ndarray, low: float, high: float) -> np.ndarray:
+    found, flows = np.full(len(some), np.nan), np.repeat(some, counts)
+    found[some] = roots(years[flows], amounts[flows], counts[some], np.full(some.sum(), 0.1), low, high)
+    return found
+
+
+def rate_per_entity(days: DataFrame, key: str, low: float, high: float, year: float) -> DataFrame:
+    """(key, n, xirr) from one row per entity and day: flow_date, amount, n, largest, smallest, first.
+
+    Days are dealt by entity and sorted; a worker solves the entities of an Arrow batch together and carries on the days of
+    the one that the batch ends in.
+    """
+    columns = [key, "flow_date", "amount", "n", "largest", "smallest", "first"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            number = keys.dictionary_encode().indices.to_numpy()
+            cut = int(np.flatnonzero(number == number[-1])[0])
+            if held and keys[0] != held[-1].column(0)[-1]:
+                yield _solved(pa.Table.from_batches(held), key, low, high, year)
+                held = []
+            if cut:
+                yield _solved(pa.Table.from_batches([*held, batch.slice(0, cut)]), key, low, high, year)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield _solved(pa.Table.from_batches(held), key, low, high, year)
+
+    dealt = days.select(*columns).repartition(key).sortWithinPartitions(key, "flow_date")
+    kind = days.schema[key].dataType.simpleString()
+    return dealt.mapInArrow(run, f"`{key}` {kind}, n bigint, xirr double")
 
 
 def month_offsets(start: str, months: int) -> np.ndarray:
