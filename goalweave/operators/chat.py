@@ -1,7 +1,7 @@
 """Plan summaries as JSON and message lists for a batch of conversations.
 
 Messages stay one row each, ordered by (conv_id, turn): a conversation may be of any length, so it is never gathered
-into one array.
+into one array. What a model is sent is cut from them in *pages*: arrays of messages of a fixed number of turns.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.num import half_up, half_up_long, lit
+from ..functions.num import half_up, half_up_long, is_finite, lit
 from ..functions.text import strip_blanks
 
 SYSTEM_TURN = -1
+PAGE_TURNS = 50
 PROMPT = "You explain saving plans in rupees, in plain words and with the figures given."
 
 # Field names of the plan summary, in order.
@@ -24,10 +25,54 @@ SUMMARY_FIELDS = [
 
 
 def number_text(x: Column) -> Column:
-    """A double as JSON shows it: all its digits, no exponent up to 1e21, no zeros behind the last digit."""
-    plain = x.cast("string").cast("decimal(38,17)").cast("string")
-    short = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
-    return F.when(F.abs(x) < 1e21, short).otherwise(x.cast("string"))
+    """A double as JSON shows it: the fewest digits that give it back, plain from 1e-6 up to 1e21, beyond with an exponent.
+
+    Sign, digits and exponent of Spark's text of the double (1.0E-5, 1.2345E7) are taken apart and laid out as text, so no
+    digit is lost on the way. That text sometimes has more digits than it takes; they are then rounded as far as the shorter
+    text still is the same double. Null where x is null or no finite number.
+    """
+    text = F.abs(x).cast("string")
+    mantissa, power = F.substring_index(text, "E", 1), F.regexp_extract(text, "E(.+)$", 1)
+    part = F.substring_index(mantissa, ".", -1)
+    number = F.concat(F.substring_index(mantissa, ".", 1), part).try_cast("bigint")
+    exponent = F.when(power == "", 0).otherwise(power.try_cast("int")) - F.length(part)
+    tens = F.array(*[F.lit(10**k) for k in range(18)])
+
+    # Try j stands for j / 2 digits less; odd ones round, even ones cut (the last digit may itself be rounded up).
+    def places(j: Column) -> Column:
+        return F.shiftright(j, 1)
+
+    def tried(n: Column, j: Column) -> Column:
+        ten = F.get(tens, places(j))
+        half = F.when(j % 2 == 1, F.call_function("div", ten, F.lit(2))).otherwise(0)
+        return F.call_function("div", n["number"] + half, ten)
+
+    def same(n: Column, j: Column) -> Column:
+        return F.concat(tried(n, j).cast("string"), F.lit("E"), (n["exponent"] + places(j)).cast("string")).try_cast("double") == F.abs(x)
+
+    def shortest(n: Column) -> Column:
+        tries = F.sequence(F.lit(0), 2 * F.length(n["number"].cast("string")) - 1)
+        return F.array_max(F.filter(tries, lambda j: same(n, j)))
+
+    def shown(n: Column, j: Column) -> Column:
+        digits = tried(n, j).cast("string")
+        sign = F.when(x < 0, "-").otherwise("")
+        return F.concat(sign, _laid_out(F.rtrim(digits, F.lit("0")), F.length(digits) + n["exponent"] + places(j)))
+
+    taken = F.array(F.struct(number.alias("number"), exponent.alias("exponent")))
+    found = F.transform(taken, lambda n: F.transform(F.array(shortest(n)), lambda j: shown(n, j))[0])[0]
+    return F.when(~is_finite(x), F.lit(None)).when(x == 0, F.lit("0")).otherwise(found)
+
+
+def _laid_out(digits: Column, point: Column) -> Column:
+    """Digits without zeros at either end, with the point before the ``point``-th of them."""
+    n = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    within = F.concat(F.left(digits, point), F.lit("."), F.substr(digits, point + 1))
+    large = F.concat(digits, F.repeat(F.lit("0"), point - n))
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+    raised = F.concat(F.left(digits, F.lit(1)), tail, F.when(point > 0, "e+").otherwise("e"), (point - 1).cast("string"))
+    return F.when((point > 21) | (point < -5), raised).when(point <= 0, small).when(point >= n, large).otherwise(within)
 
 
 def quoted(text: Column) -> Column:
@@ -91,6 +136,26 @@ def chat_messages(chat: DataFrame, summaries: DataFrame) -> DataFrame:
     return turns.unionByName(openers)
 
 
+def message_pages(messages: DataFrame, turns: int = PAGE_TURNS) -> DataFrame:
+    """(conv_id, page, messages): ordered arrays of {role, content}, the system message first on page 0.
+
+    Turns 0 to ``turns - 1`` make page 0, and so on, so a page's size is bounded by the number of a conversation's turns
+    it covers, however long the conversation is, and a long one is gathered by many tasks.
+    """
+    page = F.floor(F.greatest(F.col("turn"), F.lit(0)) / turns).cast("bigint").alias("page")
+    # Ties of a turn, should there be any, go by role and content.
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
+    paged = messages.groupBy("conv_id", page).agg(rows.alias("rows"))
+    return paged.select("conv_id", "page", F.transform("rows", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
+def pages_as_json(pages: DataFrame) -> DataFrame:
+    """Each page's messages as the JSON text a request carries."""
+    entry = F.transform("messages", lambda m: F.concat(F.lit('{"role":'), quoted(m["role"]), F.lit(',"content":'), quoted(m["content"]), F.lit("}")))
+    text = F.concat(F.lit("["), F.array_join(entry, ","), F.lit("]"))
+    return pages.select("conv_id", "page", F.size("messages").alias("n_messages"), text.alias("messages_json"))
+
+
 def chat_turns(chat: DataFrame) -> DataFrame:
     """Turns with something in them, blanks at both ends removed."""
     return chat.withColumn("text", strip_blanks(F.col("text"))).where(F.col("text") != "")

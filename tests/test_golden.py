@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import decimal
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -328,11 +330,38 @@ def test_summary_keeps_digits_and_names(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(numbers)], "i int, x double")
     shown = [r.t for r in rows.orderBy("i").select(chat.number_text(F.col("x")).alias("t")).collect()]
     assert shown == ["33.333333333", "7", "10000000", "100000000000000000000", "12345.678901", "0.25", "100"]
+    assert [r.t for r in spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (0.0,), (-0.0,)], "x double").select(chat.number_text(F.col("x")).alias("t")).collect()] == [None, None, None, "0", "0"]
     names = ["Flat:2.500,now", 'a "b" \\ c', "é\n", ""]
     got = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(chat.quoted(F.col("n")).alias("q")).collect()
     assert [json.loads(r.q) for r in got] == names
 
 
+def plain_number(x):
+    """Layout of a number as text, from the digits and the exponent that give the double back."""
+    sign, digits, exponent = decimal.Decimal(repr(x)).normalize().as_tuple()
+    digits, point = "".join(map(str, digits)), len(digits) + exponent
+    if point > 21 or point < -5:
+        text = digits[0] + ("." + digits[1:] if digits[1:] else "") + f"e{point - 1:+d}"
+    elif point <= 0:
+        text = "0." + "0" * -point + digits
+    else:
+        text = digits.ljust(point, "0")[:point] + ("." + digits[point:] if digits[point:] else "")
+    return "-" * sign + text
+
+
+def test_numbers_keep_all_digits(spark):
+    from goalweave.operators import chat
+
+    draw = random.Random(6)
+    numbers = [1.2345678901234568e-05, 1.5e-18, 1e-7, 1e-6, 9.5e-7, 1e21, 1.5e21, 123456789012345678901.0, 1e300, -1e300, 5e-324, -0.1, 1e22, 2e-3]
+    numbers += [draw.choice([1, -1]) * draw.uniform(1, 10) * 10.0 ** draw.randint(-300, 300) for _ in range(500)]
+    numbers += [draw.choice([1, -1]) * round(draw.uniform(0.1, 10), draw.randint(1, 15)) * 10.0 ** draw.randint(-9, 24) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(numbers)), "i int, x double").select("i", chat.number_text(F.col("x")).alias("t"))
+    shown = {r.i: r.t for r in rows.collect()}
+    assert shown == {i: plain_number(x) for i, x in enumerate(numbers)}
+    assert plain_number(1.5e-18) == "1.5e-18" and plain_number(1.2345678901234568e-05) == "0.000012345678901234568" and plain_number(1e21) == "1e+21"
+
+
 def test_catalogue_values():
     """Spot values written out here, so that a slip in the catalogue cannot pass by way of the check SQL."""
     from goalweave.sources import catalog
