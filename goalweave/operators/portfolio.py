@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.num import clamp, lit, positive, settled
+from ..sources import catalog
 
 NO_RISK = "—"
 LAKH = 100000.0
@@ -33,8 +34,7 @@ def composition(alloc: DataFrame, funds: DataFrame) -> DataFrame:
 def basket_metrics(alloc: DataFrame, funds: DataFrame, key: str, with_top: bool = False) -> DataFrame:
     """Total, blended return and risk, band sums and growth share per basket, in one aggregate.
 
-    ``with_top`` adds the heaviest fund and its share to the same pass. It keeps a struct per basket, for which Spark
-    sorts instead of hashing, so it is only added where it is wanted.
+    ``with_top`` adds the heaviest fund and its share to the same pass; a fund outside the catalogue is null there.
     """
     w = positive(F.col("weight"))
     sums = with_funds(alloc, funds).groupBy(key).agg(
@@ -44,14 +44,14 @@ def basket_metrics(alloc: DataFrame, funds: DataFrame, key: str, with_top: bool
         F.sum(w * F.col("equity_part")).alias("equity"),
         F.sum(w * F.col("debt_part")).alias("debt"),
         F.sum(w * F.col("gold_part")).alias("gold"),
-        *([_heaviest(w).alias("best")] if with_top else []),
+        *([F.max(w).alias("top_weight"), F.max_by(fund_number(), weight_order(w, F.col("pos"))).alias("top_number")] if with_top else []),
     )
 
     def per_total(name: str) -> Column:
         return settled(F.coalesce(F.try_divide(F.col(name), F.col("total")), lit(0)))
 
-    top = F.when(F.col("total") > 0, F.col("best.fund_id")) if with_top else None
-    top_weight = F.coalesce(F.try_divide(F.col("best.weight"), F.col("total")), lit(0)) if with_top else None
+    top = F.when(F.col("total") > 0, numbered_fund(F.col("top_number"))) if with_top else None
+    top_weight = F.coalesce(F.try_divide(F.col("top_weight"), F.col("total")), lit(0)) if with_top else None
     return sums.select(
         key,
         "total",
@@ -63,9 +63,35 @@ def basket_metrics(alloc: DataFrame, funds: DataFrame, key: str, with_top: bool
     )
 
 
-def _heaviest(weight: Column) -> Column:
-    """The row of greatest weight, the first inserted on a tie."""
-    return F.max(F.struct(weight.alias("weight"), (-F.col("pos")).alias("back"), "fund_id"))
+def fund_number() -> Column:
+    """Place of a fund in the catalogue from 1 on, 0 for one outside it."""
+    return F.array_position(_fund_ids(), F.col("fund_id")).cast("int")
+
+
+def numbered_fund(number: Column) -> Column:
+    return F.get(_fund_ids(), number - 1)
+
+
+def _fund_ids() -> Column:
+    return F.array(*[F.lit(f[0]) for f in catalog.FUNDS])
+
+
+def weight_order(weight: Column, pos: Column) -> Column:
+    """(weight, earlier place first) as one number, so that the heaviest fund is kept in a fixed-width hash aggregation buffer.
+
+    A positive double is its exponent and 52 further bits; scaling by a power of two takes them apart without rounding.
+    Weights of 0 come last, among themselves by place. Places are below 10^18.
+    """
+    tiny = weight < F.lit(1e-280)
+    scaled = F.when(tiny, weight * F.lit(2.0**200)).otherwise(weight)
+    guess = F.floor(F.log2(scaled))
+    # A logarithm may be off by one next to a power of two; the mantissa tells.
+    mantissa = scaled / F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(mantissa >= 2, 1).when(mantissa < 1, -1).otherwise(0)
+    bits = (scaled / F.pow(F.lit(2.0), exponent) - F.lit(1.0)) * F.lit(2.0**52)
+    high = (exponent + F.when(tiny, 1300).otherwise(1500)).cast("decimal(5,0)") * F.lit(1 << 52).cast("decimal(16,0)")
+    number = F.when(weight > 0, high + bits.cast("decimal(16,0)")).otherwise(F.lit(0))
+    return (number.cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)") + (F.lit(10**18 - 1) - pos).cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def risk_label(metrics: DataFrame) -> DataFrame:
@@ -103,13 +129,22 @@ def band_segments(metrics: DataFrame, key: str) -> DataFrame:
 
 
 def top_holding(alloc: DataFrame, key: str) -> DataFrame:
-    """Heaviest fund per basket, the first inserted on a tie, with its share of the positive total."""
-    w = F.col("weight")
-    best = alloc.where(w > 0).groupBy(key).agg(_heaviest(w).alias("best"), F.sum(w).alias("total"))
-    share = F.col("best.weight") / F.col("total")
-    return best.select(key, F.col("best.fund_id").alias("fund_id"), share.alias("top_weight")).withColumn(
-        "concentrated", F.col("top_weight") > 0.7
+    """Heaviest fund per basket, the first inserted on a tie, with its share of the positive total.
+
+    The aggregate carries the fund's number; one outside the catalogue is looked up by its place in the basket.
+    """
+    w, order = F.col("weight"), weight_order(F.col("weight"), F.col("pos"))
+    held = alloc.where(w > 0)
+    best = held.groupBy(key).agg(
+        F.max_by(fund_number(), order).alias("number"), F.max_by("pos", order).alias("pos"), F.max(w).alias("top"), F.sum(w).alias("total")
     )
+    unlisted = alloc.where(~F.col("fund_id").isin([f[0] for f in catalog.FUNDS])).where(w > 0)
+    unlisted = unlisted.select(F.col(key).alias("of"), F.col("pos").alias("at"), F.col("fund_id").alias("unlisted"))
+    # Joined by the basket alone, as the aggregate is dealt; a basket's few unlisted funds are told apart by their place.
+    named = best.join(unlisted, (F.col(key) == F.col("of")) & (F.col("pos") - F.col("at") == 0) & (F.col("number") == 0), "left")
+    share = F.col("top") / F.col("total")
+    fund = F.coalesce(numbered_fund(F.col("number")), "unlisted")
+    return named.select(key, fund.alias("fund_id"), share.alias("top_weight")).withColumn("concentrated", F.col("top_weight") > 0.7)
 
 
 def in_class_order(alloc: DataFrame, funds: DataFrame, key: str) -> DataFrame:
