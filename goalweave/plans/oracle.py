@@ -241,6 +241,11 @@ CTES = {
             WHEN 'signup' THEN value / {d(10000)} ELSE value END AS value,
           CAST(json_extract(props, '$.k') AS INTEGER) AS slot
         FROM events""",
+    "basket_edits": f"""
+        SELECT user_id, ts, event_id AS seq,
+          {case("event_type", {k: text(v) for k, v in {"error": "set_weight", "purchase": "add_fund", "view": "remove_fund", "signup": "apply_preset"}.items()}, "NULL")} AS action,
+          value, CAST(json_extract(props, '$.k') AS INTEGER) AS slot
+        FROM events""",
     "pool_state": f"""
         SELECT user_id,
           coalesce(last(value ORDER BY ts, seq) FILTER (WHERE action = 'set_sip'), {d(25000)}) AS monthly_sip,
@@ -387,6 +392,16 @@ CTES["summaries"] = f"""
     WHERE is_current"""
 
 
+CTES["message_pages"] = """
+    SELECT conv_id, greatest(turn, 0) // 5 AS page, CAST(count(*) AS INTEGER) AS n_messages,
+      '[' || string_agg('{"role":' || CAST(to_json(role) AS VARCHAR) || ',"content":' || CAST(to_json(content) AS VARCHAR) || '}', ',' ORDER BY turn) || ']' AS messages_json
+    FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, coalesce(text, '') AS content FROM conversations
+      UNION ALL
+      SELECT c.conv_id, -1, 'system', 'You explain saving plans in rupees, in plain words and with the figures given.' || coalesce(' Plan: ' || plan_json, '')
+      FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN summaries s ON s.user_id = c.conv_id)
+    GROUP BY 1, 2"""
+
+
 def rate_query(flows: str, key: str) -> str:
     """Bisection as a recursive query over (key, flows) with flows a list of {t, a}."""
     value_at = "list_sum(list_transform(flows, lambda f: f.a * pow(1 + {r}, -f.t)))"
@@ -613,6 +628,7 @@ SQL: dict[str, str] = {
         SELECT user_id, goal_id, CAST(k AS INTEGER) AS rank, fired[k].tone AS tone, fired[k].code AS code, fired[k].message AS message
         FROM (SELECT *, unnest(range(1, least(4, len(fired)) + 1)) AS k FROM remark_lists)""",
     "plan_summary_json": "SELECT * FROM summaries",
+    "chat_message_pages": "SELECT conv_id, page, n_messages, messages_json FROM message_pages",
     "chat_message_batch": """
         SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, coalesce(text, '') AS content FROM conversations
         UNION ALL
@@ -742,15 +758,15 @@ def over_all(part: str) -> str:
 
 SQL["replay_basket_log"] = f"""
     WITH RECURSIVE ops AS (SELECT user_id, action, slot % 12 + 1 AS i, value, given, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS k
-        FROM edits LEFT JOIN preset_weights ON preset_no = slot % 3
-        WHERE slot IS NOT NULL AND action IN ('set_weight', 'add_holding', 'set_savings', 'set_inflation')),
+        FROM basket_edits LEFT JOIN preset_weights ON preset_no = slot % 3
+        WHERE slot IS NOT NULL AND action IS NOT NULL),
       walk AS (SELECT c_custkey AS user_id, given AS x, 0 AS k FROM customer JOIN preset_weights ON preset_no = c_custkey % 3
         UNION ALL
         SELECT user_id, CASE
-            WHEN action = 'set_inflation' THEN given
-            WHEN action = 'add_holding' AND x[i] IS NULL THEN CASE WHEN n = 0 THEN {over_all(f"CASE WHEN j = i THEN {d(100)} END")}
+            WHEN action = 'apply_preset' THEN given
+            WHEN action = 'add_fund' AND x[i] IS NULL THEN CASE WHEN n = 0 THEN {over_all(f"CASE WHEN j = i THEN {d(100)} END")}
               ELSE {over_all(f"CASE WHEN j = i THEN {d(100)} / (n + 1) WHEN total > 0 THEN x[j] / total * (100 - {d(100)} / (n + 1)) ELSE x[j] - x[j] + (100 - {d(100)} / (n + 1)) / n END")} END
-            WHEN action = 'set_savings' AND x[i] IS NOT NULL THEN {over_all("CASE WHEN j <> i AND others > 0 THEN x[j] / others * 100 END")}
+            WHEN action = 'remove_fund' AND x[i] IS NOT NULL THEN {over_all("CASE WHEN j <> i AND others > 0 THEN x[j] / others * 100 END")}
             WHEN action = 'set_weight' AND x[i] IS NOT NULL THEN CASE WHEN n = 1 THEN {over_all(f"CASE WHEN j = i THEN {d(100)} END")}
               ELSE {over_all("CASE WHEN j = i THEN w WHEN others > 0 THEN x[j] / others * (100 - w) ELSE x[j] - x[j] + (100 - w) / (n - 1) END")} END
             ELSE x END, k

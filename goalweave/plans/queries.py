@@ -559,9 +559,8 @@ def _preset_weights(name: str):
     return F.array(*[F.lit(None if w is None else w / total * 100).cast("double") for w in held])
 
 
-#: What each action of the edit log does to a basket.
-BASKET_ACTIONS = {
-    "set_weight": basket_log.WEIGHT, "add_holding": basket_log.ADD, "set_savings": basket_log.REMOVE, "set_inflation": basket_log.PRESET,
+BASKET_KINDS = {
+    "set_weight": basket_log.WEIGHT, "add_fund": basket_log.ADD, "remove_fund": basket_log.REMOVE, "apply_preset": basket_log.PRESET,
 }
 
 
@@ -574,8 +573,8 @@ def replay_basket_log(spark, sf_dir):
             chosen = F.when(n == k, _preset_weights(name)).otherwise(chosen)
         return chosen
 
-    kind = catalog.lookup(F.col("action"), BASKET_ACTIONS, None)
-    log = pop.edits(spark, sf_dir, *BASKET_ACTIONS).where("slot IS NOT NULL").withColumn("kind", kind)
+    kind = catalog.lookup(F.col("action"), BASKET_KINDS, None)
+    log = pop.basket_edits(spark, sf_dir).where("slot IS NOT NULL").withColumn("kind", kind)
     edits = log.select(
         "user_id", state.order_key().alias("order_key"), "kind", (F.col("slot") % len(catalog.FUNDS)).alias("fund_no"),
         F.col("value").alias("weight"), F.when(F.col("kind") == basket_log.PRESET, preset(F.col("slot") % 3)).alias("basket"),
@@ -791,6 +790,13 @@ def chat_message_batch(spark, sf_dir):
     return chat.chat_messages(pop.chat(spark, sf_dir), _summaries(spark, sf_dir))
 
 
+@query
+def chat_message_pages(spark, sf_dir):
+    """The same messages as arrays, five turns a page."""
+    messages = chat.chat_messages(pop.chat(spark, sf_dir), _summaries(spark, sf_dir))
+    return chat.pages_as_json(chat.message_pages(messages, 5))
+
+
 @query
 def chat_turn_filter(spark, sf_dir):
     return chat.chat_turns(pop.chat(spark, sf_dir)).select("conv_id", "turn", "text")

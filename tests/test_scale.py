@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import random
 import re
 import subprocess
@@ -83,6 +84,28 @@ def test_goal_lookups_shuffle_goals_once(spark, sf_dir):
     assert plan_of(shares.goals_by_priority(goals, order)).count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("name", ["top_holding", "plan_insights", "insights_first4"])
+def test_heaviest_fund_is_hashed_not_sorted(spark, sf_dir, name):
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_order_of_weights_is_exact(spark):
+    """Neighbouring doubles about powers of two, tiny and huge ones, zeros and ties keep their order as numbers."""
+    weights = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1e-281, 1e-280, 1e-9, 0.1, 33.0, 1e17, 1.7976931348623157e308]
+    weights += [math.nextafter(2.0**k, to) for k in (-1000, -3, 0, 1, 2, 3, 29, 49, 52, 53, 1000) for to in (0, 1e308)] + [2.0**k for k in (-3, 0, 1, 29, 1000)]
+    rows = spark.createDataFrame([(w, p) for w in weights for p in (0, 7)], "w double, pos bigint")
+    ordered = rows.select("w", "pos", portfolio.weight_order(F.col("w"), F.col("pos")).alias("k")).collect()
+    assert len({r.k for r in ordered}) == len(set(weights)) * 2
+    assert [(r.w, r.pos) for r in sorted(ordered, key=lambda r: r.k)] == sorted(((r.w, r.pos) for r in ordered), key=lambda r: (r[0], -r[1]))
+
+
+def test_unlisted_funds_can_be_heaviest(spark):
+    alloc = [(1, "other_b", 40.0, 1), (1, "other_a", 40.0, 2), (1, catalog.FUNDS[3][0], 20.0, 0), (2, catalog.FUNDS[0][0], 9.0, 0), (2, "other_a", 9.0, 1), (3, "x", 0.0, 0)]
+    found = portfolio.top_holding(spark.createDataFrame(alloc, "basket_id int, fund_id string, weight double, pos bigint"), "basket_id")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "other_b", 0.4, False), (2, catalog.FUNDS[0][0], 0.5, False)]
+
+
 def test_picks_are_cut_before_the_shuffle(spark, sf_dir):
     assert plan_of(QUERIES["goal_pick_cap"](spark, sf_dir)).count("WindowGroupLimit") == 2
 
@@ -143,6 +166,30 @@ def test_hot_entity_rate(spark):
         assert abs(value) < 1e-7 * size
     plan = plan_of(cashflow.xirr(flows))
     assert "hashpartitioning(entity_id" in plan and re.search(r"hashpartitioning\(entity_id#\d+L?, flow_date", plan)
+    assert "collect_list" not in plan
+
+
+def test_rate_of_a_million_flows_on_many_days(spark):
+    """One entity with flows on each day of 82 years, both ways, beside small ones; batches end within it."""
+    n, days = 1_000_000, 30_000
+    day = F.pmod(F.xxhash64("id"), F.lit(days)).cast("int")
+    many = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 1000 + 2).cast("bigint").alias("entity_id"),
+        F.date_add(F.lit("1940-01-01").cast("date"), day).alias("flow_date"),
+        F.when(day < days // 5, F.lit(-3.0)).when(F.col("id") % 5 == 0, F.lit(-0.5)).otherwise(F.lit(1.0)).alias("amount"),
+    )
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7000")
+    try:
+        got = {r.entity_id: r for r in cashflow.xirr(many).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == 501 and got[1].n == n // 2
+    for entity in (1, 3, 501, 1001):
+        value = cashflow.xnpv(many.where(F.col("entity_id") == entity), [got[entity].xirr]).first().xnpv
+        worth_of_all = cashflow.xnpv(many.where(F.col("entity_id") == entity).withColumn("amount", F.abs("amount")), [got[entity].xirr]).first().xnpv
+        assert abs(value) < 1e-7 * worth_of_all
 
 
 def test_hot_basket_source(spark):
@@ -205,17 +252,34 @@ def test_long_conversation_stays_in_rows(spark):
     assert "collect_list" not in plan_of(messages)
 
 
+def test_long_conversation_in_pages(spark):
+    """A conversation with most of the messages is gathered in pages of bounded size, in order."""
+    turns = spark.range(5000).select(
+        F.when(F.col("id") < 4000, 1).otherwise(F.col("id") % 50 + 2).cast("bigint").alias("conv_id"),
+        F.when(F.col("id") < 4000, F.col("id")).otherwise(F.floor((F.col("id") - 4000) / 50)).cast("bigint").alias("turn"),
+        F.lit("ai").alias("role"), F.col("id").cast("string").alias("text"),
+    )
+    plans = spark.createDataFrame([(1, "{}")], "user_id bigint, plan_json string")
+    pages = chat.message_pages(chat.chat_messages(turns, plans), 100)
+    rows = {r.page: r.messages for r in pages.where("conv_id = 1").collect()}
+    assert sorted(rows) == list(range(40)) and {len(m) for m in rows.values()} == {100, 101}
+    assert rows[0][0].role == "system" and [m.content for m in rows[0][1:]] == [str(i) for i in range(100)]
+    assert [m.content for m in rows[39]] == [str(i) for i in range(3900, 4000)]
+    assert "hashpartitioning(conv_id" in plan_of(pages) and ", page" in plan_of(pages)
+
+
 def test_worker_code_needs_no_package(spark, sf_dir, tmp_path):
     """What is sent to Python workers must load where this package is not installed."""
     from pyspark import cloudpickle
 
-    from goalweave.operators import replay
+    from goalweave.operators import basket_effects, basket_log, replay
 
     path = tmp_path / "code.pkl"
-    path.write_bytes(cloudpickle.dumps((replay.WeightEffect, replay.apply_effect, replay._runs, replay.pick_moves)))
+    worker = (basket_effects.WeightEffect, basket_effects.applied, basket_effects.edited_cases, basket_log._per_slice, replay._runs, replay.pick_moves)
+    path.write_bytes(cloudpickle.dumps(worker))
     code = (
-        "import pickle, sys; E, apply, runs, moves = pickle.load(open(sys.argv[1], 'rb')); e = E(2); e.edit(0, 25.0); "
-        "assert [round(v, 9) for v in apply([50.0, 50.0], e.packed())] == [25.0, 75.0]; "
+        "import pickle, sys, numpy; E, apply, cases, _, runs, moves = pickle.load(open(sys.argv[1], 'rb')); e = E(numpy.ones(2)); "
+        "e.edit(2, 0, 25.0); assert [round(v, 9) for v in apply([50.0, 50.0], e.packed(), 2)] == [25.0, 75.0]; "
         "assert moves(10).shape == (10, 821); assert 'goalweave' not in sys.modules"
     )
     subprocess.run([sys.executable, "-c", code, str(path)], cwd="/", check=True)
