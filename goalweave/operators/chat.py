@@ -96,19 +96,24 @@ def plan_summary_json(plans: DataFrame) -> DataFrame:
     def whole(x: Column) -> Column:
         return half_up_long(x).cast("string")
 
+    # All numbers in one array, so that their layout is one expression and not one for each.
+    percent = half_up(F.col("blended_return") * lit(1000)) / lit(10)
+    numbers = F.array("target_today", "horizon_years", "monthly_sip", percent)
+    plans = plans.withColumn("number_texts", F.transform(numbers, number_text))
+    target, horizon, pool, expected = (F.get("number_texts", F.lit(k)) for k in range(4))
     values = [
         quoted(F.col("goal_name")),
-        number_text(F.col("target_today")),
-        number_text(F.col("horizon_years")),
+        target,
+        horizon,
         whole(F.col("sip")),
-        number_text(F.col("monthly_sip")),
+        pool,
         whole(F.col("savings")),
         whole(F.col("inflation") * lit(100)),
         whole(F.col("projected_corpus")),
         whole(F.col("required_corpus")),
         whole(F.col("gap")),
         F.col("on_track").cast("string"),
-        number_text(half_up(F.col("blended_return") * lit(1000)) / lit(10)),
+        expected,
         F.concat(F.lit("{"), "entries", F.lit("}")),
         F.to_json("other_goals"),
     ]
