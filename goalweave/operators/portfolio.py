@@ -63,35 +63,32 @@ def basket_metrics(alloc: DataFrame, funds: DataFrame, key: str, with_top: bool
     )
 
 
-def fund_number() -> Column:
-    """Place of a fund in the catalogue from 1 on, 0 for one outside it."""
-    return F.array_position(_fund_ids(), F.col("fund_id")).cast("int")
+CATALOGUE = [f[0] for f in catalog.FUNDS]
 
 
-def numbered_fund(number: Column) -> Column:
-    return F.get(_fund_ids(), number - 1)
+def fund_number(fund_ids: list[str] = CATALOGUE) -> Column:
+    """Place of a fund in a list from 1 on, 0 for one outside it."""
+    return F.array_position(F.array(*map(F.lit, fund_ids)), F.col("fund_id")).cast("int")
 
 
-def _fund_ids() -> Column:
-    return F.array(*[F.lit(f[0]) for f in catalog.FUNDS])
+def numbered_fund(number: Column, fund_ids: list[str] = CATALOGUE) -> Column:
+    return F.get(F.array(*map(F.lit, fund_ids)), number - 1)
 
 
 def weight_order(weight: Column, pos: Column) -> Column:
     """(weight, earlier place first) as one number, so that the heaviest fund is kept in a fixed-width hash aggregation buffer.
 
-    A positive double is its exponent and 52 further bits; scaling by a power of two takes them apart without rounding.
-    Weights of 0 come last, among themselves by place. Places are below 10^18.
+    A positive double is its exponent and 52 further bits; dividing by a power of two takes them apart without rounding.
+    Weights below 1e-300 count as 0 and come last, among themselves by place. Places are below 10^18.
     """
-    tiny = weight < F.lit(1e-280)
-    scaled = F.when(tiny, weight * F.lit(2.0**200)).otherwise(weight)
-    guess = F.floor(F.log2(scaled))
+    guess = F.floor(F.log2(weight))
     # A logarithm may be off by one next to a power of two; the mantissa tells.
-    mantissa = scaled / F.pow(F.lit(2.0), guess)
-    exponent = guess + F.when(mantissa >= 2, 1).when(mantissa < 1, -1).otherwise(0)
-    bits = (scaled / F.pow(F.lit(2.0), exponent) - F.lit(1.0)) * F.lit(2.0**52)
-    high = (exponent + F.when(tiny, 1300).otherwise(1500)).cast("decimal(5,0)") * F.lit(1 << 52).cast("decimal(16,0)")
-    number = F.when(weight > 0, high + bits.cast("decimal(16,0)")).otherwise(F.lit(0))
-    return (number.cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)") + (F.lit(10**18 - 1) - pos).cast("decimal(18,0)")).cast("decimal(38,0)")
+    mantissa = weight / F.pow(F.lit(2.0), guess)
+    more = F.when(mantissa >= 2, 1).when(mantissa < 1, -1).otherwise(0)
+    fraction = F.when(mantissa >= 2, mantissa / F.lit(2.0)).when(mantissa < 1, mantissa * F.lit(2.0)).otherwise(mantissa) - F.lit(1.0)
+    bits = (guess + more + F.lit(1023)) * F.lit(1 << 52) + (fraction * F.lit(2.0**52)).cast("bigint")
+    number = F.when(weight >= F.lit(1e-300), bits).otherwise(F.lit(0))
+    return (number.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + (F.lit(10**18 - 1) - pos).cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def risk_label(metrics: DataFrame) -> DataFrame:
@@ -128,23 +125,20 @@ def band_segments(metrics: DataFrame, key: str) -> DataFrame:
     )
 
 
-def top_holding(alloc: DataFrame, key: str) -> DataFrame:
+def top_holding(alloc: DataFrame, key: str, fund_ids: list[str] | None = None) -> DataFrame:
     """Heaviest fund per basket, the first inserted on a tie, with its share of the positive total.
 
-    The aggregate carries the fund's number; one outside the catalogue is looked up by its place in the basket.
+    ``fund_ids`` lists the funds that can occur, where they are known; the aggregate then carries a number and is hashed
+    (a fund that is not listed comes out as null). Without it, the aggregate carries the fund's text, for which Spark sorts.
     """
-    w, order = F.col("weight"), weight_order(F.col("weight"), F.col("pos"))
-    held = alloc.where(w > 0)
-    best = held.groupBy(key).agg(
-        F.max_by(fund_number(), order).alias("number"), F.max_by("pos", order).alias("pos"), F.max(w).alias("top"), F.sum(w).alias("total")
-    )
-    unlisted = alloc.where(~F.col("fund_id").isin([f[0] for f in catalog.FUNDS])).where(w > 0)
-    unlisted = unlisted.select(F.col(key).alias("of"), F.col("pos").alias("at"), F.col("fund_id").alias("unlisted"))
-    # Joined by the basket alone, as the aggregate is dealt; a basket's few unlisted funds are told apart by their place.
-    named = best.join(unlisted, (F.col(key) == F.col("of")) & (F.col("pos") - F.col("at") == 0) & (F.col("number") == 0), "left")
+    w, pos = F.col("weight"), F.col("pos")
+    if fund_ids is None:
+        best, named = F.max(F.struct("weight", (-pos).alias("back"), "fund_id")), F.col("best.fund_id")
+    else:
+        best, named = F.max_by(fund_number(fund_ids), weight_order(w, pos)), numbered_fund(F.col("best"), fund_ids)
+    top = alloc.where(w > 0).groupBy(key).agg(best.alias("best"), F.max(w).alias("top"), F.sum(w).alias("total"))
     share = F.col("top") / F.col("total")
-    fund = F.coalesce(numbered_fund(F.col("number")), "unlisted")
-    return named.select(key, fund.alias("fund_id"), share.alias("top_weight")).withColumn("concentrated", F.col("top_weight") > 0.7)
+    return top.select(key, named.alias("fund_id"), share.alias("top_weight")).withColumn("concentrated", F.col("top_weight") > 0.7)
 
 
 def in_class_order(alloc: DataFrame, funds: DataFrame, key: str) -> DataFrame:

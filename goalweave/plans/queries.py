@@ -382,7 +382,7 @@ def goal_reached_month(spark, sf_dir):
 
 @query
 def top_holding(spark, sf_dir):
-    rows = portfolio.top_holding(pop.baskets(spark, sf_dir), "basket_id")
+    rows = portfolio.top_holding(pop.baskets(spark, sf_dir), "basket_id", [*portfolio.CATALOGUE, pop.UNLISTED])
     return rows.withColumn("top_weight", published(F.col("top_weight")))
 
 

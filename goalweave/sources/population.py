@@ -144,9 +144,12 @@ def baskets(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) ->
     return grouped.select("basket_id", fund_by_number(F.col("fund_no")).alias("fund_id"), "weight", "pos")
 
 
+UNLISTED = "unlisted_fund"
+
+
 def fund_by_number(n: Column) -> Column:
     """Catalogue fund at this position; anything past the end is a fund the catalogue does not know."""
-    return _pick(n, [f[0] for f in catalog.FUNDS], "unlisted_fund")
+    return _pick(n, [f[0] for f in catalog.FUNDS], UNLISTED)
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
