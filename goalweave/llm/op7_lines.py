@@ -19,8 +19,8 @@ on the input, not on what is left.
    that does not remove is compared with all earlier lines of the key, so these comparisons can grow with the square of a
    key's lines that are truly apart.
 
-Nulls: a null text has no lines; a null doc_id comes last, in no order with other null ones: of its lines only equal
-ones go, from the second on in its own text; lines that differ by edits stay. Rows that repeat a doc_id are one document: an equal line of another such row is no earlier one. Empty
+Nulls: a null text has no lines; a null doc_id comes last, in no order with other null ones: of its lines those go that repeat
+in its own text, from the second on, and those equal to a line that goes from other documents for its edits; others stay. Rows that repeat a doc_id are one document: an equal line of another such row is no earlier one. Empty
 tables give no rows. Other columns are ignored by ``repeated_lines`` and kept by ``without_repeated_lines``.
 """
 

@@ -99,7 +99,7 @@ def test_run_gives_the_last_stage(spark, stages):
 def test_registered(spark):
     names = set(contract.queries())
     assert names >= set(QUERIES) | {"pipeline"}
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(contract.oracle_sql())
 
 
