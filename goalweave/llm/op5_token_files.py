@@ -8,8 +8,8 @@ A file holds a contiguous range of documents in ascending doc_id order (nulls fi
     tail    offset of the index and number of documents, uint64 each, 8 bytes magic
 
 A short document is read with one look at the index and one small read. The dictionary is trained on the id arrays of a
-bounded sample (``SAMPLE_DOCS`` documents with the smallest hash of their id, the first ``SAMPLE_IDS`` ids of each);
-all documents are written. Files go to the shared folder under a temporary name and are renamed when whole, so a
+bounded sample (``SAMPLE_DOCS`` documents with the smallest hash of their id, of each at most ``SAMPLE_IDS`` ids in
+``SAMPLE_PIECES`` pieces spread evenly from its start to its end); all documents are written whole. Files go to the shared folder under a temporary name and are renamed when whole, so a
 repeated task replaces its own file with the same bytes.
 
 Encoding splits a text at ASCII blanks, which this tokenizer drops, and encodes each distinct word once per worker
@@ -43,7 +43,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"GWIDS\x00\x00\x01"
 HEAD, TAIL = "<8sI32s", "<QQ8s"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("ids", "<u4")])
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 32768
+SAMPLE_DOCS, SAMPLE_IDS, SAMPLE_PIECES, DICTIONARY_BYTES = 512, 4096, 8, 32768
 LEVEL = 3
 #: Words a worker remembers before it forgets all but those in use, and bytes of text that are split into words at once.
 CACHE_WORDS, SLICE_BYTES = 400_000, 8_000_000
@@ -139,6 +139,15 @@ def _serialized(ids: np.ndarray, width: int) -> bytes:
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
+def spread(ids: np.ndarray) -> np.ndarray:
+    """Pieces from all over a document, in order; all of it where it is no longer than the sample."""
+    if len(ids) < SAMPLE_IDS:
+        return ids
+    size = (SAMPLE_IDS - 1) // SAMPLE_PIECES
+    starts = np.linspace(0, len(ids) - size, SAMPLE_PIECES).astype(np.int64)
+    return ids[(starts[:, None] + np.arange(size)).ravel()]
+
+
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """The dictionary's bytes; empty where the sample is too small to train one."""
     width = id_width(path)
@@ -147,7 +156,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
         samples = []
         for batch in batches:
             for ids in _encoder(path)(batch.column(0)):
-                samples.append(_serialized(np.append(ids[: SAMPLE_IDS - 1], end_id), width))
+                samples.append(_serialized(np.append(spread(ids), end_id), width))
         try:
             found = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if samples else b""
         except zstandard.ZstdError:

@@ -200,6 +200,16 @@ def test_token_files_hold_the_tokenizer_s_ids(spark, odd_rows, tmp_path):
         holder.find(999)
 
 
+def test_the_dictionary_s_sample_is_from_all_over_a_document():
+    short, long = np.arange(4095), np.arange(100_000)
+    assert op5_token_files.spread(short) is short
+    some = op5_token_files.spread(long)
+    assert some[0] == 0 and some[-1] == 99_999 and (np.diff(some) > 0).all() and 4000 < len(some) < 4096
+    assert np.flatnonzero(np.diff(some) > 1).tolist() == [511 * k - 1 for k in range(1, 8)]
+    edge = op5_token_files.spread(np.arange(4096))
+    assert edge[0] == 0 and edge[-1] == 4095 and len(edge) == 4088
+
+
 def test_token_files_of_nothing_and_with_a_trained_dictionary(spark):
     docs = frame(spark, [(i, words(i, 60)) for i in range(200)])
     assert len(op5_token_files.train_dictionary(docs, WORDS, 2)) > 1000
