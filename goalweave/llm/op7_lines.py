@@ -15,9 +15,13 @@ on the input, not on what is left.
 4. Pairs of the small groups meet their text; a banded bit-parallel edit distance decides.
 5. With ``edits`` above 1, a line of ``EACH`` characters or more for each edit may have so many, up to ``edits``: the shorter
    line of a pair sets the number k. It is cut into k + 1 segments; at least one lies unchanged in the other line, moved by
-   no more than the edits before and behind it allow. Lines of a crowded key are compared with the key's first line; what
-   that does not remove is compared with all earlier lines of the key, so these comparisons can grow with the square of a
-   key's lines that are truly apart.
+   no more than the edits before and behind it allow. Such lines give out no halves. Lines of a key of more than ``LED``
+   are first compared with the key's first line, then those that stay with the first of these, as long as that removes
+   a tenth of them; only what stays then is compared with all earlier lines of the key.
+6. An edit changes at most four of a line's pairs of neighbouring characters. Each line has the parities of its pairs, hashed
+   to 128 bits; lines of a key become a pair only if at most 4 k of these bits differ. No near line is lost by that, and of
+   lines about one template those too far apart are told apart inside the join. Looking at the bits still grows
+   with the square of a key's lines that are truly apart.
 
 Nulls: a null text has no lines; a null doc_id comes last, in no order with other null ones: of its lines those go that repeat
 in its own text, from the second on, and those equal to a line that goes from other documents for its edits; others stay. Rows that repeat a doc_id are one document: an equal line of another such row is no earlier one. Empty
@@ -49,45 +53,120 @@ AT_ONCE = 1 << 20
 MARKS = 1 << 27
 #: Lines of a key that may be paired; more are dealt anew.
 CROWD = 32
+#: The same where more than one edit is allowed: lines of larger keys meet their first line before they are paired.
+LED = 4
+#: Columns that the distances of many pairs take between two looks at what is far, and places of a grid of characters.
+STEP, CELLS = 32, 1 << 18
+#: Pairs too few for arrays.
+FEW = 8
 
 
-def edits_within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most ``most``: a band of 2 * most + 1 diagonals in the bits of one number."""
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) - len(b) > most:
-        return False
-    low, high = 0, len(b)
-    while low < high:  # the common start needs no band; found by halving
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
-    a, b = a[low:], b[low:]
-    low, high = 0, len(b)
-    while low < high:  # nor does the common end
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if a[-middle:] == b[-middle:] else (low, middle - 1)
-    a, b = a[: len(a) - low], b[: len(b) - low]
-    width = 2 * most + 1
+def _grid(chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray, before: int, width: int, fill: int) -> np.ndarray:
+    """Characters from ``before`` places before each start on, ``fill`` where a text has none."""
+    at = np.arange(-before, width - before)
+    inside = (at >= 0) & (at < sizes[:, None])
+    return np.where(inside, chars[np.where(inside, starts[:, None] + at, 0)], np.uint32(fill))
+
+
+def _column(equal, up, down, score, width: int, every: int):
+    """Differences down the next column and the score, of numbers or of arrays."""
+    zero = ((((equal & up) + up) ^ up) | equal | down) & every
+    plus = down | (every & ~(zero | up))
+    score = score + 1 - (zero >> (width - 1) & 1)  # it follows the lowest diagonal
+    return (zero & up) | (every & ~((zero >> 1) | plus)), (zero >> 1) & plus, score
+
+
+def _banded(x: np.ndarray, y: np.ndarray, long: np.ndarray, short: np.ndarray, most: np.ndarray, band: int) -> np.ndarray:
+    """Whether rows of ``x`` (``band`` places filled up in front) are within ``most`` of those of ``y``, which are shorter and
+    come in order of size: for all pairs at once, column by column, a band of 2 * band + 1 diagonals in the bits of a number."""
+    n, width = len(y), 2 * band + 1
     every = (1 << width) - 1
-    # Bit t of column j stands for row j + 1 - most + t. Differences down a column: all +1 below row 0, none above it.
-    up, down, score = every & ~((1 << most) - 1), 0, most
-    for j, c in enumerate(b):
-        equal = 0
+    # Bit t of column j stands for row j + 1 - band + t. Differences down a column: all +1 below row 0, none above it.
+    up, down, score = (np.full(n, v, np.int32) for v in (every & ~((1 << band) - 1), 0, band))
+    columns = y.shape[1]
+    for begin in range(0, columns, STEP):
+        end = min(begin + STEP, columns)
+        # Pairs whose lowest diagonal is this far off cannot come back; they count as far and are left as they are.
+        live = np.flatnonzero((short > begin) & (score <= 3 * band))
+        if not len(live):
+            continue
+        equal = np.zeros((len(live), end - begin), np.int32)
         for t in range(width):
-            i = j - most + t
-            if 0 <= i < len(a) and a[i] == c:
-                equal |= 1 << t
-        zero = ((((equal & up) + up) ^ up) | equal | down) & every
-        plus = down | (every & ~(zero | up))
-        minus = zero & up
-        # The score follows the lowest diagonal.
-        score += 1 - (zero >> (width - 1) & 1)
-        up = minus | (every & ~((zero >> 1) | plus))
-        down = (zero >> 1) & plus
-    # From the lowest row of the last column, len(b) + most, up to row len(a).
-    for t in range(width - 1, width - 1 - (len(b) + most - len(a)), -1):
-        score -= (up >> (t - 1) & 1) - (down >> (t - 1) & 1) if t else 0
-    return score <= most
+            equal |= (x[live, begin + t : end + t] == y[live, begin:end]).astype(np.int32) << t
+        if len(live) <= FEW:  # numbers one by one are faster than arrays of so few
+            for row, number in enumerate(live):
+                u, d, s = int(up[number]), int(down[number]), int(score[number])
+                for e in equal[row, : short[number] - begin].tolist():
+                    u, d, s = _column(e, u, d, s, width, every)
+                up[number], down[number], score[number] = u, d, s
+            continue
+        equal, sizes = np.ascontiguousarray(equal.T), short[live]
+        u, d, s = up[live], down[live], score[live]
+        for j in range(begin, end):
+            first = np.searchsorted(sizes, j, "right")  # shorter ones have ended
+            u[first:], d[first:], s[first:] = _column(equal[j - begin, first:], u[first:], d[first:], s[first:], width, every)
+        up[live], down[live], score[live] = u, d, s
+    far = score > 3 * band
+    # From the lowest row of the last column, short + band, up to row long.
+    for t in range(width - 1, 0, -1):
+        step = (width - 1 - t) < short + band - long
+        score -= np.where(step, (up >> (t - 1) & 1) - (down >> (t - 1) & 1), 0)
+    return ~far & (score <= most)
+
+
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most its ``most``."""
+    near, band = np.zeros(len(a), bool), int(most.max(initial=0))
+    chars = np.frombuffer("".join([*a, *b]).encode("utf-32-le") + bytes(4), np.uint32)
+    sizes = np.array([len(t) for t in [*a, *b]], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    n, pair = len(a), np.arange(len(a))
+    swap = np.where(sizes[:n] < sizes[n:], n, 0)
+    x, y = pair + swap, pair + n - swap
+    xs, ys, long, short = starts[x], starts[y], sizes[x], sizes[y]
+    order = np.argsort(short, kind="stable")
+    order = order[long[order] - short[order] <= most[order]]
+    for part in _parts(short[order]):
+        at = order[part]
+        # The common start and the common end need no band.
+        for back in (False, True):
+            columns = int(short[at].max(initial=0))
+            if back:
+                inside = np.arange(columns) < short[at, None]
+                other = [chars[np.where(inside, (s + z)[at, None] - 1 - np.arange(columns), 0)] for s, z in ((xs, long), (ys, short))]
+            else:
+                inside = np.arange(columns) < short[at, None]
+                other = [_grid(chars, s[at], z[at], 0, columns, 0) for s, z in ((xs, long), (ys, short))]
+            differ = np.concatenate([(other[0] != other[1]) | ~inside, np.ones((len(at), 1), bool)], 1)
+            same = differ.argmax(1)
+            long[at] -= same
+            short[at] -= same
+            if not back:
+                xs[at] += same
+                ys[at] += same
+    order = order[np.argsort(short[order], kind="stable")]
+    for part in _parts(short[order]):
+        at = order[part]
+        columns = int(short[at].max(initial=0))
+        grids = _grid(chars, xs[at], long[at], band, columns + 2 * band, 0xFFFFFFFF), _grid(chars, ys[at], short[at], 0, columns, 0xFFFFFFFE)
+        near[at] = _banded(*grids, long[at], short[at], most[at], band)
+    return near
+
+
+def _parts(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of ascending sizes whose grids have at most ``CELLS`` places, or one row."""
+    first = 0
+    while first < len(sizes):
+        last = first + 1
+        while last < len(sizes) and (last + 1 - first) * sizes[last] <= CELLS:
+            last += 1
+        yield slice(first, last)
+        first = last
+
+
+def edits_within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``."""
+    return bool(within([a], [b], np.array([most]))[0])
 
 
 def _key(parts: tuple) -> int:
@@ -139,35 +218,89 @@ def segments(lines: list[str], edits: int, own: bool) -> tuple[np.ndarray, np.nd
     return np.concatenate(numbers), np.concatenate(keys)
 
 
-SCANNED = "doc_id long, row_key long, n_lines long, lines array<struct<at:int,again:array<int>,size:int,h1:long,h2:long,keys:array<long>>>"
+def parities(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each line in two numbers: how often, odd or even, a pair of neighbouring characters of each hash occurs."""
+    chars = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(x) for x in lines], np.int64)
+    if not len(chars):
+        return np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
+    bit = kernels.mixed(chars[:-1] << np.uint64(32) | chars[1:]) >> np.uint64(57)
+    mark = np.uint64(1) << (bit & np.uint64(63))
+    ends = np.cumsum(sizes)
+    full = np.flatnonzero(sizes)
+    found = []
+    for high in (0, 1):
+        marks = np.append(np.where(bit >> np.uint64(6) == high, mark, np.uint64(0)), np.uint64(0))
+        marks[ends[full] - 1] = 0  # a pair over the end of a line
+        words = np.zeros(len(lines), np.uint64)
+        words[full] = np.bitwise_xor.reduceat(marks, (ends - sizes)[full])
+        found.append(kernels.signed(words))
+    return found[0], found[1]
+
+
+def _runs(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of lines that are worked on at once."""
+    first = 0
+    while first < len(lines):
+        last, size = first + 1, len(lines[first])
+        while last < len(lines) and size + len(lines[last]) <= AT_ONCE:
+            size += len(lines[last])
+            last += 1
+        yield first, last
+        first = last
+
+
+SCANNED = "doc_id long, row_key long, n_lines long, lines array<struct<at:int,again:array<int>,size:int,h1:long,h2:long,keys:array<long>,parts:array<long>>>"
+WORDS = pa.list_(pa.int64())
 LINE = pa.struct(
-    [("at", pa.int32()), ("again", pa.list_(pa.int32())), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))]
+    [("at", pa.int32()), ("again", pa.list_(pa.int32())), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", WORDS), ("parts", WORDS)]
 )
 
 
-def scanned(docs: DataFrame, least: int, equal: int) -> DataFrame:
+def _offsets(sizes: list[int] | np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
+def _own_parts(lines: list[str], edits: int) -> pa.Array:
+    """For each line the keys of its own segments."""
+    counts, found = np.zeros(len(lines), np.int64), [np.empty(0, np.int64)]
+    for first, last in _runs(lines):
+        place, keys = segments(lines[first:last], edits, True)
+        counts[first:last] = np.bincount(place, minlength=last - first)
+        found.append(keys[np.argsort(place, kind="stable")])
+    return pa.ListArray.from_arrays(_offsets(counts), pa.array(np.concatenate(found), pa.int64()))
+
+
+def scanned(docs: DataFrame, least: int, equal: int, edits: int = 1) -> DataFrame:
     """Distinct lines of each document from ``equal`` characters on: first place, later places, hash, and from ``least``
-    characters on four keys (two halves for each length)."""
+    characters on four keys (two halves for each length); longer lines that may have more edits, the keys of their segments."""
+    # A line of just so many characters may be one edit from one that is a character shorter.
+    halved = sys.maxsize if edits == 1 else 2 * EACH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small(batches):
-            counts, found = [], []
+            counts, distinct, texts, firsts, again, halves_of = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 lines = (text or "").split("\n")
                 places: dict[str, list[int]] = {}
                 for at, line in enumerate(lines):
                     if len(line) >= equal:
                         places.setdefault(line, []).append(at)
-                rows = []
                 for line, at in places.items():
-                    digest = xxhash.xxh3_128_intdigest(line.encode())
-                    h1, h2 = (x - (1 << 64) if x >= 1 << 63 else x for x in divmod(digest, 1 << 64))
-                    keys = [k for extra in (0, 1) for k, _, _ in halves("", line, 0, len(line), extra)] if len(line) >= least else []
-                    rows.append({"at": at[0], "again": at[1:], "size": len(line), "h1": h1, "h2": h2, "keys": keys})
+                    firsts.append(at[0])
+                    again.append(at[1:])
+                    halves_of.append([k for extra in (0, 1) for k, _, _ in halves("", line, 0, len(line), extra)] if least <= len(line) <= halved else [])
+                texts += places
+                distinct.append(len(places))
                 counts.append(0 if text is None else len(lines))
-                found.append(rows)
-            columns = [*batch.columns[:2], pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(LINE))], ["doc_id", "row_key", "n_lines", "lines"])
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode()) for x in texts), ">i8").astype(np.int64).reshape(-1, 2)
+            longer = [x if edits > 1 and len(x) >= max(least, 2 * EACH) else "" for x in texts]
+            columns = [
+                pa.array(firsts, pa.int32()), pa.array(again, pa.list_(pa.int32())), pa.array([len(x) for x in texts], pa.int32()),
+                pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(halves_of, WORDS), _own_parts(longer, max(edits, 2)),
+            ]
+            rows = pa.ListArray.from_arrays(_offsets(distinct), pa.StructArray.from_arrays(columns, fields=list(LINE)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.int64()), rows], ["doc_id", "row_key", "n_lines", "lines"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), "text").mapInArrow(run, SCANNED)
 
@@ -178,7 +311,7 @@ def _row_key() -> Column:
 
 
 def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, at, line) of the wanted places."""
+    """(doc_id, at, line, even, odd) of the wanted places; the last two are the line's parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small(batches):
@@ -192,14 +325,15 @@ def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                         names.append(name)
                         ats.append(hit["at"])
                         lines.append(line)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(ats, pa.int32()), pa.array(lines, pa.string())], ["doc_id", "at", "line"]
-            )
+            bits = [parities(lines[first:last]) for first, last in _runs(lines)]
+            marks = [np.concatenate([np.empty(0, np.int64), *(x[i] for x in bits)]) for i in (0, 1)]
+            columns = [pa.array(names, pa.int64()), pa.array(ats, pa.int32()), pa.array(lines, pa.string()), *map(pa.array, marks)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "line", "even", "odd"])
 
     places = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "h1")).alias("hits"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     met = common.met_by_id(texts, places).select("doc_id", "text", "hits")
-    return met.mapInArrow(run, "doc_id long, at int, line string")
+    return met.mapInArrow(run, "doc_id long, at int, line string, even long, odd long")
 
 
 def _signed_high(line: str) -> int:
@@ -248,7 +382,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small(batches):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            near = pa.array([edits_within(x, y, allowed(min(len(x), len(y)), edits)) for x, y in zip(a, b)], pa.bool_())
+            near = pa.array(within(a, b, np.array([allowed(min(len(x), len(y)), edits) for x, y in zip(a, b)], np.int64)))
             yield pa.RecordBatch.from_arrays([c.filter(near) for c in batch.columns[:2]], ["doc_id", "at"])
 
     a = lines.select(F.col("doc_id").alias("doc_a"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
@@ -264,19 +398,23 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
     ``edits``. Equal ones go from ``equal`` characters on (as ``least`` if None).
     """
     scratch = common.Scratch(docs.sparkSession, "lines")
-    scan = scratch.write(scanned(docs, least, least if equal is None else max(min(equal, least), 1)), "scan")
+    scan = scratch.write(scanned(docs, least, least if equal is None else max(min(equal, least), 1), edits), "scan")
     rows = scan.select("doc_id", "row_key", F.explode("lines").alias("l")).select("doc_id", "row_key", "l.*")
     named = rows.where("doc_id is not null")
     firsts = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
     # Rows that repeat a doc_id may hold a line twice; the smaller place stands for it.
-    own = named.select("doc_id", "at", "size", "h1", "h2", "keys").join(firsts.withColumnRenamed("first_id", "doc_id"), ["h1", "h2", "doc_id"])
+    own = named.select("doc_id", "at", "size", "h1", "h2", "keys", "parts").join(firsts.withColumnRenamed("first_id", "doc_id"), ["h1", "h2", "doc_id"])
     kept = scratch.write(own.dropDuplicates(["h1", "h2"]), "firsts", 4)
 
     # The first two keys are of the line's own length, the others of one character less.
     exploded = kept.select("doc_id", "at", "h1", F.posexplode("keys").alias("place", "key"))
     keyed = exploded.select("key", "doc_id", "at", "h1", F.floor(F.col("place") / 2).cast("int").alias("extra"), (F.col("place") % 2).alias("half"))
     shared = scratch.write(_sized(keyed), "shared", 4)
-    lines = scratch.write(_line_texts(shared, docs), "texts")
+    wanted = shared.select("doc_id", "at", "h1")
+    if edits > 1:
+        alike = _alike(scratch, kept, docs, least, edits)
+        wanted = wanted.unionAll(kept.select("doc_id", "at", "h1").join(alike.select("doc_id", "at").distinct(), ["doc_id", "at"], "left_semi"))
+    lines = scratch.write(_line_texts(wanted, docs), "texts")
     small = shared.where(F.col("size") <= CROWD).select("key", "doc_id", "at", "extra")
     near = [_verified(_pairs(small), lines)]
 
@@ -302,7 +440,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
         later = later.unionAll(some)
     later = scratch.write(later.distinct(), "later", 8)
     if edits > 1:
-        later = _within_more(scratch, kept.where(F.col("size") >= least), docs, edits, later)
+        later = _within_more(scratch, alike, lines, edits, later)
 
     gone = kept.join(later, ["doc_id", "at"], "left_semi").select("h1", "h2", F.lit(True).alias("late"))
     marked = rows.join(firsts, ["h1", "h2"], "left").join(gone, ["h1", "h2"], "left")
@@ -317,28 +455,31 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
     return found.select("doc_id", "row_key", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def _segment_keys(lines: DataFrame, edits: int, known: np.ndarray | None = None) -> DataFrame:
-    """(key, doc_id, at, own) of the lines' own segments, or of parts whose keys are perhaps ``known``."""
+def _other_parts(docs: DataFrame, least: int, edits: int, known: np.ndarray) -> DataFrame:
+    """(key, doc_id, at) of parts of long lines, at their first place in the text, whose keys are perhaps ``known``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small(batches):
-            texts, first = batch.column(2).to_pylist(), 0
-            while first < len(texts):
-                last, size = first + 1, len(texts[first])
-                while last < len(texts) and size + len(texts[last]) <= AT_ONCE:
-                    size += len(texts[last])
-                    last += 1
-                place, keys = segments(texts[first:last], edits, known is None)
-                if known is not None:
-                    bits = keys & (MARKS - 1)
-                    met = (known[bits >> 6] >> (bits & 63)) & 1 == 1
-                    place, keys = place[met], keys[met]
-                found = [batch.column(i).take(pa.array(place + first)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *found], ["key", "doc_id", "at"])
-                first = last
-
-    found = lines.select("doc_id", "at", "line").mapInArrow(run, "key long, doc_id long, at int")
-    return found.withColumn("own", F.lit(known is None))
+            owners, places = [], {}
+            lines: list[str] = []
+            for number, text in enumerate(batch.column(1).to_pylist()):
+                places = {}
+                for at, line in enumerate((text or "").split("\n")):
+                    if len(line) >= max(least, 2 * EACH):
+                        places.setdefault(line, at)
+                lines += places
+                owners += [(number, at) for at in places.values()]
+            owner = np.array(owners, np.int64).reshape(-1, 2)
+            for first, last in _runs(lines):
+                place, keys = segments(lines[first:last], edits, False)
+                bits = keys & (MARKS - 1)
+                met = (known[bits >> 6] >> (bits & 63)) & 1 == 1
+                at = owner[place[met] + first]
+                columns = [pa.array(keys[met], pa.int64()), batch.column(0).take(pa.array(at[:, 0])), pa.array(at[:, 1].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "at"])
+
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return named.mapInArrow(run, "key long, doc_id long, at int")
 
 
 def _marks(keys: DataFrame) -> np.ndarray:
@@ -352,42 +493,52 @@ def _marks(keys: DataFrame) -> np.ndarray:
     return known
 
 
-def _paired(rows: DataFrame, late: DataFrame | None = None) -> DataFrame:
-    """Pairs of lines that share a key that is one's own, the earlier one first; without those whose later one is in ``late``."""
-    a = rows.select("key", F.col("doc_id").alias("doc_a"), F.col("at").alias("at_a"), F.col("own").alias("own_a"))
-    b = rows.select("key", F.col("doc_id").alias("doc_b"), F.col("at").alias("at_b"), F.col("own").alias("own_b"))
-    if late is not None:
-        b = b.join(late.select(F.col("doc_id").alias("doc_b"), F.col("at").alias("at_b")), ["doc_b", "at_b"], "left_anti")
-    before = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("at_a") < F.col("at_b")))
-    found = a.join(b, "key").where(before & (F.col("own_a") | F.col("own_b")))
-    return found.select("doc_a", "at_a", "doc_b", "at_b").distinct()
+def _alike(scratch: common.Scratch, kept: DataFrame, docs: DataFrame, least: int, edits: int) -> DataFrame:
+    """(key, doc_id, at, own, size) of segments, and of parts that may be such, that two lines or more have."""
+    own = kept.select(F.explode("parts").alias("key"), "doc_id", "at", F.lit(True).alias("own"))
+    others = _other_parts(docs, least, edits, _marks(own)).withColumn("own", F.lit(False))
+    # Rows are as many as the own segments; what only one line has goes before lines are looked up.
+    rows = scratch.write(own.unionAll(others), "segments", 4)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("any")).where("size > 1 and any")
+    alike = scratch.write(rows.join(sizes.drop("any"), "key").join(kept.select("doc_id", "at"), ["doc_id", "at"], "left_semi"), "alike", 4)
+    scratch.drop(rows)
+    return alike
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("doc_id", "at", "own", "most", "even", "odd")])
+
 
+def _paired(rows: DataFrame, late: DataFrame, firsts: bool = False) -> DataFrame:
+    """Pairs of lines that share a key that is one's own and whose parities are close, the earlier one first; without those
+    whose later one is in ``late``. ``firsts``: only with the first line of the key that is not in ``late``."""
+    left = rows.join(late, ["doc_id", "at"], "left_anti")
+    a, b = _side(rows, "a"), _side(left, "b")
+    if firsts:
+        columns = ("doc_id", "at", "own", "most", "even", "odd")
+        a = left.groupBy("key").agg(F.min(F.struct(*columns)).alias("f")).select("key", *[F.col(f"f.{c}").alias(f"{c}_a") for c in columns])
+    before = (F.col("doc_id_a") < F.col("doc_id_b")) | ((F.col("doc_id_a") == F.col("doc_id_b")) & (F.col("at_a") < F.col("at_b")))
+    differ = F.bit_count(F.col("even_a").bitwiseXOR(F.col("even_b"))) + F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")))
+    close = differ <= 4 * F.least("most_a", "most_b")
+    # A first line that has the key in a part of it may meet another such one here; that does no harm.
+    met = before & close if firsts else before & close & (F.col("own_a") | F.col("own_b"))
+    found = a.join(b, "key").where(met)
+    return found.select(F.col("doc_id_a").alias("doc_a"), "at_a", F.col("doc_id_b").alias("doc_b"), "at_b").distinct()
 
-def _within_more(scratch: common.Scratch, kept: DataFrame, docs: DataFrame, edits: int, late: DataFrame) -> DataFrame:
+
+def _within_more(scratch: common.Scratch, alike: DataFrame, lines: DataFrame, edits: int, late: DataFrame) -> DataFrame:
     """Places of lines that have an earlier one within their ``allowed`` edits, of two or more, besides those in ``late``."""
-    lines = scratch.write(_line_texts(kept.where(F.col("size") >= 2 * EACH), docs), "long")
-    own = scratch.write(_segment_keys(lines, edits), "own", 4)
-    others = _segment_keys(lines, edits, _marks(own)).join(own.select("key"), "key", "left_semi")
-    rows = scratch.write(own.unionAll(others), "segments", 4)
-    scratch.drop(own)
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = scratch.write(rows.join(sizes, "key"), "alike", 4)
-    scratch.drop(rows)
-    met = scratch.write(lines.join(shared.select("doc_id", "at").distinct(), ["doc_id", "at"], "left_semi"), "met")
-    scratch.drop(lines)
-    lines = met
-
-    small = _paired(shared.where(F.col("size") <= CROWD), late)
-    found = scratch.write(late.unionAll(_verified(small, lines, edits)).distinct(), "near", 8)
-    crowd = shared.where(F.col("size") > CROWD)
-    if crowd.isEmpty():
-        return found
-    # Most lines of a crowded key are within reach of its first one.
-    firsts = crowd.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("f")).select("key", F.col("f.doc_id").alias("doc_a"), F.col("f.at").alias("at_a"))
-    led = crowd.join(found, ["doc_id", "at"], "left_anti").join(firsts, "key").where("doc_id <> doc_a or at <> at_a")
-    led = led.select("doc_a", "at_a", F.col("doc_id").alias("doc_b"), F.col("at").alias("at_b")).distinct()
-    found = scratch.write(found.unionAll(_verified(led, lines, edits)).distinct(), "near", 8)
-    return scratch.write(found.unionAll(_verified(_paired(crowd, found), lines, edits)).distinct(), "near", 8)
+    most = F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(F.char_length("line") / EACH))).cast("int")
+    rows = scratch.write(alike.join(lines.select("doc_id", "at", most.alias("most"), "even", "odd"), ["doc_id", "at"]), "marked", 4)
+    crowd = rows.where(F.col("size") > LED)
+    found, left = late, None
+    while not crowd.isEmpty():
+        # Most lines of a crowded key are within reach of its first one, most of the others within that of their own first.
+        found = scratch.write(found.unionAll(_verified(_paired(crowd, found, True), lines, edits)).distinct(), "led", 8)
+        before, left = left, crowd.join(found, ["doc_id", "at"], "left_anti").select("doc_id", "at").distinct().count()
+        if before is not None and 10 * left > 9 * before:
+            break
+    return scratch.write(found.unionAll(_verified(_paired(rows, found), lines, edits)).distinct(), "near", 8)
 
 
 def _same_but_one(rows: DataFrame, lines: DataFrame) -> DataFrame:
