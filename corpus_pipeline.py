@@ -12,6 +12,8 @@ from goalweave.llm import common, op1_mixing, op3_pieces, op7_lines, op8_minhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Characters from which equal lines go and edits of the line stage, as in op7_lines.
+SHORTEST, EDITS = 1, 4
 #: Words and percent of the near-duplicate stage; weights, share and copies of the mix; the model of the last stage.
 WIDTH, PERCENT = 5, 80
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
@@ -24,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are within one edit of an earlier one; n_chars is counted anew."""
-    return op7_lines.without_repeated_lines(docs)
+    """All documents, without lines that equal an earlier one or are within up to four edits of it; n_chars is counted anew."""
+    return op7_lines.without_repeated_lines(docs, equal=SHORTEST, edits=EDITS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
