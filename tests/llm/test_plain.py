@@ -8,6 +8,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 from llm_rows import edited, frame, odd_rows, words
 from test_pairs import edit_distance, mutated
 
@@ -101,6 +102,50 @@ def test_edits_up_to_four_are_those_of_the_table():
         assert [op7_lines.edits_within(a, b, most) for most in range(5)] == [distance <= most for most in range(5)]
 
 
+def flipped(a, b):
+    """Bits in which the parities of two lines differ."""
+    even, odd = op7_lines.parities([a, b])
+    return sum(((int(x[0]) ^ int(x[1])) & (1 << 64) - 1).bit_count() for x in (even, odd))
+
+
+def test_an_edit_flips_four_parities_at_most():
+    draw = random.Random(21)
+    for _ in range(2000):
+        a = b = "".join(draw.choice("abcdé ") for _ in range(draw.randrange(1, 90)))
+        edits = draw.randrange(5)
+        for _ in range(edits):
+            at = draw.randrange(len(b) + 1)
+            b = b[:at] + draw.choice(["", "z", "é"]) + b[at + draw.randrange(2) :]
+        assert flipped(a, b) <= 4 * edits
+    assert flipped("", "") == flipped("x", "") == 0 and flipped("xy", "") == 1
+
+
+def test_parities_tell_lines_about_one_template_apart():
+    """Lines four substitutions each from a template are eight apart: few of their pairs are left to compare."""
+    draw, template = random.Random(22), (words(3, 60, 10**6))[:172]
+    lines = []
+    for _ in range(800):
+        line = list(template)
+        for at in draw.sample(range(len(line)), 4):
+            line[at] = draw.choice("BCDFGHJKLM")
+        lines.append("".join(line))
+    even, odd = (x.view("u8") for x in op7_lines.parities(lines))
+    close = sum(int((np.bitwise_count(even[i] ^ even[:i]) + np.bitwise_count(odd[i] ^ odd[:i]) <= 16).sum()) for i in range(800))
+    assert close < 20 * 800
+
+
+def test_distances_of_many_pairs_at_once():
+    draw, a, b, most = random.Random(23), [], [], []
+    for _ in range(600):
+        x = y = "".join(draw.choice("abc") for _ in range(draw.choice([0, 1, 5, 40, 80])))
+        for _ in range(draw.randrange(7)):
+            at = draw.randrange(len(y) + 1)
+            y = y[:at] + draw.choice(["", "a", "zz"]) + y[at + draw.randrange(2) :]
+        a.append(x), b.append(y), most.append(draw.randrange(5))
+    assert op7_lines.within(a, b, np.array(most)).tolist() == [edit_distance(x, y) <= m for x, y, m in zip(a, b, most)]
+    assert op7_lines.within([], [], np.array([], int)).tolist() == []
+
+
 def test_lines_as_registered(spark):
     """Nulls, repeated rows and ids, empty texts, ties, short, long and equal lines, with the query's own parameters."""
     draw, base = random.Random(2), "the quick brown fox jumps over the lazy dog and then it sleeps for a day or two"
