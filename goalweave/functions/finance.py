@@ -33,11 +33,16 @@ CROSSING = """
 CROSSING_MONTH = f"cast(ceil(least(greatest({CROSSING}, -1D), months + 2D)) AS int)"
 
 
+# A goal that is given just what it needs has its corpus but for the last bits of a few products and powers. Twelve digits
+# decide, as with ratios, or those bits would call it missed.
+ENOUGH = f"(required_corpus * {1 - 1e-12!r}D)"
+
+
 def _hit(month: str) -> str:
-    return f"WHEN {month} BETWEEN 1 AND months AND {value_at(month)} >= required_corpus THEN {month}"
+    return f"WHEN {month} BETWEEN 1 AND months AND {value_at(month)} >= {ENOUGH} THEN {month}"
 
 
 # The guess and its neighbours are tested against the value itself, so no list of months is built.
 REACHED_MONTH = f"""
-    CASE WHEN savings >= required_corpus THEN 0 {_hit("(crossing_month - 1)")} {_hit("crossing_month")}
+    CASE WHEN savings >= {ENOUGH} THEN 0 {_hit("(crossing_month - 1)")} {_hit("crossing_month")}
       {_hit("(crossing_month + 1)")} END"""

@@ -54,7 +54,7 @@ PLAN_STEPS = [
     },
     {
         "gap": "projected_corpus - required_corpus",
-        "on_track": "projected_corpus - required_corpus >= 0D",
+        "on_track": f"projected_corpus >= {finance.ENOUGH}",
         "real_corpus": "projected_corpus / price_growth",
         "goal_reached_month": finance.REACHED_MONTH,
         "progress": "CASE WHEN required_corpus > 0D THEN try_divide(projected_corpus, required_corpus) ELSE 1D END",

@@ -252,6 +252,18 @@ def test_zero_rate_plan(spark):
     assert (r.projected_corpus, r.required_sip, r.goal_reached_month, r.on_track) == (1200.0, 100.0, 12, True)
 
 
+def test_goal_given_all_it_needs_is_on_track(spark):
+    """The pool covers the first goal's need, by way of a percent; a corpus short by more than last bits is still missed."""
+    rows = [("met", 72.58364467665889), ("short", 72.58364467), ("more", 72.6)]
+    rows = spark.createDataFrame(rows, "goal_id STRING, share DOUBLE").withColumns(
+        {"monthly_sip": lit(17500), "current_savings": lit(0), "inflation": lit(0.06), "blended_return": lit(0.07775),
+         "target_today": lit(150000), "horizon_years": lit(1), "fraction": F.col("share") / lit(100)}
+    )
+    got = {r.goal_id: r for r in projection.compute_plan(projection.pro_rated(rows)).collect()}
+    assert 0 < got["met"].required_corpus - got["met"].projected_corpus < 1e-9
+    assert {g: (r.on_track, r.goal_reached_month) for g, r in got.items()} == {"met": (True, 12), "short": (False, None), "more": (True, 12)}
+
+
 def test_more_than_four_remarks(spark):
     rows = spark.createDataFrame(
         [(1, "g", 1e5, 2.0, 5e5, 5e4, 0.06, 0.14, 120.0, 1.0, 0.9, "Some Fund")],
