@@ -128,11 +128,20 @@ def _start_rows(baskets: DataFrame, *more: Column) -> DataFrame:
     return baskets.select("user_id", nothing, F.lit(START).alias("kind"), F.lit(0).alias("fund_no"), F.lit(0.0).alias("weight"), "basket", *more)
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Each key's rows in one task, in the order of the log.
+
+    Dealt by a hash that no join or aggregate deals by. A plain repartition is taken out of the plan where all that is unioned
+    comes from shuffles by the same key, and adaptive execution is then free to read those in ways that part a key's rows.
+    """
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, F.col("order_key").asc_nulls_first())
+
+
 def _cold(log: DataFrame, baskets: DataFrame, n_funds: int) -> DataFrame:
     """Users whose edits fit a task each."""
     start = _start_rows(baskets)
     rows = log.select(*start.columns).unionByName(start)
-    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", F.col("order_key").asc_nulls_first()).select(*_LOG)
+    ordered = _dealt(rows, "user_id").select(*_LOG)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
@@ -186,7 +195,7 @@ def hot_cuts(log: DataFrame, partitions: int) -> list[tuple[int, list[float]]]:
 
 
 def _in_slices(rows: DataFrame) -> DataFrame:
-    return rows.repartition("user_id", "slice").sortWithinPartitions("user_id", "slice", F.col("order_key").asc_nulls_first()).select("slice", *_LOG)
+    return _dealt(rows, "user_id", "slice").select("slice", *_LOG)
 
 
 def _per_slice(rows: DataFrame, begin, edit, pack, kind: str, n_funds: int) -> DataFrame:

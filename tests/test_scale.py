@@ -12,7 +12,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from goalweave.operators import cashflow, chat, holdings, portfolio, profile, shares, state
+from goalweave.operators import cashflow, chat, holdings, portfolio, profile, replay, shares, state
 from goalweave.plans.queries import QUERIES
 from goalweave.sources import catalog
 from goalweave.sources import population as pop
@@ -316,3 +316,19 @@ def test_effects_of_a_hot_user_are_composed(spark, monkeypatch):
     for r in found:
         got.setdefault(r.user_id, []).append(int(r.goal_id))
     assert got == {u: p for u, p in wanted.items() if p}
+
+
+def test_replay_keeps_users_together_when_all_comes_dealt_by_user(spark):
+    """Edits and baskets that both come from a shuffle by user, of sizes that adaptive execution reads in different parts."""
+    users, each = 300, 200
+    made = spark.range(users * each).select((F.col("id") % users).alias("user_id"), F.col("id").alias("seq"))
+    edits = made.groupBy("user_id").agg(F.collect_list("seq").alias("seqs")).select("user_id", F.explode("seqs").alias("seq")).select(
+        "user_id", F.lit(datetime.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"), "seq", F.lit(0).alias("member"),
+        (F.floor(F.col("seq") / users) % 90 + F.col("user_id") % 7).cast("double").alias("weight"),
+    )
+    baskets = spark.range(users * 2).groupBy((F.col("id") % users).alias("user_id")).agg(F.count(F.lit(1)).alias("n")).select(
+        "user_id", F.array(F.lit("a"), F.lit("b")).alias("fund_ids"), F.array(F.lit(30.0), F.lit(70.0)).alias("weights")
+    )
+    got = {(r.user_id, r.fund_id): r.weight for r in replay.replay_weights(edits, baskets).collect()}
+    last = {u: (each - 1) % 90 + u % 7 for u in range(users)}
+    assert got == {(u, f): float(w if f == "a" else 100 - w) for u, w in last.items() for f in "ab"}
