@@ -89,9 +89,13 @@ def edited(x: np.ndarray, has: np.ndarray, kind: np.ndarray, fund: np.ndarray, w
     return np.where(has, x, 0.0), has
 
 
+def _firsts(users: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(users[1:] != users[:-1]) + 1])
+
+
 def _folded(users, kinds, funds, weights, starts, n_funds: int, carried):
     """All users of a batch, in its order: their numbers, weights and funds after the batch."""
-    first = np.concatenate([[0], np.flatnonzero(users[1:] != users[:-1]) + 1])
+    first = _firsts(users)
     count = np.diff(np.append(first, len(users)))
     x, has = np.zeros((len(first), n_funds)), np.zeros((len(first), n_funds), dtype=bool)
     if carried is not None and carried[0] == users[0]:
@@ -121,6 +125,8 @@ def _columns(batch: pa.RecordBatch, n_funds: int) -> list[np.ndarray]:
 
 
 _LOG = ["user_id", "kind", "fund_no", "weight", "basket"]
+#: A column of baskets: names that go with the user's first row and come back with each weight.
+NAMES = "names"
 
 
 def _start_rows(baskets: DataFrame, *more: Column) -> DataFrame:
@@ -139,31 +145,44 @@ def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _cold(log: DataFrame, baskets: DataFrame, n_funds: int) -> DataFrame:
     """Users whose edits fit a task each."""
-    start = _start_rows(baskets)
-    rows = log.select(*start.columns).unionByName(start)
-    ordered = _dealt(rows, "user_id").select(*_LOG)
+    named = [c for c in baskets.columns if c == NAMES]
+    start = _start_rows(baskets, *[F.col(c) for c in named])
+    rows = log.select(*[c for c in start.columns if c != NAMES]).unionByName(start, allowMissingColumns=True)
+    ordered = _dealt(rows, "user_id").select(*_LOG, *named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names, x, has = _folded(*_columns(batch, n_funds), n_funds, carried)
-            if carried is not None and carried[0] != names[0]:
-                yield _shown([carried[0]], carried[1][None], carried[2][None])
-            carried = names[-1], x[-1], has[-1]
-            if len(names) > 1:
-                yield _shown(names[:-1], x[:-1], has[:-1])
+            columns = _columns(batch, n_funds)
+            users, x, has = _folded(*columns, n_funds, carried)
+            # A user's names are on its first row, which may have been in an earlier batch.
+            names = batch.column(len(_LOG)).take(pa.array(_firsts(columns[0]))) if named else None
+            if carried is not None and carried[0] != users[0]:
+                yield _shown(*carried)
+            elif carried is not None and named:
+                names = pa.concat_arrays([carried[3], names.slice(1)])
+            carried = users[-1:], x[-1:], has[-1:], names.slice(len(users) - 1) if named else None
+            if len(users) > 1:
+                yield _shown(users[:-1], x[:-1], has[:-1], names.slice(0, len(users) - 1) if named else None)
         if carried is not None:
-            yield _shown([carried[0]], carried[1][None], carried[2][None])
+            yield _shown(*carried)
 
-    return ordered.mapInArrow(run, "user_id bigint, fund_no int, weight double")
+    return ordered.mapInArrow(run, "user_id bigint, fund_no int, weight double" + (", name string" if named else ""))
 
 
-def _shown(names, x: np.ndarray, has: np.ndarray) -> pa.RecordBatch:
+def _shown(users: np.ndarray, x: np.ndarray, has: np.ndarray, names: pa.Array | None) -> pa.RecordBatch:
     user, fund = np.nonzero(has)
-    columns = [pa.array(np.asarray(names)[user], pa.int64()), pa.array(fund, pa.int32()), pa.array(x[user, fund])]
-    return pa.RecordBatch.from_arrays(columns, ["user_id", "fund_no", "weight"])
+    if names is not None:
+        sizes = names.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = fund < sizes[user]
+        user, fund = user[known], fund[known]
+    columns = [pa.array(users[user], pa.int64()), pa.array(fund, pa.int32()), pa.array(x[user, fund])]
+    if names is None:
+        return pa.RecordBatch.from_arrays(columns, ["user_id", "fund_no", "weight"])
+    columns.append(names.flatten().take(pa.array((np.cumsum(sizes) - sizes)[user] + fund)))
+    return pa.RecordBatch.from_arrays(columns, ["user_id", "fund_no", "weight", "name"])
 
 
 # ---- hot users
@@ -286,8 +305,12 @@ def _hot(log: DataFrame, baskets: DataFrame, n_funds: int) -> DataFrame:
 
     groups = _grouped(per_slice).select("user_id", F.col("group").alias("slice"), as_one("list.effect").alias("effect"))
     whole = _grouped(groups).select("user_id", as_one("list.effect").alias("effect"))
-    final = whole.join(baskets, "user_id").select("user_id", F.posexplode(final_weights("basket", "effect")).alias("fund_no", "weight"))
-    return final.where("weight IS NOT NULL")
+    named = [c for c in baskets.columns if c == NAMES]
+    final = whole.join(baskets, "user_id").select("user_id", F.posexplode(final_weights("basket", "effect")).alias("fund_no", "weight"), *named)
+    final = final.where("weight IS NOT NULL")
+    if not named:
+        return final
+    return final.where(F.col("fund_no") < F.size(NAMES)).select("user_id", "fund_no", "weight", F.get(NAMES, F.col("fund_no")).alias("name"))
 
 
 def replay_baskets(edits: DataFrame, baskets: DataFrame, n_funds: int) -> DataFrame:
@@ -295,6 +318,8 @@ def replay_baskets(edits: DataFrame, baskets: DataFrame, n_funds: int) -> DataFr
 
     ``edits``: user_id, order_key, kind (PRESET, WEIGHT, ADD or REMOVE), fund_no, weight and, for presets, ``basket``: an
     array of a weight per fund, null for funds that are not in it. ``baskets``: user_id and such an array, one per user.
+    Where ``baskets`` has ``names``, an array per user by fund_no, rows have the ``name`` too and those without one fall away: names
+    take the way of the log, so no table of users and funds is joined or broadcast.
     A weight set for a fund that the basket does not hold, and adding one it holds, change nothing. A user without a basket
     starts with an empty one. Counting the log to find hot users is a job of its own, run here.
     """
@@ -309,6 +334,6 @@ def replay_baskets(edits: DataFrame, baskets: DataFrame, n_funds: int) -> DataFr
     hot = sliced.where("cuts IS NOT NULL").withColumn("slice", F.size(F.filter("cuts", lambda c: c <= F.col("order_key").cast("double"))))
     empty = F.array(*[F.lit(None).cast("double")] * n_funds)
     starts = baskets.join(F.broadcast(table.select("user_id")), "user_id")
-    starts = table.select("user_id").join(starts, "user_id", "left").select("user_id", F.coalesce("basket", empty).alias("basket"))
+    starts = table.select("user_id").join(starts, "user_id", "left").withColumn("basket", F.coalesce("basket", empty))
     others = baskets.join(F.broadcast(table.select("user_id")), "user_id", "left_anti")
     return _cold(sliced.where("cuts IS NULL").drop("cuts"), others, n_funds).unionByName(_hot(hot.drop("cuts"), starts, n_funds))

@@ -174,9 +174,8 @@ def replay_weights(edits: DataFrame, baskets: DataFrame) -> DataFrame:
         "user_id", order_key().alias("order_key"), F.lit(basket_log.WEIGHT).alias("kind"), F.col("member").alias("fund_no"), "weight",
         F.lit(None).cast("array<double>").alias("basket"),
     )
-    final = basket_log.replay_baskets(log, baskets.select("user_id", given.alias("basket")), MOST_MEMBERS)
-    names = baskets.select("user_id", F.posexplode("fund_ids").alias("fund_no", "fund_id"))
-    return final.join(names, ["user_id", "fund_no"]).select("user_id", "fund_id", "weight")
+    final = basket_log.replay_baskets(log, baskets.select("user_id", given.alias("basket"), F.col("fund_ids").alias(basket_log.NAMES)), MOST_MEMBERS)
+    return final.select("user_id", F.col("name").alias("fund_id"), "weight")
 
 
 def preset_baskets(users: DataFrame, presets: DataFrame, profile: Column) -> DataFrame:

@@ -332,3 +332,35 @@ def test_replay_keeps_users_together_when_all_comes_dealt_by_user(spark):
     got = {(r.user_id, r.fund_id): r.weight for r in replay.replay_weights(edits, baskets).collect()}
     last = {u: (each - 1) % 90 + u % 7 for u in range(users)}
     assert got == {(u, f): float(w if f == "a" else 100 - w) for u, w in last.items() for f in "ab"}
+
+
+def test_replayed_names_take_the_way_of_the_log(spark, sf_dir):
+    """Nothing of the size of users times funds is joined or broadcast: the log and the users are each read once."""
+    assert plan_of(QUERIES["replay_edits"](spark, sf_dir)).count("FileScan") == 2
+
+
+@pytest.mark.parametrize("hot", [0, 45_000])
+def test_replayed_names_over_batches_and_slices(spark, hot):
+    """Each user has names of its own; batches end within users, and user 5 may be cut into slices of time."""
+    users = 40
+    made = spark.range(users * 9 + hot).select(F.when(F.col("id") < users * 9, F.col("id") % users).otherwise(F.lit(5)).alias("user_id"), F.col("id").alias("seq"))
+    edits = made.select(
+        "user_id", F.timestamp_micros(F.col("seq") * 1_000_000).cast("timestamp_ntz").alias("ts"), "seq", F.lit(1).alias("member"),
+        (F.col("seq") % 97).cast("double").alias("weight"),
+    )
+    named = [(u, [f"{u}-{k}" for k in range(2 + u % 2)], [100.0 / (2 + u % 2)] * (2 + u % 2)) for u in range(users + 3)]
+    baskets = spark.createDataFrame(named, "user_id bigint, fund_ids array<string>, weights array<double>")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7" if not hot else "999")
+    try:
+        got = {(r.user_id, r.fund_id): r.weight for r in replay.replay_weights(edits, baskets).collect()}
+    finally:
+        spark.conf.set(key, before)
+    wanted = {}
+    for u, ids, weights in named:
+        last = users * 9 + hot - 1 if u == 5 and hot else users * 8 + u
+        for k, f in enumerate(ids):
+            w = weights[k] if u >= users else float(last % 97) if k == 1 else (100.0 - last % 97) / (len(ids) - 1)
+            wanted[u, f] = pytest.approx(w, abs=1e-9)
+    assert got == wanted
