@@ -48,9 +48,11 @@ LEAST = 20
 #: Characters for each edit, where more than one is asked for.
 EACH = 20
 BASE = 0x9E3779B97F4A7C15
-#: Characters whose segments are found at once, and bits of the table of known segments (16 MB).
+#: Characters whose segments are found at once, and bits of the table of known segments (32 MB).
 AT_ONCE = 1 << 20
-MARKS = 1 << 27
+MARKS = 1 << 28
+#: Where a key's bits in its word of the table lie in the key; the word is in bits 6 to 27.
+BITS = (0, 28, 34, 40)
 #: Lines of a key that may be paired; more are dealt anew.
 CROWD = 32
 #: The same where more than one edit is allowed: lines of larger keys meet their first line before they are paired.
@@ -472,8 +474,7 @@ def _other_parts(docs: DataFrame, least: int, edits: int, known: np.ndarray) ->
             owner = np.array(owners, np.int64).reshape(-1, 2)
             for first, last in _runs(lines):
                 place, keys = segments(lines[first:last], edits, False)
-                bits = keys & (MARKS - 1)
-                met = (known[bits >> 6] >> (bits & 63)) & 1 == 1
+                met = np.flatnonzero(_marked(keys, known))
                 at = owner[place[met] + first]
                 columns = [pa.array(keys[met], pa.int64()), batch.column(0).take(pa.array(at[:, 0])), pa.array(at[:, 1].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "at"])
@@ -482,11 +483,24 @@ def _other_parts(docs: DataFrame, least: int, edits: int, known: np.ndarray) ->
     return named.mapInArrow(run, "key long, doc_id long, at int")
 
 
+def _marked(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether all bits of each key are set in its word of ``known``; those of a key it was made from are."""
+    words = known[(keys & (MARKS - 1)) >> 6]
+    met = (words >> (keys & 63)) & 1 == 1
+    some = np.flatnonzero(met)
+    for shift in BITS[1:]:
+        some = some[(words[some] >> (keys[some] >> shift & 63)) & 1 == 1]
+    met[:] = False
+    met[some] = True
+    return met
+
+
 def _marks(keys: DataFrame) -> np.ndarray:
-    """A table of ``MARKS`` bits, set for each key, whatever their number: it spares work but decides nothing."""
+    """A table of ``MARKS`` bits, up to four set for each key in one word, whatever their number: it spares work but decides nothing."""
     bit = F.col("key").bitwiseAND(F.lit(MARKS - 1))
     # Each bit is below 2^63 or its sign.
-    words = keys.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("mark"))
+    mark = " | ".join(f"shiftleft(1L, cast(shiftright(key, {shift}) & 63 as int))" for shift in BITS)
+    words = keys.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr(mark).alias("mark"))
     found = words.groupBy("word").agg(F.bit_or("mark").alias("marks")).toArrow()
     known = np.zeros(MARKS // 64, np.int64)
     known[found.column("word").to_numpy()] = found.column("marks").to_numpy()

@@ -171,6 +171,16 @@ def test_segments_of_unlike_lines_differ():
     assert not set(own.tolist()) & set(op7_lines.segments(lines, 4, False)[1].tolist())
 
 
+def test_known_segments_let_few_others_pass(spark):
+    """All keys the table was made from pass, of a million others with two million keys in it hardly any."""
+    keys = spark.range(2_000_000).selectExpr("xxhash64(id) as key")
+    known = op7_lines._marks(keys)
+    own = keys.toArrow().column("key").to_numpy()
+    assert op7_lines._marked(own, known).all()
+    others = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 1_000_000)
+    assert op7_lines._marked(others, known).sum() < 500
+
+
 def test_lines_within_more_edits(spark):
     draw, base = random.Random(9), "the quick brown fox jumps over the lazy dog and then it sleeps for a day in 2024 or so"
     lines, rows = [words(s, 12, 10**6) for s in range(40)], []
