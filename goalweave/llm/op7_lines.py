@@ -20,8 +20,10 @@ on the input, not on what is left.
    a tenth of them; only what stays then is compared with all earlier lines of the key.
 6. An edit changes at most four of a line's pairs of neighbouring characters. Each line has the parities of its pairs, hashed
    to 128 bits; lines of a key become a pair only if at most 4 k of these bits differ. No near line is lost by that, and of
-   lines about one template those too far apart are told apart inside the join. Looking at the bits still grows
-   with the square of a key's lines that are truly apart.
+   lines about one template those too far apart are told apart inside the join. Lines of a key of more than ``CROWD``
+   never become rows of pairs: they are dealt into blocks, and each two blocks meet in a task that looks at bits, sizes and
+   distances and gives out just the lines that have an earlier one. Looking at the bits still grows with the square of a
+   key's lines that are truly apart.
 
 Nulls: a null text has no lines; a null doc_id comes last, in no order with other null ones: of its lines those go that repeat
 in its own text, from the second on, and those equal to a line that goes from other documents for its edits; others stay. Rows that repeat a doc_id are one document: an equal line of another such row is no earlier one. Empty
@@ -57,6 +59,8 @@ BITS = (0, 28, 34, 40)
 CROWD = 32
 #: The same where more than one edit is allowed: lines of larger keys meet their first line before they are paired.
 LED = 4
+#: Lines of a crowded key in a block, two of which a task holds at once, and those that are compared at once.
+BLOCK, TILE = 1 << 14, 512
 #: Columns that the distances of many pairs take between two looks at what is far, and places of a grid of characters.
 STEP, CELLS = 32, 1 << 18
 #: Pairs too few for arrays.
@@ -519,8 +523,18 @@ def _alike(scratch: common.Scratch, kept: DataFrame, docs: DataFrame, least: int
     return alike
 
 
-def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("doc_id", "at", "own", "most", "even", "odd")])
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("doc_id", "at", "own", "most", "even", "odd", *more)])
+
+
+def _earlier() -> Column:
+    return (F.col("doc_id_a") < F.col("doc_id_b")) | ((F.col("doc_id_a") == F.col("doc_id_b")) & (F.col("at_a") < F.col("at_b")))
+
+
+def _close() -> Column:
+    """Whether the parities leave it open that two lines are within their edits."""
+    differ = F.bit_count(F.col("even_a").bitwiseXOR(F.col("even_b"))) + F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")))
+    return differ <= 4 * F.least("most_a", "most_b")
 
 
 def _paired(rows: DataFrame, late: DataFrame, firsts: bool = False) -> DataFrame:
@@ -531,19 +545,72 @@ def _paired(rows: DataFrame, late: DataFrame, firsts: bool = False) -> DataFrame
     if firsts:
         columns = ("doc_id", "at", "own", "most", "even", "odd")
         a = left.groupBy("key").agg(F.min(F.struct(*columns)).alias("f")).select("key", *[F.col(f"f.{c}").alias(f"{c}_a") for c in columns])
-    before = (F.col("doc_id_a") < F.col("doc_id_b")) | ((F.col("doc_id_a") == F.col("doc_id_b")) & (F.col("at_a") < F.col("at_b")))
-    differ = F.bit_count(F.col("even_a").bitwiseXOR(F.col("even_b"))) + F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")))
-    close = differ <= 4 * F.least("most_a", "most_b")
     # A first line that has the key in a part of it may meet another such one here; that does no harm.
-    met = before & close if firsts else before & close & (F.col("own_a") | F.col("own_b"))
+    met = _earlier() & _close() if firsts else _earlier() & _close() & (F.col("own_a") | F.col("own_b"))
     found = a.join(b, "key").where(met)
     return found.select(F.col("doc_id_a").alias("doc_a"), "at_a", F.col("doc_id_b").alias("doc_b"), "at_b").distinct()
 
 
+def _near_earlier(table: pa.Table) -> pa.Table:
+    """Of the ``later`` lines of a cell those near one of its ``early`` lines before them."""
+    doc, at, own, most, even, odd, early, later = (
+        table.column(c).to_numpy() for c in ("doc_id", "at", "own", "most", "even", "odd", "early", "later")
+    )
+    even, odd = even.view(np.uint64), odd.view(np.uint64)  # of a negative number numpy counts the bits of its absolute value
+    lines = table.column("line").to_pylist()
+    size = np.array([len(x) for x in lines], np.int64)
+    place = np.empty(len(doc), np.int64)
+    # Rows that repeat a doc_id have the same place twice; such a line is not before itself.
+    order = np.lexsort((at, doc))
+    place[order] = np.cumsum(np.concatenate([[0], (np.diff(doc[order]) != 0) | (np.diff(at[order]) != 0)]))
+    near = np.zeros(len(doc), bool)
+    firsts, others = order[early[order]], order[later[order]]
+    for begin in range(0, len(firsts), TILE):
+        x = firsts[begin : begin + TILE]
+        for start in range(0, len(others), TILE):
+            y = others[start : start + TILE]
+            y = y[~near[y] & (place[y] > place[x[0]])]
+            edits = np.minimum(most[x], most[y, None])
+            differ = np.bitwise_count(even[x] ^ even[y, None]).astype(np.int16) + np.bitwise_count(odd[x] ^ odd[y, None])
+            open_ = (differ <= 4 * edits) & (place[x] < place[y, None]) & (own[x] | own[y, None]) & (np.abs(size[x] - size[y, None]) <= edits)
+            # The first pairs of each line come first; a line that is near needs no other.
+            at_y, at_x = np.nonzero(open_)
+            turn = np.arange(len(at_y)) - np.searchsorted(at_y, at_y)
+            by_turn = np.argsort(turn, kind="stable")
+            for first in range(0, len(by_turn), TILE):
+                some = by_turn[first : first + TILE]
+                some = some[~near[y[at_y[some]]]]
+                one, two = y[at_y[some]], x[at_x[some]]
+                near[one[within([lines[i] for i in two], [lines[i] for i in one], np.minimum(most[one], most[two]).astype(np.int64))]] = True
+    return pa.table({"doc_id": pa.array(doc[near], pa.int64()), "at": pa.array(at[near], pa.int32())})
+
+
+def _near_in_crowds(rows: DataFrame, late: DataFrame) -> DataFrame:
+    """Places, not in ``late``, of lines that have an earlier one within their edits among those of a key. ``rows`` have the lines.
+
+    A key's lines are dealt into blocks of about ``BLOCK``; every block meets every other in a cell of its own, and a cell
+    gives out the lines that are near an earlier one, but no pairs.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    marked = rows.join(late.select("doc_id", "at", F.lit(True).alias("gone")), ["doc_id", "at"], "left")
+    marked = marked.withColumn("block", F.pmod(F.xxhash64("at", "doc_id"), blocks).cast("int")).withColumn("left", F.col("gone").isNull())
+    every = F.sequence(F.lit(0), blocks - 1)
+
+    def cell(a, b, early, later):
+        return F.struct(a.alias("a"), b.alias("b"), early.alias("early"), later.alias("later"))
+
+    own = F.transform(every, lambda j: cell(F.col("block"), j, F.lit(True), F.col("left") & (j == F.col("block"))))
+    other = F.transform(F.filter(every, lambda j: F.col("left") & (j != F.col("block"))), lambda j: cell(j, F.col("block"), F.lit(False), F.lit(True)))
+    cells = marked.withColumn("cell", F.explode(F.concat(own, other)))
+    cells = cells.select("key", "doc_id", "at", "own", "most", "even", "odd", "line", "cell.a", "cell.b", "cell.early", "cell.later")
+    return cells.groupBy("key", "a", "b").applyInArrow(_near_earlier, "doc_id long, at int")
+
+
 def _within_more(scratch: common.Scratch, alike: DataFrame, lines: DataFrame, edits: int, late: DataFrame) -> DataFrame:
     """Places of lines that have an earlier one within their ``allowed`` edits, of two or more, besides those in ``late``."""
     most = F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(F.char_length("line") / EACH))).cast("int")
-    rows = scratch.write(alike.join(lines.select("doc_id", "at", most.alias("most"), "even", "odd"), ["doc_id", "at"]), "marked", 4)
+    marks = lines.select("doc_id", "at", most.alias("most"), "even", "odd", "line")
+    rows = scratch.write(alike.join(marks.drop("line"), ["doc_id", "at"]), "marked", 4)
     crowd = rows.where(F.col("size") > LED)
     found, left = late, None
     while not crowd.isEmpty():
@@ -552,7 +619,10 @@ def _within_more(scratch: common.Scratch, alike: DataFrame, lines: DataFrame, ed
         before, left = left, crowd.join(found, ["doc_id", "at"], "left_anti").select("doc_id", "at").distinct().count()
         if before is not None and 10 * left > 9 * before:
             break
-    return scratch.write(found.unionAll(_verified(_paired(rows, found), lines, edits)).distinct(), "near", 8)
+    near = _verified(_paired(rows.where(F.col("size") <= CROWD), found), lines, edits)
+    if not rows.where(F.col("size") > CROWD).isEmpty():
+        near = near.unionAll(_near_in_crowds(alike.where(F.col("size") > CROWD).join(marks, ["doc_id", "at"]), found))
+    return scratch.write(found.unionAll(near).distinct(), "near", 8)
 
 
 def _same_but_one(rows: DataFrame, lines: DataFrame) -> DataFrame:

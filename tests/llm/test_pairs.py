@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from goalweave.llm import op2_substrings, op7_lines, op8_minhash, op9_covertree
@@ -207,6 +208,66 @@ def test_lines_within_more_edits(spark):
     assert sum(map(len, one.values())) < sum(map(len, found.values()))
 
 
+def near_earlier(lines, edits=4):
+    """Of distinct lines those within their edits of an earlier one."""
+    pairs = [(x, y) for k, y in enumerate(lines) for x in lines[:k] if abs(len(x) - len(y)) <= edits]
+    most = np.array([op7_lines.allowed(min(len(x), len(y)), edits) for x, y in pairs])
+    return {y for (_, y), near in zip(pairs, op7_lines.within(*map(list, zip(*pairs)), most)) if near}
+
+
+@pytest.mark.parametrize("block", [1 << 14, 50])
+def test_crowds_of_lines_truly_apart_make_no_pairs(spark, monkeypatch, block):
+    """One word of seven letters is another one in each line: parities are close, distances mostly above four."""
+    draw, base = random.Random(11), words(3, 40, 10**6).split(" ")
+    made = {}
+    while len(made) < 240:
+        new = "".join(draw.choice("abcdefghijklmnopqrstuvxy") for _ in range(7))
+        made[" ".join([*base[:20], new, *base[20:]])] = None
+        if len(made) % 5 == 0:
+            made[" ".join([*base[:20], new[:2] + "z" + new[3:], *base[20:]])] = None
+    lines = list(made)[:240]
+    draw.shuffle(lines)
+    wanted, pairs, verified = near_earlier(lines), [], op7_lines._verified
+    assert 40 < len(wanted) < 200
+
+    def counted(rows, texts, edits=1):
+        pairs.append(rows.count())
+        return verified(rows, texts, edits)
+
+    monkeypatch.setattr(op7_lines, "_verified", counted)
+    monkeypatch.setattr(op7_lines, "BLOCK", block, raising=False)
+    docs = frame(spark, [(d, "\n".join(lines[3 * d : 3 * d + 3])) for d in range(80)])
+    found = {r.doc_id: r.removed for r in op7_lines.repeated_lines(docs, equal=1, edits=4).collect()}
+    assert found == {d: [i for i in range(3) if lines[3 * d + i] in wanted] for d in range(80)}
+    assert sum(pairs) < 8 * len(lines)
+
+
+def test_near_earlier_lines_of_a_cell():
+    """Numbers with the sign bit set, repeated places, lines that only look early or late, tiles."""
+    draw, lines = random.Random(13), []
+    base = words(4, 30, 10**6)
+    for _ in range(1300):
+        at = draw.randrange(len(base) - 9)
+        lines.append(base[:at] + "".join(draw.choice("abc") for _ in range(draw.randrange(9))) + base[at + 6 :])
+    lines = list(dict.fromkeys(lines))
+    even, odd = op7_lines.parities(lines)
+    assert (even < 0).any()
+    n = len(lines)
+    table = pa.table({
+        "doc_id": np.arange(n) // 3, "at": (np.arange(n) % 3).astype("i4"), "own": np.ones(n, bool), "most": np.full(n, 4, "i4"),
+        "even": even, "odd": odd, "line": lines, "early": np.arange(n) % 7 > 0, "later": np.arange(n) % 5 > 0,
+    })
+    wanted = {
+        k for k in range(n) if k % 5 and (before := [i for i in range(k) if i % 7])
+        and op7_lines.within([lines[i] for i in before], [lines[k]] * len(before), np.full(len(before), 4)).any()
+    }
+    found = op7_lines._near_earlier(table.take(pa.array(draw.sample(range(n), n)))).to_pydict()
+    assert sorted(3 * d + a for d, a in zip(found["doc_id"], found["at"])) == sorted(wanted)
+    assert 0 < len(wanted) < n * 4 // 5
+    twice = pa.concat_tables([table.slice(0, 1)] * 2).set_column(8, "later", pa.array([True, True])).set_column(7, "early", pa.array([True, True]))
+    assert op7_lines._near_earlier(twice).num_rows == 0
+
+
 def test_short_lines_repeat(spark):
     rows = [(1, "Les.\nDes.\n\nx"), (2, "Les.\n\nDe."), (3, "x\nLes.\nLes.\nanother line that is long enough"), (None, "Les.\nLes.")]
     found = {r.doc_id: r.removed for r in op7_lines.repeated_lines(frame(spark, rows), equal=1).collect()}
