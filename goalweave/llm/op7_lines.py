@@ -37,9 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, kernels
@@ -316,35 +317,38 @@ def _row_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, at, line, even, odd) of the wanted places; the last two are the line's parities."""
+def _line_texts(wanted: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, at, line, even, odd) of the wanted places; the last two are the line's parities.
+
+    Lines that are not wanted stay where they are: a table of the wanted ones' bits lets hardly any others pass.
+    """
+    place = F.col("h1").bitwiseXOR(F.shiftleft("doc_id", 20)).bitwiseXOR(F.col("at").cast("long"))
+    known = _marks(wanted.select(place.alias("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small(batches):
-            names, ats, lines = [], [], []
-            for name, text, hits in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                split = (text or "").split("\n")
-                for hit in hits:
-                    line = split[hit["at"]] if hit["at"] < len(split) else ""
-                    # Another row of the same doc_id may have another line there.
-                    if _signed_high(line) == hit["h1"]:
-                        names.append(name)
-                        ats.append(hit["at"])
+            names, ats, lines = batch.column(0).to_numpy(), [], []
+            counts = []
+            for text in batch.column(1).to_pylist():
+                first = len(lines)
+                for at, line in enumerate((text or "").split("\n")):
+                    if len(line) >= least:
+                        ats.append(at)
                         lines.append(line)
-            bits = [parities(lines[first:last]) for first, last in _runs(lines)]
+                counts.append(len(lines) - first)
+            high = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode()) for x in lines), ">i8").astype(np.int64)[::2]
+            at, doc = np.array(ats, np.int64), np.repeat(names, counts)
+            met = np.flatnonzero(_marked(high ^ (doc << 20) ^ at, known))
+            some = [lines[i] for i in met]
+            bits = [parities(some[first:last]) for first, last in _runs(some)]
             marks = [np.concatenate([np.empty(0, np.int64), *(x[i] for x in bits)]) for i in (0, 1)]
-            columns = [pa.array(names, pa.int64()), pa.array(ats, pa.int32()), pa.array(lines, pa.string()), *map(pa.array, marks)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "line", "even", "odd"])
+            columns = [pa.array(doc[met], pa.int64()), pa.array(at[met], pa.int32()), pa.array(high[met]), pa.array(some, pa.string()), *map(pa.array, marks)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "h1", "line", "even", "odd"])
 
-    places = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("at", "h1")).alias("hits"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = common.met_by_id(texts, places).select("doc_id", "text", "hits")
-    return met.mapInArrow(run, "doc_id long, at int, line string, even long, odd long")
-
-
-def _signed_high(line: str) -> int:
-    high = xxhash.xxh3_128_intdigest(line.encode()) >> 64
-    return high - (1 << 64) if high >= 1 << 63 else high
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = named.mapInArrow(run, "doc_id long, at int, h1 long, line string, even long, odd long")
+    # Another row of the same doc_id may have another line there.
+    return found.join(wanted, ["doc_id", "at", "h1"], "left_semi").drop("h1")
 
 
 DEALT = "key long, doc_id long, at int, extra int, begin int, end int"
@@ -407,10 +411,9 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
     scan = scratch.write(scanned(docs, least, least if equal is None else max(min(equal, least), 1), edits), "scan")
     rows = scan.select("doc_id", "row_key", F.explode("lines").alias("l")).select("doc_id", "row_key", "l.*")
     named = rows.where("doc_id is not null")
-    firsts = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
     # Rows that repeat a doc_id may hold a line twice; the smaller place stands for it.
-    own = named.select("doc_id", "at", "size", "h1", "h2", "keys", "parts").join(firsts.withColumnRenamed("first_id", "doc_id"), ["h1", "h2", "doc_id"])
-    kept = scratch.write(own.dropDuplicates(["h1", "h2"]), "firsts", 4)
+    own = named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at", "keys", "parts")).alias("first"))
+    kept = scratch.write(own.select("h1", "h2", "first.*"), "firsts", 4)
 
     # The first two keys are of the line's own length, the others of one character less.
     exploded = kept.select("doc_id", "at", "h1", F.posexplode("keys").alias("place", "key"))
@@ -420,7 +423,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
     if edits > 1:
         alike = _alike(scratch, kept, docs, least, edits)
         wanted = wanted.unionAll(kept.select("doc_id", "at", "h1").join(alike.select("doc_id", "at").distinct(), ["doc_id", "at"], "left_semi"))
-    lines = scratch.write(_line_texts(wanted, docs), "texts")
+    lines = scratch.write(_line_texts(scratch.write(wanted.distinct(), "wanted", 8), docs, least), "texts")
     small = shared.where(F.col("size") <= CROWD).select("key", "doc_id", "at", "extra")
     near = [_verified(_pairs(small), lines)]
 
@@ -448,6 +451,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
     if edits > 1:
         later = _within_more(scratch, alike, lines, edits, later)
 
+    firsts = kept.select("h1", "h2", F.col("doc_id").alias("first_id"))
     gone = kept.join(later, ["doc_id", "at"], "left_semi").select("h1", "h2", F.lit(True).alias("late"))
     marked = rows.join(firsts, ["h1", "h2"], "left").join(gone, ["h1", "h2"], "left")
     first = (F.col("doc_id") == F.col("first_id")) & F.col("late").isNull()
@@ -515,12 +519,12 @@ def _alike(scratch: common.Scratch, kept: DataFrame, docs: DataFrame, least: int
     """(key, doc_id, at, own, size) of segments, and of parts that may be such, that two lines or more have."""
     own = kept.select(F.explode("parts").alias("key"), "doc_id", "at", F.lit(True).alias("own"))
     others = _other_parts(docs, least, edits, _marks(own)).withColumn("own", F.lit(False))
-    # Rows are as many as the own segments; what only one line has goes before lines are looked up.
-    rows = scratch.write(own.unionAll(others), "segments", 4)
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("any")).where("size > 1 and any")
-    alike = scratch.write(rows.join(sizes.drop("any"), "key").join(kept.select("doc_id", "at"), ["doc_id", "at"], "left_semi"), "alike", 4)
-    scratch.drop(rows)
-    return alike
+    # Rows are as many as the own segments and are shuffled once; what only one line has goes before lines are looked up.
+    # A join after sizes would not do: Spark takes the semi join before it, and with it all rows through two more shuffles.
+    same = Window.partitionBy("key")
+    rows = own.unionAll(others).withColumn("size", F.count(F.lit(1)).over(same)).withColumn("any", F.max("own").over(same))
+    shared = rows.where("size > 1 and any").drop("any")
+    return scratch.write(shared.join(kept.select("doc_id", "at"), ["doc_id", "at"], "left_semi").select("doc_id", "at", "key", "own", "size"), "alike", 4)
 
 
 def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
@@ -557,8 +561,7 @@ def _near_earlier(table: pa.Table) -> pa.Table:
         table.column(c).to_numpy() for c in ("doc_id", "at", "own", "most", "even", "odd", "early", "later")
     )
     even, odd = even.view(np.uint64), odd.view(np.uint64)  # of a negative number numpy counts the bits of its absolute value
-    lines = table.column("line").to_pylist()
-    size = np.array([len(x) for x in lines], np.int64)
+    lines, size = table.column("line").combine_chunks(), pc.utf8_length(table.column("line")).to_numpy()
     place = np.empty(len(doc), np.int64)
     # Rows that repeat a doc_id have the same place twice; such a line is not before itself.
     order = np.lexsort((at, doc))
@@ -570,6 +573,8 @@ def _near_earlier(table: pa.Table) -> pa.Table:
         for start in range(0, len(others), TILE):
             y = others[start : start + TILE]
             y = y[~near[y] & (place[y] > place[x[0]])]
+            if not len(y):
+                continue
             edits = np.minimum(most[x], most[y, None])
             differ = np.bitwise_count(even[x] ^ even[y, None]).astype(np.int16) + np.bitwise_count(odd[x] ^ odd[y, None])
             open_ = (differ <= 4 * edits) & (place[x] < place[y, None]) & (own[x] | own[y, None]) & (np.abs(size[x] - size[y, None]) <= edits)
@@ -581,7 +586,8 @@ def _near_earlier(table: pa.Table) -> pa.Table:
                 some = by_turn[first : first + TILE]
                 some = some[~near[y[at_y[some]]]]
                 one, two = y[at_y[some]], x[at_x[some]]
-                near[one[within([lines[i] for i in two], [lines[i] for i in one], np.minimum(most[one], most[two]).astype(np.int64))]] = True
+                most_edits = np.minimum(most[one], most[two]).astype(np.int64)
+                near[one[within(lines.take(two).to_pylist(), lines.take(one).to_pylist(), most_edits)]] = True
     return pa.table({"doc_id": pa.array(doc[near], pa.int64()), "at": pa.array(at[near], pa.int32())})
 
 

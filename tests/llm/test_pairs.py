@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 
@@ -268,6 +269,27 @@ def test_near_earlier_lines_of_a_cell():
     assert op7_lines._near_earlier(twice).num_rows == 0
 
 
+def test_lines_that_meet_no_other_are_not_shuffled(spark, monkeypatch):
+    """Of 8 MB of text two lines are wanted; what goes over disk is far less than the text."""
+    draw = np.random.default_rng(17)
+    rows = [(d, "\n".join(draw.bytes(10_000).hex() for _ in range(2))) for d in range(200)]
+    rows.append((200, rows[7][1][:20_000].replace("00", "01", 1)))
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    sizes, write = {}, op7_lines.common.Scratch.write
+
+    def written(self, *what):
+        table = write(self, *what)
+        sizes.update({f: f.stat().st_size for folder in folders for f in pathlib.Path(folder).rglob("shuffle_*.data")})
+        return table
+
+    written(op7_lines.common.Scratch(spark, "test"), spark.range(1), "before")
+    before = set(sizes)
+    monkeypatch.setattr(op7_lines.common.Scratch, "write", written)
+    found = op7_lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), equal=1, edits=4)
+    assert [(r.doc_id, r.removed) for r in found.where("n_removed > 0").collect()] == [(200, [0])]
+    assert 0 < sum(size for f, size in sizes.items() if f not in before) < 2_000_000
+
+
 def test_short_lines_repeat(spark):
     rows = [(1, "Les.\nDes.\n\nx"), (2, "Les.\n\nDe."), (3, "x\nLes.\nLes.\nanother line that is long enough"), (None, "Les.\nLes.")]
     found = {r.doc_id: r.removed for r in op7_lines.repeated_lines(frame(spark, rows), equal=1).collect()}
