@@ -20,7 +20,7 @@ on the input, not on what is left.
    a tenth of them; only what stays then is compared with all earlier lines of the key.
 6. An edit changes at most four of a line's pairs of neighbouring characters. Each line has the parities of its pairs, hashed
    to 128 bits; lines of a key become a pair only if at most 4 k of these bits differ. No near line is lost by that, and of
-   lines about one template those too far apart are told apart inside the join. Lines of a key of more than ``CROWD``
+   lines about one template those too far apart are told apart inside the join. Lines of a key of more than ``PAIRED``
    never become rows of pairs: they are dealt into blocks, and each two blocks meet in a task that looks at bits, sizes and
    distances and gives out just the lines that have an earlier one. Looking at the bits still grows with the square of a
    key's lines that are truly apart.
@@ -51,17 +51,17 @@ LEAST = 20
 #: Characters for each edit, where more than one is asked for.
 EACH = 20
 BASE = 0x9E3779B97F4A7C15
-#: Characters whose segments are found at once, and bits of the table of known segments (32 MB).
+#: Characters whose segments are found at once, and bits of the tables of known segments (32 MB) and of wanted places (8 MB).
 AT_ONCE = 1 << 20
-MARKS = 1 << 28
+MARKS, WANTED = 1 << 28, 1 << 26
 #: Where a key's bits in its word of the table lie in the key; the word is in bits 6 to 27.
 BITS = (0, 28, 34, 40)
 #: Lines of a key that may be paired; more are dealt anew.
 CROWD = 32
 #: The same where more than one edit is allowed: lines of larger keys meet their first line before they are paired.
 LED = 4
-#: Lines of a crowded key in a block, two of which a task holds at once, and those that are compared at once.
-BLOCK, TILE = 1 << 14, 512
+#: Lines of a key above which these no longer become pairs, of a block of them, two of which a task holds at once, and those that are compared at once.
+PAIRED, BLOCK, TILE = 128, 1 << 14, 512
 #: Columns that the distances of many pairs take between two looks at what is far, and places of a grid of characters.
 STEP, CELLS = 32, 1 << 18
 #: Pairs too few for arrays.
@@ -317,32 +317,36 @@ def _row_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _line_texts(wanted: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+def _places(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return kernels.signed(kernels.mixed(kernels.mixed(doc.astype(np.int64).view(np.uint64)) ^ at.astype(np.uint64)))
+
+
+def _line_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, at, line, even, odd) of the wanted places; the last two are the line's parities.
 
-    Lines that are not wanted stay where they are: a table of the wanted ones' bits lets hardly any others pass.
+    Lines that are not wanted stay where they are: a table of the wanted places' bits lets few others pass.
     """
-    place = F.col("h1").bitwiseXOR(F.shiftleft("doc_id", 20)).bitwiseXOR(F.col("at").cast("long"))
-    known = _marks(wanted.select(place.alias("key")))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_places(*(batch.column(i).to_numpy() for i in (0, 1))))], ["key"])
+
+    known = _marks(wanted.select("doc_id", "at").mapInArrow(keys, "key long"), WANTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small(batches):
-            names, ats, lines = batch.column(0).to_numpy(), [], []
-            counts = []
-            for text in batch.column(1).to_pylist():
-                first = len(lines)
-                for at, line in enumerate((text or "").split("\n")):
-                    if len(line) >= least:
-                        ats.append(at)
-                        lines.append(line)
-                counts.append(len(lines) - first)
-            high = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode()) for x in lines), ">i8").astype(np.int64)[::2]
-            at, doc = np.array(ats, np.int64), np.repeat(names, counts)
-            met = np.flatnonzero(_marked(high ^ (doc << 20) ^ at, known))
-            some = [lines[i] for i in met]
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            counts = np.array([text.count("\n") + 1 for text in texts], np.int64)
+            row = np.repeat(np.arange(len(texts)), counts)
+            doc = batch.column(0).to_numpy()[row]
+            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            met = np.flatnonzero(_marked(_places(doc, at), known))
+            split = {i: texts[i].split("\n") for i in np.unique(row[met]).tolist()}
+            some = [split[i][j] for i, j in zip(row[met].tolist(), at[met].tolist())]
+            high = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode()) for x in some), ">i8").astype(np.int64)[::2]
             bits = [parities(some[first:last]) for first, last in _runs(some)]
             marks = [np.concatenate([np.empty(0, np.int64), *(x[i] for x in bits)]) for i in (0, 1)]
-            columns = [pa.array(doc[met], pa.int64()), pa.array(at[met], pa.int32()), pa.array(high[met]), pa.array(some, pa.string()), *map(pa.array, marks)]
+            columns = [pa.array(doc[met], pa.int64()), pa.array(at[met], pa.int32()), pa.array(high), pa.array(some, pa.string()), *map(pa.array, marks)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "h1", "line", "even", "odd"])
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -423,7 +427,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, equal: int | None = None
     if edits > 1:
         alike = _alike(scratch, kept, docs, least, edits)
         wanted = wanted.unionAll(kept.select("doc_id", "at", "h1").join(alike.select("doc_id", "at").distinct(), ["doc_id", "at"], "left_semi"))
-    lines = scratch.write(_line_texts(scratch.write(wanted.distinct(), "wanted", 8), docs, least), "texts")
+    lines = scratch.write(_line_texts(scratch.write(wanted.distinct(), "wanted", 8), docs), "texts")
     small = shared.where(F.col("size") <= CROWD).select("key", "doc_id", "at", "extra")
     near = [_verified(_pairs(small), lines)]
 
@@ -493,7 +497,7 @@ def _other_parts(docs: DataFrame, least: int, edits: int, known: np.ndarray) ->
 
 def _marked(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Whether all bits of each key are set in its word of ``known``; those of a key it was made from are."""
-    words = known[(keys & (MARKS - 1)) >> 6]
+    words = known[(keys >> 6) & (len(known) - 1)]
     met = (words >> (keys & 63)) & 1 == 1
     some = np.flatnonzero(met)
     for shift in BITS[1:]:
@@ -503,14 +507,14 @@ def _marked(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return met
 
 
-def _marks(keys: DataFrame) -> np.ndarray:
-    """A table of ``MARKS`` bits, up to four set for each key in one word, whatever their number: it spares work but decides nothing."""
-    bit = F.col("key").bitwiseAND(F.lit(MARKS - 1))
+def _marks(keys: DataFrame, bits: int = MARKS) -> np.ndarray:
+    """A table of so many bits, up to four set for each key in one word, whatever their number: it spares work but decides nothing."""
+    bit = F.col("key").bitwiseAND(F.lit(bits - 1))
     # Each bit is below 2^63 or its sign.
     mark = " | ".join(f"shiftleft(1L, cast(shiftright(key, {shift}) & 63 as int))" for shift in BITS)
     words = keys.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr(mark).alias("mark"))
     found = words.groupBy("word").agg(F.bit_or("mark").alias("marks")).toArrow()
-    known = np.zeros(MARKS // 64, np.int64)
+    known = np.zeros(bits // 64, np.int64)
     known[found.column("word").to_numpy()] = found.column("marks").to_numpy()
     return known
 
@@ -625,9 +629,9 @@ def _within_more(scratch: common.Scratch, alike: DataFrame, lines: DataFrame, ed
         before, left = left, crowd.join(found, ["doc_id", "at"], "left_anti").select("doc_id", "at").distinct().count()
         if before is not None and 10 * left > 9 * before:
             break
-    near = _verified(_paired(rows.where(F.col("size") <= CROWD), found), lines, edits)
-    if not rows.where(F.col("size") > CROWD).isEmpty():
-        near = near.unionAll(_near_in_crowds(alike.where(F.col("size") > CROWD).join(marks, ["doc_id", "at"]), found))
+    near = _verified(_paired(rows.where(F.col("size") <= PAIRED), found), lines, edits)
+    if not rows.where(F.col("size") > PAIRED).isEmpty():
+        near = near.unionAll(_near_in_crowds(alike.where(F.col("size") > PAIRED).join(marks, ["doc_id", "at"]), found))
     return scratch.write(found.unionAll(near).distinct(), "near", 8)
 
 
